@@ -1,4 +1,3 @@
 """All queries of the engine's own operators, with the SQL that checks them."""
 
-QUERIES = {}
-SQL = {}
+from .queries import QUERIES, SQL, events, matching, motion, reports, tables  # noqa: F401
