@@ -20,7 +20,7 @@ def key_text(c: Column) -> Column:
 def key_list(c: Column) -> Column:
     """A comma list as comparable text: trimmed, lower case, sorted parts."""
     t = F.lower(F.trim(c.cast("string")))
-    parts = F.array_join(F.array_sort(F.transform(F.split(t, ","), F.trim)), ",")
+    parts = F.array_join(F.array_sort(F.transform(F.split(t, ","), lambda x: F.trim(x))), ",")
     return F.when(t.isNull(), F.lit("")).when(t.contains(","), parts).otherwise(t)
 
 
@@ -106,7 +106,6 @@ def student_t_two_sided(t: float, dof: float) -> float:
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
 
 
-@F.pandas_udf("double")
 def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([student_t_two_sided(a, b) for a, b in zip(t, dof)])
 
@@ -125,7 +124,7 @@ def welch(df: DataFrame, keys: list[str], side: str, a: str, b: str, value: str)
     ok = (F.col("_na") > 1) & (F.col("_nb") > 1)
     r = r.withColumn("t", F.when(ok, (F.col("_ma") - F.col("_mb")) / F.sqrt(sa + sb)))
     r = r.withColumn("dof", F.when(ok, (sa + sb) ** 2 / (sa**2 / (F.col("_na") - 1) + sb**2 / (F.col("_nb") - 1))))
-    return r.select(*keys, "t", "dof").withColumn("p", F.when(F.col("t").isNotNull(), _p_value("t", "dof")))
+    return r.select(*keys, "t", "dof").withColumn("p", F.when(F.col("t").isNotNull(), F.pandas_udf(_p_value, "double")("t", "dof")))
 
 
 def overall(df: DataFrame, value: str) -> DataFrame:

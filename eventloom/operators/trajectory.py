@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from . import folds, joins
 
-BY = W.partitionBy("seq").orderBy("idx")
+
+def by():
+    return W.partitionBy("seq").orderBy("idx")
 
 
 def to_utm(track: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -50,18 +52,18 @@ def resample(track: DataFrame, step: float, width: float) -> DataFrame:
 
 
 def step_length(a: str = "e", b: str = "n") -> Column:
-    return F.sqrt((F.col(a) - F.lag(a).over(BY)) ** 2 + (F.col(b) - F.lag(b).over(BY)) ** 2)
+    return F.sqrt((F.col(a) - F.lag(a).over(by())) ** 2 + (F.col(b) - F.lag(b).over(by())) ** 2)
 
 
 def arc_length(track: DataFrame) -> DataFrame:
-    return track.withColumn("_d", F.coalesce(step_length(), F.lit(0.0))).withColumn("s", F.sum("_d").over(BY)).drop("_d")
+    return track.withColumn("_d", F.coalesce(step_length(), F.lit(0.0))).withColumn("s", F.sum("_d").over(by())).drop("_d")
 
 
 def resample_by_distance(track: DataFrame, spacing: float) -> DataFrame:
     """(seq, k, s, e, n, t): points each ``spacing`` along the path."""
     path = arc_length(track).withColumn("_len", F.max("s").over(W.partitionBy("seq")))
     # of several rows at one place the last begins the next segment
-    nxt = lambda c: F.lead(c).over(BY)
+    nxt = lambda c: F.lead(c).over(by())
     seg = path.select("seq", "s", "e", "n", "t", "_len", nxt("s").alias("s1"), nxt("e").alias("e1"), nxt("n").alias("n1"), nxt("t").alias("t1"))
     k0, k1 = F.ceil(F.col("s") / spacing), F.when(F.col("s1").isNull(), F.floor(F.col("s") / spacing)).otherwise(F.ceil(F.col("s1") / spacing) - 1)
     ks = F.when(k1 >= k0, F.sequence(k0, k1)).otherwise(F.array().cast("array<bigint>"))
@@ -73,37 +75,37 @@ def resample_by_distance(track: DataFrame, spacing: float) -> DataFrame:
 def headings(track: DataFrame, least: float = 1e-3) -> DataFrame:
     """Adds heading: atan2 of the step into each row where it is long enough,
     else the last one known; the first rows take the first one known; 0 without motion."""
-    de, dn = F.col("e") - F.lag("e").over(BY), F.col("n") - F.lag("n").over(BY)
+    de, dn = F.col("e") - F.lag("e").over(by()), F.col("n") - F.lag("n").over(by())
     h = F.when(F.sqrt(de**2 + dn**2) >= least, F.atan2(dn, de))
     x = track.withColumn("_h", h)
-    known = F.last("_h", ignorenulls=True).over(BY.rowsBetween(W.unboundedPreceding, 0))
-    first = F.first("_h", ignorenulls=True).over(BY.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    known = F.last("_h", ignorenulls=True).over(by().rowsBetween(W.unboundedPreceding, 0))
+    first = F.first("_h", ignorenulls=True).over(by().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return x.withColumn("heading", F.coalesce(known, first, F.lit(0.0))).drop("_h")
 
 
 def angular_velocity(track: DataFrame, window: int = 100, most: float = math.pi / 6) -> DataFrame:
     """Adds ang_vel: unwrapped heading change over ``window`` rows, 0 before row window + 1, clipped."""
-    d = F.col("heading") - F.lag("heading").over(BY)
+    d = F.col("heading") - F.lag("heading").over(by())
     wrapped = F.pmod(d + math.pi, F.lit(2 * math.pi)) - math.pi
     wrapped = F.when((wrapped == -math.pi) & (d > 0), F.lit(math.pi)).otherwise(wrapped)
-    x = track.withColumn("_u", F.coalesce(wrapped, F.col("heading"))).withColumn("_u", F.sum("_u").over(BY))
-    w = (F.col("_u") - F.lag("_u", window).over(BY)) / (F.col("t") - F.lag("t", window).over(BY))
-    w = F.when(F.row_number().over(BY) - 1 >= window + 1, w).otherwise(0.0)
+    x = track.withColumn("_u", F.coalesce(wrapped, F.col("heading"))).withColumn("_u", F.sum("_u").over(by()))
+    w = (F.col("_u") - F.lag("_u", window).over(by())) / (F.col("t") - F.lag("t", window).over(by()))
+    w = F.when(F.row_number().over(by()) - 1 >= window + 1, w).otherwise(0.0)
     return x.withColumn("ang_vel", F.least(F.greatest(w, F.lit(-most)), F.lit(most))).drop("_u")
 
 
 def speeds(track: DataFrame) -> DataFrame:
     """Adds speed: step over time; the first row takes the second's."""
-    v = step_length() / F.greatest(F.col("t") - F.lag("t").over(BY), F.lit(1e-6))
+    v = step_length() / F.greatest(F.col("t") - F.lag("t").over(by()), F.lit(1e-6))
     x = track.withColumn("_v", v)
-    return x.withColumn("speed", F.coalesce(F.col("_v"), F.lead("_v").over(BY))).drop("_v")
+    return x.withColumn("speed", F.coalesce(F.col("_v"), F.lead("_v").over(by()))).drop("_v")
 
 
 def slope(track: DataFrame, value: str, window: int, name: str) -> DataFrame:
     """Adds the linear coefficient of a local quadratic least-squares fit of
     ``value`` over time, on ``window // 2`` rows to each side; 0 for fewer than 3 rows."""
     h = window // 2
-    near = F.collect_list(F.struct("t", F.col(value).alias("y"))).over(BY.rowsBetween(-h, h))
+    near = F.collect_list(F.struct("t", F.col(value).alias("y"))).over(by().rowsBetween(-h, h))
     x = track.withColumn("_w", near).withColumn("_w", F.transform("_w", lambda p: F.struct((p["t"] - F.col("t")).alias("u"), p["y"].alias("y"))))
     s = lambda k, y=False: F.aggregate("_w", F.lit(0.0), lambda acc, p: acc + (F.lit(1.0) if k == 0 else p["u"] ** k) * (p["y"] if y else F.lit(1.0)))
     x = x.select("*", *(s(k).alias(f"_s{k}") for k in range(5)), *(s(k, True).alias(f"_y{k}") for k in range(3)))

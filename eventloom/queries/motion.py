@@ -173,7 +173,7 @@ HV = "sin(radians(lat2 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(lat2))
 @query(f"""WITH {GEO}, x AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM geo WINDOW w AS (PARTITION BY seq ORDER BY idx)), h AS (SELECT *, {HV} AS a FROM x WHERE lat2 IS NOT NULL)
 SELECT seq, idx, round(6371000.0 * 2 * atan2(sqrt(a), sqrt(1 - a)), 3) AS d_atan, round(6371000.0 * 2 * asin(sqrt(a)), 3) AS d_asin FROM h""")
 def o11_haversine(spark, d):
-    g = _geo(spark, d).withColumn("lat2", F.lead("lat").over(trajectory.BY)).withColumn("lon2", F.lead("lon").over(trajectory.BY)).where("lat2 is not null")
+    g = _geo(spark, d).withColumn("lat2", F.lead("lat").over(trajectory.by())).withColumn("lon2", F.lead("lon").over(trajectory.by())).where("lat2 is not null")
     args = [F.col(c) for c in ("lat", "lon", "lat2", "lon2")]
     return g.select("seq", "idx", F.round(trajectory.haversine(*args), 3).alias("d_atan"), F.round(trajectory.haversine(*args, arcsin=True), 3).alias("d_asin"))
 

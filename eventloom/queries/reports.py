@@ -1 +1,257 @@
-"""Queries."""
+"""Result tables: keys, updates, group-bys, gains, tests, cost models."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators import analytics, joins
+from ..sources import tables as T
+from . import query
+
+#: result rows from orders: a recall, an area, keys with the usual blemishes
+RES = """res AS (SELECT o_orderkey AS id, CASE o_custkey % 5 WHEN 0 THEN 'sunset1' WHEN 1 THEN 'night' WHEN 2 THEN 'R0_FA0' WHEN 3 THEN 'R0_FN0' ELSE 'morning' END AS ref_seq,
+  CASE o_custkey % 4 WHEN 0 THEN 'sunset2' WHEN 1 THEN 'R0_RN0' WHEN 2 THEN 'daytime' ELSE 'Night' END AS qry_seq,
+  CASE o_orderkey % 4 WHEN 0 THEN 'eventCount' WHEN 1 THEN 'timeSurface' WHEN 2 THEN 'e2vid' ELSE 'eventCount_noPolarity' END AS recon,
+  CASE o_custkey % 3 WHEN 0 THEN 'mixvpr' WHEN 1 THEN 'netvlad' ELSE 'cosplace' END AS method,
+  [1, 10, 20, 30][(o_orderkey % 4)::INT + 1]::INT AS seq_len, CASE WHEN o_orderkey % 3 = 0 THEN 'seqslam' ELSE 'modified' END AS match,
+  [0.1, 0.25, 0.5, 1.0][(o_custkey % 4)::INT + 1]::DOUBLE AS time_res, (o_totalprice::BIGINT % 1000) / 1000 AS recall, o_orderkey::DOUBLE % 97 AS runtime,
+  (CASE WHEN o_custkey % 2 = 0 THEN 'count_' || 100 * (1 + o_custkey % 3) ELSE 'time_' || '0.' || (1 + o_custkey % 5) END) AS bin_group,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'patch' ELSE 'frame' END AS mode FROM orders)"""
+
+
+def results(spark, d):
+    o = T.table(spark, d, "orders")
+    pick = lambda key, n, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % n).cast("int") + 1)
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        pick("o_custkey", 5, ["sunset1", "night", "R0_FA0", "R0_FN0", "morning"]).alias("ref_seq"),
+        pick("o_custkey", 4, ["sunset2", "R0_RN0", "daytime", "Night"]).alias("qry_seq"),
+        pick("o_orderkey", 4, ["eventCount", "timeSurface", "e2vid", "eventCount_noPolarity"]).alias("recon"),
+        pick("o_custkey", 3, ["mixvpr", "netvlad", "cosplace"]).alias("method"),
+        pick("o_orderkey", 4, [1, 10, 20, 30]).alias("seq_len"),
+        F.when(F.col("o_orderkey") % 3 == 0, "seqslam").otherwise("modified").alias("match"),
+        pick("o_custkey", 4, [0.1, 0.25, 0.5, 1.0]).alias("time_res"),
+        ((F.rint("o_totalprice").cast("long") % 1000) / 1000).alias("recall"),
+        (F.col("o_orderkey") % 97).cast("double").alias("runtime"),
+        F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("count_"), (100 * (1 + F.col("o_custkey") % 3)).cast("string"))).otherwise(F.concat(F.lit("time_0."), (1 + F.col("o_custkey") % 5).cast("string"))).alias("bin_group"),
+        F.when(F.col("o_orderkey") % 5 == 0, "patch").otherwise("frame").alias("mode"),
+    )
+
+
+def _r(df, digits, *cols):
+    for c in cols:
+        df = df.withColumn(c, F.round(c, digits) + 0.0)
+    return df
+
+
+@query(f"""WITH {RES}, g AS (SELECT bin_group AS "group", mode, avg(recall) AS recall, count(recall) AS count, avg(seq_len) AS seq_len, avg(runtime) AS runtime FROM res GROUP BY bin_group, mode)
+SELECT "group", mode, round(recall, 6) AS recall, count, round(seq_len, 6) AS seq_len, round(runtime, 6) AS runtime, round(seq_len + runtime, 6) AS compute_cost,
+  CASE WHEN "group" LIKE 'count\\_%' ESCAPE '\\' THEN 'count' ELSE 'time' END AS category, regexp_extract("group", '_(\\d+\\.?\\d*)', 1)::DOUBLE AS bin_value FROM g WHERE mode = 'frame'""")
+def r1_cost_report(spark, d):
+    return _r(analytics.cost_report(results(spark, d), "bin_group", "mode", "frame", "recall", "seq_len", "runtime"), 6, "recall", "seq_len", "runtime", "compute_cost")
+
+
+@query(f"WITH {RES} SELECT seq_len, match, printf('%.4f', avg(recall)) || ' ± ' || printf('%.4f', stddev_samp(recall)) AS formatted FROM res GROUP BY ALL")
+def r2_mean_std_text(spark, d):
+    return analytics.mean_std_text(results(spark, d), "recall", "seq_len", "match")
+
+
+@query(f"WITH {RES}, k AS (SELECT ref_seq, qry_seq, method, seq_len, mode, id, runtime, row_number() OVER (PARTITION BY ref_seq, qry_seq, method, seq_len, mode ORDER BY runtime, id) AS n FROM res) SELECT * EXCLUDE (n) FROM k WHERE n = 1")
+def r3_distinct(spark, d):
+    return analytics.distinct_but(results(spark, d).select("ref_seq", "qry_seq", "method", "seq_len", "mode", "id", "runtime"), ["runtime", "id"], ["runtime", "id"])
+
+
+KEYS = "[' B, a', '1.0', 'nan', '', 'None', ' Mixed ', 'c,B ,a', '20.00', '0.25', NULL]"
+
+
+@query(f"""SELECT i, CASE WHEN t IS NULL OR t IN ('', 'nan', 'none') THEN '' ELSE regexp_replace(t, '^(-?[0-9]+)\\.0+$', '\\1') END AS number_key,
+  CASE WHEN t IS NULL THEN '' WHEN t LIKE '%,%' THEN array_to_string(list_sort(list_transform(string_split(t, ','), lambda x: trim(x))), ',') ELSE t END AS list_key
+FROM (SELECT i::INT AS i, lower(trim(({KEYS})[i + 1])) AS t FROM (SELECT unnest(range(10)) AS i))""")
+def r4_key_normalisation(spark, d):
+    rows = [(i, v) for i, v in enumerate([" B, a", "1.0", "nan", "", "None", " Mixed ", "c,B ,a", "20.00", "0.25", None])]
+    k = spark.createDataFrame(rows, "i int, v string")
+    return k.select("i", analytics.key_text(F.col("v")).alias("number_key"), analytics.key_list(F.col("v")).alias("list_key"))
+
+
+@query(f"""WITH {RES} SELECT seq_len, round(avg(recall) FILTER (match = 'modified'), 6) AS modified, round(avg(recall) FILTER (match = 'seqslam'), 6) AS seqslam, round(coalesce(avg(recall) FILTER (match = 'none'), 0), 6) AS none FROM res GROUP BY seq_len""")
+def r5_pivot(spark, d):
+    p = results(spark, d).groupBy("seq_len").pivot("match", ["modified", "seqslam", "none"]).agg(F.avg("recall"))
+    return _r(p.fillna({"none": 0.0}), 6, "modified", "seqslam", "none")
+
+
+@query(f"""WITH {RES}, g AS (SELECT ref_seq, qry_seq, time_res, seq_len, avg(recall) AS recall FROM res GROUP BY ALL), b AS (SELECT *, max(recall) FILTER (seq_len = 1) OVER (PARTITION BY ref_seq, qry_seq, time_res) AS b FROM g)
+SELECT time_res, seq_len, round(round(avg(100 * (recall - b)), 2), 1) + 0.0 AS gain FROM b WHERE seq_len <> 1 GROUP BY ALL""")
+def r6_over_baseline(spark, d):
+    g = results(spark, d).groupBy("ref_seq", "qry_seq", "time_res", "seq_len").agg(F.avg("recall").alias("recall"))
+    return _r(analytics.over_baseline(g, ["ref_seq", "qry_seq"], "time_res", "seq_len", 1, "recall"), 1, "gain")
+
+
+@query(f"WITH {RES} SELECT id FROM res WHERE seq_len IN (10, 20) AND mode <> 'patch' AND regexp_matches(ref_seq, '(?i)NIGHT|fa') AND NOT coalesce(regexp_matches(qry_seq, '(?i)day'), false)")
+def r7_filters(spark, d):
+    r = results(spark, d)
+    return r.where(F.col("seq_len").isin(10, 20) & (F.col("mode") != "patch") & F.col("ref_seq").rlike("(?i)NIGHT|fa") & ~F.coalesce(F.col("qry_seq").rlike("(?i)day"), F.lit(False))).select("id")
+
+
+@query(f"WITH {RES} SELECT DISTINCT regexp_replace(ref_seq, '^R0_', '') || '→' || regexp_replace(qry_seq, '^R0_', '') AS pair, string_split(recon, '_')[-1] AS tail FROM res")
+def r8_strings(spark, d):
+    short = lambda c: F.regexp_replace(c, "^R0_", "")
+    return results(spark, d).select(F.concat(short("ref_seq"), F.lit("→"), short("qry_seq")).alias("pair"), F.element_at(F.split("recon", "_"), -1).alias("tail")).distinct()
+
+
+NIGHT = "(lower({0}) LIKE '%night%' OR lower({0}) LIKE '%n0%')"
+COND = f"CASE WHEN NOT {NIGHT.format('ref_seq')} AND NOT {NIGHT.format('qry_seq')} THEN 'Day-Day' WHEN {NIGHT.format('ref_seq')} <> {NIGHT.format('qry_seq')} THEN 'Day-Night' ELSE 'Night-Night' END"
+
+
+@query(f"WITH {RES} SELECT {COND} AS cond, CASE WHEN ref_seq LIKE '%0%' THEN 'NSAVP' ELSE 'Brisbane' END AS dataset, count(*) AS n FROM res GROUP BY ALL")
+def r9_classification(spark, d):
+    return results(spark, d).groupBy(analytics.condition(F.col("ref_seq"), F.col("qry_seq")).alias("cond"), analytics.dataset_of(F.col("ref_seq")).alias("dataset")).agg(F.count("*").alias("n"))
+
+
+LISTS = f"{RES}, li AS (SELECT id, '[' || recall || ', ' || (seq_len / 100) || ', 0.5]' AS l FROM res WHERE id % 3 = 0)"
+
+
+def _lists(spark, d):
+    r = results(spark, d).where("id % 3 = 0")
+    return r.select("id", F.concat(F.lit("["), F.col("recall").cast("string"), F.lit(", "), (F.col("seq_len") / 100).cast("string"), F.lit(", 0.5]")).alias("l"))
+
+
+@query(f"WITH {LISTS} SELECT id, round(list_avg(l::DOUBLE[]), 6) AS member_mean FROM li")
+def r10_parse_list(spark, d):
+    return _r(_lists(spark, d).select("id", analytics.list_mean(F.col("l")).alias("member_mean")), 6, "member_mean")
+
+
+@query(f"WITH {LISTS} SELECT count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT unnest(l::DOUBLE[]) AS v FROM li)")
+def r11_flatten(spark, d):
+    return _r(_lists(spark, d).select(F.explode(analytics.parse_list(F.col("l"))).alias("v")).agg(F.count("*").alias("n"), F.avg("v").alias("mean")), 6, "mean")
+
+
+@query(f"WITH {RES} SELECT id, recall AS value, NULL::DOUBLE AS runtime, 'a' AS src FROM res WHERE id % 50 = 0 UNION ALL SELECT id, NULL, runtime, 'b' FROM res WHERE id % 70 = 0")
+def r12_s15_union(spark, d):
+    from ..sources import readers
+
+    r = results(spark, d)
+    return readers.union_tagged({"a": r.where("id % 50 = 0").select("id", F.col("recall").alias("value")), "b": r.where("id % 70 = 0").select("id", "runtime")}, "src")
+
+
+@query(f"WITH {RES} SELECT ref_seq, method, round(median(recall), 6) AS med FROM res GROUP BY ALL")
+def r13_group_median(spark, d):
+    return _r(results(spark, d).groupBy("ref_seq", "method").agg(F.median("recall").alias("med")), 6, "med")
+
+
+@query(f"WITH {RES} SELECT CASE method WHEN 'mixvpr' THEN 1 WHEN 'netvlad' THEN 2 ELSE 3 END AS ord, method, round(avg(recall), 6) AS mean, round(max(recall), 6) AS max, count(*) AS n FROM res GROUP BY method")
+def r14_r21_ordered_stats(spark, d):
+    o = F.when(F.col("method") == "mixvpr", 1).when(F.col("method") == "netvlad", 2).otherwise(3)
+    return _r(results(spark, d).groupBy(o.alias("ord"), "method").agg(F.avg("recall").alias("mean"), F.max("recall").alias("max"), F.count("*").alias("n")).orderBy("ord"), 6, "mean", "max")
+
+
+@query(f"""WITH {RES}, a AS (SELECT {COND} AS cond, method, avg(recall) AS r1 FROM res GROUP BY ALL), b AS (SELECT cond, avg(r1) AS b FROM a WHERE method = 'netvlad' GROUP BY cond)
+SELECT cond, method, round(r1, 6) AS r1, round(CASE WHEN method <> 'netvlad' THEN 100 * (r1 - b) / b END, 4) AS gain FROM a LEFT JOIN b USING (cond)""")
+def r15_relative_gain(spark, d):
+    a = results(spark, d).groupBy(analytics.condition(F.col("ref_seq"), F.col("qry_seq")).alias("cond"), "method").agg(F.avg("recall").alias("r1"))
+    g = analytics.relative_gain(a, ["cond"], "method", "netvlad", "r1")
+    return g.select("cond", "method", F.round("r1", 6).alias("r1"), F.round("gain", 4).alias("gain"))
+
+
+@query(f"""WITH {RES}, g AS (SELECT seq_len, avg(recall) FILTER (match = 'seqslam') AS ma, var_samp(recall) FILTER (match = 'seqslam') AS va, count(*) FILTER (match = 'seqslam') AS na,
+  avg(recall) FILTER (match = 'modified') AS mb, var_samp(recall) FILTER (match = 'modified') AS vb, count(*) FILTER (match = 'modified') AS nb FROM res GROUP BY seq_len)
+SELECT seq_len, round((ma - mb) / sqrt(va / na + vb / nb), 5) AS t, round((va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 3) AS dof FROM g""")
+def r16_welch(spark, d):
+    w = analytics.welch(results(spark, d), ["seq_len"], "match", "seqslam", "modified", "recall")
+    return w.select("seq_len", F.round("t", 5).alias("t"), F.round("dof", 3).alias("dof"))
+
+
+@query()
+def r16_welch_p(spark, d):
+    return analytics.welch(results(spark, d), ["seq_len"], "match", "seqslam", "modified", "recall")
+
+
+@query(f"WITH {RES} SELECT round(avg(recall), 6) AS mean, round(stddev_pop(recall), 6) AS std, min(recall) AS min, max(recall) AS max, round(median(recall), 6) AS median, count(recall) AS num FROM res")
+def r17_global_stats(spark, d):
+    return _r(analytics.overall(results(spark, d), "recall"), 6, "mean", "std", "median")
+
+
+DIRTY = f"""{RES}, dirty AS (SELECT ref_seq, seq_len, mode AS patch_or_frame, CASE WHEN id % 7 = 0 THEN '' WHEN id % 11 = 0 THEN 'nan' ELSE (seq_len / 100)::VARCHAR END AS auc,
+  CASE WHEN id % 3 = 0 THEN '7.0' WHEN id % 3 = 1 THEN '' ELSE '7' END AS patch_rows, '4' AS patch_cols, runtime FROM res)"""
+
+
+@query(f"""WITH {DIRTY}, k AS (SELECT ref_seq, seq_len, patch_or_frame, auc, CASE WHEN patch_or_frame = 'frame' THEN 1 ELSE coalesce(try_cast(patch_rows AS DOUBLE), 0)::INT END AS patch_rows,
+  CASE WHEN patch_or_frame = 'frame' THEN 1 ELSE coalesce(try_cast(patch_cols AS DOUBLE), 0)::INT END AS patch_cols, runtime FROM dirty WHERE patch_or_frame <> 'frame' OR auc NOT IN ('', 'nan'))
+SELECT * EXCLUDE (auc, runtime), CASE WHEN auc IN ('', 'nan') THEN auc ELSE round(auc::DOUBLE, 4)::VARCHAR END AS auc, min(runtime) AS runtime FROM k GROUP BY ALL""")
+def r18_clean_results(spark, d):
+    auc = F.when(F.col("id") % 7 == 0, "").when(F.col("id") % 11 == 0, "nan").otherwise((F.col("seq_len") / 100).cast("string"))
+    rows = F.when(F.col("id") % 3 == 0, "7.0").when(F.col("id") % 3 == 1, "").otherwise("7")
+    dirty = results(spark, d).select("ref_seq", "seq_len", F.col("mode").alias("patch_or_frame"), auc.alias("auc"), rows.alias("patch_rows"), F.lit("4").alias("patch_cols"), "runtime")
+    return analytics.clean_results(dirty)
+
+
+GRID = """grid AS (SELECT recon, time_res, method, 0.01 * i + 0.02 * j AS recon_s FROM (SELECT unnest(['e2vid', 'eventCount', 'timeSurface']) AS recon, unnest([1, 2, 3]) AS i), (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS time_res, unnest([1, 2, 3]) AS j),
+  (SELECT unnest(['netvlad', 'cosplace', 'megaloc']) AS method)), fe AS (SELECT unnest(['netvlad', 'cosplace', 'megaloc']) AS method, unnest([0.006, 0.004, 0.027])::DOUBLE AS fe_s),
+rc AS (SELECT DISTINCT recon, time_res, recon_s FROM grid)"""
+
+
+def _grid(spark):
+    rows = [(r, t, m, 0.01 * i + 0.02 * j) for i, r in enumerate(["e2vid", "eventCount", "timeSurface"], 1) for j, t in enumerate([0.1, 0.5, 1.0], 1) for m in ("netvlad", "cosplace", "megaloc")]
+    fe = spark.createDataFrame([("netvlad", 0.006), ("cosplace", 0.004), ("megaloc", 0.027)], "method string, fe_s double")
+    return spark.createDataFrame(rows, "recon string, time_res double, method string, recon_s double"), fe
+
+
+@query(f"""WITH {GRID}
+SELECT 'single' AS model, method AS key, round(avg(recon_s + fe_s) * 1000, 4) AS avg_ms FROM grid JOIN fe USING (method) GROUP BY method UNION ALL
+SELECT 'over_time', method, round(avg(t) * 1000, 4) FROM (SELECT recon, method, sum(recon_s + fe_s) AS t FROM rc, fe GROUP BY ALL) GROUP BY method UNION ALL
+SELECT 'over_recon', time_res::VARCHAR, round(avg(t) * 1000, 4) FROM (SELECT time_res, method, sum(recon_s + fe_s) AS t FROM rc, fe GROUP BY ALL) GROUP BY time_res UNION ALL
+SELECT 'over_method', time_res::VARCHAR, round(avg(recon_s + (SELECT sum(fe_s) FROM fe)) * 1000, 4) FROM rc GROUP BY time_res UNION ALL
+SELECT 'complete', 'all', round((sum(recon_s) + count(*) * (SELECT sum(fe_s) FROM fe)) * 1000, 4) FROM rc""")
+def r19_runtime_models(spark, d):
+    out = None
+    for name, df in analytics.runtime_models(*_grid(spark)).items():
+        key = "method" if "method" in df.columns else "time_res" if "time_res" in df.columns else None
+        one = df.select(F.lit(name).alias("model"), F.col(key).cast("string").alias("key") if key else F.lit("all").alias("key"), F.round("avg_ms", 4).alias("avg_ms"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {RES}, p AS (SELECT ref_seq, round(avg(recall) FILTER (method = 'cosplace'), 6) AS cosplace, round(avg(recall) FILTER (method = 'mixvpr'), 6) AS mixvpr, round(avg(recall) FILTER (method = 'netvlad'), 6) AS netvlad FROM res GROUP BY ref_seq)
+SELECT *, greatest(cosplace, mixvpr, netvlad) AS best_value, CASE greatest(cosplace, mixvpr, netvlad) WHEN cosplace THEN 'cosplace' WHEN mixvpr THEN 'mixvpr' ELSE 'netvlad' END AS best_column FROM p""")
+def r20_row_best(spark, d):
+    methods = ["cosplace", "mixvpr", "netvlad"]
+    p = _r(results(spark, d).groupBy("ref_seq").pivot("method", methods).agg(F.avg("recall")), 6, *methods)
+    return analytics.row_best(p, methods)
+
+
+@query("SELECT d::VARCHAR AS delta, r AS recon, s AS seq_len FROM (SELECT unnest(['0.1', '0.5', '1.0']) AS d), (SELECT unnest(['a', 'b']) AS r), (SELECT unnest([1, 10])::INT AS s)")
+def j8_config_product(spark, d):
+    mk = lambda name, kind, values: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+    return mk("delta", "string", ["0.1", "0.5", "1.0"]).crossJoin(mk("recon", "string", ["a", "b"])).crossJoin(mk("seq_len", "int", [1, 10]))
+
+
+DONE = f"{RES}, done AS (SELECT DISTINCT upper(ref_seq) || ' ' AS ref_seq, seq_len::VARCHAR || '.0' AS seq_len FROM res WHERE ref_seq LIKE '%n%' AND seq_len > 5)"
+
+
+@query(f"WITH {DONE}, todo AS (SELECT DISTINCT ref_seq, seq_len FROM res) SELECT lower(ref_seq) AS ref_seq, seq_len::VARCHAR AS seq_len FROM todo WHERE NOT (ref_seq LIKE '%n%' AND seq_len > 5)")
+def j9_r23_anti_join(spark, d):
+    r = results(spark, d)
+    norm = lambda df: df.select(analytics.key_text(F.col("ref_seq")).alias("ref_seq"), analytics.key_text(F.col("seq_len")).alias("seq_len"))
+    done = r.where("ref_seq like '%n%' and seq_len > 5").select(F.concat(F.upper("ref_seq"), F.lit(" ")).alias("ref_seq"), F.concat(F.col("seq_len").cast("string"), F.lit(".0")).alias("seq_len"))
+    return joins.unmatched(norm(r.select("ref_seq", "seq_len").distinct()), norm(done), ["ref_seq", "seq_len"])
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN (SELECT o_custkey, any_value(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 9 = 0 GROUP BY o_custkey HAVING count(*) = 1) ON c_custkey = o_custkey")
+def j10_match_unique(spark, d):
+    c = T.table(spark, d, "customer").select("c_custkey")
+    o = T.table(spark, d, "orders").where("o_orderstatus = 'P' or o_orderkey % 9 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return joins.match_unique(c, o, ["c_custkey"])
+
+
+@query(f"WITH {RES} SELECT CASE method WHEN 'mixvpr' THEN 'MixVPR' WHEN 'netvlad' THEN 'NetVLAD' ELSE method END AS name, count(*) AS n FROM res GROUP BY ALL")
+def j14_lookup(spark, d):
+    return results(spark, d).groupBy(joins.lookup(F.col("method"), {"mixvpr": "MixVPR", "netvlad": "NetVLAD"}).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {RES}, t AS (SELECT id, method, CASE WHEN id % 4 = 0 THEN NULL ELSE recall END AS auc, runtime FROM res WHERE id < 400), u AS (SELECT id, recall + 1 AS auc, 5.0 AS runtime FROM res WHERE id < 400 AND id % 2 = 0)
+SELECT t.id, method, CASE WHEN t.auc IS NULL AND u.id IS NOT NULL THEN u.auc ELSE t.auc END AS auc, CASE WHEN t.auc IS NULL AND u.id IS NOT NULL THEN u.runtime ELSE t.runtime END AS runtime FROM t LEFT JOIN u USING (id)""")
+def k5_update_unique(spark, d):
+    r = results(spark, d).where("id < 400")
+    t = r.select("id", "method", F.when(F.col("id") % 4 != 0, F.col("recall")).alias("auc"), "runtime")
+    u = r.where("id % 2 = 0").select("id", (F.col("recall") + 1).alias("auc"), F.lit(5.0).alias("runtime"))
+    return analytics.update_unique(t, u, ["id"], ["auc", "runtime"])

@@ -1 +1,219 @@
-"""Queries."""
+"""Sources, sinks, configuration and streaming forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import session
+from ..operators import binning, joins, trajectory
+from ..sources import models, readers
+from ..sources import tables as T
+from ..streaming import windows
+from . import query
+from .ctes import DESC, EV, POSE
+
+
+@query(f"WITH {EV} SELECT seq, coalesce(CASE WHEN event_id % 10 = 0 THEN NULL ELSE p END, 0)::INT AS p, count(*) AS n, sum(x)::BIGINT AS xs FROM ev GROUP BY ALL")
+def s1_event_scan(spark, d):
+    folder = session.fresh_dir(spark, "events")
+    T.events(spark, d).withColumn("p", F.when(F.col("event_id") % 10 != 0, F.col("p"))).withColumn("other", F.lit("unread")).write.partitionBy("seq").parquet(folder)
+    out = None
+    for s in ("s0", "s1", "s2"):
+        one = readers.event_table(spark, f"{folder}/seq={s}", s)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("seq", "p").agg(F.count("*").alias("n"), F.sum("x").alias("xs"))
+
+
+@query(f"""WITH {EV}, k AS (SELECT seq, event_id, row_number() OVER (PARTITION BY seq ORDER BY t, event_id) - 1 AS k, count(*) OVER (PARTITION BY seq) AS n FROM ev)
+SELECT seq, event_id FROM k WHERE k < floor(n * 0.2)""")
+def s2_prefix_fraction(spark, d):
+    raw = T.events(spark, d).withColumn("ts_ns", F.rint(F.col("t") * 1e6).cast("long") * 1000).drop("t")
+    return readers.events_from_ns(raw, 0.2).select("seq", "event_id")
+
+
+@query(f"WITH {POSE} SELECT seq, count(*) AS n, round(min(n / 10 - 30), 4) + 0.0 AS lat, round(max(t) + 5, 2) AS t FROM pose WHERE seq = 'u1' GROUP BY seq")
+def s4_gps_text(spark, d):
+    folder = session.fresh_dir(spark, "gps")
+    T.pose(spark, d).where("seq = 'u1'").select(F.round(F.col("n") / 10 - 30, 6).alias("lat"), (F.col("e") / 10 + 150).alias("lon"), F.col("t").cast("decimal(20,6)")).write.csv(folder, sep=" ")
+    g = readers.gps_text(spark, folder, "u1", 5.0)
+    return g.groupBy("seq").agg(F.count("*").alias("n"), (F.round(F.min("lat"), 4) + 0.0).alias("lat"), F.round(F.max("t"), 2).alias("t"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS t_us FROM events")
+def s7_composite_timestamp(spark, d):
+    e = T.table(spark, d, "events")
+    ts = F.col("ts").cast("timestamp")
+    text = F.concat(F.date_format(ts, "yyyy-MM-dd_HH-mm-ss"), F.lit("_"), (F.unix_micros(ts) % 1000000).cast("string"))
+    return e.select("event_id", readers.composite_micros(text).alias("t_us"))
+
+
+@query("SELECT count(*) AS n, sum(x)::BIGINT AS xs, 16 AS width, 12 AS height FROM (SELECT (user_id % 16)::INT AS x FROM events WHERE user_id % 3 = 1)")
+def s8_event_text(spark, d):
+    folder = session.fresh_dir(spark, "event-text")
+    lines = T.events(spark, d).where("seq = 's1'").select(F.concat_ws(" ", F.format_string("%.6f", "t"), "x", "y", "p").alias("value"))
+    spark.createDataFrame([("16 12",)], "value string").unionByName(lines).write.text(folder)
+    size = readers.event_text_size(spark, folder)
+    return readers.event_text(spark, folder, "s1").agg(F.count("*").alias("n"), F.sum("x").alias("xs")).crossJoin(size)
+
+
+def _nmea_lines(spark, d):
+    """Sentences of a track, one kind in five of no use, one in seven with a zero."""
+    p = T.pose(spark, d).where("idx < 60")
+    deg = lambda c, digits: F.concat(F.format_string(f"%0{digits}d", F.floor(F.abs(c)).cast("int")), F.format_string("%09.6f", (F.abs(c) - F.floor(F.abs(c))) * 60))
+    lat, lon = -27.4 + F.round(F.col("n"), 1) / 100000, 152.9 + F.round(F.col("e"), 1) / 100000
+    lat = F.when(F.col("idx") % 7 == 3, 0.0).otherwise(lat)
+    hms = F.format_string("%02d%02d%05.2f", (F.col("idx") / 60).cast("int") + 3, F.col("idx") % 60, F.lit(12.5))
+    gga = F.concat_ws(",", F.lit("$GPGGA"), hms, deg(lat, 2), F.when(lat < 0, "S").otherwise("N"), deg(lon, 3), F.lit("E"), F.lit("1"))
+    rmc = F.concat_ws(",", F.lit("$GPRMC"), hms, F.lit("A"), deg(lat, 2), F.when(lat < 0, "S").otherwise("N"), deg(lon, 3), F.lit("E"))
+    other = F.concat_ws(",", F.lit("$GPGSV"), hms)
+    folder = session.fresh_dir(spark, "nmea")
+    p.select("seq", "idx", F.when(F.col("idx") % 5 == 4, other).when(F.col("idx") % 2 == 0, gga).otherwise(rmc).alias("value")).write.csv(folder, sep="|")
+    return spark.read.csv(folder, sep="|", schema="seq string, idx int, value string")
+
+
+@query(f"""WITH {POSE} SELECT seq, idx, round(CASE WHEN idx % 7 = 3 THEN 0 ELSE -27.4::DOUBLE + round(n, 1) / 100000 END, 6) + 0.0 AS lat, round(152.9::DOUBLE + round(e, 1) / 100000, 6) AS lon, 60.0 * idx AS seconds
+FROM pose WHERE idx < 60 AND idx % 5 <> 4""")
+def s6_nmea_parse(spark, d):
+    n = readers.nmea(_nmea_lines(spark, d))
+    return n.select("seq", "idx", (F.round("lat", 6) + 0.0).alias("lat"), F.round("lon", 6).alias("lon"), F.round("seconds", 2).alias("seconds"))
+
+
+@query()
+def s6_nmea_thinned(spark, d):
+    return trajectory.nmea_filter(readers.nmea(_nmea_lines(spark, d)), 1.0).select("seq", "idx")
+
+
+@query(f"WITH {POSE} SELECT seq, CASE WHEN idx % 9 <> 5 THEN idx ELSE -1 END AS idx, round(e, 6) + 0.0 AS east, round(n, 6) + 0.0 AS north FROM pose WHERE idx < 50")
+def s11_frame_names(spark, d):
+    p = T.pose(spark, d).where("idx < 50")
+    tail = F.when(F.col("idx") % 9 != 5, F.concat(F.lit("@frame_"), F.col("idx").cast("string"), F.lit("@.jpg"))).otherwise("@other@.jpg")
+    name = F.concat(F.lit("/data/"), F.col("seq"), F.lit("/@"), F.format_string("%.6f", "e"), F.lit("@"), F.format_string("%.6f", "n"), tail)
+    return readers.frame_name(p.select("seq", name.alias("path")), "path").select("seq", F.coalesce("idx", F.lit(-1)).alias("idx"), (F.round("east", 6) + 0.0).alias("east"), (F.round("north", 6) + 0.0).alias("north"))
+
+
+@query(f"WITH {POSE} SELECT seq, idx, CASE WHEN idx % 6 <> 1 THEN round(e, 4) + 0.0 END AS east, CASE WHEN idx % 6 <> 1 THEN round(n, 4) + 0.0 END AS north, CASE WHEN idx % 6 <> 1 THEN (idx * 7 % 360)::DOUBLE END AS heading FROM pose WHERE idx < 50")
+def s11_tile_names(spark, d):
+    p = T.pose(spark, d).where("idx < 50")
+    parts = [F.format_string("@%.4f", "e"), F.format_string("@%.4f", "n"), F.lit("@18@T@40.1@-73.9@pano@0"), F.concat(F.lit("@"), (F.col("idx") * 7 % 360).cast("string"))]
+    tail = F.when(F.col("idx") % 6 != 1, F.lit("@0@0@1.5@20230101@note@.jpg")).otherwise("@.jpg")
+    return readers.tile_name(p.select("seq", "idx", F.concat(*parts, tail).alias("path")), "path").select("seq", "idx", (F.round("east", 4) + 0.0).alias("east"), (F.round("north", 4) + 0.0).alias("north"), "heading")
+
+
+@query(f"WITH {POSE} SELECT seq, idx FROM pose WHERE idx >= 10 AND idx < 90 AND (idx - 10) % 7 = 0")
+def s14_slice(spark, d):
+    return binning.slice_rows(T.pose(spark, d), 10, 90, 7).select("seq", "idx")
+
+
+@query("""SELECT 'a' AS ref_seq, method AS vpr_method, 10 AS seq_len, round(k / 100, 2) AS auc, 'res.csv' AS source_file FROM (SELECT unnest(['mixvpr', 'netvlad']) AS method, unnest([1, 2]) AS k)""")
+def s15_damaged_header(spark, d):
+    """A result CSV whose header line runs into data reads by its given schema."""
+    folder = session.fresh_dir(spark, "results")
+    head = "ref_seq,qry_seq,reconstruction_name,vpr_method,patch_colssunset1,a,b"
+    row = "a,b,eventCount,{},10,timebin,fixed,,1.0,25,frame,modified,5,6,0.5,{},1.5,1,1"
+    lines = [(0, head)] + [(1, row.format(m, k / 100)) for m, k in (("mixvpr", 1), ("netvlad", 2))]
+    spark.createDataFrame(lines, "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(folder)
+    r = readers.result_tables(spark, [folder])
+    return r.select("ref_seq", "vpr_method", "seq_len", "auc", F.lit("res.csv").alias("source_file"))
+
+
+@query(f"WITH {DESC} SELECT 'q' AS side, q AS idx FROM pos WHERE r % 13 = 0 GROUP BY q UNION ALL SELECT 'r', idx FROM rs WHERE idx % 100 = 0")
+def s17_bench_loader(spark, d):
+    q, r = T.descriptors(spark, d)
+    with_gt = T.positives(q, r).where("r % 13 = 0").select("q").distinct()
+    return with_gt.select(F.lit("q").alias("side"), F.col("q").alias("idx")).unionByName(r.where("idx % 100 = 0").select(F.lit("r").alias("side"), "idx"))
+
+
+@query(f"""WITH {POSE}, q AS (SELECT idx, e, n, (idx * 37) % 360 AS yaw FROM pose WHERE seq = 'u1' AND e > -60 AND e < 60 AND n > -60 AND n < 60), r AS (SELECT idx, e, n, (idx * 53) % 360 AS yaw FROM pose WHERE seq = 'u2' AND e > -60 AND e < 60 AND n > -60 AND n < 60),
+m AS (SELECT q.idx, any_value(q.yaw) AS yaw, arg_min(r.yaw, (sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2), r.idx)) AS ryaw, min(sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2)) AS d FROM q, r GROUP BY q.idx)
+SELECT idx FROM m WHERE d < 25 AND abs(((yaw - ryaw + 180) % 360 + 360) % 360 - 180) < 30""")
+def s18_eval_loader(spark, d):
+    p = trajectory.in_box(T.pose(spark, d), (-60, 60), (-60, 60))
+    q = p.where("seq = 'u1'").select(F.col("idx").alias("q"), F.col("e").alias("qe"), F.col("n").alias("qn"))
+    r = p.where("seq = 'u2'").select(F.col("idx").alias("r"), F.col("e").alias("re"), F.col("n").alias("rn"))
+    near = joins.nearest_place(q, r).where("dist < 25")
+    yaw = trajectory.angle_diff(((F.col("q") * 37) % 360).cast("double"), ((F.col("r") * 53) % 360).cast("double"))
+    return near.where(F.abs(yaw) < 30).select(F.col("q").alias("idx"))
+
+
+@query(f"WITH {POSE} SELECT seq, idx FROM pose JOIN (SELECT seq, min(t) + 300000 AS a, min(t) + 900000 AS z FROM pose GROUP BY seq) USING (seq) WHERE NOT t BETWEEN a AND z")
+def k7_loop_split(spark, d):
+    p = T.pose(spark, d)
+    loop = p.groupBy("seq").agg((F.min("t") + 300000).alias("t0"), (F.min("t") + 900000).alias("t1"))
+    return readers.loop_split(p, loop).select("seq", "idx")
+
+
+@query(f"WITH {POSE} SELECT seq, count(*) AS n, 2 AS reads FROM pose GROUP BY seq")
+def k1_k3_k8_cached_table(spark, d):
+    """Made once, read twice; a second making would show in the count."""
+    folder, made = session.fresh_dir(spark, "cache"), []
+    make = lambda: made.append(1) or T.pose(spark, d).groupBy("seq").agg(F.count("*").alias("n"))
+    readers.cached(spark, folder, make)
+    again = readers.cached(spark, folder, make)
+    readers.write_once(again, folder)
+    return again.withColumn("reads", F.lit(3 - len(made)))
+
+
+@query("SELECT unnest(['a', 'b']) AS k, unnest([3, 1])::BIGINT AS n")
+def k4_append(spark, d):
+    folder = session.fresh_dir(spark, "append")
+    for rows in ([("a", 1), ("a", 2)], [("a", 3), ("b", 4)]):
+        readers.append(spark.createDataFrame(rows, "k string, v int"), folder)
+    return spark.read.parquet(folder).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'Brisbane' AS dataset, 0.5::DOUBLE AS time_res, 25 AS radius, true AS patch")
+def k11_m16_config_overlay(spark, d):
+    c = readers.overlay({"time_res": 0.5, "patch": 1}, {"Brisbane": {"time_res": 1.0, "radius": 25}}, "Brisbane", ("patch",))
+    return spark.createDataFrame([("Brisbane", c["time_res"], c["radius"], c["patch"])], "dataset string, time_res double, radius int, patch boolean")
+
+
+@query("""SELECT unnest(['netvlad', 'cosplace', 'cosplace', 'mixvpr', 'eigenplaces', 'unheard']) AS method, unnest(['VGG16', 'VGG16', 'ResNet50', 'ResNet50', 'ResNet18', NULL]) AS backbone,
+unnest([4096, 2048, 2048, 512, 128, 5])::INT AS dim, unnest([true, false, true, true, false, false]) AS valid""")
+def k12_model_validation(spark, d):
+    rows = [("netvlad", None, None), ("cosplace", "VGG16", 2048), ("cosplace", None, None), ("mixvpr", None, 512), ("eigenplaces", "ResNet18", 128), ("unheard", None, 5)]
+    return models.validate(spark.createDataFrame(rows, "method string, backbone string, dim int")).select("method", "backbone", "dim", "valid")
+
+
+# ------------------------------------------------------------ streams
+EVENT_TS = "seq string, event_id long, t double, x int, y int, p int, ts timestamp"
+
+
+def _stream(spark, d):
+    folder = session.fresh_dir(spark, "stream")
+    T.events(spark, d).withColumn("ts", F.timestamp_seconds("t")).repartitionByRange(4, "t").sortWithinPartitions("t").write.parquet(folder)
+    return windows.event_stream(spark, folder, EVENT_TS), session.fresh_dir(spark, "stream-state")
+
+
+def _name(kind):
+    import uuid
+
+    return f"{kind}_{uuid.uuid4().hex[:8]}"
+
+
+@query(f"WITH {EV} SELECT (floor(t / 86400) * 86400)::BIGINT AS start_s, y, x, count(*) AS n, floor((tanh(count(*)) + 1) / 2 * 255)::INT AS v FROM ev GROUP BY ALL")
+def stream_tumbling_counts(spark, d):
+    s, state = _stream(spark, d)
+    out = windows.run_to_table(windows.tumbling_counts(s, "1 day"), _name("tumbling"), "complete", state)
+    return out.select(F.unix_seconds("start").alias("start_s"), "y", "x", "n", "v")
+
+
+@query(f"""WITH {EV}, k AS (SELECT p, t, unnest([floor(t / 43200) * 43200, floor(t / 43200) * 43200 - 43200]) AS a FROM ev)
+SELECT a::BIGINT AS start_s, p, count(*) AS n FROM k WHERE t >= a AND t < a + 86400 GROUP BY ALL""")
+def stream_sliding_counts(spark, d):
+    s, state = _stream(spark, d)
+    out = windows.run_to_table(windows.sliding_counts(s, "1 day", "12 hours"), _name("sliding"), "complete", state)
+    return out.select(F.unix_seconds("start").alias("start_s"), "p", "n")
+
+
+@query(f"""WITH {EV}, j AS (SELECT *, coalesce((t - lag(t) OVER w >= 2000)::INT, 0) AS j FROM ev WINDOW w AS (PARTITION BY seq ORDER BY t)),
+s AS (SELECT *, sum(j) OVER (PARTITION BY seq ORDER BY t) AS segment FROM j) SELECT seq, floor(min(t))::BIGINT AS start_s, count(*) AS n FROM s GROUP BY seq, segment HAVING count(*) >= 2""")
+def stream_sessions(spark, d):
+    s, state = _stream(spark, d)
+    out = windows.run_to_table(windows.sessions(s, "2000 seconds"), _name("sessions"), "complete", state)
+    return out.select("seq", F.unix_seconds("start").alias("start_s"), "n")
+
+
+@query()
+def stream_min_gap_sample(spark, d):
+    s, state = _stream(spark, d)
+    return windows.run_to_table(windows.min_gap_sample(s, 9000.5), _name("gap"), "append", state)
