@@ -21,33 +21,23 @@ from pyspark.sql import functions as F
 from eventloom.llm import common, decontaminate, exact_dedup, language, near_dedup, packing
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in ``ids`` (doc_id), by a slim semi join. Texts
-    are joined where they lie when the list of ids is small, else they shuffle."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-
-
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-
-
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     seen = language.identify(docs)
     return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _drop(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    return common.without_ids(docs, exact_dedup.exact_dedup(docs).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _drop(docs, near_dedup.near_dedup(docs, width=5, percent=80).where("not kept"))
+    return common.without_ids(docs, near_dedup.near_dedup(docs, width=5, percent=80).where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontaminate.contamination(docs, bench).where(F.size("spans") > 0)
-    return _drop(docs, common.saved(hit.select("doc_id"), "contaminated"))
+    return common.without_ids(docs, hit)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

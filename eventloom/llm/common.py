@@ -53,7 +53,20 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``saved`` that nothing will read again, and let Spark's
+    cleaner delete the shuffle files of plans that are gone."""
+    for t in tables:
+        if t is not None and getattr(t, "_saved_at", None):
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t._saved_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -74,7 +87,7 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 class HashCache(dict):
     """Word to 64-bit hash. ``trim`` bounds its memory; it is only a cache."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
         import xxhash
@@ -217,6 +230,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# ------------------------------------------------------------ bitmaps
+PAGE = 32_768  # bits in a bitmap of bitmap_construct_agg
+
+
+def bitmap_pages(positions: DataFrame) -> DataFrame:
+    """(page, bitmap) with the bits of column ``at`` set, by built-in functions."""
+    page = F.floor(F.col("at") / PAGE).cast("int")
+    return positions.groupBy(page.alias("page")).agg(F.expr(f"bitmap_construct_agg(at % {PAGE})").alias("bitmap"))
+
+
+def with_bit(rows: DataFrame, pages: DataFrame, at: Column, name: str, broadcast: bool = True) -> DataFrame:
+    """Adds boolean ``name``: whether bit ``at`` is set in the pages."""
+    p = pages.select(F.col("page").alias("_page"), F.col("bitmap").alias("_map"))
+    out = rows.withColumn("_at", at).withColumn("_page", F.floor(F.col("_at") / PAGE).cast("int")).join(F.broadcast(p) if broadcast else p, "_page", "left")
+    inside = F.col("_at") % PAGE
+    byte = F.conv(F.hex(F.substring("_map", F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.coalesce(F.getbit(byte, F.pmod(inside, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return out.withColumn(name, hit).drop("_at", "_page", "_map")
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, id_col: str, name: str = "_maybe", bits: int = 1 << 26) -> DataFrame:
+    """Adds boolean ``name``, false only for rows whose id is certainly not in ``ids``
+    (column doc_id): a filter of at most ``bits`` bits (8 MB) is broadcast, so that rows
+    that don't matter never shuffle. With very many ids more rows pass, none is lost."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    pages = saved(bitmap_pages(ids.select(spot(F.col("doc_id")).alias("at"))), "id-filter")
+    return with_bit(rows, pages, spot(F.col(id_col)), name)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not in ``ids`` (column doc_id). Rows that the
+    filter clears pass straight through; only the others are joined."""
+    ids = saved(ids.select(F.col("doc_id").cast("long").alias("doc_id")), "ids")
+    marked = maybe_in(docs, ids, id_col)
+    rest = marked.where("_maybe").drop("_maybe")
+    gone = ids.select(F.col("doc_id").alias(id_col))
+    return marked.where("not _maybe").drop("_maybe").unionByName(rest.join(gone, id_col, "left_anti").select(*docs.columns))
+
+
 # ------------------------------------------------------------ joins
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, heavy: int, how: str = "inner") -> DataFrame:
     """Join rows to one row per group of them, whatever the size of a group.

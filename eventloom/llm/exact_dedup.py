@@ -30,9 +30,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-PAGE = 32_768  # bits in a bitmap of bitmap_construct_agg
-
-
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256) of every row, written to the shared folder once."""
     text = C.ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
@@ -46,25 +43,14 @@ def _positions(digest: Column, bits: int, hashes: int) -> list[Column]:
 def repeated_filter(rows: DataFrame, bits: int, hashes: int) -> DataFrame:
     """(page, bitmap): bit positions that at least two rows set."""
     at = rows.select(F.explode(F.array_distinct(F.array(*_positions(F.col("text_sha256"), bits, hashes)))).alias("at"))
-    twice = at.groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
-    page = F.floor(F.col("at") / PAGE).cast("int")
-    return twice.groupBy(page.alias("page")).agg(F.expr(f"bitmap_construct_agg(at % {PAGE})").alias("bitmap"))
-
-
-def _bit(bitmap: Column, at: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte.cast("long"), F.pmod(at, F.lit(8)).cast("int")) == 1
+    return C.bitmap_pages(at.groupBy("at").agg(F.count("*").alias("n")).where("n > 1"))
 
 
 def possibly_repeated(rows: DataFrame, filt: DataFrame, bits: int, hashes: int, broadcast: bool) -> DataFrame:
     """The rows with a boolean ``maybe``: all their positions are in the filter."""
     out = rows
     for k, at in enumerate(_positions(F.col("text_sha256"), bits, hashes)):
-        page = filt.select(F.col("page").alias(f"_page{k}"), F.col("bitmap").alias(f"_map{k}"))
-        out = out.withColumn(f"_at{k}", at).withColumn(f"_page{k}", F.floor(F.col(f"_at{k}") / PAGE).cast("int"))
-        out = out.join(F.broadcast(page) if broadcast else page, f"_page{k}", "left")
-        hit = F.coalesce(_bit(F.col(f"_map{k}"), F.col(f"_at{k}") % PAGE), F.lit(False))
-        out = out.withColumn(f"_hit{k}", hit).drop(f"_map{k}", f"_page{k}", f"_at{k}")
+        out = C.with_bit(out, filt, at, f"_hit{k}", broadcast)
     maybe = reduce(lambda a, b: a & b, (F.col(f"_hit{k}") for k in range(hashes)))
     return out.withColumn("maybe", maybe).drop(*(f"_hit{k}" for k in range(hashes)))
 
@@ -73,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = digests(docs, id_col, text_col)
     n = rows.count()
-    bits = PAGE
+    bits = C.PAGE
     while bits < min(max_bits, 16 * n):
         bits *= 2
     filt = C.saved(repeated_filter(rows, bits, hashes), "filter")

@@ -20,10 +20,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         of = labels.select(F.col("node").alias("b"), F.col("component").alias("seen"))
         near = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
-        step = C.saved(step, "hook")
+        step = C.saved(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component")), "hook")
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = C.saved(step.join(jump, "component", "left").select("node", "was", F.least("component", "further").alias("component")), "labels")
         if not new.where("component < was").head(1):
             return new.select("node", "component")
+        C.discard(step)
         labels = new.select("node", "component")

@@ -10,15 +10,16 @@ similarity.
    class, found by an aggregation with map-side combining; thousands of copies
    are one row from there on.
 2. *Bands.* ``bands`` x ``band_rows`` registers give each class its buckets. A pair
-   at the threshold of 0.8 shares none with a chance of (1 - 0.8^5)^40, about 1e-7.
-3. *Rounds.* In each bucket all members face one leader, picked anew in each round, so
+   at the threshold of 0.8 shares none with a chance of (1 - 0.8^6)^48, about 5e-7.
+   Buckets of at most 8 classes give their pairs at once.
+3. *Rounds.* In larger buckets all members face one leader, picked anew in each round, so
    a bucket of n gives n - 1 pairs and not n^2. Pairs are estimated jointly by
    likelihood from their registers; each class verifies its best candidate outside its own
    component on full sets; links merge components; buckets that lie within
    one component are finished.
-4. *Rest.* Pairs of a bucket whose components still differ are all verified, so no
-   link is lost to the choice of leaders. Pairs within one component need no
-   test: the result is components.
+4. *Rest.* Buckets that still hold several components are compared in full, block by block
+   with matrix products over their sets, so no link is lost to the choice of
+   leaders. Pairs within one component need no test: the result is components.
 
 Estimates only discard pairs five standard errors below the threshold. Sizes
 discard exactly: sets whose sizes differ by more than the threshold can't link.
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -154,21 +156,26 @@ class _Linker:
         of = lambda a: self.classes.select(F.col("rep").alias(a), F.col("n").alias(f"n{a}"), F.col("regs").alias(f"r{a}"))
         return pairs.select("x", "y").join(of("x"), "x").join(of("y"), "y").mapInArrow(run, "x long, y long, est double")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (a, b): the pairs (x, y) whose full sets reach the threshold.
-
-        Only documents in a pair send their sets, and the pairs of a much
-        wanted document can be split among tasks, as in any sort-merge join.
-        """
-        width, percent = self.width, self.percent
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(doc_id, items) of the documents in ``wanted`` (doc_id), and perhaps a few
+        others. Texts stay where they are: a filter picks, and only sets move on."""
+        width = self.width
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = C.HashCache()
             for b in batches:
                 out = [C.shingle_set(_words(t, cache), width).tobytes() for t in C.utf8(b, "text")]
                 cache.trim()
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "items"])
 
+        picked = C.maybe_in(self.docs, wanted, "doc_id").where("_maybe").drop("_maybe")
+        return C.saved(picked.mapInArrow(run, "doc_id long, items binary"), "sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Links (a, b): the pairs (x, y) whose full sets reach the threshold. The pairs of a
+        much wanted document can be split among tasks, as in any sort-merge join."""
+        percent = self.percent
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 a, c = [], []
@@ -181,62 +188,122 @@ class _Linker:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
         pairs = C.saved(pairs.select("x", "y"), "pairs")
-        wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-        # of rows that repeat with one id, the set of the class is any row's: they were taken by id and set
-        items = self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items binary").dropDuplicates(["doc_id"])
-        items = C.saved(items, "sets")
+        items = self.sets(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))))
         of = lambda a: items.select(F.col("doc_id").alias(a), F.col("items").alias(f"i{a}"))
-        return C.saved(pairs.join(of("x"), "x").join(of("y"), "y").mapInArrow(run, "a long, b long"), "links")
+        links = C.saved(pairs.join(of("x"), "x").join(of("y"), "y").mapInArrow(run, "a long, b long").distinct(), "links")
+        C.discard(items, pairs)
+        return links
 
+    def all_in_buckets(self, members: DataFrame, block: int = 512) -> DataFrame:
+        """Links (a, b) between components among all pairs of each bucket, one for each
+        two components and task.
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, band_rows: int = 5, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        Members of a bucket are dealt to blocks of about ``block``, and each pair of
+        blocks is a group, so that no task holds a whole bucket. Within a group all intersections are counted at once,
+        as products of 0-1 matrices; pairs never become rows.
+        """
+        percent = self.percent
+
+        def run(table: pa.Table) -> pa.Table:
+            comp = table.column("comp").to_numpy()
+            rep = table.column("rep").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            row = np.repeat(np.arange(len(sets)), size)
+            _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            common = n > 1  # what one set alone has is in no intersection
+            at, row = (np.cumsum(common) - 1)[at[common[at]]], row[common[at]]
+            both = np.zeros((len(sets), len(sets)), np.float32)
+            order = np.argsort(at, kind="stable")
+            at, row = at[order], row[order]
+            for s in range(0, int(common.sum()), 4096):
+                lo, hi = np.searchsorted(at, (s, s + 4096))
+                m = np.zeros((len(sets), 4096), np.float32)
+                m[row[lo:hi], at[lo:hi] - s] = 1
+                both += m @ m.T
+            both = np.rint(both).astype(np.int64)
+            a, b = np.nonzero((100 * both >= percent * (size[:, None] + size[None] - both)) & (comp[:, None] < comp[None]))
+            _, first = np.unique(np.stack([comp[a], comp[b]]), axis=1, return_index=True)
+            return pa.table([pa.array(rep[a[first]]), pa.array(rep[b[first]])], names=["a", "b"])
+
+        blocks = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+        mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+        dealt = members.select("key", "rep", "comp").join(blocks, "key").withColumn("i", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        dealt = dealt.where("nb = 1 or i <> o").select("key", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), "rep", "comp")
+        items = self.sets(members.select(F.col("rep").alias("doc_id")))
+        full = dealt.join(items.withColumnRenamed("doc_id", "rep"), "rep")
+        links = C.saved(full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
+        C.discard(items)
+        return links
+
+
+SMALL = 8  # a bucket of so many gives its pairs at once, at most 28 of them
+
+
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 48, band_rows: int = 6, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     spark, m = docs.sparkSession, bands * band_rows
     C.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = C.saved(sketches(docs, width, m), "sketches")
     total = rows.count()
-    groups = rows.where("n > 0 and doc_id is not null").groupBy("n", "fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("regs").alias("regs"))
-    classes = C.saved(groups, "classes")
-    linker = _Linker(docs, classes, width, percent, m)
-
-    keyed = C.saved(band_keys(classes, bands, band_rows, m), "bands")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = C.saved(keyed.join(shared, "key", "left_semi").withColumn("comp", F.col("rep")), "members")
-
-    def merged(members: DataFrame, links: DataFrame) -> DataFrame:
-        """Members with the components that the links join; finished buckets go."""
-        of = members.select(F.col("rep").alias("a"), F.col("comp").alias("ca")).distinct()
-        by_comp = links.join(of, "a").join(of.withColumnsRenamed({"a": "b", "ca": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
-        new = graphs.components(by_comp).withColumnsRenamed({"node": "comp", "component": "_to"})
-        out = members.join(new, "comp", "left").select("key", "rep", "n", F.coalesce("_to", "comp").alias("comp"))
-        open_ = out.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return C.saved(out.join(open_, "key", "left_semi"), "members")
+    full = rows.where("n > 0 and doc_id is not null")
+    classes = C.saved(full.groupBy("n", "fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "regs")
+    linker = _Linker(docs, reps, width, percent, m)
+
+    keyed = band_keys(reps, bands, band_rows, m).withColumn("c", F.count("*").over(W.partitionBy("key"))).where("c > 1")
+    shared = C.saved(keyed.withColumn("comp", F.col("rep")), "members")
+    a, b = shared.where(F.col("c") <= SMALL).alias("a"), shared.where(F.col("c") <= SMALL).alias("b")
+    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & linker.close("a.n", "b.n"))
+    # pairs of small buckets are estimated once; those below the margin never come back
+    listed = C.saved(linker.estimated(few.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()).withColumns({"cx": F.col("x"), "cy": F.col("y")}), "candidates")
+    members = C.saved(shared.where(F.col("c") > SMALL).drop("c"), "members")
+    C.discard(shared)
 
     found = []
     for k in range(rounds):
         lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "comp")).alias("l"))
         pairs = members.join(lead, "key").where("comp <> l.comp").select(F.col("rep").alias("x"), F.col("l.rep").alias("y"), "n", F.col("l.n").alias("ny"))
-        pairs = pairs.where(linker.close("n", "ny")).select("x", "y").distinct()
-        best = linker.estimated(pairs).groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y"))
-        links = linker.verified(best)
+        pairs = linker.estimated(pairs.where(linker.close("n", "ny")).select("x", "y").distinct())
+        pairs = pairs.select("x", "y", "est").unionByName(listed.select("x", "y", "est"))
+        links = linker.verified(pairs.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y")))
         if not links.head(1):
             continue
         found.append(links)
-        members = merged(members, links)
+        moved = graphs.components(_joined(found))
+        old, members = members, C.saved(_open(members, moved, "rep", "comp"), "members")
+        C.discard(old)
+        old, listed = listed, C.saved(_open_pairs(listed, moved), "candidates")
+        C.discard(old)
+    found += [linker.verified(listed), linker.all_in_buckets(members)]
+
+    comp = graphs.components(_joined(found)).withColumnsRenamed({"node": "rep"})
+    named = C.saved(classes.join(comp, "rep", "left").select("n", "fp", "copies", F.coalesce("component", "rep").alias("component_id")), "named")
+    # a class of thousands of copies must not gather its rows in one task
+    of = C.join_groups(full.select("doc_id", "fp"), named, "fp", "copies", C.heavy_bound(total))
+    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = of.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-    a, b = members.alias("a"), members.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp"))).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"), F.col("a.n").alias("n"), F.col("b.n").alias("ny"))
-    links = linker.verified(linker.estimated(rest.where(linker.close("n", "ny")).select("x", "y").distinct()))
-    found.append(links)
 
+def _joined(found: list[DataFrame]) -> DataFrame:
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    comp = C.saved(graphs.components(every), "components").withColumnsRenamed({"node": "rep"})
-    named = C.saved(classes.drop("regs").join(comp, "rep", "left").select("n", "fp", "copies", F.coalesce("component", "rep").alias("component_id")), "named")
-    # a class of thousands of copies must not gather its rows in one task
-    of = C.join_groups(rows.where("n > 0 and doc_id is not null").select("doc_id", "fp"), named, "fp", "copies", C.heavy_bound(total))
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = of.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return every
+
+
+def _open(members: DataFrame, moved: DataFrame, node: str, comp: str) -> DataFrame:
+    """Members with their components; buckets within one component are finished."""
+    to = moved.select(F.col("node").alias(node), F.col("component").alias("_to"))
+    out = members.join(to, node, "left").withColumn(comp, F.coalesce("_to", node)).drop("_to")
+    live = out.groupBy("key").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi")).where("lo < hi").select("key")
+    return out.join(live, "key", "left_semi").select(*members.columns)
+
+
+def _open_pairs(listed: DataFrame, moved: DataFrame) -> DataFrame:
+    for p in "xy":
+        to = moved.select(F.col("node").alias(p), F.col("component").alias("_to"))
+        listed = listed.join(to, p, "left").withColumn(f"c{p}", F.coalesce("_to", p)).drop("_to")
+    return listed.where("cx <> cy")
