@@ -219,7 +219,9 @@ def convert(arcs: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
                 done.append((to, nth + 1))
         yield _listed(done)
 
-    return C.saved(todo.mapInArrow(run, LISTED), "warc-files")
+    # the list is slim and would be joined in one task; each archive is work of its own
+    spread = todo.repartition(C.shuffle_partitions(spark), "path")
+    return C.saved(spread.mapInArrow(run, LISTED), "warc-files")
 
 
 # ------------------------------------------------------------ WARC
