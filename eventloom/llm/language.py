@@ -20,6 +20,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -61,22 +62,55 @@ def words_of(text: str) -> list[str]:
 
 
 class Lattice:
-    """Pieces at each (start, end) of words, for words of one length together."""
+    """Pieces at each (start, end) of words, for words of one length together.
+
+    A substring's hash comes from those of two prefixes, so that all of a length are looked
+    up at once, in a table of the pieces' hashes sorted into slots.
+    """
+
+    BASE, SLOTS = np.uint64(0x9E3779B97F4A7C15), 18
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces, self.longest = pieces, max(map(len, pieces))
+        self.longest = max(map(len, pieces))
+        hashes = np.zeros(len(pieces), np.uint64)
+        base, mask = int(self.BASE), (1 << 64) - 1
+        for k, p in enumerate(pieces):
+            h = 0
+            for c in p:
+                h = (h * base + ord(c) + 1) & mask
+            hashes[k] = h
+        hashes = C.mix64(hashes)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.fromiter(pieces.values(), np.int32, len(pieces))[order]
+        slot = (self.hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        self.start = np.searchsorted(slot, np.arange(1 << self.SLOTS))
+        self.deep = int(np.bincount(slot).max())
+        self.power = np.array([pow(base, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """Piece ids of substring hashes, 0 for none."""
+        h = C.mix64(h)
+        at = self.start[(h >> np.uint64(64 - self.SLOTS)).astype(np.int64)]
+        out = np.zeros(len(h), np.int32)
+        for k in range(self.deep):
+            here = np.minimum(at + k, len(self.hashes) - 1)
+            out = np.where(self.hashes[here] == h, self.ids[here], out)
+        return out
 
     def of(self, words: list[str]) -> Iterator[tuple[np.ndarray, dict[tuple[int, int], np.ndarray], int]]:
         """(indices of the words, {(start, end): piece ids}, length)."""
-        get, by = self.pieces.get, defaultdict(list)
+        by = defaultdict(list)
         for k, w in enumerate(words):
             by[len(w) + 1].append(k)
         for n, which in by.items():
+            codes = np.frombuffer("".join(MARK + words[k] for k in which).encode("utf-32-le"), "<u4").reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
+            prefix = [np.zeros(len(which), np.uint64)]
+            for c in codes:
+                prefix.append(prefix[-1] * self.BASE + c)
             arcs = {}
-            marked = [MARK + words[k] for k in which]
             for s in range(n):
                 for e in range(s + 1, min(n, s + self.longest) + 1):
-                    ids = np.fromiter((get(w[s:e], 0) for w in marked), np.int32, len(marked))
+                    ids = self.lookup(prefix[e] - prefix[s] * self.power[e - s])
                     if e == s + 1:
                         ids[ids == 0] = 1
                     if ids.any():
@@ -151,7 +185,7 @@ def train(docs: DataFrame, trainable: Column, vocabulary: str, sample_rows: int,
 class Scorer:
     """Texts to (language, posterior)."""
 
-    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, limit: int = 500_000):
+    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, limit: int = 700_000):
         self.langs, self.p, self.lattice, self.limit = langs, p, Lattice(load_pieces(vocabulary)), limit
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, len(langs)))
@@ -176,6 +210,17 @@ class Scorer:
         return out
 
 
+_LAST: dict[str, Scorer] = {}
+
+
+def _scorer(key: str, model, vocabulary: str) -> Scorer:
+    """One scorer for each Python worker and model, so that words stay known from task to task."""
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Scorer(*model.value, vocabulary)
+    return _LAST[key]
+
+
 def identify(docs: DataFrame, trainable: Column | None = None, vocabulary: str | None = None, sample_rows: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with lang_pred and score added. ``trainable``: which rows' labels
     may be learned from; labels are never an input of a prediction."""
@@ -186,8 +231,10 @@ def identify(docs: DataFrame, trainable: Column | None = None, vocabulary: str |
     fields = docs.drop("lang_pred", "score")
     at = fields.columns.index(text_col)
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*model.value, vocabulary)
+        scorer = _scorer(key, model, vocabulary)
         for b in batches:
             got = scorer.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, "lang_pred", "score"])
