@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_CACHE = C.HashCache()  # of each Python worker
+_CACHE = C.HashCache(1_000_000)  # of each Python worker
 
 
 class Block:
