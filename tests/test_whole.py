@@ -1,0 +1,60 @@
+"""The queries over whole tables against their SQL without its bounds, on small tables
+that reach beyond them."""
+
+import re
+
+import duckdb
+import pytest
+
+from eventloom import catalog
+from eventloom.queries import matching
+
+from .conftest import SF
+
+WHOLE = sorted(n for n in catalog.QUERIES if n.endswith("_whole") and hasattr(matching, n.removesuffix("_whole")))
+Q, R = 26, 104  # more than 24 and 60
+
+
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """(folder, connection) with the first 130 embeddings."""
+    folder = str(tmp_path_factory.mktemp("few"))
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{SF}/embeddings.parquet' ORDER BY vec_id LIMIT {Q + R}) TO '{folder}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    assert con.sql("SELECT count(*) FILTER (vec_id % 5 = 0) FROM embeddings").fetchall() == [(Q,)]
+    return folder, con
+
+
+def same(got, want):
+    """Equal, but for the last digit where a sum's order decides the rounding."""
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    real = [c for c in sorted(got.columns) if got[c].dtype.kind == "f"]
+    order = [c for c in sorted(got.columns) if c not in real] + real
+    got, want = (x[order].sort_values(order).to_numpy(object).tolist() for x in (got, want))
+    n = len(order) - len(real)
+    for a, b in zip(got, want):
+        assert a[:n] == b[:n]
+        assert a[n:] == pytest.approx(b[n:], rel=1e-9, abs=1.1e-5, nan_ok=True)
+
+
+def unbound(sql):
+    for a, b in (("WHERE idx < 24", ""), ("WHERE idx < 60", ""), ("FROM pos WHERE q < 24", "FROM pos"), ("> 59", f"> {R - 1}"), ("119 -", f"{2 * R - 1} -")):
+        sql = sql.replace(a, b)
+    assert not re.search(r"\b(24|60|59|119)\b", sql)
+    return sql
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_matching(name, spark, few):
+    folder, con = few
+    got = catalog.QUERIES[name](spark, folder).toPandas()
+    if (short := name.removesuffix("_whole")) not in catalog.SQL:
+        assert len(got)
+        return
+    want = con.sql(unbound(catalog.SQL[short])).df()
+    same(got, want)
+
+
+def test_all_pairs_are_scored(spark, few):
+    assert catalog.QUERIES["j7_all_pairs_whole"](spark, few[0]).count() == 3 * Q * R
