@@ -41,12 +41,22 @@ class Block:
         _CACHE.trim()
         self.order, self.sizes = order, np.array([len(w) for w in words], np.int64)
         grams = [np.concatenate([C.gram_hashes(w, k) for w in words]) if words else np.empty(0, np.uint64) for k in range(1, order + 1)]
-        each = np.array([len(g) for g in grams])
+        # one order after the other, as sorting all at once takes several times the memory
+        found = []
+        while grams:
+            u, at, c = np.unique(grams.pop(0), return_inverse=True, return_counts=True)
+            found.append((u, at.astype(np.int32), c))
         # the empty n-gram stands for the number of all words
-        self.keys, at, self.counts = np.unique(np.concatenate([np.zeros(1, np.uint64), *grams]), return_inverse=True, return_counts=True)
-        self.counts = self.counts.astype(np.int64)
+        keys = np.concatenate([np.zeros(1, np.uint64), *(u for u, _, _ in found)])
+        self.keys, place = np.unique(keys, return_inverse=True)
+        self.counts = np.zeros(len(self.keys), np.int64)
+        self.at, start = [], 1
+        for u, at, c in found:
+            to = place[start : start + len(u)].astype(np.int32)
+            self.counts[to] += c
+            self.at.append(to[at])
+            start += len(u)
         self.counts[0] = self.sizes.sum()
-        self.at = np.split(at[1:], np.cumsum(each)[:-1])
 
     def scores(self, total: np.ndarray, alpha: float) -> np.ndarray:
         """Sum of log S over each text; ``total``: corpus counts of ``keys``."""
@@ -70,6 +80,15 @@ class Block:
         return np.bincount(doc, log, docs)
 
 
+def pack_keys(keys: np.ndarray, z) -> bytes:
+    """Sorted hashes as differences, byte by byte of each, compressed."""
+    return z.compress(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_keys(data: bytes, d) -> np.ndarray:
+    return np.cumsum(np.frombuffer(d.decompress(data), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
 def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, log_score (natural logarithm)."""
     import zstandard
@@ -88,12 +107,12 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_bytes: int
         k = Block(table.column("text").cast(pa.binary()).to_pylist(), order)
         cut = np.concatenate([[0], np.searchsorted(k.keys, edges), [len(k.keys)]])
         z, block = zstandard.ZstdCompressor(1), table.column("block")[0].as_py()
-        rows = [(b, block, k.keys[s:e].tobytes(), z.compress(k.counts[s:e].astype("<i8").tobytes())) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
+        rows = [(b, block, pack_keys(k.keys[s:e], z), z.compress(k.counts[s:e].astype("<i8").tobytes())) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "keys", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
         d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(1)
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        keys = [unpack_keys(k, d) for k in table.column("keys").to_pylist()]
         counts = np.concatenate([np.frombuffer(d.decompress(c), "<i8") for c in table.column("counts").to_pylist()])
         uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros(len(uniq), np.int64)

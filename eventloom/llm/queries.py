@@ -22,6 +22,11 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
 
 
+def op1_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score(_table(spark, sf_dir, "documents"), order=3)
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.arc_to_warc(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -63,7 +68,7 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_arc_to_warc, op3_language, op4_token_codes, op5_near_dedup, op6_exact_dedup, op7_licenses, op8_decontaminate, op9_quality, op10_best_fit_pack)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op1_lm_score_order3, op2_arc_to_warc, op3_language, op4_token_codes, op5_near_dedup, op6_exact_dedup, op7_licenses, op8_decontaminate, op9_quality, op10_best_fit_pack)}
 
 UP, LOW = common.UPPER, common.LOWER
 

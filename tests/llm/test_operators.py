@@ -112,6 +112,37 @@ def test_lm_score_of_order_three_backs_off(spark):
     assert got[0]["log_score"] == pytest.approx(np.log(1 / 7), abs=1e-12)
 
 
+def test_lm_scores_of_the_test_table_use_trigrams(spark):
+    from collections import Counter
+    from math import log
+
+    docs = [(r["doc_id"], fold(r["text"]).encode().split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    grams = lambda w: Counter(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    own = {i: grams(w) for i, w in docs}
+    every, n_words = sum(own.values(), Counter()), sum(len(w) for _, w in docs)
+    got = by_id(queries.QUERIES["op1_lm_score_order3"](spark, SF))
+    assert len(got) == len(docs)
+    for i, w in docs:
+        rest, s = max(1, n_words - len(w)), 0.0
+        others = lambda g: every[g] - own[i][g]  # noqa: B023, E731
+        for k in range(len(w)):
+            for up, m in enumerate(range(min(k, 2), -1, -1)):
+                g = tuple(w[k - m : k + 1])
+                if m == 0 or others(g) > 0:
+                    s += log(max(1, others(g)) / (max(1, others(g[:-1])) if m else rest)) + up * log(0.4)
+                    break
+        assert got[i]["n_words"] == len(w) and got[i]["log_score"] == pytest.approx(s, rel=1e-7, abs=1e-4)
+
+
+def test_packed_hashes():
+    import zstandard
+
+    z, d = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+    for keys in ([0], [0, 1, 2**64 - 1], sorted(RNG.integers(0, 2**64, 1000, np.uint64, endpoint=False).tolist())):
+        keys = np.array(keys, np.uint64)
+        assert (lm_score.unpack_keys(lm_score.pack_keys(keys, z), d) == keys).all()
+
+
 # ------------------------------------------------------------ 2
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_to_warc(spark, version):
