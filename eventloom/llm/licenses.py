@@ -1,17 +1,18 @@
 """Licence scan: a trained paragraph classifier with template confirmation.
 
-Every line of a document, in overlapping windows of ``WINDOW`` words, is
+Paragraphs (runs of lines with words, so that wrapped notices stay whole) are searched for
+stretches of at most ``WINDOW`` words that resemble a template (share of the
+template's 2-grams of words), and every stretch is
 classified by multinomial logistic regression on sparse word n-grams (1 to 3).
 The classes are the licence families and *unknown*. The model is trained here: on
 notices of each family in many altered forms, and on lines of the corpus itself
 as unknown (a bounded sample, ``negatives``, drawn by hash); its temperature, and with it the
 probability of unknown, is calibrated on altered notices and lines that training
-did not see. A prediction counts only if the window also resembles
-a template of that family (share of the template's 2-grams of words).
+did not see. A stretch counts only if the prediction is the family it resembles. Overlapping
+stretches of one family are one notice; of stretches of two families that share more than half of their words
+the one with the higher resemblance counts; there is no limit to the notices or families of a line.
 
-Features exist for n-grams of the templates only. A window without any has the
-score of an empty text, which is unknown, so such windows are passed over
-without changing a result.
+Features exist for n-grams of the templates only.
 
 Defined results: null or wordless texts, and texts without a licence, have null
 family, 0 notices and 0 scores; of several families the one with the most
@@ -62,11 +63,13 @@ class Features:
         self.at: dict[tuple, int] = {}
         self.vocab: set[bytes] = set()
         self.templates: list[tuple[str, set]] = []
+        self.pairs: set[tuple] = set()
         for family, notices in TEMPLATES.items():
             for n in notices:
                 w = words(n.encode())
                 self.vocab.update(w)
                 self.templates.append((family, set(zip(w, w[1:]))))
+                self.pairs |= self.templates[-1][1]
                 for g in self.grams(w):
                     self.at.setdefault(g, len(self.at))
 
@@ -144,23 +147,79 @@ class Model:
         return self.classes[k], float(p[k]), self.f.resemblance(w, self.classes[k]) if k else 0.0
 
 
-def scan_text(text: bytes | None, model: Model, least: float, alike: float) -> list[tuple[int, str, float, float]]:
-    """(line, family, probability, resemblance) of confirmed notices."""
-    out = []
-    vocab = model.f.vocab
+def paragraphs(text: bytes | None) -> Iterator[tuple[list[bytes], list[int]]]:
+    """(words, the line of each) of each run of lines that hold words."""
+    w, at = [], []
     for nth, raw in enumerate(text.split(b"\n") if text else []):
         line = words(raw)
-        if len(vocab.intersection(line)) < 2:  # no confirmed notice has fewer
+        if line:
+            w += line
+            at += [nth] * len(line)
+        elif w:
+            yield w, at
+            w, at = [], []
+    if w:
+        yield w, at
+
+
+def spans(hits: list[tuple[int, tuple]], template: set, alike: float) -> list[tuple[int, int, float]]:
+    """(first word, one after the last, resemblance) of stretches of at most ``WINDOW`` words that
+    resemble a template: the best first, then whatever does not overlap it."""
+    least, found = alike * len(template), []
+    for i, (start, _) in enumerate(hits):
+        seen, end = set(), start
+        for pos, g in hits[i:]:
+            if pos + 2 - start > WINDOW:
+                break
+            if g not in seen:
+                seen.add(g)
+                end = pos + 2
+        if seen and len(seen) >= least:
+            found.append((-len(seen), end - start, start, end))
+    out = []
+    for n, _, s, e in sorted(found):
+        if all(e <= a or b <= s for a, b, _ in out):
+            out.append((s, e, -n / len(template)))
+    return out
+
+
+def scan_text(text: bytes | None, model: Model, least: float, alike: float) -> list[tuple[int, str, float, float]]:
+    """(line, family, probability, resemblance) of confirmed notices; the line is the one a notice begins on."""
+    out = []
+    f = model.f
+    for w, lines in paragraphs(text):
+        if len(f.vocab.intersection(w)) < 2:  # no confirmed notice has fewer
             continue
-        best = None
-        for w in windows(line):
-            if len(vocab.intersection(w)) < 2:
+        hits = [(i, g) for i, g in enumerate(zip(w, w[1:])) if g in f.pairs]
+        seen = {g for _, g in hits}
+        confirmed = []
+        for family, t in f.templates:
+            if not t or len(seen & t) < alike * len(t):
                 continue
-            family, p, r = model.classify(w)
-            if family != "unknown" and p >= least and r >= alike and (best is None or (r, p) > best[2:0:-1]):
-                best = (family, p, r)
-        if best:
-            out.append((nth, *best))
+            for s, e, r in spans([h for h in hits if h[1] in t], t, alike):
+                got, p, _ = model.classify(w[s:e])
+                if got == "unknown" or p < least:  # let the words around decide
+                    pad = max(0, WINDOW - (e - s)) // 2
+                    got, p, _ = model.classify(w[max(0, s - pad) : e + pad])
+                if got == family and p >= least:
+                    confirmed.append((r, e - s, p, s, e, family))
+        # the same words are a notice of the family they resemble most
+        mine: dict[str, list] = {}
+        for r, n, p, s, e, family in sorted(confirmed, reverse=True):
+            if all(2 * (min(e, b) - max(s, a)) <= min(n, b - a) for other, kept in mine.items() if other != family for a, b, _, _ in kept):
+                mine.setdefault(family, []).append((s, e, p, r))
+        notices = []
+        for family, found in mine.items():
+            found.sort()
+            s, e, p, r = found[0]
+            for a, b, q, x in found[1:]:
+                if a < e:
+                    e, p, r = max(e, b), max(p, q), max(r, x)
+                else:
+                    notices.append((s, family, p, r))
+                    s, e, p, r = a, b, q, x
+            notices.append((s, family, p, r))
+        out += [(lines[s], family, p, r) for s, family, p, r in sorted(notices)]
     return out
 
 

@@ -401,6 +401,22 @@ def test_licences(spark, none):
     assert licenses.license_scan(none).count() == 0
 
 
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+GPL = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation"
+LGPL = "# under the terms of the\n# GNU Lesser General Public License as published by\n# the Free Software Foundation"
+
+
+@pytest.fixture(scope="module")
+def licence_model():
+    return licenses.Model([text(40, i).encode() for i in range(200)])
+
+
+@pytest.mark.parametrize("notice, family", [(BSD, "BSD"), (GPL, "GPL"), (LGPL, "LGPL")])
+def test_wrapped_licences(licence_model, notice, family):
+    t = text(60, 1) + "\n\n" + notice + "\n\n" + text(60, 2)
+    assert [(n, f) for n, f, _, _ in licenses.scan_text(t.encode(), licence_model, 0.5, 0.6)] == [(2, family)]
+
+
 def test_licences_of_the_test_table(spark):
     """Every line that names a licence of the templates is found, no other document is."""
     d = spark.read.parquet(f"{SF}/documents.parquet")
