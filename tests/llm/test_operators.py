@@ -417,6 +417,17 @@ def test_wrapped_licences(licence_model, notice, family):
     assert [(n, f) for n, f, _, _ in licenses.scan_text(t.encode(), licence_model, 0.5, 0.6)] == [(2, family)]
 
 
+def test_all_licences_of_a_line(licence_model):
+    found = lambda t: [f for _, f, _, _ in licenses.scan_text(t.encode(), licence_model, 0.5, 0.6)]
+    two = "Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    assert found(two) == ["Apache-2.0", "MIT"]
+    assert found(text(50, 3) + " " + two + " " + text(50, 4) + " Released under the MIT License.") == ["Apache-2.0", "MIT", "MIT"]
+    assert found("All rights reserved. Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0.") == ["Proprietary", "CC-BY", "CC-BY-SA"]
+    for family, notices in licenses.TEMPLATES.items():
+        for n in notices:
+            assert set(found(text(30, 5) + " " + n + " " + text(30, 6))) == {family}, n
+
+
 def test_licences_of_the_test_table(spark):
     """Every line that names a licence of the templates is found, no other document is."""
     d = spark.read.parquet(f"{SF}/documents.parquet")
