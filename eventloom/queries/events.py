@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import binning, recon
 from ..sources import tables as T
-from . import query
+from . import query, whole
 from .ctes import DELTA, EV, MOTION, TAU
 
 
@@ -27,9 +27,9 @@ def w2_closed_bins(spark, d):
 
 @query(f"""WITH {EV}, k AS (SELECT seq, bin_id, t0, t1 FROM bins WHERE bin_id % 3 = 1)
 SELECT k.seq, k.bin_id, count(*) AS n, sum(ev.event_id)::BIGINT AS ids FROM ev JOIN k ON ev.seq = k.seq AND ev.t BETWEEN t0 AND t1 GROUP BY ALL""")
-def w2_interval_join(spark, d):
+def w2_interval_join(spark, d, where="bin_id % 3 = 1"):
     ev = T.events(spark, d)
-    bins = binning.time_bins(T.bounds(ev), DELTA).where("bin_id % 3 = 1")
+    bins = binning.time_bins(T.bounds(ev), DELTA).where(where)
     return binning.interval_join(ev, bins, DELTA).groupBy("seq", "bin_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -105,9 +105,9 @@ def w11_drop_empty_bins(spark, d):
 
 @query(f"""WITH {EV}, k AS (SELECT seq, event_id AS tick_id, t AS tick_t FROM ev WHERE event_id % 97 = 0)
 SELECT k.seq, tick_id, count(*) AS n FROM k JOIN ev ON ev.seq = k.seq AND ev.t >= tick_t - 40000 AND ev.t < tick_t GROUP BY ALL""")
-def w12_tick_windows(spark, d):
+def w12_tick_windows(spark, d, where="event_id % 97 = 0"):
     ev = T.events(spark, d)
-    ticks = ev.where("event_id % 97 = 0").select("seq", F.col("event_id").alias("tick_id"), F.col("t").alias("tick_t"))
+    ticks = ev.where(where).select("seq", F.col("event_id").alias("tick_id"), F.col("t").alias("tick_t"))
     return binning.tick_windows(ev, ticks, 40000.0).groupBy("seq", "tick_id").agg(F.count("*").alias("n"))
 
 
@@ -216,3 +216,8 @@ def a14_preview_gray(spark, d):
 def w5_size_windows(spark, d):
     size = int(T.WIDTH * T.HEIGHT * 0.35)
     return binning.count_bins(T.events(spark, d), size, 86400.0).groupBy("seq", "bin_id").agg(F.count("*").alias("n"))
+
+
+# without the bounds of the SQL
+for _f in (w2_interval_join, w12_tick_windows):
+    whole(_f, where="true")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import binning, ensemble, metrics, recon, seqmatch, similarity
 from ..plans import retrieval
 from ..sources import tables as T
-from . import query
+from . import query, whole
 from .ctes import COS, DELTA, DESC, EV, L2, SAD, SIM, modified
 
 
@@ -377,19 +377,11 @@ def j13_positional_zip(spark, d, sim=T.small_sim):
 
 
 # ------------------------------------------------------------ the same over all queries and references
-def _whole(f, **wide):
-    def run(spark, d):
-        return f(spark, d, **wide)
-
-    run.__name__ = f"{f.__name__}_whole"
-    return query()(run)
-
-
 for _f in (
     j7_all_pairs, d7_argmax, d8_rank_order, d9_recall_at_k, d11_min_max, d14_match_features, q1_modified_guarded, q2_modified_divided,
     q3_modified_plain, q4_seqslam, q5_seqslam_velocities, q6_seqslam_slow, q7_legacy, q7_legacy_columns, e3_e4_fusion, e5_disagreement,
     e2_w14_crop_common, w14_strided, e6_member_recalls, e7_e9_pearson, e7_spearman, e8_nan_mean, ensemble_recall, ensemble_report,
     v1_recall_with_gt, v2_recall_all, v3_pr_curve, v4_auc, v5_ranked_pr, v6_j11_membership, j12_member_pairs, j13_positional_zip,
 ):
-    _whole(_f, sim=T.whole_sim)
-_whole(d10_patch_fusion, nq=None, nr=None)
+    whole(_f, sim=T.whole_sim)
+whole(d10_patch_fusion, nq=None, nr=None)

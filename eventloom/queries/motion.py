@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import binning, joins, trajectory
 from ..sources import tables as T
-from . import query
+from . import query, whole
 from .ctes import DESC, EV, MOTION, POSE
 
 DAY = 86400.0
@@ -188,8 +188,8 @@ c AS (SELECT seq, 0 AS ord, idx, e, n, [idx] AS seen FROM p WHERE idx = 0 UNION
   SELECT seq, ord, idx, e, n, seen FROM (SELECT c.seq, c.ord + 1 AS ord, p.idx, p.e, p.n, list_append(c.seen, p.idx) AS seen,
     row_number() OVER (PARTITION BY c.seq ORDER BY sqrt((p.e - c.e) ** 2 + (p.n - c.n) ** 2), p.idx) AS rn FROM c JOIN p ON p.seq = c.seq AND NOT list_contains(c.seen, p.idx)) WHERE rn = 1)
 SELECT seq, ord::INT AS ord, idx FROM c""")
-def o13_greedy_tour(spark, d):
-    return trajectory.greedy_tour(T.pose(spark, d).where("idx < 15"))
+def o13_greedy_tour(spark, d, where="idx < 15"):
+    return trajectory.greedy_tour(T.pose(spark, d).where(where))
 
 
 @query(f"WITH {POSE} SELECT seq, idx FROM pose WHERE e > -20 AND e < 20 AND n > -30 AND n < 30")
@@ -222,9 +222,9 @@ def j4_nearest_time(spark, d):
 
 
 @query(f"WITH {NEAR} SELECT seq, idx, round(CASE WHEN ft IS NULL OR bt IS NOT NULL AND t - bt < ft - t THEN bt ELSE ft END, 3) AS near_t FROM nr WHERE idx % 2 = 0")
-def w16_nearest_resample(spark, d):
+def w16_nearest_resample(spark, d, where="idx % 2 = 0"):
     track = T.pose(spark, d)
-    g = trajectory.uniform_grid(track, 7200.0).where("idx % 2 = 0")
+    g = trajectory.uniform_grid(track, 7200.0).where(where)
     return joins.nearest_time(g, track.select("seq", "t"), "seq", "t", [], DAY).select("seq", "idx", F.round("near_t", 3).alias("near_t"))
 
 
@@ -285,3 +285,8 @@ def s3_crop_to_range(spark, d):
     ev = T.events(spark, d)
     ends = ev.groupBy("seq").agg(F.min("t").alias("m")).select("seq", F.explode(F.array(F.col("m") + 100000, F.col("m") + 400000)).alias("t"))
     return readers.crop_to(ev, ends).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+# without the bounds of the SQL
+for _f in (o13_greedy_tour, w16_nearest_resample):
+    whole(_f, where="true")

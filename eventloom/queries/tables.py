@@ -9,7 +9,7 @@ from ..operators import binning, joins, trajectory
 from ..sources import models, readers
 from ..sources import tables as T
 from ..streaming import windows
-from . import query
+from . import query, whole
 from .ctes import DESC, EV, POSE
 
 
@@ -56,13 +56,15 @@ def s8_event_text(spark, d):
     return readers.event_text(spark, folder, "s1").agg(F.count("*").alias("n"), F.sum("x").alias("xs")).crossJoin(size)
 
 
-def _nmea_lines(spark, d):
-    """Sentences of a track, one kind in five of no use, one in seven with a zero."""
-    p = T.pose(spark, d).where("idx < 60")
+def _nmea_lines(spark, d, where):
+    """Sentences of a track, one kind in five of no use, one in seven with a zero; a
+    sequence of more than the 1260 minutes from 3 to 24 h goes on as another one."""
+    day = F.floor(F.col("idx") / 1260).cast("string")
+    p = T.pose(spark, d).where(where).withColumn("seq", F.when(F.col("idx") >= 1260, F.concat_ws("/", "seq", day)).otherwise(F.col("seq")))
     deg = lambda c, digits: F.concat(F.format_string(f"%0{digits}d", F.floor(F.abs(c)).cast("int")), F.format_string("%09.6f", (F.abs(c) - F.floor(F.abs(c))) * 60))
     lat, lon = -27.4 + F.round(F.col("n"), 1) / 100000, 152.9 + F.round(F.col("e"), 1) / 100000
     lat = F.when(F.col("idx") % 7 == 3, 0.0).otherwise(lat)
-    hms = F.format_string("%02d%02d%05.2f", (F.col("idx") / 60).cast("int") + 3, F.col("idx") % 60, F.lit(12.5))
+    hms = F.format_string("%02d%02d%05.2f", (F.col("idx") % 1260 / 60).cast("int") + 3, F.col("idx") % 60, F.lit(12.5))
     gga = F.concat_ws(",", F.lit("$GPGGA"), hms, deg(lat, 2), F.when(lat < 0, "S").otherwise("N"), deg(lon, 3), F.lit("E"), F.lit("1"))
     rmc = F.concat_ws(",", F.lit("$GPRMC"), hms, F.lit("A"), deg(lat, 2), F.when(lat < 0, "S").otherwise("N"), deg(lon, 3), F.lit("E"))
     other = F.concat_ws(",", F.lit("$GPGSV"), hms)
@@ -73,27 +75,27 @@ def _nmea_lines(spark, d):
 
 @query(f"""WITH {POSE} SELECT seq, idx, round(CASE WHEN idx % 7 = 3 THEN 0 ELSE -27.4::DOUBLE + round(n, 1) / 100000 END, 6) + 0.0 AS lat, round(152.9::DOUBLE + round(e, 1) / 100000, 6) AS lon, 60.0 * idx AS seconds
 FROM pose WHERE idx < 60 AND idx % 5 <> 4""")
-def s6_nmea_parse(spark, d):
-    n = readers.nmea(_nmea_lines(spark, d))
+def s6_nmea_parse(spark, d, where="idx < 60"):
+    n = readers.nmea(_nmea_lines(spark, d, where))
     return n.select("seq", "idx", (F.round("lat", 6) + 0.0).alias("lat"), F.round("lon", 6).alias("lon"), F.round("seconds", 2).alias("seconds"))
 
 
 @query()
-def s6_nmea_thinned(spark, d):
-    return trajectory.nmea_filter(readers.nmea(_nmea_lines(spark, d)), 1.0).select("seq", "idx")
+def s6_nmea_thinned(spark, d, where="idx < 60"):
+    return trajectory.nmea_filter(readers.nmea(_nmea_lines(spark, d, where)), 1.0).select("seq", "idx")
 
 
 @query(f"WITH {POSE} SELECT seq, CASE WHEN idx % 9 <> 5 THEN idx ELSE -1 END AS idx, round(e, 6) + 0.0 AS east, round(n, 6) + 0.0 AS north FROM pose WHERE idx < 50")
-def s11_frame_names(spark, d):
-    p = T.pose(spark, d).where("idx < 50")
+def s11_frame_names(spark, d, where="idx < 50"):
+    p = T.pose(spark, d).where(where)
     tail = F.when(F.col("idx") % 9 != 5, F.concat(F.lit("@frame_"), F.col("idx").cast("string"), F.lit("@.jpg"))).otherwise("@other@.jpg")
     name = F.concat(F.lit("/data/"), F.col("seq"), F.lit("/@"), F.format_string("%.6f", "e"), F.lit("@"), F.format_string("%.6f", "n"), tail)
     return readers.frame_name(p.select("seq", name.alias("path")), "path").select("seq", F.coalesce("idx", F.lit(-1)).alias("idx"), (F.round("east", 6) + 0.0).alias("east"), (F.round("north", 6) + 0.0).alias("north"))
 
 
 @query(f"WITH {POSE} SELECT seq, idx, CASE WHEN idx % 6 <> 1 THEN round(e, 4) + 0.0 END AS east, CASE WHEN idx % 6 <> 1 THEN round(n, 4) + 0.0 END AS north, CASE WHEN idx % 6 <> 1 THEN (idx * 7 % 360)::DOUBLE END AS heading FROM pose WHERE idx < 50")
-def s11_tile_names(spark, d):
-    p = T.pose(spark, d).where("idx < 50")
+def s11_tile_names(spark, d, where="idx < 50"):
+    p = T.pose(spark, d).where(where)
     parts = [F.format_string("@%.4f", "e"), F.format_string("@%.4f", "n"), F.lit("@18@T@40.1@-73.9@pano@0"), F.concat(F.lit("@"), (F.col("idx") * 7 % 360).cast("string"))]
     tail = F.when(F.col("idx") % 6 != 1, F.lit("@0@0@1.5@20230101@note@.jpg")).otherwise("@.jpg")
     return readers.tile_name(p.select("seq", "idx", F.concat(*parts, tail).alias("path")), "path").select("seq", "idx", (F.round("east", 4) + 0.0).alias("east"), (F.round("north", 4) + 0.0).alias("north"), "heading")
@@ -217,3 +219,8 @@ def stream_sessions(spark, d):
 def stream_min_gap_sample(spark, d):
     s, state = _stream(spark, d)
     return windows.run_to_table(windows.min_gap_sample(s, 9000.5), _name("gap"), "append", state)
+
+
+# without the bounds of the SQL
+for _f in (s6_nmea_parse, s6_nmea_thinned, s11_frame_names, s11_tile_names):
+    whole(_f, where="true")

@@ -58,3 +58,23 @@ def test_whole_matching(name, spark, few):
 
 def test_all_pairs_are_scored(spark, few):
     assert catalog.QUERIES["j7_all_pairs_whole"](spark, few[0]).count() == 3 * Q * R
+
+
+BOUNDS = {
+    "o13_greedy_tour": [" WHERE idx < 15"], "s6_nmea_parse": ["idx < 60 AND "], "s11_frame_names": [" WHERE idx < 50"], "s11_tile_names": [" WHERE idx < 50"],
+    "w2_interval_join": [" WHERE bin_id % 3 = 1"], "w12_tick_windows": [" WHERE event_id % 97 = 0"], "w16_nearest_resample": [" WHERE idx % 2 = 0"],
+    "r10_parse_list": [" WHERE id % 3 = 0"], "r11_flatten": [" WHERE id % 3 = 0"], "r12_s15_union": [" WHERE id % 50 = 0", " WHERE id % 70 = 0"], "k5_update_unique": [" WHERE id < 400)", "id < 400 AND "],
+}
+
+
+@pytest.mark.parametrize("name", sorted(BOUNDS))
+def test_whole_tables(name, spark, duck):
+    sql = catalog.SQL[name]
+    for b in BOUNDS[name]:
+        assert b in sql
+        sql = sql.replace(b, ")" if b[-1] == ")" else "")
+    same(catalog.QUERIES[f"{name}_whole"](spark, SF).toPandas(), duck.sql(sql).df())
+
+
+def test_thinned_sentences_reach_the_end(spark):
+    assert catalog.QUERIES["s6_nmea_thinned_whole"](spark, SF).where("idx >= 60").count()
