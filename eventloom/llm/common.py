@@ -7,9 +7,13 @@ import functools
 import re
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers)
@@ -69,9 +73,11 @@ def discard(*tables: DataFrame | None) -> None:
             spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel to Python in batches of at most so many rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python in batches bounded by bytes and by rows. Every operator
+    sets the same bounds, so it makes no difference which one did so last."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -138,21 +144,25 @@ class ChunkEncoder:
     Byte-level BPE splits a text by a pattern before it merges, and always
     splits before a lone space between two characters that are not white
     space. What lies between such spaces can therefore be encoded alone and
-    its ids kept. Only a cache: it is emptied at ``limit`` entries, so memory
-    is bounded, and the ids are those of the whole text.
+    its ids kept; so can the runs of letters, digits and signs that the pattern
+    makes of it, which is done for Latin letters and ASCII (all else goes to the library as
+    it is). Only a cache: beyond ``limit`` entries (some 200 bytes each) it keeps what
+    repeats in the texts at hand, so memory is bounded, and the ids are those of the whole text.
     """
 
     SPLIT = re.compile(r"(?<=\S) (?=\S)")
+    PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.tok.model._resize_cache(0)  # this one replaces the library's
+        self.first: dict[str, bytes] = {}  # without a space before
+        self.rest: dict[str, bytes] = {}  # with one
         # in a byte-level vocabulary each character of a token stands for a byte
         self.n_bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
         for token, i in self.tok.get_vocab().items():
@@ -161,69 +171,163 @@ class ChunkEncoder:
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> bool:
-        """New words are encoded as one text and its ids are cut at their ends.
-        False if some are empty or begin or end with white space: the text they
-        are from must be split with care."""
-        new = [w for w in words if w not in self.rest]
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-            return False
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            ids = np.asarray(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.n_bytes[ids]) if len(ids) else np.zeros(0, np.int64)
+    def _spaced(self, words: list[str], group: int = 256) -> None:
+        """Words without white space are encoded as texts of many and their ids are cut at their ends."""
+        groups = [words[k : k + group] for k in range(0, len(words), group)]
+        for some, got in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(got.ids, "<u4")
+            ends = np.cumsum(self.n_bytes[ids])
             want = np.cumsum(np.fromiter((1 + (len(w) if w.isascii() else len(w.encode())) for w in some), np.int64, len(some)))
             cut = np.searchsorted(ends, want)
-            if len(ids) and cut[-1] == len(ids) - 1 and np.array_equal(ends[cut], want):
+            if cut[-1] == len(ids) - 1 and np.array_equal(ends[cut], want):
                 raw, at = ids.tobytes(), 0
                 for w, c in zip(some, ((cut + 1) * 4).tolist()):
                     self.rest[w] = raw[at:c]
                     at = c
             else:
                 self.rest.update(zip(some, self._alone([" " + w for w in some])))
-        return True
-
-    def _one(self, text: str) -> bytes:
-        get = self.rest.__getitem__
-        parts = text.split(" ")
-        head = parts.pop(0)
-        if not (head and head[-1].isspace()):
-            try:
-                return self._head(head) + b"".join(map(get, parts))
-            except KeyError:
-                if self._learn(set(parts)):
-                    return self._head(head) + b"".join(map(get, parts))
+
+    def _parts(self, chunk: str) -> list[str] | None:
+        """The pattern's split of a chunk, if it is plain."""
+        parts = self.PARTS.findall(chunk)
+        plain = sum(map(len, parts)) == len(chunk) and parts[0] != "\n" and parts[-1] != "\n"
+        return parts if plain and "\n\n\n" not in chunk and "<|" not in chunk else None
+
+    def _learn(self, heads: list[str], words: list[str]) -> dict[str, bytes]:
+        """``heads`` begin a text, ``words`` follow a space; none is known, or begins or ends with white
+        space. Returns those of several parts, which are not kept: they rarely come again."""
+        split, spaced, bare, odd, odd_heads = [], [], set(), [], []
+        for w in words:
+            if w.isalpha():
+                spaced.append(w)
+            elif (parts := self._parts(w)) is None:
+                odd.append(w)
+            elif len(parts) == 1:
+                spaced.append(w)
+            else:
+                split.append((w, parts))
+                bare.update(parts[1:])
+        for w in heads:
+            parts = self._parts(w)
+            if parts is None:
+                odd_heads.append(w)
+            else:
+                bare.update(parts)
+        first, rest = self.first, self.rest
+        self._spaced(list({parts[0] for _, parts in split}.difference(rest).union(spaced)))
+        bare = list(bare.difference(first))
+        first.update(zip(bare, self._alone(bare)))
+        first.update(zip(odd_heads, self._alone(odd_heads)))
+        rest.update(zip(odd, self._alone([" " + w for w in odd])))
+        for w in heads:
+            if w not in first:
+                first[w] = b"".join([first[x] for x in self._parts(w)])
+        return {w: rest[parts[0]] + b"".join([first[x] for x in parts[1:]]) for w, parts in split}
+
+    def _careful(self, text: str) -> bytes:
+        """A text with white space other than single spaces between words."""
         head, *parts = self.SPLIT.split(text)
-        parts = [p if p and not p[0].isspace() and not p[-1].isspace() else None for p in parts] if parts else parts
-        if None in parts:  # white space at the very end
-            return self._alone([text])[0]
-        self._learn(set(parts))
-        return self._head(head) + b"".join(map(get, parts))
-
-    def _head(self, head: str) -> bytes:
-        if not head:
-            return b""
-        if (ids := self.first.get(head)) is None:
-            ids = self.first[head] = self._alone([head])[0]
-        return ids
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for t in texts:
-            if len(self.first) + len(self.rest) > self.limit:
-                self.first.clear()
-                self.rest.clear()
-            out.append(self._one(t) if t else b"")
-        return out
-
-
-@functools.lru_cache(maxsize=2)
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in (head, *parts)):
+            return self._alone([text])[0]  # white space at an end
+        made = self._learn([head] if head not in self.first else [], list(set(parts).difference(self.rest)))
+        return self.first[head] + b"".join([made[p] if p in made else self.rest[p] for p in parts])
+
+    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        code, k = coded.indices.to_numpy(), len(coded.dictionary)
+        # signs behind a letter are a part of their own
+        stems = pc.utf8_rtrim(coded.dictionary, ".,;:!?")
+        tails = pc.binary_length(coded.dictionary).to_numpy() > pc.binary_length(stems).to_numpy()
+        some = np.flatnonzero(tails)
+        tails[some] = pc.match_substring_regex(stems.take(pa.array(some)), "[A-Za-zÀ-ÖØ-öø-ɏ]$").to_numpy(zero_copy_only=False)
+        # no chunk holds a space
+        words, stems = (pc.binary_join(pa.ListArray.from_arrays(pa.array([0, k], pa.int32()), x), " ")[0].as_py().split(" ") for x in (coded.dictionary, stems))
+        tails = np.flatnonzero(tails).tolist()
+        keys = words.copy()
+        for i in tails:
+            keys[i] = stems[i]
+        at = at - at[0]
+        is_head = np.zeros(len(code), bool)
+        is_head[at[:-1]] = True
+        # the ids of each chunk once, one after the other: as a head, then after a space
+        heads, others = np.unique(code[is_head]).tolist(), np.bincount(code[~is_head], minlength=k)
+        table = [b""] * k + list(map(self.rest.get, keys, repeat(b"")))
+        new = np.flatnonzero((np.fromiter(map(len, table), np.int64, 2 * k)[k:] == 0) & (others > 0)).tolist()
+        edge = lambda w: not w or w[0].isspace() or w[-1].isspace()
+        odd = {i for i in new if edge(keys[i])}
+        odd_heads = [i for i in heads if words[i] and edge(words[i])]
+        # texts with a chunk that is empty or has white space at an end
+        bad = np.zeros(2 * k, bool)
+        bad[[k + i for i in odd] + odd_heads] = True
+        code = np.where(is_head, code, code + k)
+        bad = np.flatnonzero(np.add.reduceat(bad[code], at[:-1])) if odd or odd_heads else ()
+        new, heads = [i for i in new if i not in odd], [i for i in heads if words[i] and not edge(words[i])]
+        made = self._learn([words[i] for i in heads if words[i] not in self.first], list({keys[i] for i in new}))
+        for i in heads:
+            table[i] = self.first[words[i]]
+        for i in new:
+            table[k + i] = made[keys[i]] if keys[i] in made else self.rest[keys[i]]
+        signs = list({words[i][len(stems[i]) :] for i in tails})
+        sign = dict(zip(signs, self._alone(signs)))
+        for i in tails:
+            if table[k + i]:
+                table[k + i] += sign[words[i][len(stems[i]) :]]
+        size = np.fromiter(map(len, table), np.int64, 2 * k) // 4
+        start = np.cumsum(size) - size
+        n = size[code]
+        ids = np.frombuffer(b"".join(table), "<u4")
+        place = np.repeat(start[code] - (np.cumsum(n) - n), n)
+        place += np.arange(len(place))
+        ids, lengths = ids[place], np.add.reduceat(n, at[:-1])
+        if len(bad):
+            cut = np.concatenate([[0], np.cumsum(lengths)])
+            parts, last = [], 0
+            for i in bad.tolist():
+                got = np.frombuffer(self._careful(texts[i].as_py()), "<u4")
+                parts += [ids[last : cut[i]], got]
+                last, lengths[i] = cut[i + 1], len(got)
+            ids = np.concatenate([*parts, ids[last:]])
+        if len(self.first) + len(self.rest) > self.limit:
+            self.rest = {w: self.rest[w] for w in (keys[i] for i in np.flatnonzero(others > 1).tolist()) if w in self.rest}
+            self.first = {}
+        return ids, lengths
+
+    def encode(self, texts: pa.Array, together: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of texts one after the other, number of ids of each text), some whole texts at a time."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + together)) + 1
+            yield self._some(texts.slice(at, to - at))
+            at = to
+
+
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each Python worker."""
     return ChunkEncoder(path)
 
 
+def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` behind each text."""
+    lengths = lengths + 1
+    out = np.empty(len(ids) + len(lengths), np.uint32)
+    ends = np.zeros(len(out), bool)
+    ends[np.cumsum(lengths) - 1] = True
+    out[ends] = end_id
+    out[~ends] = ids
+    return out, lengths
+
+
+def crcs(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[int]:
+    """CRC-32 of each run of ids as little-endian unsigned 32-bit integers."""
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    return [zlib.crc32(raw[s:e]) for s, e in zip((4 * starts).tolist(), (4 * (starts + lengths)).tolist())]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

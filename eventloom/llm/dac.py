@@ -12,7 +12,7 @@ section), sections. Ids of documents and the tokens before each document are
 sections of their own.
 
 Defined results: a null text counts as empty (only the end id); a null id sorts
-first; repeated rows are written one by one; other columns are ignored; an empty
+first; repeated rows are written one by one, rows of one id in any order; other columns are ignored; an empty
 table gives no file and no row.
 """
 
@@ -51,8 +51,7 @@ def encode(ids: np.ndarray) -> list[dict[str, np.ndarray]]:
         rest = rest[more] >> 8
 
 
-def write(out, doc_ids: list[int | None], lengths: list[int], raw: bytes) -> None:
-    ids = np.frombuffer(raw, "<u4")
+def write(out, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> None:
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
     known = np.packbits([d is not None for d in doc_ids], bitorder="little")
     parts = {"doc_ids": np.asarray([d or 0 for d in doc_ids], "<i8"), "known": known, "starts": starts}
@@ -127,10 +126,9 @@ class Reader:
 def write_archive(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, file_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize and write the documents in the order of their ids.
 
-    Returns the list of files, in order: (part, nth, path, n_docs, n_tokens,
-    start), start being the tokens of all files before. A file is closed at
-    ``file_tokens``; it has one row here, so the running sum over the list is
-    over few rows, not over documents.
+    Returns the list of files: (part, nth, path, n_docs, n_tokens, start), start
+    being the tokens of all files before. A file is closed once it holds
+    ``file_tokens``. Files are summed within each partition, and partitions once more.
     """
     spark = docs.sparkSession
     tokenizer, folder = tokenizer or C.default_tokenizer(), C.fresh_dir(spark, "dac")
@@ -138,35 +136,41 @@ def write_archive(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, tail, part = C.encoder(tokenizer), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        docs, lens, raws, held, rows = [], [], [], 0, []
+        enc, part = C.encoder(tokenizer), TaskContext.get().partitionId()
+        docs, lens, parts, held, rows = [], [], [], 0, []
 
         def close() -> None:
             with files.writing(folder, ".dac") as (out, path):
-                write(out, docs, lens, b"".join(raws))
+                write(out, docs, np.concatenate(lens), np.concatenate(parts))
             rows.append((part, len(rows), path, len(docs), held))
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                (raw,) = enc.encode([t])
-                docs.append(i)
-                raws.append(raw + tail)
-                lens.append(len(raws[-1]) // 4)
-                held += lens[-1]
+            named, at = b.column(0).to_pylist(), 0
+            for ids, n in enc.encode(b.column(1)):
+                ids, n = C.with_end(ids, n, end_id)
+                docs += named[at : at + len(n)]
+                at += len(n)
+                lens.append(n)
+                parts.append(ids)
+                held += len(ids)
                 if held >= file_tokens:
                     close()
-                    docs, lens, raws, held = [], [], [], 0
+                    docs, lens, parts, held = [], [], [], 0
         if docs:
             close()
         cols = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "nth", "path", "n_docs", "n_tokens"])
 
     C.small_batches(spark)
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = ordered.repartitionByRange(C.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # many rows of one id are split by where they were read
+    ordered = ordered.withColumn("from", F.spark_partition_id())
+    ordered = ordered.repartitionByRange(C.shuffle_partitions(spark), "doc_id", "from").sortWithinPartitions("doc_id", "from").drop("from")
     listed = C.saved(ordered.mapInArrow(run, "part int, nth int, path string, n_docs long, n_tokens long"), "dac-files")
-    before = W.orderBy("part", "nth").rowsBetween(W.unboundedPreceding, -1)
-    return listed.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row for each partition
+    parts = listed.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(W.orderBy("part")).alias("base"))
+    return listed.withColumn("start", before(W.partitionBy("part").orderBy("nth"))).join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
 def read_archive(listed: DataFrame) -> DataFrame:
@@ -177,7 +181,7 @@ def read_archive(listed: DataFrame) -> DataFrame:
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
                 r = Reader(files.read_all(path))
-                crc = [zlib.crc32(r.document(d).astype("<u4").tobytes()) for d in range(len(r.doc_ids))]
+                crc = [zlib.crc32(r.document(d).astype("<u4")) for d in range(len(r.doc_ids))]
                 yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, pa.int64()), pa.array(r.starts[:-1] + start), pa.array(np.diff(r.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spark = listed.sparkSession

@@ -29,7 +29,6 @@ than id and text are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,28 +41,32 @@ from . import common as C
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(n: int, max_len: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of ``n`` tokens."""
-    first = n % max_len or max_len
-    return [(0, min(first, n))] + [(s, max_len) for s in range(first, n, max_len)]
+def cut(n: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of ``n`` tokens."""
+    pieces = -(-n // max_len)
+    doc = np.repeat(np.arange(len(n)), pieces)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = n - (pieces - 1) * max_len
+    start = np.where(piece > 0, first[doc] + (piece - 1) * max_len, 0)
+    return doc, piece, start, np.where(piece > 0, max_len, first[doc])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = C.encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        enc = C.encoder(tokenizer)
         for b in batches:
-            ids, cols = b.column(0).to_pylist(), ([], [], [], [], [])
-            for i, raw in zip(ids, enc.encode(b.column(1).to_pylist())):
-                raw += tail
-                for k, (s, n) in enumerate(cut(len(raw) // 4, max_len)):
-                    for c, v in zip(cols, (i, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)]))):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            at = 0
+            for ids, n in enc.encode(b.column(1)):
+                ids, n = C.with_end(ids, n, end_id)
+                doc, piece, start, length = cut(n, max_len)
+                crc = C.crcs(ids, (np.cumsum(n) - n)[doc] + start, length)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                at += len(n)
 
     C.small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 class Gaps:

@@ -3,9 +3,11 @@
 import gzip
 import hashlib
 import io
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,11 +225,26 @@ def test_codes_round_trip(spark, docs, none):
     assert dac.read_archive(dac.write_archive(none)).count() == 0
 
 
+def test_encoder_keeps_the_ids_of_whole_texts():
+    """Against the library on odd mixtures, with a cache that overflows."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    bits = ["a", "B", "é", "×", "ß", " ", "  ", "\n", "\n\n", "\t", "'", "'s", "don't", "<|endoftext|>", "1", "22", ".", ",", "...", "(", "ɐ", "ʼ", "日本", "\u00a0", "İ", "_", "-", "😀", "\u0301", "xxxxx", "\r\n", "ª", "²", "Ⅷ", "'ll", "\x0b", "\x1c", "\x85"]
+    texts = ["", *(rng.choice(["", " "]).join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(20_000))]
+    path = common.default_tokenizer()
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    got = []
+    for ids, n in common.ChunkEncoder(path, 3000).encode(pa.array([*texts, None]), together=20_000):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [*want, []]
+
+
 def test_random_access():
     ids = np.concatenate([RNG.integers(0, 1 << k, 700) for k in (4, 8, 9, 16, 17, 24, 31)]).astype(np.uint32)
     RNG.shuffle(ids)
     out = io.BytesIO()
-    dac.write(out, [7, None], [4000, len(ids) - 4000], ids.astype("<u4").tobytes())
+    dac.write(out, [7, None], np.array([4000, len(ids) - 4000]), ids)
     r = dac.Reader(out.getvalue())
     assert [r.token(i) for i in range(0, len(ids), 13)] == ids[::13].tolist()
     for a, b in ((0, 1), (511, 513), (100, 4500), (0, len(ids)), (5, 5)):
