@@ -1,22 +1,21 @@
 """Pieces that several training-data operators share: the shared folder, word
-splitting, hashing, tokenizing and joins that survive hot keys."""
+splitting, hashing, bitmaps and joins that survive hot keys."""
 
 from __future__ import annotations
 
-import functools
 import re
 import tempfile
 import uuid
-import zlib
+import weakref
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers)
+
+from . import files, words
+from .words import mix64
 
 _LOCAL: dict[str, str] = {}
 
@@ -26,6 +25,8 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FOLD_ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else (c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256)
 )
+#: The first, and ASCII white space becomes a space; as an array.
+FOLD_WORDS = np.frombuffer(bytes(32 if 9 <= c <= 13 else FOLD[c] for c in range(256)), np.uint8)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,26 +52,27 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/eventloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SAVED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and
-    a lost executor costs no recomputation of what lies before."""
+    a lost executor costs no recomputation of what lies before. The shuffle files
+    of the write go when it is done."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
+    _SAVED[out] = path
     return out
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete tables of ``saved`` that nothing will read again, and let Spark's
-    cleaner delete the shuffle files of plans that are gone."""
+    """Delete tables of ``saved`` that nothing will read again."""
     for t in tables:
-        if t is not None and getattr(t, "_saved_at", None):
-            spark = t.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(t._saved_at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            spark._jvm.System.gc()
+        if t is not None and (path := _SAVED.pop(t, None)):
+            files.remove(path)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -90,33 +92,12 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-class HashCache(dict):
-    """Word to 64-bit hash. ``trim`` bounds its memory; it is only a cache."""
-
-    def __init__(self, limit: int = 250_000):
-        super().__init__()
-        self.limit = limit
-        import xxhash
-
-        self._hash = xxhash.xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = self._hash(word)
-        return h
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser, on arrays of uint64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def word_hashes(texts: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The hashes of the words of each text, some texts at a time; words are runs of other characters
+    than ASCII white space, lower-cased in A-Z."""
+    for data, ends in words.blocks(texts):
+        h, at = words.split(data, ends, FOLD_WORDS)
+        yield np.split(h, at[:-1])
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -137,203 +118,6 @@ def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(gram_hashes(h, min(width, len(h))))
 
 
-# ------------------------------------------------------------ tokenizing
-class ChunkEncoder:
-    """Token ids by the ``tokenizers`` library, remembering what repeats.
-
-    Byte-level BPE splits a text by a pattern before it merges, and always
-    splits before a lone space between two characters that are not white
-    space. What lies between such spaces can therefore be encoded alone and
-    its ids kept; so can the runs of letters, digits and signs that the pattern
-    makes of it, which is done for Latin letters and ASCII (all else goes to the library as
-    it is). Only a cache: beyond ``limit`` entries (some 200 bytes each) it keeps what
-    repeats in the texts at hand, so memory is bounded, and the ids are those of the whole text.
-    """
-
-    SPLIT = re.compile(r"(?<=\S) (?=\S)")
-    PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
-
-    def __init__(self, path: str, limit: int = 400_000):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tok, self.limit = Tokenizer.from_file(path), limit
-        self.tok.model._resize_cache(0)  # this one replaces the library's
-        self.first: dict[str, bytes] = {}  # without a space before
-        self.rest: dict[str, bytes] = {}  # with one
-        # in a byte-level vocabulary each character of a token stands for a byte
-        self.n_bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
-        for token, i in self.tok.get_vocab().items():
-            self.n_bytes[i] = len(token)
-
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, words: list[str], group: int = 256) -> None:
-        """Words without white space are encoded as texts of many and their ids are cut at their ends."""
-        groups = [words[k : k + group] for k in range(0, len(words), group)]
-        for some, got in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.asarray(got.ids, "<u4")
-            ends = np.cumsum(self.n_bytes[ids])
-            want = np.cumsum(np.fromiter((1 + (len(w) if w.isascii() else len(w.encode())) for w in some), np.int64, len(some)))
-            cut = np.searchsorted(ends, want)
-            if cut[-1] == len(ids) - 1 and np.array_equal(ends[cut], want):
-                raw, at = ids.tobytes(), 0
-                for w, c in zip(some, ((cut + 1) * 4).tolist()):
-                    self.rest[w] = raw[at:c]
-                    at = c
-            else:
-                self.rest.update(zip(some, self._alone([" " + w for w in some])))
-
-    def _parts(self, chunk: str) -> list[str] | None:
-        """The pattern's split of a chunk, if it is plain."""
-        parts = self.PARTS.findall(chunk)
-        plain = sum(map(len, parts)) == len(chunk) and parts[0] != "\n" and parts[-1] != "\n"
-        return parts if plain and "\n\n\n" not in chunk and "<|" not in chunk else None
-
-    def _learn(self, heads: list[str], words: list[str]) -> dict[str, bytes]:
-        """``heads`` begin a text, ``words`` follow a space; none is known, or begins or ends with white
-        space. Returns those of several parts, which are not kept: they rarely come again."""
-        split, spaced, bare, odd, odd_heads = [], [], set(), [], []
-        for w in words:
-            if w.isalpha():
-                spaced.append(w)
-            elif (parts := self._parts(w)) is None:
-                odd.append(w)
-            elif len(parts) == 1:
-                spaced.append(w)
-            else:
-                split.append((w, parts))
-                bare.update(parts[1:])
-        for w in heads:
-            parts = self._parts(w)
-            if parts is None:
-                odd_heads.append(w)
-            else:
-                bare.update(parts)
-        first, rest = self.first, self.rest
-        self._spaced(list({parts[0] for _, parts in split}.difference(rest).union(spaced)))
-        bare = list(bare.difference(first))
-        first.update(zip(bare, self._alone(bare)))
-        first.update(zip(odd_heads, self._alone(odd_heads)))
-        rest.update(zip(odd, self._alone([" " + w for w in odd])))
-        for w in heads:
-            if w not in first:
-                first[w] = b"".join([first[x] for x in self._parts(w)])
-        return {w: rest[parts[0]] + b"".join([first[x] for x in parts[1:]]) for w, parts in split}
-
-    def _careful(self, text: str) -> bytes:
-        """A text with white space other than single spaces between words."""
-        head, *parts = self.SPLIT.split(text)
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in (head, *parts)):
-            return self._alone([text])[0]  # white space at an end
-        made = self._learn([head] if head not in self.first else [], list(set(parts).difference(self.rest)))
-        return self.first[head] + b"".join([made[p] if p in made else self.rest[p] for p in parts])
-
-    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.split_pattern(texts, " ")
-        at = split.offsets.to_numpy().astype(np.int64)
-        coded = split.flatten().dictionary_encode()
-        code, k = coded.indices.to_numpy(), len(coded.dictionary)
-        # signs behind a letter are a part of their own
-        stems = pc.utf8_rtrim(coded.dictionary, ".,;:!?")
-        tails = pc.binary_length(coded.dictionary).to_numpy() > pc.binary_length(stems).to_numpy()
-        some = np.flatnonzero(tails)
-        tails[some] = pc.match_substring_regex(stems.take(pa.array(some)), "[A-Za-zÀ-ÖØ-öø-ɏ]$").to_numpy(zero_copy_only=False)
-        # no chunk holds a space
-        words, stems = (pc.binary_join(pa.ListArray.from_arrays(pa.array([0, k], pa.int32()), x), " ")[0].as_py().split(" ") for x in (coded.dictionary, stems))
-        tails = np.flatnonzero(tails).tolist()
-        keys = words.copy()
-        for i in tails:
-            keys[i] = stems[i]
-        at = at - at[0]
-        is_head = np.zeros(len(code), bool)
-        is_head[at[:-1]] = True
-        # the ids of each chunk once, one after the other: as a head, then after a space
-        heads, others = np.unique(code[is_head]).tolist(), np.bincount(code[~is_head], minlength=k)
-        table = [b""] * k + list(map(self.rest.get, keys, repeat(b"")))
-        new = np.flatnonzero((np.fromiter(map(len, table), np.int64, 2 * k)[k:] == 0) & (others > 0)).tolist()
-        edge = lambda w: not w or w[0].isspace() or w[-1].isspace()
-        odd = {i for i in new if edge(keys[i])}
-        odd_heads = [i for i in heads if words[i] and edge(words[i])]
-        # texts with a chunk that is empty or has white space at an end
-        bad = np.zeros(2 * k, bool)
-        bad[[k + i for i in odd] + odd_heads] = True
-        code = np.where(is_head, code, code + k)
-        bad = np.flatnonzero(np.add.reduceat(bad[code], at[:-1])) if odd or odd_heads else ()
-        new, heads = [i for i in new if i not in odd], [i for i in heads if words[i] and not edge(words[i])]
-        made = self._learn([words[i] for i in heads if words[i] not in self.first], list({keys[i] for i in new}))
-        for i in heads:
-            table[i] = self.first[words[i]]
-        for i in new:
-            table[k + i] = made[keys[i]] if keys[i] in made else self.rest[keys[i]]
-        signs = list({words[i][len(stems[i]) :] for i in tails})
-        sign = dict(zip(signs, self._alone(signs)))
-        for i in tails:
-            if table[k + i]:
-                table[k + i] += sign[words[i][len(stems[i]) :]]
-        size = np.fromiter(map(len, table), np.int64, 2 * k) // 4
-        start = np.cumsum(size) - size
-        n = size[code]
-        ids = np.frombuffer(b"".join(table), "<u4")
-        place = np.repeat(start[code] - (np.cumsum(n) - n), n)
-        place += np.arange(len(place))
-        ids, lengths = ids[place], np.add.reduceat(n, at[:-1])
-        if len(bad):
-            cut = np.concatenate([[0], np.cumsum(lengths)])
-            parts, last = [], 0
-            for i in bad.tolist():
-                got = np.frombuffer(self._careful(texts[i].as_py()), "<u4")
-                parts += [ids[last : cut[i]], got]
-                last, lengths[i] = cut[i + 1], len(got)
-            ids = np.concatenate([*parts, ids[last:]])
-        if len(self.first) + len(self.rest) > self.limit:
-            self.rest = {w: self.rest[w] for w in (keys[i] for i in np.flatnonzero(others > 1).tolist()) if w in self.rest}
-            self.first = {}
-        return ids, lengths
-
-    def encode(self, texts: pa.Array, together: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids of texts one after the other, number of ids of each text), some whole texts at a time."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy())
-        at = 0
-        while at < len(texts):
-            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + together)) + 1
-            yield self._some(texts.slice(at, to - at))
-            at = to
-
-
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each Python worker."""
-    return ChunkEncoder(path)
-
-
-def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same with ``end_id`` behind each text."""
-    lengths = lengths + 1
-    out = np.empty(len(ids) + len(lengths), np.uint32)
-    ends = np.zeros(len(out), bool)
-    ends[np.cumsum(lengths) - 1] = True
-    out[ends] = end_id
-    out[~ends] = ids
-    return out, lengths
-
-
-def crcs(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[int]:
-    """CRC-32 of each run of ids as little-endian unsigned 32-bit integers."""
-    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-    return [zlib.crc32(raw[s:e]) for s, e in zip((4 * starts).tolist(), (4 * (starts + lengths)).tolist())]
-
-
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 # ------------------------------------------------------------ bitmaps
 PAGE = 32_768  # bits in a bitmap of bitmap_construct_agg
 
@@ -344,33 +128,53 @@ def bitmap_pages(positions: DataFrame) -> DataFrame:
     return positions.groupBy(page.alias("page")).agg(F.expr(f"bitmap_construct_agg(at % {PAGE})").alias("bitmap"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def with_bit(rows: DataFrame, pages: DataFrame, at: Column, name: str, broadcast: bool = True) -> DataFrame:
     """Adds boolean ``name``: whether bit ``at`` is set in the pages."""
-    p = pages.select(F.col("page").alias("_page"), F.col("bitmap").alias("_map"))
-    out = rows.withColumn("_at", at).withColumn("_page", F.floor(F.col("_at") / PAGE).cast("int")).join(F.broadcast(p) if broadcast else p, "_page", "left")
-    inside = F.col("_at") % PAGE
-    byte = F.conv(F.hex(F.substring("_map", F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    c_at, c_page, c_map = unused(rows, "_at", "_page", "_map")
+    p = pages.select(F.col("page").alias(c_page), F.col("bitmap").alias(c_map))
+    out = rows.withColumn(c_at, at).withColumn(c_page, F.floor(F.col(c_at) / PAGE).cast("int")).join(F.broadcast(p) if broadcast else p, c_page, "left")
+    inside = F.col(c_at) % PAGE
+    byte = F.conv(F.hex(F.substring(c_map, F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     hit = F.coalesce(F.getbit(byte, F.pmod(inside, F.lit(8)).cast("int")) == 1, F.lit(False))
-    return out.withColumn(name, hit).drop("_at", "_page", "_map")
+    return out.withColumn(name, hit).drop(c_at, c_page, c_map)
 
 
 def maybe_in(rows: DataFrame, ids: DataFrame, id_col: str, name: str = "_maybe", bits: int = 1 << 26) -> DataFrame:
     """Adds boolean ``name``, false only for rows whose id is certainly not in ``ids``
-    (column doc_id): a filter of at most ``bits`` bits (8 MB) is broadcast, so that rows
+    (one column): a filter of at most ``bits`` bits (8 MB) is broadcast, so that rows
     that don't matter never shuffle. With very many ids more rows pass, none is lost."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    pages = saved(bitmap_pages(ids.select(spot(F.col("doc_id")).alias("at"))), "id-filter")
+    pages = saved(bitmap_pages(ids.select(spot(F.col(ids.columns[0])).alias("at"))), "id-filter")
     return with_bit(rows, pages, spot(F.col(id_col)), name)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number for each row, and the name of that column: what is decided of a row
+    holds for that row alone, though ids be null or repeat. The number is that of
+    the place in the files, so ``df`` is to be read from files, as each stage's input is."""
+    (row,) = unused(df, "_row")
+    return df.withColumn(row, F.monotonically_increasing_id()), row
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose id is not in ``ids`` (column doc_id). Rows that the
+    """The rows whose id is not in ``ids`` (one column). Rows that the
     filter clears pass straight through; only the others are joined."""
-    ids = saved(ids.select(F.col("doc_id").cast("long").alias("doc_id")), "ids")
-    marked = maybe_in(docs, ids, id_col)
-    rest = marked.where("_maybe").drop("_maybe")
-    gone = ids.select(F.col("doc_id").alias(id_col))
-    return marked.where("not _maybe").drop("_maybe").unionByName(rest.join(gone, id_col, "left_anti").select(*docs.columns))
+    (maybe,) = unused(docs, "_maybe")
+    ids = saved(ids.select(F.col(ids.columns[0]).alias(id_col)), "ids")
+    marked = maybe_in(docs, ids, id_col, maybe)
+    rest = marked.where(F.col(maybe)).drop(maybe)
+    return marked.where(~F.col(maybe)).drop(maybe).unionByName(rest.join(ids, id_col, "left_anti").select(*docs.columns))
 
 
 # ------------------------------------------------------------ joins
@@ -383,14 +187,28 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, heavy:
     doesn't grow, and their rows never shuffle. All others shuffle, in groups
     that are small by definition.
     """
+    (flag,) = unused(rows, "_hot")
     hot = F.broadcast(groups.where(F.col(count) >= heavy))
-    mark = hot.select(key).withColumn("_hot", F.lit(True))
+    mark = hot.select(key).withColumn(flag, F.lit(True))
     tagged = rows.join(F.broadcast(mark), key, "left")
-    out_hot = tagged.where(F.col("_hot")).drop("_hot").join(hot, key, "inner")
-    out_rest = tagged.where(F.col("_hot").isNull()).drop("_hot").join(groups.where(F.col(count) < heavy), key, how)
+    out_hot = tagged.where(F.col(flag)).drop(flag).join(hot, key, "inner")
+    out_rest = tagged.where(F.col(flag).isNull()).drop(flag).join(groups.where(F.col(count) < heavy), key, how)
     return out_hot.unionByName(out_rest)
 
 
+def join_spread(rows: DataFrame, singles: DataFrame, key: str, other: str, heavy: int, counted: DataFrame | None = None) -> DataFrame:
+    """Join rows to the few rows that ``singles`` has for their key, which may be large. The
+    rows of a key with more than ``heavy`` are dealt by ``other`` to several
+    places, and each place gets the key's singles: at most ``rows / heavy`` copies.
+    ``counted``: a stored table with the same keys, if ``rows`` is costly to read twice."""
+    part, parts = unused(rows, "_part", "_parts")
+    hot = F.broadcast((rows if counted is None else counted).groupBy(key).agg(F.ceil(F.count("*") / heavy).cast("int").alias(parts)).where(F.col(parts) > 1))
+    n = F.coalesce(F.col(parts), F.lit(1))
+    left = rows.join(hot, key, "left").withColumn(part, F.pmod(F.xxhash64(other), n).cast("int")).drop(parts)
+    right = singles.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
+    return left.join(right, [key, part]).drop(part)
+
+
 def heavy_bound(n_rows: int, most_groups: int = 1000, least: int = 200) -> int:
     return max(least, -(-n_rows // most_groups))
 

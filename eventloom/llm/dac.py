@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import files
+from . import encoder, files
 
 MAGIC = b"EVLDAC1\n"
 BLOCK = 512  # bits a rank entry covers
@@ -131,12 +131,12 @@ def write_archive(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2
     ``file_tokens``. Files are summed within each partition, and partitions once more.
     """
     spark = docs.sparkSession
-    tokenizer, folder = tokenizer or C.default_tokenizer(), C.fresh_dir(spark, "dac")
+    tokenizer, folder = tokenizer or encoder.default_tokenizer(), C.fresh_dir(spark, "dac")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part = C.encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder.encoder(tokenizer), TaskContext.get().partitionId()
         docs, lens, parts, held, rows = [], [], [], 0, []
 
         def close() -> None:
@@ -147,7 +147,7 @@ def write_archive(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2
         for b in batches:
             named, at = b.column(0).to_pylist(), 0
             for ids, n in enc.encode(b.column(1)):
-                ids, n = C.with_end(ids, n, end_id)
+                ids, n = encoder.with_end(ids, n, end_id)
                 docs += named[at : at + len(n)]
                 at += len(n)
                 lens.append(n)

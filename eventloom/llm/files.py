@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
 
 
 @contextmanager
@@ -34,7 +33,8 @@ def read_all(address: str) -> bytes:
         return s.read()
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of intermediate files through Hadoop's file systems."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(address: str) -> None:
+    """Delete a folder of intermediate files, if it is there."""
+    system, path = fs.FileSystem.from_uri(address)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)

@@ -30,15 +30,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_CACHE = C.HashCache(1_000_000)  # of each Python worker
-
-
 class Block:
     """The n-grams of a block of texts, as places in one sorted array of hashes."""
 
-    def __init__(self, texts: list[bytes | None], order: int):
-        words = [_CACHE.of(t.translate(C.FOLD).split()) if t else np.empty(0, np.uint64) for t in texts]
-        _CACHE.trim()
+    def __init__(self, texts: pa.Array, order: int):
+        words = [h for some in C.word_hashes(texts) for h in some]
         self.order, self.sizes = order, np.array([len(w) for w in words], np.int64)
         grams = [np.concatenate([C.gram_hashes(w, k) for w in words]) if words else np.empty(0, np.uint64) for k in range(1, order + 1)]
         # one order after the other, as sorting all at once takes several times the memory
@@ -104,7 +100,7 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_bytes: int
     edges = np.array([-(-(b << 32) // n) for b in range(1, n)], np.uint64) << np.uint64(32)
 
     def ask(table: pa.Table) -> pa.Table:
-        k = Block(table.column("text").cast(pa.binary()).to_pylist(), order)
+        k = Block(table.column("text").combine_chunks(), order)
         cut = np.concatenate([[0], np.searchsorted(k.keys, edges), [len(k.keys)]])
         z, block = zstandard.ZstdCompressor(1), table.column("block")[0].as_py()
         rows = [(b, block, pack_keys(k.keys[s:e], z), z.compress(k.counts[s:e].astype("<i8").tobytes())) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
@@ -121,7 +117,7 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_bytes: int
         return pa.table([table.column("bucket"), table.column("block"), pa.array([z.compress(x.astype("<i8").tobytes()) for x in back], pa.binary())], names=["bucket", "block", "totals"])
 
     def settle(mine: pa.Table, got: pa.Table) -> pa.Table:
-        k, d = Block(mine.column("text").cast(pa.binary()).to_pylist(), order), zstandard.ZstdDecompressor()
+        k, d = Block(mine.column("text").combine_chunks(), order), zstandard.ZstdDecompressor()
         rows = sorted(zip(got.column("bucket").to_pylist(), got.column("totals").to_pylist()))
         totals = np.concatenate([np.frombuffer(d.decompress(t), "<i8") for _, t in rows])
         return pa.table([mine.column("doc_id"), pa.array(k.sizes), pa.array(k.scores(totals, alpha))], names=["doc_id", "n_words", "log_score"])

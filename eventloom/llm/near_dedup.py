@@ -6,20 +6,21 @@ to 0..65535 (Ertl, "SetSketch", 2021). Registers merge by maximum and are
 locality-sensitive: two sets agree in a register with about their Jaccard
 similarity.
 
-1. *Classes.* Documents with the same set (128-bit fingerprint and size) form a
-   class, found by an aggregation with map-side combining; thousands of copies
-   are one row from there on.
+1. *Classes.* Documents with the same set form a class, found by an aggregation
+   with map-side combining; thousands of copies are one row from there on. A
+   class is known by a 64-bit digest of its set, so ids may repeat.
 2. *Bands.* ``bands`` x ``band_rows`` registers give each class its buckets. A pair
    at the threshold of 0.8 shares none with a chance of (1 - 0.8^6)^48, about 5e-7.
    Buckets of at most 8 classes give their pairs at once.
-3. *Rounds.* In larger buckets all members face one leader, picked anew in each round, so
-   a bucket of n gives n - 1 pairs and not n^2. Pairs are estimated jointly by
-   likelihood from their registers; each class verifies its best candidate outside its own
-   component on full sets; links merge components; buckets that lie within
-   one component are finished.
-4. *Rest.* Buckets that still hold several components are compared in full, block by block
-   with matrix products over their sets, so no link is lost to the choice of
-   leaders. Pairs within one component need no test: the result is components.
+3. *Rounds.* In larger buckets all members face one leader, picked anew in each round from the
+   bucket's largest component, so a bucket of n gives n - 1 pairs and not n^2. Pairs are
+   estimated jointly by likelihood from their registers; each class verifies its best
+   candidate outside its own component on full sets; links merge components; buckets that lie
+   within one component are finished.
+4. *Rest.* In buckets that still hold several components, the classes outside the largest
+   one are compared with all others, block by block with matrix products over their
+   sets, so no link is lost to the choice of leaders. The largest component is not compared
+   with itself: pairs within one component need no test, as the result is components.
 
 Estimates only discard pairs five standard errors below the threshold. Sizes
 discard exactly: sets whose sizes differ by more than the threshold can't link.
@@ -27,7 +28,8 @@ discard exactly: sets whose sizes differ by more than the threshold can't link.
 Defined results: null text, or text without words, is an empty set and linked
 with nothing; its row has n_shingles 0 and is kept. A text of fewer words than
 a shingle is one shingle. A null id is kept as null and groups nothing. Rows
-that repeat with one id get equal rows. Other columns are ignored; an empty table gives an
+that repeat, or share an id, are each judged by their own text; component_id is the smallest id of
+any row of the component. Other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -38,7 +40,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -90,26 +91,27 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, grid:
     return np.take_along_axis(j, like.argmax(axis=1)[:, None], 1)[:, 0]
 
 
-def _words(text: bytes | None, cache: C.HashCache) -> np.ndarray:
-    return cache.of(text.translate(C.FOLD).split()) if text else np.empty(0, np.uint64)
+def _class(s: np.ndarray) -> int:
+    """A digest of a set of hashes, as a signed 64-bit number."""
+    both = np.array([s.sum(dtype=np.uint64) + np.uint64(len(s)), C.mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])
+    return int(C.gram_hashes(both, 2).view(np.int64)[0])
 
 
 def sketches(docs: DataFrame, width: int, m: int) -> DataFrame:
-    """(doc_id, n, fp, regs) of every row."""
+    """(doc_id, n, rep, regs) of every row; rep: the digest of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sk = C.HashCache(), SetSketch(m)
+        sk = SetSketch(m)
         for b in batches:
-            ns, fps, regs = [], [], []
-            for t in C.utf8(b, "text"):
-                s = C.shingle_set(_words(t, cache), width)
+            ns, reps, regs = [], [], []
+            for h in (h for some in C.word_hashes(b.column("text")) for h in some):
+                s = C.shingle_set(h, width)
                 ns.append(len(s))
-                fps.append(np.array([s.sum(dtype=np.uint64), C.mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes() if len(s) else None)
+                reps.append(_class(s) if len(s) else None)
                 regs.append(sk.registers(s).tobytes() if len(s) else None)
-            cache.trim()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n", "fp", "regs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(reps, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "rep", "regs"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, regs binary")
+    return docs.mapInArrow(run, "doc_id long, n long, rep long, regs binary")
 
 
 def band_keys(classes: DataFrame, bands: int, rows: int, m: int) -> DataFrame:
@@ -132,8 +134,9 @@ def band_keys(classes: DataFrame, bands: int, rows: int, m: int) -> DataFrame:
 class _Linker:
     """Estimates and verifies candidate pairs of classes."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, m: int):
-        self.docs, self.classes, self.width, self.percent, self.m = docs, classes, width, percent, m
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, m: int, heavy: int):
+        self.docs, self.classes, self.width, self.percent, self.m, self.heavy = docs, classes, width, percent, m, heavy
+        self.items: DataFrame | None = None
         t = percent / 100
         self.least = t - 5 * (t * (1 - t) / m) ** 0.5
 
@@ -154,26 +157,35 @@ class _Linker:
                 yield pa.RecordBatch.from_arrays([b.column("x").take(pa.array(at)), b.column("y").take(pa.array(at)), pa.array(est[at])], ["x", "y", "est"])
 
         of = lambda a: self.classes.select(F.col("rep").alias(a), F.col("n").alias(f"n{a}"), F.col("regs").alias(f"r{a}"))
-        return pairs.select("x", "y").join(of("x"), "x").join(of("y"), "y").mapInArrow(run, "x long, y long, est double")
-
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """(doc_id, items) of the documents in ``wanted`` (doc_id), and perhaps a few
-        others. Texts stay where they are: a filter picks, and only sets move on."""
+        pairs = C.saved(pairs.select("x", "y").distinct(), "faced")
+        full = C.join_spread(pairs, of("x"), "x", "y", self.heavy)
+        full = C.join_spread(full, of("y"), "y", "x", self.heavy, pairs)
+        out = C.saved(full.mapInArrow(run, "x long, y long, est double"), "estimated")
+        C.discard(pairs)
+        return out
+
+    def read_sets(self, wanted: DataFrame) -> None:
+        """The sets of the classes in ``wanted`` (rep, doc_id), in one pass over the texts: a filter
+        picks rows by id, and only sets move on."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache = C.HashCache()
             for b in batches:
-                out = [C.shingle_set(_words(t, cache), width).tobytes() for t in C.utf8(b, "text")]
-                cache.trim()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "items"])
+                out = {}
+                for h in (h for some in C.word_hashes(b.column("text")) for h in some):
+                    if len(s := C.shingle_set(h, width)):
+                        out.setdefault(_class(s), s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["rep", "items"])
 
-        picked = C.maybe_in(self.docs, wanted, "doc_id").where("_maybe").drop("_maybe")
-        return C.saved(picked.mapInArrow(run, "doc_id long, items binary"), "sets")
+        picked = C.maybe_in(self.docs, wanted.select("doc_id"), "doc_id").where("_maybe").select("text")
+        self.items = C.saved(picked.mapInArrow(run, "rep long, items binary"), "sets")
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(rep, items) of the classes in ``wanted`` (one column), and perhaps a few others."""
+        return C.maybe_in(self.items, wanted, "rep").where("_maybe").drop("_maybe")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (a, b): the pairs (x, y) whose full sets reach the threshold. The pairs of a
-        much wanted document can be split among tasks, as in any sort-merge join."""
+        """Links (a, b): the pairs (x, y) whose full sets reach the threshold."""
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,19 +200,21 @@ class _Linker:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
         pairs = C.saved(pairs.select("x", "y"), "pairs")
-        items = self.sets(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))))
-        of = lambda a: items.select(F.col("doc_id").alias(a), F.col("items").alias(f"i{a}"))
-        links = C.saved(pairs.join(of("x"), "x").join(of("y"), "y").mapInArrow(run, "a long, b long").distinct(), "links")
-        C.discard(items, pairs)
+        items = self.sets(pairs.select(F.explode(F.array("x", "y")).alias("rep")))
+        of = lambda a: items.select(F.col("rep").alias(a), F.col("items").alias(f"i{a}"))
+        full = C.join_spread(pairs, of("x"), "x", "y", self.heavy)
+        full = C.join_spread(full, of("y"), "y", "x", self.heavy, pairs)
+        links = C.saved(full.mapInArrow(run, "a long, b long").distinct(), "links")
+        C.discard(pairs)
         return links
 
-    def all_in_buckets(self, members: DataFrame, block: int = 512) -> DataFrame:
-        """Links (a, b) between components among all pairs of each bucket, one for each
-        two components and task.
+    def rest_in_buckets(self, members: DataFrame, block: int) -> DataFrame:
+        """Links (a, b) between components within each bucket, one for each two components and task.
 
-        Members of a bucket are dealt to blocks of about ``block``, and each pair of
-        blocks is a group, so that no task holds a whole bucket. Within a group all intersections are counted at once,
-        as products of 0-1 matrices; pairs never become rows.
+        The members of a bucket's largest component and the others are dealt to blocks of about ``block``;
+        each block of others meets each block of the largest component and each of the others, so that no task
+        holds a whole bucket. Within a group all intersections are counted at once, as
+        products of 0-1 matrices; pairs never become rows.
         """
         percent = self.percent
 
@@ -226,62 +240,89 @@ class _Linker:
             _, first = np.unique(np.stack([comp[a], comp[b]]), axis=1, return_index=True)
             return pa.table([pa.array(rep[a[first]]), pa.array(rep[b[first]])], names=["a", "b"])
 
-        blocks = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-        mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-        dealt = members.select("key", "rep", "comp").join(blocks, "key").withColumn("i", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        dealt = dealt.where("nb = 1 or i <> o").select("key", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), "rep", "comp")
-        items = self.sets(members.select(F.col("rep").alias("doc_id")))
-        full = dealt.join(items.withColumnRenamed("doc_id", "rep"), "rep")
-        links = C.saved(full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
-        C.discard(items)
-        return links
+        shape = _shape(members)
+        dealt = C.join_groups(members, shape, "key", "c", self.heavy)
+        blocks = lambda n: F.ceil(n / block).cast("int")
+        dealt = dealt.withColumns({"nd": blocks(F.col("most")), "no": blocks(F.col("c") - F.col("most"))})
+        side = F.col("comp") == F.col("top")
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(side, F.col("nd")).otherwise(F.col("no"))).cast("int"))
+        # a group is a pair (i, j): block i of the largest component, or beyond those block i - nd of the others; block j of the others
+        up = lambda n: F.sequence(F.lit(0), n - 1)
+        pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+        largest = F.transform(up(F.col("no")), lambda o: pair(F.col("mine"), o))
+        across = F.transform(up(F.col("nd")), lambda o: pair(o, F.col("mine")))
+        among = F.transform(up(F.col("no")), lambda o: pair(F.col("nd") + F.least(o, "mine"), F.greatest(o, F.col("mine"))))
+        # a single block of others is whole in each of its groups
+        groups = F.when(side, largest).when(F.col("no") == 1, across).otherwise(F.concat(across, among))
+        dealt = C.saved(dealt.select("key", "rep", "comp", F.explode(groups).alias("g")).select("key", "g.i", "g.j", "rep", "comp"), "dealt")
+        full = C.join_spread(dealt, self.sets(members.select("rep")), "rep", "key", self.heavy)
+        return C.saved(full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
+
+
+def _shape(members: DataFrame) -> DataFrame:
+    """(key, c, top, most) of each bucket: its members, its largest component and that one's members."""
+    comps = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    top = F.max(F.struct("c", F.col("comp").alias("top"))).alias("t")
+    return C.saved(comps.groupBy("key").agg(F.sum("c").alias("c"), top).select("key", "c", "t.top", F.col("t.c").alias("most")), "shape")
 
 
 SMALL = 8  # a bucket of so many gives its pairs at once, at most 28 of them
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 48, band_rows: int = 6, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 48, band_rows: int = 6, rounds: int = 4, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     spark, m = docs.sparkSession, bands * band_rows
     C.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = C.saved(sketches(docs, width, m), "sketches")
     total = rows.count()
+    heavy = C.heavy_bound(total)
     full = rows.where("n > 0 and doc_id is not null")
-    classes = C.saved(full.groupBy("n", "fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "regs")
-    linker = _Linker(docs, reps, width, percent, m)
-
-    keyed = band_keys(reps, bands, band_rows, m).withColumn("c", F.count("*").over(W.partitionBy("key"))).where("c > 1")
-    shared = C.saved(keyed.withColumn("comp", F.col("rep")), "members")
+    classes = C.saved(full.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
+    reps = C.saved(full.select("rep", "n", "regs").dropDuplicates(["rep"]), "registers")
+    linker = _Linker(docs, reps, width, percent, m, heavy)
+
+    keyed = C.saved(band_keys(reps, bands, band_rows, m), "keys")
+    counts = C.saved(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key-counts")
+    near = C.maybe_in(keyed, counts.select("key"), "key").where("_maybe").drop("_maybe")
+    shared = C.saved(C.join_groups(near, counts, "key", "c", heavy).withColumn("comp", F.col("rep")), "members")
+    C.discard(keyed, counts)
+    linker.read_sets(shared.select("rep").distinct().join(classes.select("rep", "doc_id"), "rep"))
     a, b = shared.where(F.col("c") <= SMALL).alias("a"), shared.where(F.col("c") <= SMALL).alias("b")
     few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & linker.close("a.n", "b.n"))
     # pairs of small buckets are estimated once; those below the margin never come back
-    listed = C.saved(linker.estimated(few.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()).withColumns({"cx": F.col("x"), "cy": F.col("y")}), "candidates")
+    listed = linker.estimated(few.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))).withColumns({"cx": F.col("x"), "cy": F.col("y")})
     members = C.saved(shared.where(F.col("c") > SMALL).drop("c"), "members")
     C.discard(shared)
 
-    found = []
+    found: list[DataFrame] = []
     for k in range(rounds):
-        lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "comp")).alias("l"))
-        pairs = members.join(lead, "key").where("comp <> l.comp").select(F.col("rep").alias("x"), F.col("l.rep").alias("y"), "n", F.col("l.n").alias("ny"))
-        pairs = linker.estimated(pairs.where(linker.close("n", "ny")).select("x", "y").distinct())
-        pairs = pairs.select("x", "y", "est").unionByName(listed.select("x", "y", "est"))
-        links = linker.verified(pairs.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y")))
+        # the leader comes from the largest component
+        mine = F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "comp")).alias("l")
+        comps = members.groupBy("key", "comp").agg(F.count("*").alias("c"), mine)
+        lead = C.saved(comps.groupBy("key").agg(F.sum("c").alias("c"), F.max_by("l", F.struct("c", "l.h")).alias("l")), "leaders")
+        pairs = C.join_groups(members, lead, "key", "c", heavy).where("comp <> l.comp").select(F.col("rep").alias("x"), F.col("l.rep").alias("y"), "n", F.col("l.n").alias("ny"))
+        pairs = linker.estimated(pairs.where(linker.close("n", "ny")))
+        both = pairs.select("x", "y", "est").unionByName(listed.select("x", "y", "est"))
+        links = linker.verified(both.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y")))
+        C.discard(pairs, lead)
         if not links.head(1):
             continue
         found.append(links)
         moved = graphs.components(_joined(found))
-        old, members = members, C.saved(_open(members, moved, "rep", "comp"), "members")
+        old, members = members, C.saved(_open(members, moved, heavy), "members")
         C.discard(old)
         old, listed = listed, C.saved(_open_pairs(listed, moved), "candidates")
-        C.discard(old)
-    found += [linker.verified(listed), linker.all_in_buckets(members)]
+        C.discard(old, moved)
+    found += [linker.verified(listed), linker.rest_in_buckets(members, block)]
 
     comp = graphs.components(_joined(found)).withColumnsRenamed({"node": "rep"})
-    named = C.saved(classes.join(comp, "rep", "left").select("n", "fp", "copies", F.coalesce("component", "rep").alias("component_id")), "named")
+    mine = classes.join(comp, "rep", "left").select("rep", "doc_id", "copies", F.coalesce("component", "rep").alias("component"))
+    mine = C.saved(mine, "placed")
+    least = C.saved(mine.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")), "least")
+    named = C.saved(C.join_groups(mine, least, "component", "classes", heavy).select("rep", "copies", "component_id"), "named")
     # a class of thousands of copies must not gather its rows in one task
-    of = C.join_groups(full.select("doc_id", "fp"), named, "fp", "copies", C.heavy_bound(total))
+    of = C.join_groups(full.select("doc_id", "n", "rep"), named, "rep", "copies", heavy)
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = of.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -294,12 +335,12 @@ def _joined(found: list[DataFrame]) -> DataFrame:
     return every
 
 
-def _open(members: DataFrame, moved: DataFrame, node: str, comp: str) -> DataFrame:
+def _open(members: DataFrame, moved: DataFrame, heavy: int) -> DataFrame:
     """Members with their components; buckets within one component are finished."""
-    to = moved.select(F.col("node").alias(node), F.col("component").alias("_to"))
-    out = members.join(to, node, "left").withColumn(comp, F.coalesce("_to", node)).drop("_to")
-    live = out.groupBy("key").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi")).where("lo < hi").select("key")
-    return out.join(live, "key", "left_semi").select(*members.columns)
+    to = moved.select(F.col("node").alias("rep"), F.col("component").alias("_to"))
+    out = C.saved(members.join(to, "rep", "left").withColumn("comp", F.coalesce("_to", "rep")).drop("_to"), "moved")
+    live = C.saved(out.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c"), "live")
+    return C.join_groups(out, live, "key", "c", heavy).select(*members.columns)
 
 
 def _open_pairs(listed: DataFrame, moved: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,13 +56,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, max_len: int
     """One row per piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = C.encoder(tokenizer)
+        enc = encoder.encoder(tokenizer)
         for b in batches:
             at = 0
             for ids, n in enc.encode(b.column(1)):
-                ids, n = C.with_end(ids, n, end_id)
+                ids, n = encoder.with_end(ids, n, end_id)
                 doc, piece, start, length = cut(n, max_len)
-                crc = C.crcs(ids, (np.cumsum(n) - n)[doc] + start, length)
+                crc = encoder.crcs(ids, (np.cumsum(n) - n)[doc] + start, length)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
                 at += len(n)
 
@@ -167,4 +168,4 @@ def pack(pieces: DataFrame, max_len: int = 1024) -> DataFrame:
 def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack the documents into as few sequences of ``max_len`` tokens as best
     fit by decreasing length finds. One row per piece."""
-    return pack(token_pieces(docs, tokenizer or C.default_tokenizer(), end_id, max_len, id_col, text_col), max_len)
+    return pack(token_pieces(docs, tokenizer or encoder.default_tokenizer(), end_id, max_len, id_col, text_col), max_len)

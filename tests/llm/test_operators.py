@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm import archives, common, dac, decontaminate, exact_dedup, language, licenses, lm_score, near_dedup, packing, quality, queries
+from eventloom.llm import archives, common, dac, decontaminate, encoder, exact_dedup, language, licenses, lm_score, near_dedup, packing, quality, queries
 
 from ..conftest import SF, rows_of
 
@@ -210,7 +210,7 @@ def test_forward_sums_all_segmentations():
 def reference_ids(rows):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(common.default_tokenizer())
+    t = Tokenizer.from_file(encoder.default_tokenizer())
     return [np.asarray([*t.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4") for r in rows]
 
 
@@ -226,20 +226,36 @@ def test_codes_round_trip(spark, docs, none):
 
 
 def test_encoder_keeps_the_ids_of_whole_texts():
-    """Against the library on odd mixtures, with a cache that overflows."""
+    """Against the library on odd mixtures, with a table that overflows."""
     from tokenizers import Tokenizer
 
     rng = random.Random(4)
-    bits = ["a", "B", "é", "×", "ß", " ", "  ", "\n", "\n\n", "\t", "'", "'s", "don't", "<|endoftext|>", "1", "22", ".", ",", "...", "(", "ɐ", "ʼ", "日本", "\u00a0", "İ", "_", "-", "😀", "\u0301", "xxxxx", "\r\n", "ª", "²", "Ⅷ", "'ll", "\x0b", "\x1c", "\x85"]
+    bits = ["a", "’", "–", "×", "\u2003", "B", "é", "Ɏ", "ß", " ", "  ", "\n", "\n\n", "\t", "'", "'s", "don't", "<|endoftext|>", "1", "22", ".", ",", "...", "(", "ɐ", "ʼ", "日本", "\u00a0", "İ", "_", "-", "😀", "\u0301", "xxxxx", "\r\n", "ª", "²", "Ⅷ", "'ll", "\x0b", "\x1c", "\x85"]
     texts = ["", *(rng.choice(["", " "]).join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(20_000))]
-    path = common.default_tokenizer()
+    path = encoder.default_tokenizer()
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     got = []
-    for ids, n in common.ChunkEncoder(path, 3000).encode(pa.array([*texts, None]), together=20_000):
+    for ids, n in encoder.Encoder(path, 3000).encode(pa.array([*texts, None]), together=20_000):
         got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
     assert got == [*want, []]
 
 
+def test_words_of_columns():
+    """Equal words have equal hashes, different ones different hashes, and none crosses the end of a text."""
+    rng = random.Random(8)
+    bits = ["a", "B", "b", "é", " ", "  ", "\n", "\t", "\x0c", "abcdefgh", "abcdefghi", "x" * 40, "x" * 41, "\x00", "日"]
+    texts = [None, "", "a", "b ", " c", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(3000))]
+    seen = {}
+    got = [h.tolist() for some in common.word_hashes(pa.array(texts)) for h in some]
+    assert len(got) == len(texts)
+    for t, hs in zip(texts, got):
+        ws = fold(t).encode().split()
+        assert len(ws) == len(hs)
+        for w, h in zip(ws, hs):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_random_access():
     ids = np.concatenate([RNG.integers(0, 1 << k, 700) for k in (4, 8, 9, 16, 17, 24, 31)]).astype(np.uint32)
     RNG.shuffle(ids)
@@ -360,6 +376,31 @@ def test_near_dedup(spark, docs, width):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Rows of one id are judged by their own texts."""
+    a, b, c = text(50, 21), text(50, 22), text(50, 23)
+    d = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, b), (4, c), (4, c), (5, c + " end")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_dedup(d).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4)]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_near_dedup_of_a_crowd(spark, rounds):
+    """Copies of one text whose links are not found by one leader, beside a crowd that never links; in small blocks."""
+    w = text(150, 31).split()
+    rows = []
+    for k in range(60):
+        v, r = list(w), np.random.default_rng(100 + k)
+        for j in r.integers(0, 150, 3 if k % 2 else 14):
+            v[j] = f"edit{k}-{j}"
+        rows.append((k, " ".join(v)))
+    want = brute_components(rows, 2, 80)
+    assert 1 < len({c for _, c in want.values()}) < 40
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(d, width=2, rounds=rounds, block=8).collect()}
+    assert got == want
+
+
 def test_near_dedup_of_nothing(none):
     assert near_dedup.near_dedup(none).count() == 0
 
