@@ -13,14 +13,14 @@ similarity.
    at the threshold of 0.8 shares none with a chance of (1 - 0.8^6)^48, about 5e-7.
    Buckets of at most 8 classes give their pairs at once.
 3. *Rounds.* In larger buckets all members face one leader, picked anew in each round from the
-   bucket's largest component, so a bucket of n gives n - 1 pairs and not n^2. Pairs are
+   bucket's largest group, so a bucket of n gives n - 1 pairs and not n^2. Pairs are
    estimated jointly by likelihood from their registers; each class verifies its best
-   candidate outside its own component on full sets; links merge components; buckets that lie
-   within one component are finished.
-4. *Rest.* In buckets that still hold several components, the classes outside the largest
+   candidate outside its own group on full sets; a link moves the group of its class into
+   the leader's. Groups are connected, if not yet whole components; pairs within one need no test.
+4. *Rest.* In buckets that still hold several groups, the classes outside the largest
    one are compared with all others, block by block with matrix products over their
-   sets, so no link is lost to the choice of leaders. The largest component is not compared
-   with itself: pairs within one component need no test, as the result is components.
+   sets, so no link is lost to the choice of leaders. The largest group is not compared
+   with itself. Components of all links then give the result.
 
 Estimates only discard pairs five standard errors below the threshold. Sizes
 discard exactly: sets whose sizes differ by more than the threshold can't link.
@@ -144,7 +144,7 @@ class _Linker:
         return (F.col(nx) * 100 >= F.col(ny) * self.percent) & (F.col(ny) * 100 >= F.col(nx) * self.percent)
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
-        """(x, y, est) of those pairs that may reach the threshold."""
+        """(x, y, est) of those of the stored pairs that may reach the threshold."""
         m, least = self.m, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +157,10 @@ class _Linker:
                 yield pa.RecordBatch.from_arrays([b.column("x").take(pa.array(at)), b.column("y").take(pa.array(at)), pa.array(est[at])], ["x", "y", "est"])
 
         of = lambda a: self.classes.select(F.col("rep").alias(a), F.col("n").alias(f"n{a}"), F.col("regs").alias(f"r{a}"))
-        pairs = C.saved(pairs.select("x", "y").distinct(), "faced")
-        full = C.join_spread(pairs, of("x"), "x", "y", self.heavy)
-        full = C.join_spread(full, of("y"), "y", "x", self.heavy, pairs)
-        out = C.saved(full.mapInArrow(run, "x long, y long, est double"), "estimated")
-        C.discard(pairs)
-        return out
+        pairs = pairs.select("x", "y")
+        # a class is x in few pairs, one for each bucket at most, but a leader is y in many
+        full = C.join_spread(pairs.join(of("x"), "x"), of("y"), "y", "x", self.heavy, pairs)
+        return C.saved(full.mapInArrow(run, "x long, y long, est double"), "estimated")
 
     def read_sets(self, wanted: DataFrame) -> None:
         """The sets of the classes in ``wanted`` (rep, doc_id), in one pass over the texts: a filter
@@ -202,8 +200,8 @@ class _Linker:
         pairs = C.saved(pairs.select("x", "y"), "pairs")
         items = self.sets(pairs.select(F.explode(F.array("x", "y")).alias("rep")))
         of = lambda a: items.select(F.col("rep").alias(a), F.col("items").alias(f"i{a}"))
-        full = C.join_spread(pairs, of("x"), "x", "y", self.heavy)
-        full = C.join_spread(full, of("y"), "y", "x", self.heavy, pairs)
+        # a class is x in few pairs, one for each bucket at most, but a leader is y in many
+        full = C.join_spread(pairs.join(of("x"), "x"), of("y"), "y", "x", self.heavy, pairs)
         links = C.saved(full.mapInArrow(run, "a long, b long").distinct(), "links")
         C.discard(pairs)
         return links
@@ -269,7 +267,7 @@ def _shape(members: DataFrame) -> DataFrame:
 SMALL = 8  # a bucket of so many gives its pairs at once, at most 28 of them
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 48, band_rows: int = 6, rounds: int = 4, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 48, band_rows: int = 6, rounds: int = 3, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     spark, m = docs.sparkSession, bands * band_rows
     C.small_batches(spark)
@@ -290,30 +288,26 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     linker.read_sets(shared.select("rep").distinct().join(classes.select("rep", "doc_id"), "rep"))
     a, b = shared.where(F.col("c") <= SMALL).alias("a"), shared.where(F.col("c") <= SMALL).alias("b")
     few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & linker.close("a.n", "b.n"))
-    # pairs of small buckets are estimated once; those below the margin never come back
-    listed = linker.estimated(few.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))).withColumns({"cx": F.col("x"), "cy": F.col("y")})
+    listed = linker.estimated(C.saved(few.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct(), "few"))
     members = C.saved(shared.where(F.col("c") > SMALL).drop("c"), "members")
     C.discard(shared)
 
     found: list[DataFrame] = []
     for k in range(rounds):
-        # the leader comes from the largest component
+        # the leader comes from the largest group
         mine = F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "comp")).alias("l")
         comps = members.groupBy("key", "comp").agg(F.count("*").alias("c"), mine)
         lead = C.saved(comps.groupBy("key").agg(F.sum("c").alias("c"), F.max_by("l", F.struct("c", "l.h")).alias("l")), "leaders")
-        pairs = C.join_groups(members, lead, "key", "c", heavy).where("comp <> l.comp").select(F.col("rep").alias("x"), F.col("l.rep").alias("y"), "n", F.col("l.n").alias("ny"))
-        pairs = linker.estimated(pairs.where(linker.close("n", "ny")))
-        both = pairs.select("x", "y", "est").unionByName(listed.select("x", "y", "est"))
-        links = linker.verified(both.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y")))
-        C.discard(pairs, lead)
-        if not links.head(1):
-            continue
+        pairs = C.join_groups(members, lead, "key", "c", heavy).where("comp <> l.comp").select(F.col("rep").alias("x"), F.col("l.rep").alias("y"), "comp", F.col("l.comp").alias("to"), "n", F.col("l.n").alias("ny"))
+        pairs = C.saved(pairs.where(linker.close("n", "ny")).select("x", "y", "comp", "to").distinct(), "faced")
+        est = linker.estimated(pairs)
+        links = linker.verified(est.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y")))
         found.append(links)
-        moved = graphs.components(_joined(found))
-        old, members = members, C.saved(_open(members, moved, heavy), "members")
-        C.discard(old)
-        old, listed = listed, C.saved(_open_pairs(listed, moved), "candidates")
-        C.discard(old, moved)
+        # a group moves into one of those its classes link with
+        moved = pairs.join(links, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))).groupBy("comp").agg(F.min("to").alias("to"))
+        new = members.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select(*members.columns)
+        old, members = members, C.saved(new, "members")
+        C.discard(old, pairs, est, lead)
     found += [linker.verified(listed), linker.rest_in_buckets(members, block)]
 
     comp = graphs.components(_joined(found)).withColumnsRenamed({"node": "rep"})
@@ -333,18 +327,3 @@ def _joined(found: list[DataFrame]) -> DataFrame:
     for f in found[1:]:
         every = every.unionByName(f)
     return every
-
-
-def _open(members: DataFrame, moved: DataFrame, heavy: int) -> DataFrame:
-    """Members with their components; buckets within one component are finished."""
-    to = moved.select(F.col("node").alias("rep"), F.col("component").alias("_to"))
-    out = C.saved(members.join(to, "rep", "left").withColumn("comp", F.coalesce("_to", "rep")).drop("_to"), "moved")
-    live = C.saved(out.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c"), "live")
-    return C.join_groups(out, live, "key", "c", heavy).select(*members.columns)
-
-
-def _open_pairs(listed: DataFrame, moved: DataFrame) -> DataFrame:
-    for p in "xy":
-        to = moved.select(F.col("node").alias(p), F.col("component").alias("_to"))
-        listed = listed.join(to, p, "left").withColumn(f"c{p}", F.coalesce("_to", p)).drop("_to")
-    return listed.where("cx <> cy")
