@@ -78,7 +78,7 @@ def discard(*tables: DataFrame | None) -> None:
 def small_batches(spark: SparkSession) -> None:
     """Whole texts travel to Python in batches bounded by bytes and by rows. Every operator
     sets the same bounds, so it makes no difference which one did so last."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
