@@ -10,14 +10,16 @@ The index leaves out words that no occurrence can contain: words that are in no
 benchmark item, and runs of benchmark words shorter than the shortest window.
 That is exact, since an occurrence is a run of benchmark words at least that long.
 
-Benchmark items are collected in slices of at most ``slice_bytes``; a larger
+Equal windows of different items are searched once. Benchmark items are collected in slices of
+at most ``slice_bytes`` of text, held as arrays of about five bytes a byte; a larger
 benchmark means more slices and one scan of the documents for each, so what is
-sent to the executors is bounded. Documents never shuffle while there is one slice.
+sent to the executors is bounded. Rows of several scans meet again by their place in the
+input, which is therefore to be read from files. Documents never shuffle; with several
+slices (row, spans, items) do.
 
 Defined results: a null or wordless text has no words and no hits; an item
 without words, or with a null id, has no windows; repeated items with one id
-count once; a null doc_id is kept as null; documents that repeat give a row each
-(with several slices, rows equal in id and number of words are merged); other columns are
+count once; a null doc_id is kept as null; documents that repeat give a row each; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SPANS = "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
+SPANS = "row long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
 
 
 # ------------------------------------------------------------ index
@@ -64,7 +66,7 @@ class WaveletMatrix:
         self.ones, self.zeros = [], []
         for level in reversed(range(self.depth)):
             bit = (symbols >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]))
+            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
             self.zeros.append(len(bit) - int(self.ones[-1][-1]))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
@@ -75,7 +77,7 @@ class WaveletMatrix:
             up = (symbol >> level) & 1 == 1
             s, e = ones[start], ones[end]
             start, end = np.where(up, zeros + s, start - s), np.where(up, zeros + e, end - e)
-        return end - start
+        return (end - start).astype(np.int64)
 
     def access(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros_like(at)
@@ -97,15 +99,13 @@ class FMIndex:
         self.sampled = keep
         self.place = np.where(keep, sa, -1)
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges of the patterns (rows filled up with 0 at the left)."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for col in reversed(range(patterns.shape[1])):
-            c = patterns[:, col]
-            live = np.flatnonzero((c > 0) & (lo < hi))
-            if not len(live):
-                break
-            c = c[live]
+    def search(self, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges of the patterns ``words[start : start + size]``, from their last words to their first."""
+        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
+        live = np.arange(len(start))
+        for back in range(1, int(size.max(initial=0)) + 1):
+            live = live[(size[live] >= back) & (lo[live] < hi[live])]
+            c = words[start[live] + size[live] - back].astype(np.int64)
             known = c + 1 < len(self.before)
             hi[live[~known]] = lo[live[~known]]
             live, c = live[known], c[known]
@@ -129,22 +129,43 @@ class FMIndex:
 
 # ------------------------------------------------------------ benchmark
 class Windows:
-    """The windows of a slice of the benchmark over its own vocabulary."""
+    """The distinct windows of a slice of the benchmark over its own vocabulary, and the items of each."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int):
         self.vocab: dict[bytes, int] = {}
-        rows, owner, self.items, sizes = [], [], [i for i, _ in items], []
-        for k, (_, text) in enumerate(items):
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in text.translate(C.FOLD_ALNUM).split()]
-            for s in range(max(1, len(ids) - width + 1) if ids else 0):
-                part = ids[s : s + width]
-                rows.append([0] * (width - len(part)) + part)
-                owner.append(k)
-                sizes.append(len(part))
-        self.patterns = np.asarray(rows, np.int64).reshape(-1, width)
-        self.owner, self.sizes = np.asarray(owner, np.int64), np.asarray(sizes, np.int64)
+        names = {i: k for k, i in enumerate(dict.fromkeys(i for i, _ in items))}
+        self.items = list(names)
+        every, start, size, owner, at = [np.zeros(0, np.int32)], [], [], [], 0
+        for i, text in items:
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in text.translate(C.FOLD_ALNUM).split()], np.int32)
+            n = max(1, len(ids) - width + 1) if len(ids) else 0
+            every.append(ids)
+            start.append(at + np.arange(n))
+            size.append(np.full(n, min(width, len(ids)), np.int16))
+            owner.append(np.full(n, names[i], np.int32))
+            at += len(ids)
+        self.words = np.concatenate(every)
+        start, size, owner = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((start, np.int64), (size, np.int16), (owner, np.int32)))
+        key = size.astype(np.uint64)
+        for k in range(width):
+            w = self.words[np.minimum(start + k, max(0, at - 1))].astype(np.uint64) if at else key
+            key = C.mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.where(k < size, w, 0).astype(np.uint64))
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        self.start, self.sizes = start[first], size[first].astype(np.int64)
+        # the items of window k: owner[at[k] : at[k + 1]]
+        pairs = np.unique(np.stack([which.astype(np.int64), owner.astype(np.int64)]), axis=1) if at else np.zeros((2, 0), np.int64)
+        self.owner = pairs[1].astype(np.int32)
+        self.at = np.searchsorted(pairs[0], np.arange(len(first) + 1))
         self.least = int(self.sizes.min(initial=width))
 
+    def items_of(self, docs: np.ndarray, windows: np.ndarray) -> Iterator[tuple[int, str]]:
+        """Distinct (document, item) of pairs of document and window."""
+        pairs = np.unique(np.stack([docs, windows]), axis=1)
+        n = self.at[pairs[1] + 1] - self.at[pairs[1]]
+        place = np.repeat(self.at[pairs[1]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for d, k in np.unique(np.stack([np.repeat(pairs[0], n), self.owner[place]]), axis=1).T.tolist():
+            yield d, self.items[k]
+
 
 def scan_shard(texts: list[bytes | None], w: Windows) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """(words, merged spans of hit words, items) of each text of a shard."""
@@ -162,7 +183,7 @@ def scan_shard(texts: list[bytes | None], w: Windows) -> list[tuple[int, list[tu
     long = last - first >= w.least
     first, last = first[long], last[long]
     empty = [(int(n), [], []) for n in sizes]
-    if not len(first) or not len(w.patterns):
+    if not len(first) or not len(w.start):
         return empty
     size = last - first + 1  # with the separator behind each run
     start = np.cumsum(size) - size
@@ -170,7 +191,7 @@ def scan_shard(texts: list[bytes | None], w: Windows) -> list[tuple[int, list[tu
     symbols = every[np.minimum(origin, len(every) - 1)].copy()
     symbols[start + size - 1] = 0
     index = FMIndex(symbols)
-    lo, hi = index.search(w.patterns)
+    lo, hi = index.search(w.words, w.start, w.sizes)
     n = np.maximum(hi - lo, 0)
     if not n.sum():
         return empty
@@ -186,31 +207,30 @@ def scan_shard(texts: list[bytes | None], w: Windows) -> list[tuple[int, list[tu
     doc = np.searchsorted(doc_at, a, "right") - 1
     for d, s, e in zip(doc.tolist(), (a - doc_at[doc]).tolist(), (b - doc_at[doc]).tolist()):
         empty[d][1].append((s, e))
-    hits = np.unique(np.stack([np.searchsorted(doc_at, at, "right") - 1, w.owner[which]], 1), axis=0)
-    for d, k in hits.tolist():
-        if w.items[k] not in empty[d][2]:
-            empty[d][2].append(w.items[k])
+    for d, item in w.items_of(np.searchsorted(doc_at, at, "right") - 1, which):
+        empty[d][2].append(item)
     return empty
 
 
 def _slices(benchmark: DataFrame, id_col: str, text_col: str, slice_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).head()["b"]
-    n = max(1, -(-2 * size // slice_bytes))
+    n = max(1, -(-2 * size // slice_bytes))  # half full, as items are dealt by hash
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield [(r["i"], r["t"].encode()) for r in part.collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 8 << 20, slice_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 4 << 20, slice_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, spans (merged, in words) and items."""
     C.small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = []
     for items in _slices(benchmark, item_col, item_text_col, slice_bytes):
         w = docs.sparkSession.sparkContext.broadcast(Windows(items, width))
 
         def run(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+            rows: list = []
             ids: list = []
             texts: list = []
             held = 0
@@ -219,27 +239,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
                 found = scan_shard(texts, w.value)
                 spans = [[{"start": s, "stop": e} for s, e in f[1]] for f in found]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array(spans, kind), pa.array([f[2] for f in found], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+                return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array(spans, kind), pa.array([f[2] for f in found], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "spans", "items"])
 
             for b in batches:
-                for i, t in zip(b.column("doc_id").to_pylist(), C.utf8(b, "text")):
+                for r, i, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), C.utf8(b, "text")):
+                    rows.append(r)
                     ids.append(i)
                     texts.append(t)
                     held += len(t or b"")
                     if held >= shard_bytes:
                         yield close()
-                        ids, texts, held = [], [], 0
+                        rows, ids, texts, held = [], [], [], 0
             if ids:
                 yield close()
 
         parts.append(docs.mapInArrow(run, SPANS))
-    if len(parts) == 1:
-        return parts[0]
     every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    grouped = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return grouped.withColumn("spans", merged_spans("spans"))
+    if len(parts) > 1:
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        # as many rows for each as there are slices
+        both = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")]
+        every = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *both)
+        every = every.withColumn("spans", merged_spans("spans")).withColumn("items", F.array_distinct("items"))
+    return every.drop("row")
 
 
 def merged_spans(col: str):
