@@ -68,9 +68,9 @@ def safe_url(url: str | None) -> str:
     return urllib.parse.quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else "urn:unknown"
 
 
-def write_arc(pages: DataFrame, version: int = 1, file_bytes: int = 32 << 20, date: str = "20080430204825") -> DataFrame:
+def write_arc(pages: DataFrame, version: int = 1, file_bytes: int = 32 << 20, date: str = "20080430204825", folder: str | None = None) -> DataFrame:
     """Write (page_id, url, html) as ARC files; returns (path, n records)."""
-    folder = C.fresh_dir(pages.sparkSession, "arc")
+    folder = folder or C.fresh_dir(pages.sparkSession, "arc")
     desc = f"{version} 0 eventloom\n{ARC_FIELDS[version]}\n\n".encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +219,9 @@ def convert(arcs: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
                 done.append((to, nth + 1))
         yield _listed(done)
 
-    # the list is slim and would be joined in one task; each archive is work of its own
-    spread = todo.repartition(C.shuffle_partitions(spark), "path")
+    # the list is slim and comes out of its join in one task; each archive is work of its own. Dealing
+    # it by path again would be left out as needless, so it is dealt by a hash
+    spread = todo.repartition(C.shuffle_partitions(spark), F.xxhash64("path", F.lit(7)))
     return C.saved(spread.mapInArrow(run, LISTED), "warc-files")
 
 
@@ -270,6 +271,15 @@ def read_warc(warcs: DataFrame) -> DataFrame:
     return warcs.select("path").repartition(C.shuffle_partitions(warcs.sparkSession), "path").mapInArrow(run, RECORD)
 
 
-def arc_to_warc(pages: DataFrame, arc_version: int = 1, revisit_bytes: int = 1000, file_bytes: int = 32 << 20) -> DataFrame:
-    """Write pages as ARC files, convert those to WARC and read these back."""
-    return read_warc(convert(write_arc(pages, arc_version, file_bytes), revisit_bytes))
+def arc_to_warc(pages: DataFrame, arc_version: int | None = None, revisit_bytes: int = 1000, file_bytes: int = 32 << 20) -> DataFrame:
+    """Write pages as ARC files, convert those to WARC and read these back. Without ``arc_version``
+    about half the pages go to files of each version. The ARC files are deleted once they are converted."""
+    folder = C.fresh_dir(pages.sparkSession, "arc")
+    if arc_version is None:
+        half = F.pmod(F.xxhash64("page_id", F.lit("version")), F.lit(2))
+        arcs = write_arc(pages.where(half == 0), 1, file_bytes, folder=folder).unionByName(write_arc(pages.where(half == 1), 2, file_bytes, folder=folder))
+    else:
+        arcs = write_arc(pages, arc_version, file_bytes, folder=folder)
+    warcs = convert(arcs, revisit_bytes)
+    files.remove(folder)
+    return read_warc(warcs)

@@ -33,6 +33,14 @@ def read_all(address: str) -> bytes:
         return s.read()
 
 
+def write(address: str, data: bytes) -> None:
+    """A file of a given name, for what comes out alike however often a task runs."""
+    system, path = fs.FileSystem.from_uri(address)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path, compression=None) as out:
+        out.write(data)
+
+
 def remove(address: str) -> None:
     """Delete a folder of intermediate files, if it is there."""
     system, path = fs.FileSystem.from_uri(address)
