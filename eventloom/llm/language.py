@@ -7,9 +7,10 @@ probabilities are fitted by expectation maximisation with forward-backward
 counts, on at most about ``sample_rows`` labelled texts a language (a documented
 bound: rows are drawn by a hash of their id, whole texts each).
 
-Words are maximal runs of letters, lower-cased. Scores of words are remembered
+Words are maximal runs of letters, lower-cased, of any length. Scores of words are remembered
 by each worker, in a cache of bounded size. A letter outside the vocabulary is a
-piece of its own. Words over 32 letters are scored in parts of 32.
+piece of its own. Words over ``LONG`` letters are summed over all their segmentations with scaling, one
+by one; only in training do they count as parts of ``LONG`` letters.
 
 Defined results: a text that is null or has no letters, or any text if nothing
 could be learned, is ``und`` with score 0; the score is else the posterior of the
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 32
+LONG = 32
 MARK = "▁"  # begins a word in the vocabulary
 
 
@@ -57,8 +58,11 @@ def load_pieces(path: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    return found if not any(len(w) > LONGEST for w in found) else [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
+    return LETTERS.findall(text.lower())
+
+
+def parts_of(word: str) -> list[str]:
+    return [word] if len(word) <= LONG else [word[k : k + LONG] for k in range(0, len(word), LONG)]
 
 
 class Lattice:
@@ -131,6 +135,33 @@ class Lattice:
         return out
 
 
+    def long_log_likelihood(self, word: str, p: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """The same of one word of any length, for each language: only the last sums are kept, and
+        scaled at each letter. Pieces are looked up for ``block`` places at once."""
+        code = np.frombuffer((MARK + word).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        n, wide = len(code), self.longest
+        last, log = np.zeros((wide, p.shape[1])), np.zeros(p.shape[1])
+        last[-1] = 1  # sums before each of the last places
+        for at in range(0, n, block):
+            low = max(0, at - wide + 1)
+            some = code[low : at + block]
+            own = np.zeros(len(some), np.uint64)  # hash of the k letters that end at each place
+            found = np.zeros((wide, len(some)), np.int32)
+            for k in range(min(wide, len(some))):
+                # one more letter in front: its weight is the base to the power of those behind it
+                own[k:] += some[: len(some) - k] * self.power[k]
+                found[k, k:] = self.lookup(own[k:])
+            found[0][found[0] == 0] = 1
+            for e in range(at, min(n, at + block)):
+                ids = found[:, e - low]
+                k = np.flatnonzero(ids)
+                new = (last[wide - 1 - k] * p[ids[k]]).sum(axis=0)
+                log += np.log(new)
+                last[:-1] = last[1:] / new
+                last[-1] = 1
+        return log
+
+
 def fit(counts: dict[str, Counter], pieces: dict[str, int], rounds: int = 3, smooth: float = 0.02) -> np.ndarray:
     """Piece probabilities, ids x languages, by expectation maximisation."""
     lat, size = Lattice(pieces), len(pieces) + 2
@@ -171,7 +202,7 @@ def train(docs: DataFrame, trainable: Column, vocabulary: str, sample_rows: int,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = Counter((lang, w) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()) for w in words_of(t))
+            c = Counter((lang, part) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()) for w in words_of(t) for part in parts_of(w))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
     counts: dict[str, Counter] = {k: Counter() for k in n}
@@ -185,8 +216,8 @@ def train(docs: DataFrame, trainable: Column, vocabulary: str, sample_rows: int,
 class Scorer:
     """Texts to (language, posterior)."""
 
-    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, limit: int = 700_000):
-        self.langs, self.p, self.lattice, self.limit = langs, p, Lattice(load_pieces(vocabulary)), limit
+    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str | None, limit: int = 200_000, pieces: dict[str, int] | None = None):
+        self.langs, self.p, self.lattice, self.limit = langs, p, Lattice(pieces or load_pieces(vocabulary)), limit
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, len(langs)))
 
@@ -197,6 +228,8 @@ class Scorer:
             self.at, self.rows = {}, self.rows[:0]
         words = [words_of(t) if t else [] for t in texts]
         new = list({w for ws in words for w in ws if w not in self.at})
+        long = {w: self.lattice.long_log_likelihood(w, self.p) for w in new if len(w) > LONG}
+        new = [w for w in new if w not in long] if long else new
         self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         self.rows = np.concatenate([self.rows, *(self.lattice.log_likelihood(new[k : k + 20_000], self.p) for k in range(0, len(new), 20_000))])
         out = []
@@ -204,7 +237,10 @@ class Scorer:
             if not ws:
                 out.append(("und", 0.0))
                 continue
-            ll = self.rows[np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+            known = [w for w in ws if w not in long] if long else ws
+            ll = self.rows[np.fromiter(map(self.at.__getitem__, known), np.int64, len(known))].sum(axis=0)
+            if len(known) < len(ws):
+                ll = ll + sum(long[w] for w in ws if w in long)
             best = int(ll.argmax())
             out.append((self.langs[best], float(1 / np.exp(ll - ll[best]).sum())))
         return out
@@ -221,24 +257,24 @@ def _scorer(key: str, model, vocabulary: str) -> Scorer:
     return _LAST[key]
 
 
-def identify(docs: DataFrame, trainable: Column | None = None, vocabulary: str | None = None, sample_rows: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with lang_pred and score added. ``trainable``: which rows' labels
+def identify(docs: DataFrame, trainable: Column | None = None, vocabulary: str | None = None, sample_rows: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with lang_pred and score added. ``trainable``: which rows' labels
     may be learned from; labels are never an input of a prediction."""
     C.small_batches(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     langs, p = train(docs, F.lit(True) if trainable is None else trainable, vocabulary, sample_rows, id_col, text_col, lang_col)
     model = docs.sparkSession.sparkContext.broadcast((langs, p))  # languages x vocabulary
-    fields = docs.drop("lang_pred", "score")
-    at = fields.columns.index(text_col)
-
+    keep = keep or [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = keep if text_col in keep else [*keep, text_col]
+    at, sent = names.index(text_col), docs.select(*names)
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(key, model, vocabulary)
         for b in batches:
-            got = scorer.score(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            got = scorer.score(b.column(at).cast(pa.string()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
     from pyspark.sql import types as T
 
-    return fields.mapInArrow(run, T.StructType([*fields.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return sent.mapInArrow(run, T.StructType([*sent.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
