@@ -5,8 +5,9 @@ stretches of at most ``WINDOW`` words that resemble a template (share of the
 template's 2-grams of words), and every stretch is
 classified by multinomial logistic regression on sparse word n-grams (1 to 3).
 The classes are the licence families and *unknown*. The model is trained here: on
-notices of each family in many altered forms, and on lines of the corpus itself
-as unknown (a bounded sample, ``negatives``, drawn by hash); its temperature, and with it the
+notices of each family in many altered forms, and on stretches of the corpus itself
+as unknown (of a bounded sample of rows, ``negatives``, drawn by hash: one stretch of each, and one more
+that names licences or rights without resembling a template); its temperature, and with it the
 probability of unknown, is calibrated on altered notices and lines that training
 did not see. A stretch counts only if the prediction is the family it resembles. Overlapping
 stretches of one family are one notice; of stretches of two families that share more than half of their words
@@ -23,6 +24,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -162,6 +164,22 @@ def paragraphs(text: bytes | None) -> Iterator[tuple[list[bytes], list[int]]]:
         yield w, at
 
 
+NAMING = {b"license", b"licence", b"licensed", b"licenses", b"copyright", b"copyrighted", b"rights", b"permission", b"permitted"}
+
+
+def negative_stretches(text: bytes | None, f: Features, alike: float) -> list[list[bytes]]:
+    """Two stretches at most that resemble no template: one drawn by a hash of the text among those
+    that name no licence, and one among those that do."""
+    plain, hard = [], []
+    for w, _ in paragraphs(text):
+        for s in windows(w):
+            naming = NAMING.intersection(s)
+            if not naming or all(f.resemblance(s, family) < alike for family in TEMPLATES):
+                (hard if naming else plain).append(s)
+    at = zlib.crc32(text or b"")
+    return [x[at % len(x)] for x in (plain, hard) if x]
+
+
 def spans(hits: list[tuple[int, tuple]], template: set, alike: float) -> list[tuple[int, int, float]]:
     """(first word, one after the last, resemblance) of stretches of at most ``WINDOW`` words that
     resemble a template: the best first, then whatever does not overlap it."""
@@ -230,13 +248,18 @@ def license_scan(docs: DataFrame, negatives: int = 2000, least: float = 0.5, ali
     """One row per input row: the licence family of its notices, if any."""
     C.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # unknown lines to learn from: the first line of a bounded number of rows, drawn by hash; none that names a licence
-    draw = docs.where(F.col("text").isNotNull() & ~F.lower("text").rlike("licen[sc]e|rights reserved|copyright|public domain|cc by"))
-    total = draw.count()
+    total = docs.count()
     share = min(1.0, negatives / max(1, total))
-    some = draw.where(F.pmod(F.xxhash64("doc_id", F.lit("negatives")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    lines = some.select(F.substring(F.element_at(F.split("text", "\n", 2), 1), 1, 2000).alias("l")).toArrow().column("l").to_pylist()
-    model = docs.sparkSession.sparkContext.broadcast(Model([x.encode() for x in sorted(lines) if x]))  # families x n-grams of templates
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("negatives")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Features()
+        for b in batches:
+            out = [" ".join(w.decode("utf-8", "replace") for w in s) for t in C.utf8(b, "text") for s in negative_stretches(t, f, alike)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["l"])
+
+    lines = some.mapInArrow(draw, "l string").toArrow().column("l").to_pylist()
+    model = docs.sparkSession.sparkContext.broadcast(Model([x.encode() for x in sorted(lines)]))  # families x n-grams of templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
