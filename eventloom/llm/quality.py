@@ -1,7 +1,9 @@
 """Quality by hierarchical empirical Bayes.
 
 A logistic regression on features of the text gives each document's evidence as
-a log-likelihood ratio (the log-odds less those of the training rows). Sites
+a log-likelihood ratio (the log-odds less those of the training rows). Its features are statistics of
+characters and lines, and the mean log-odds of the text's words and of its pairs of words as hashed
+n-grams. For fitting, each half of the training rows takes the log-odds of the other half. Sites
 add to it: grouped aggregation gives each host and each path below it the number of
 documents and the sum of their classifier posteriors, and each level's rate is
 shrunk toward the level above with a strength fitted by the method of moments,
@@ -17,7 +19,7 @@ documents, of which there can only be a fixed number; others shuffle with slim
 rows (id, evidence, site), never with texts.
 
 The classifier is fitted on at most about ``sample_rows`` labelled rows (a
-documented bound, drawn by hash of the id).
+documented bound, drawn by hash of the id). Of several labels for one id the largest holds.
 
 Defined results: null or wordless texts have the evidence of an empty text; a
 null host or path is a site of its own; with labels of one kind or none the
@@ -36,13 +38,22 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-N_FEATURES = 9
+N_FEATURES = 11
+N_BUCKETS = 1 << 16  # of hashed n-grams: the lower half for words, the upper for pairs
 _LETTERS = bytes(c for c in range(256) if c >= 128 or chr(c).isalpha())
 _DIGITS, _SPACE, _UPPER = b"0123456789", b" \t\n\r\x0b\x0c", bytes(range(65, 91))
 
 
-def features(text: bytes | None) -> list[float]:
-    """Of the whole text: variety, symbols, digits, capitals, lengths, lines."""
+def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of the words and of the pairs of words of a text."""
+    half = N_BUCKETS // 2
+    one, two = (np.unique((x >> np.uint64(40)).astype(np.int64) % half) for x in (h, C.gram_hashes(h, 2)))
+    return one, two + half
+
+
+def features(text: bytes | None, h: np.ndarray, odds: np.ndarray) -> list[float]:
+    """Of the whole text: variety, symbols, digits, capitals, lengths, lines, n-grams."""
+    one, two = grams(h)
     t = text or b""
     w = t.split()
     lines = [x for x in t.split(b"\n") if x.strip()]
@@ -60,20 +71,43 @@ def features(text: bytes | None) -> list[float]:
         min(40.0, solid / k),
         len(set(lines)) / max(1, len(lines)),
         np.log1p(len(lines)) - np.log1p(len(w)) / 2,
+        odds[one].sum() / (len(one) + 20),
+        odds[two].sum() / (len(two) + 20),
     ]
 
 
+def table(b: pa.RecordBatch, *odds: np.ndarray) -> np.ndarray:
+    """The features of each text of a batch, by the log-odds of its half if there are two."""
+    hashes = (h for some in C.word_hashes(b.column("text")) for h in some)
+    half = b.column("half").to_pylist() if len(odds) > 1 else [0] * b.num_rows
+    return np.array([features(t, h, odds[k]) for t, h, k in zip(C.utf8(b, "text"), hashes, half)]).reshape(-1, N_FEATURES)
+
+
+def log_odds(counts: list, smooth: float = 4.0) -> np.ndarray:
+    """Of each bucket, from rows (bucket, y, n); bucket -1 counts the texts. Both kinds' rates are
+    shrunk toward that of all texts, so that rare n-grams say little."""
+    n = np.zeros((2, N_BUCKETS + 1))
+    for r in counts:
+        n[int(r["y"] > 0), r["bucket"]] += r["n"]
+    every = (n[:, :-1].sum(axis=0) + 0.5) / (n[:, -1].sum() + 1)
+    rate = (n[:, :-1] + smooth * every) / (n[:, -1:] + smooth)
+    return np.log(rate[1] / rate[0])
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(mean, scale, weights with intercept, training log-odds), by Newton steps
-    on features and their squares."""
+    on features and their squares. The weights of the n-grams have a prior of their own, which
+    holds them back while there are few rows."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = (x - mean) / scale
     z = np.hstack([z, z * z, np.ones((len(z), 1))])
     w = np.zeros(z.shape[1])
+    hold = np.full(len(w), ridge)
+    hold[[k + n for k in (N_FEATURES - 2, N_FEATURES - 1) for n in (0, N_FEATURES)]] += 10 / len(y)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) / len(y) + ridge * w
-        h = (z * (p * (1 - p))[:, None]).T @ z / len(y) + (ridge + 1e-9) * np.eye(z.shape[1])
+        g = z.T @ (p - y) / len(y) + hold * w
+        h = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(hold + 1e-9)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -83,38 +117,59 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str, label_col: str):
-    y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where("_id is not null and _y is not null").dropDuplicates(["_id"])
+    y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     n = y.count()
     if not n:
         return None
     draw = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) < int(min(1.0, sample_rows / n) * (1 << 30))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(y.where(draw), "_id")
+    half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2))
+    rows = C.saved(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(y.where(draw), "_id").select("text", "_y", half.alias("half")), "labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: dict[tuple, np.ndarray] = {}
+            hashes = (h for some in C.word_hashes(b.column("text")) for h in some)
+            for h, *key in zip(hashes, b.column("half").to_pylist(), b.column("_y").to_pylist()):
+                mine = n.setdefault(tuple(key), np.zeros(N_BUCKETS + 1, np.int64))
+                for at in grams(h):
+                    mine[at] += 1
+                mine[-1] += 1
+            for (part, y), mine in n.items():
+                at = np.flatnonzero(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(np.where(at < N_BUCKETS, at, -1)), pa.array(np.full(len(at), y)), pa.array(mine[at])], ["half", "bucket", "y", "n"])
+
+    # at most so many rows for each half and label as there are buckets
+    counts = rows.mapInArrow(count, "half long, bucket long, y double, n long").groupBy("half", "bucket", "y").agg(F.sum("n").alias("n")).collect()
+    halves = [log_odds([r for r in counts if r["half"] != k]) for k in (0, 1)]
+    odds = log_odds(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [np.asarray(features(t)).tobytes() for t in C.utf8(b, "text")]
+            x = [np.array(r).tobytes() for r in table(b, *halves)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column("_y")], ["x", "y"])
 
-    got = rows.select("text", "_y").mapInArrow(run, "x binary, y double").toArrow()
-    y = got.column("y").to_numpy()
+    got = rows.mapInArrow(run, "x binary, y double").toArrow()
+    C.discard(rows)
+    y = (got.column("y").to_numpy() > 0).astype(float)
     if len(set(y.tolist())) < 2:
         return None
     x = np.frombuffer(b"".join(got.column("x").to_pylist())).reshape(-1, N_FEATURES)
     order = np.lexsort([*x.T, y])  # as the rows may come in any order
-    return fit(x[order], y[order])
+    return *fit(x[order], y[order]), odds
 
 
 def evidence(docs: DataFrame, model, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
     """(doc_id, llr, host, path) of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if model is None or not b.num_rows:
+            if sent.value is None or not b.num_rows:
                 llr = np.zeros(b.num_rows)
             else:
-                mean, scale, w, odds = model
-                z = np.clip((np.array([features(t) for t in C.utf8(b, "text")]) - mean) / scale, -8, 8)
-                llr = np.hstack([z, z * z, np.ones((len(z), 1))]) @ w - odds
+                mean, scale, w, prior, odds = sent.value
+                z = np.clip((table(b, odds) - mean) / scale, -8, 8)
+                llr = np.hstack([z, z * z, np.ones((len(z), 1))]) @ w - prior
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.clip(llr, -12, 12)), b.column("host"), b.column("path")], ["doc_id", "llr", "host", "path"])
 
     C.small_batches(docs.sparkSession)
