@@ -5,30 +5,36 @@ occurs elsewhere, times ``alpha`` for each order given up (Brants et al., 2007).
 A document's own n-grams are taken out of all counts first (leave one out), so
 that no text vouches for itself.
 
-The work is relational: documents are dealt to blocks by a hash of their id;
-each block's distinct n-grams with their counts go to count tables partitioned
-by the n-gram's hash; each table partition sums the counts and joins the totals
-back to the blocks that asked; each block sums the scores of its documents. What is
+Documents are read in blocks of about ``block_bytes``, as they lie in their files. Each block's
+distinct n-grams with their counts go to count tables partitioned by the n-gram's
+hash; each table partition sums the counts and joins the totals
+back to the blocks that asked; each block, read again, sums the scores of its documents. What is
 shuffled is one row per (block, partition), holding arrays: an n-gram that
-makes up a third of the corpus is pre-aggregated to one entry per block. Nothing
+makes up a third of the corpus is pre-aggregated to one entry per block. Texts never shuffle, nothing
 is pruned or sampled, and nothing gathers at the driver.
 
+As both scans must find the same blocks, ``docs`` is to be read from files (or from
+partitions that come out alike each time); a difference is noticed and is an error.
+
 Words are runs of characters other than ASCII white space, lower-cased in A-Z. A
 word seen nowhere else counts as seen once.
 
 Defined results: a null or wordless text has n_words 0 and log_score 0; a null
-id is kept as null; rows that repeat are scored one by one, each against all the
+id is kept as null; rows that repeat or share an id are scored one by one, each against all the
 others; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import files
 
 class Block:
     """The n-grams of a block of texts, as places in one sorted array of hashes."""
@@ -36,11 +42,16 @@ class Block:
     def __init__(self, texts: pa.Array, order: int):
         words = [h for some in C.word_hashes(texts) for h in some]
         self.order, self.sizes = order, np.array([len(w) for w in words], np.int64)
-        grams = [np.concatenate([C.gram_hashes(w, k) for w in words]) if words else np.empty(0, np.uint64) for k in range(1, order + 1)]
+        words, doc = (np.concatenate(words) if words else np.empty(0, np.uint64)), np.repeat(np.arange(len(words)), self.sizes)
+
+        def grams(k: int) -> np.ndarray:
+            """Of all texts in order, without those that cross the end of one."""
+            return C.gram_hashes(words, k)[doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :]]
+
         # one order after the other, as sorting all at once takes several times the memory
         found = []
-        while grams:
-            u, at, c = np.unique(grams.pop(0), return_inverse=True, return_counts=True)
+        for n in range(1, order + 1):
+            u, at, c = np.unique(grams(n), return_inverse=True, return_counts=True)
             found.append((u, at.astype(np.int32), c))
         # the empty n-gram stands for the number of all words
         keys = np.concatenate([np.zeros(1, np.uint64), *(u for u, _, _ in found)])
@@ -85,43 +96,74 @@ def unpack_keys(data: bytes, d) -> np.ndarray:
     return np.cumsum(np.frombuffer(d.decompress(data), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
-def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """(number, ids, texts) of the blocks of a task's rows; numbers hold for all tasks."""
+    from pyspark import TaskContext
+
+    nth, held, some = TaskContext.get().partitionId() << 24, 0, []
+    join = lambda c: pa.concat_arrays([b.column(c) for b in some])
+    for b in batches:
+        some.append(b)
+        held += b.nbytes
+        if held >= block_bytes:
+            yield nth, join(0), join(1)
+            nth, held, some = nth + 1, 0, []
+    if held:
+        yield nth, join(0), join(1)
+
+
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, log_score (natural logarithm)."""
     import zstandard
 
     spark = docs.sparkSession
+    C.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).head()["b"]
     parts = C.shuffle_partitions(spark)
     n = max(1, -(-size // block_bytes), min(parts, size >> 20))
-    # both uses share this exchange
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(parts, "block")
+    folder = C.fresh_dir(spark, "lm-totals")
     # bucket of a hash: its top 32 bits, spread over n
     edges = np.array([-(-(b << 32) // n) for b in range(1, n)], np.uint64) << np.uint64(32)
 
-    def ask(table: pa.Table) -> pa.Table:
-        k = Block(table.column("text").combine_chunks(), order)
-        cut = np.concatenate([[0], np.searchsorted(k.keys, edges), [len(k.keys)]])
-        z, block = zstandard.ZstdCompressor(1), table.column("block")[0].as_py()
-        rows = [(b, block, pack_keys(k.keys[s:e], z), z.compress(k.counts[s:e].astype("<i8").tobytes())) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
-        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "keys", "counts"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(3)
+        for block, _, texts in _blocks(batches, block_bytes):
+            k = Block(texts, order)
+            cut = np.concatenate([[0], np.searchsorted(k.keys, edges), [len(k.keys)]])
+            rows = [(b, block, pack_keys(k.keys[s:e], z), z.compress(k.counts[s:e].astype("<i8").tobytes())) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
+            del k
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "keys", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
-        d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(1)
+        d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3)
         keys = [unpack_keys(k, d) for k in table.column("keys").to_pylist()]
+        sizes = np.cumsum([len(k) for k in keys])
         counts = np.concatenate([np.frombuffer(d.decompress(c), "<i8") for c in table.column("counts").to_pylist()])
         uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.zeros(len(uniq), np.int64)
-        np.add.at(sums, at, counts)
-        back = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
+        del keys
+        sums = np.bincount(at, counts, len(uniq)).astype(np.int64)
+        back = np.split(sums[at], sizes[:-1])
         return pa.table([table.column("bucket"), table.column("block"), pa.array([z.compress(x.astype("<i8").tobytes()) for x in back], pa.binary())], names=["bucket", "block", "totals"])
 
-    def settle(mine: pa.Table, got: pa.Table) -> pa.Table:
-        k, d = Block(mine.column("text").combine_chunks(), order), zstandard.ZstdDecompressor()
-        rows = sorted(zip(got.column("bucket").to_pylist(), got.column("totals").to_pylist()))
-        totals = np.concatenate([np.frombuffer(d.decompress(t), "<i8") for _, t in rows])
-        return pa.table([mine.column("doc_id"), pa.array(k.sizes), pa.array(k.scores(totals, alpha))], names=["doc_id", "n_words", "log_score"])
-
-    asked = blocks.groupBy("block").applyInArrow(ask, "bucket long, block long, keys binary, counts binary")
+    def store(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        d = zstandard.ZstdDecompressor()
+        rows = sorted(zip(table.column("bucket").to_pylist(), table.column("totals").to_pylist()))
+        raw = b"".join(d.decompress(t) for _, t in rows)
+        files.write(f"{folder}/{block}", zstandard.ZstdCompressor(3).compress(raw))
+        return pa.table([pa.array([block], pa.int64())], names=["block"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
+        for block, ids, texts in _blocks(batches, block_bytes):
+            k = Block(texts, order)
+            totals = np.frombuffer(d.decompress(files.read_all(f"{folder}/{block}")), "<i8")
+            if len(totals) != len(k.keys):
+                raise ValueError("the second scan found other blocks than the first")
+            yield pa.RecordBatch.from_arrays([ids, pa.array(k.sizes), pa.array(k.scores(totals, alpha))], ["doc_id", "n_words", "log_score"])
+
+    asked = docs.mapInArrow(ask, "bucket long, block long, keys binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(total, "bucket long, block long, totals binary")
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(settle, "doc_id long, n_words long, log_score double")
+    C.saved(told.groupBy("block").applyInArrow(store, "block long"), "lm-blocks")
+    return docs.mapInArrow(settle, "doc_id long, n_words long, log_score double")

@@ -22,18 +22,13 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
 
 
-def op1_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_score.score(_table(spark, sf_dir, "documents"), order=3)
-    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
-
-
 def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.arc_to_warc(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
-    return language.identify(docs, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score")
+    return language.identify(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +56,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return quality.quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+    return quality.quality(docs, labels, F.col("source"), F.concat("source", F.lit("/"), "lang"))
 
 
 def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op1_lm_score_order3, op2_arc_to_warc, op3_language, op4_token_codes, op5_near_dedup, op6_exact_dedup, op7_licenses, op8_decontaminate, op9_quality, op10_best_fit_pack)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_arc_to_warc, op3_language, op4_token_codes, op5_near_dedup, op6_exact_dedup, op7_licenses, op8_decontaminate, op9_quality, op10_best_fit_pack)}
 
 UP, LOW = common.UPPER, common.LOWER
 
@@ -77,21 +72,27 @@ SQL = {
 WITH w AS (
   SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i
   FROM (SELECT doc_id, regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[^\x20\x09-\x0D]+') AS l FROM documents)),
-g AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
+g AS (SELECT doc_id, i, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w),
 o1 AS (SELECT doc_id, w, count(*) AS n FROM g GROUP BY doc_id, w),
 c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w),
 o2 AS (SELECT doc_id, v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM g WHERE u IS NOT NULL GROUP BY u, v, w),
+o3 AS (SELECT doc_id, u, v, w, count(*) AS n FROM g WHERE u IS NOT NULL GROUP BY doc_id, u, v, w),
 d AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 s AS (
-  SELECT g.doc_id, g.v, c1.n - o1.n AS u, coalesce(c2.n - o2.n, 0) AS b, cv.n - ov.n AS x,
+  SELECT g.doc_id, g.u, g.v, c1.n - o1.n AS e1, coalesce(c2.n - o2.n, 0) AS e2, coalesce(c3.n - o3.n, 0) AS e3, cv.n - ov.n AS x1, cu.n - ou.n AS x2,
          greatest((SELECT count(*) FROM g) - d.n, 1) AS rest
   FROM g JOIN c1 USING (w) JOIN o1 ON o1.doc_id = g.doc_id AND o1.w = g.w JOIN d ON d.doc_id = g.doc_id
   LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN o2 ON o2.doc_id = g.doc_id AND o2.v = g.v AND o2.w = g.w
-  LEFT JOIN c1 cv ON cv.w = g.v LEFT JOIN o1 ov ON ov.doc_id = g.doc_id AND ov.w = g.v),
+  LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w LEFT JOIN o3 ON o3.doc_id = g.doc_id AND o3.u = g.u AND o3.v = g.v AND o3.w = g.w
+  LEFT JOIN c1 cv ON cv.w = g.v LEFT JOIN o1 ov ON ov.doc_id = g.doc_id AND ov.w = g.v
+  LEFT JOIN c2 cu ON cu.v = g.u AND cu.w = g.v LEFT JOIN o2 ou ON ou.doc_id = g.doc_id AND ou.v = g.u AND ou.w = g.v),
 t AS (
   SELECT doc_id, count(*) AS n_words,
-         sum(CASE WHEN b > 0 THEN ln(b / greatest(x, 1)) ELSE ln(greatest(u, 1) / rest) + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END END) AS log_score
+         sum(CASE WHEN e3 > 0 THEN ln(e3 / greatest(x2, 1))
+                  WHEN e2 > 0 THEN ln(e2 / greatest(x1, 1)) + CASE WHEN u IS NULL THEN 0 ELSE ln(0.4) END
+                  ELSE ln(greatest(e1, 1) / rest) + CASE WHEN v IS NULL THEN 0 WHEN u IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END) AS log_score
   FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(log_score, 0), 4) AS log_score FROM documents LEFT JOIN t USING (doc_id)""",
     "op2_arc_to_warc": """
