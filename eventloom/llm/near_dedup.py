@@ -296,7 +296,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     for k in range(rounds):
         # the leader comes from the largest group
         mine = F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "comp")).alias("l")
-        comps = members.groupBy("key", "comp").agg(F.count("*").alias("c"), mine)
+        comps = C.saved(members.groupBy("key", "comp").agg(F.count("*").alias("c"), mine), "groups")
         lead = C.saved(comps.groupBy("key").agg(F.sum("c").alias("c"), F.max_by("l", F.struct("c", "l.h")).alias("l")), "leaders")
         pairs = C.join_groups(members, lead, "key", "c", heavy).where("comp <> l.comp").select(F.col("rep").alias("x"), F.col("l.rep").alias("y"), "comp", F.col("l.comp").alias("to"), "n", F.col("l.n").alias("ny"))
         pairs = C.saved(pairs.where(linker.close("n", "ny")).select("x", "y", "comp", "to").distinct(), "faced")
@@ -305,9 +305,11 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
         found.append(links)
         # a group moves into one of those its classes link with
         moved = pairs.join(links, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))).groupBy("comp").agg(F.min("to").alias("to"))
-        new = members.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select(*members.columns)
+        sizes = comps.groupBy("comp").agg(F.sum("c").alias("size"))
+        moved = C.saved(moved.join(sizes, "comp"), "moved")
+        new = C.join_groups(members, moved, "comp", "size", heavy, "left").withColumn("comp", F.coalesce("to", "comp")).select(*members.columns)
         old, members = members, C.saved(new, "members")
-        C.discard(old, pairs, est, lead)
+        C.discard(old, pairs, est, lead, comps, moved)
     found += [linker.verified(listed), linker.rest_in_buckets(members, block)]
 
     comp = graphs.components(_joined(found)).withColumnsRenamed({"node": "rep"})
