@@ -132,6 +132,22 @@ def tick_windows(events: DataFrame, ticks: DataFrame, delta: float) -> DataFrame
     return interval_join(events, k, max(delta, 1e-9)).where(F.col("t") < F.col("t1")).drop("t0", "t1")
 
 
+def tick_last(events: DataFrame, ticks: DataFrame, n: int, bucket: float) -> DataFrame:
+    """The last ``n`` events before each tick (seq, tick_id, tick_t), as (tick_id, tick_t) beside them: an
+    interval join of ranks, found per time ``bucket``."""
+    from . import joins, ranks
+
+    e = ranks.global_rank(events, "seq", ["t", "event_id"], bucket, "_rank")
+    # the number of events before the tick: one more than the rank of the last of them
+    seen = e.groupBy("seq", "t").agg(F.max("_rank").alias("_last"), F.min("_rank").alias("_first"))
+    k = joins.asof(ticks.withColumnRenamed("tick_t", "t"), seen, "seq", "t", ["_last", "_first"], bucket)
+    before = F.when(F.col("prev_t") == F.col("t"), F.col("prev__first")).otherwise(F.col("prev__last") + 1)
+    k = k.select("seq", "tick_id", F.col("t").alias("tick_t"), F.coalesce(before, F.lit(0)).alias("_n"))
+    k = k.where("_n > 0").select("seq", "tick_id", "tick_t", (F.col("_n") - n).cast("double").alias("t0"), (F.col("_n") - 1).cast("double").alias("t1"))
+    found = interval_join(e.withColumn("_t", F.col("t")).withColumn("t", F.col("_rank").cast("double")), k, float(max(n, 1)))
+    return found.withColumn("t", F.col("_t")).drop("_t", "_rank", "t0", "t1")
+
+
 def strided(df: DataFrame, step: int, *axes: str) -> DataFrame:
     """Every ``step``-th index of each axis, numbered anew."""
     for a in axes:
@@ -139,11 +155,11 @@ def strided(df: DataFrame, step: int, *axes: str) -> DataFrame:
     return df
 
 
-def crop_start(pose: DataFrame, least: float = 2.0) -> DataFrame:
-    """(seq, start_idx): first row whose next displacement is at least ``least``, else 0."""
+def crop_start(pose: DataFrame, least: float = 2.0, strict: bool = False) -> DataFrame:
+    """(seq, start_idx): first row whose next displacement is at least ``least`` (``strict``: above it), else 0."""
     w = W.partitionBy("seq").orderBy("idx")
     d = F.sqrt((F.lead("e").over(w) - F.col("e")) ** 2 + (F.lead("n").over(w) - F.col("n")) ** 2)
-    hit: Column = F.when(F.col("_d") >= least, F.col("idx"))
+    hit: Column = F.when(F.col("_d") > least if strict else F.col("_d") >= least, F.col("idx"))
     return pose.withColumn("_d", d).groupBy("seq").agg(F.coalesce(F.min(hit), F.lit(0)).cast("int").alias("start_idx"))
 
 

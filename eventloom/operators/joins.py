@@ -105,6 +105,13 @@ def nearest_place(a: DataFrame, b: DataFrame, blocks: int = 1) -> DataFrame:
     return pairs.groupBy("q").agg(F.min("_m").alias("_m")).select("q", F.col("_m.r").alias("r"), F.col("_m.dist").alias("dist"))
 
 
+def nearest_place_within(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
+    """For each a (q, qe, qn) the nearest b (r, re, rn) nearer than ``r``, smallest r on ties: a radius join,
+    of which partial aggregation keeps one row per query and task."""
+    near = radius_join(a, b, r, inclusive=False).groupBy("q").agg(F.min(F.struct("dist", "r")).alias("_m"))
+    return near.select("q", F.col("_m.r").alias("r"), F.col("_m.dist").alias("dist"))
+
+
 def unmatched(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose (already normalised) keys are not done: an anti join."""
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")

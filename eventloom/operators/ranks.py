@@ -36,3 +36,30 @@ def last_known(df: DataFrame, by: str, order: list[str], value: Column, width: f
     carried = ends.select(by, "_bucket", carry.alias("_carry"))
     inner = F.last("_v", ignorenulls=True).over(W.partitionBy(by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("_in", inner).join(carried, [by, "_bucket"]).withColumn(name, F.coalesce("_in", "_carry")).drop("_bucket", "_v", "_in", "_carry")
+
+
+def spread(df: DataFrame, value: Column, buckets: int = 64) -> DataFrame:
+    """Adds ``_bucket``, ascending with a numeric ``value``: about equal parts by approximate
+    quantiles, of which one row goes to all tasks."""
+    edges = df.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 10_000).alias("_edges"))
+    below = F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")), lambda e: e < value))
+    return df.crossJoin(F.broadcast(edges.select(F.col("_edges").cast("array<double>").alias("_edges")))).withColumn("_bucket", below).drop("_edges")
+
+
+def value_rank(df: DataFrame, value: Column, then: list[str], name: str = "rank", running: dict[str, str] | None = None) -> DataFrame:
+    """0-based rank of each row of the whole table by ``value``, ties by ``then``. ``running``: columns whose
+    sums up to and including each row are added under other names. Only one row
+    for each bucket meets in one task."""
+    sums = running or {}
+    rows = spread(df.withColumn("_v", value.cast("double")), F.col("_v"))
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    w = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("_bucket", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_before{c}") for c in ["_n", *[f"_s_{c}" for c in sums]]])
+    inner = W.partitionBy("_bucket").orderBy("_v", *then)
+    out = rows.withColumn(name, F.row_number().over(inner) - 1)
+    for c, to in sums.items():
+        out = out.withColumn(to, F.sum(c).over(inner.rowsBetween(W.unboundedPreceding, 0)))
+    out = out.join(F.broadcast(before), "_bucket").withColumn(name, F.col(name) + F.col("_before_n"))
+    for c, to in sums.items():
+        out = out.withColumn(to, F.col(to) + F.col(f"_before_s_{c}"))
+    return out.select(*df.columns, name, *sums.values())

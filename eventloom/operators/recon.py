@@ -43,9 +43,11 @@ def count_image(events: DataFrame, width: int, height: int) -> DataFrame:
 
 def time_surface(events: DataFrame, width: int, height: int, tau: float = 0.1) -> DataFrame:
     """(frame, channel, y, x, v): exponential decay since a pixel's last event, as
-    0..255 of its channel's maximum. Channel R holds ON and G holds OFF. Untouched: 0."""
-    last = on_sensor(events, width, height).where(F.col("p").isin(0, 1)).groupBy(*PIXEL, "p").agg(F.max("t").alias("_t"))
-    end = events.groupBy(*FRAME).agg(F.max("t").alias("_end"))
+    0..255 of its channel's maximum. Channel R holds ON and G holds OFF. Untouched: 0.
+    Events off the sensor or of another polarity count for nothing, the frame's end included."""
+    valid = on_sensor(events, width, height).where(F.col("p").isin(0, 1))
+    last = valid.groupBy(*PIXEL, "p").agg(F.max("t").alias("_t"))
+    end = valid.groupBy(*FRAME).agg(F.max("t").alias("_end"))
     s = F.exp(-((F.col("_end") + tau) - F.col("_t")) / tau)
     v = last.join(end, FRAME).withColumn("_v", F.tanh(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))))
     top = F.max("_v").over(W.partitionBy(*FRAME, "p"))

@@ -61,6 +61,11 @@ def score(a: Column, b: Column, metric: str) -> Column:
     return dot / (norm(a) + 1e-8) / (norm(b) + 1e-8)
 
 
+def unit_range(pixel: Column) -> Column:
+    """0..255 scaled to -1..1."""
+    return pixel / 127.5 - 1
+
+
 def all_pairs(queries: DataFrame, refs: DataFrame, metric: str = "l2") -> DataFrame:
     """(run, patch, q, r, s) for all pairs of one run and patch, built in."""
     on = [c for c in ("run", "patch") if c in queries.columns]

@@ -14,13 +14,3 @@ def query(sql: str | None = None):
         return f
 
     return add
-
-
-def whole(f, **wide):
-    """Register f_whole, f without the bounds of its SQL."""
-
-    def run(spark, d):
-        return f(spark, d, **wide)
-
-    run.__name__ = f"{f.__name__}_whole"
-    return query()(run)

@@ -37,13 +37,12 @@ L2 = "-list_sum(list_transform(list_zip(q.vec, r.vec), lambda z: (z[1] - z[2]) *
 SAD = "-list_sum(list_transform(list_zip(q.vec, r.vec), lambda z: abs(z[1] - z[2])))"
 COS = "list_dot_product(q.vec, r.vec) / (sqrt(list_dot_product(q.vec, q.vec)) + 1e-8) / (sqrt(list_dot_product(r.vec, r.vec)) + 1e-8)"
 
-#: three runs of 24 x 60 scores
+#: three runs of scores of all queries and references
 SIM = DESC + f""",
-sq AS (SELECT * FROM qs WHERE idx < 24), sr AS (SELECT * FROM rs WHERE idx < 60),
 sim AS (
-  SELECT 'l2' AS run, q.idx AS q, r.idx AS r, round({L2}, 6) AS s FROM sq q, sr r UNION ALL
-  SELECT 'cosine', q.idx, r.idx, round({COS}, 6) FROM sq q, sr r UNION ALL
-  SELECT 'sad', q.idx, r.idx, round({SAD}, 6) FROM sq q, sr r)"""
+  SELECT 'l2' AS run, q.idx AS q, r.idx AS r, round({L2}, 6) AS s FROM qs q, rs r UNION ALL
+  SELECT 'cosine', q.idx, r.idx, round({COS}, 6) FROM qs q, rs r UNION ALL
+  SELECT 'sad', q.idx, r.idx, round({SAD}, 6) FROM qs q, rs r)"""
 
 
 def modified(length: int, guard: bool, source: str = "sim") -> str:

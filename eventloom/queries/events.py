@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import binning, recon
+from ..plans import retrieval
 from ..sources import tables as T
-from . import query, whole
+from . import query
 from .ctes import DELTA, EV, MOTION, TAU
 
 
@@ -25,11 +26,11 @@ def w2_closed_bins(spark, d):
     return _binned(spark, d).groupBy("seq", "bin_id").agg(F.count("*").alias("n"), F.sum("p").alias("n_on"))
 
 
-@query(f"""WITH {EV}, k AS (SELECT seq, bin_id, t0, t1 FROM bins WHERE bin_id % 3 = 1)
+@query(f"""WITH {EV}, k AS (SELECT seq, bin_id, t0, t1 FROM bins)
 SELECT k.seq, k.bin_id, count(*) AS n, sum(ev.event_id)::BIGINT AS ids FROM ev JOIN k ON ev.seq = k.seq AND ev.t BETWEEN t0 AND t1 GROUP BY ALL""")
-def w2_interval_join(spark, d, where="bin_id % 3 = 1"):
+def w2_interval_join(spark, d):
     ev = T.events(spark, d)
-    bins = binning.time_bins(T.bounds(ev), DELTA).where(where)
+    bins = binning.time_bins(T.bounds(ev), DELTA)
     return binning.interval_join(ev, bins, DELTA).groupBy("seq", "bin_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -103,14 +104,25 @@ def w11_drop_empty_bins(spark, d):
     return binning.time_bins(T.bounds(ev), DELTA).join(full, ["seq", "bin_id"], "left_semi").select("seq", "bin_id", F.round("t0", 3).alias("t0"))
 
 
-@query(f"""WITH {EV}, k AS (SELECT seq, event_id AS tick_id, t AS tick_t FROM ev WHERE event_id % 97 = 0)
+@query(f"""WITH {EV}, k AS (SELECT seq, event_id AS tick_id, t AS tick_t FROM ev)
 SELECT k.seq, tick_id, count(*) AS n FROM k JOIN ev ON ev.seq = k.seq AND ev.t >= tick_t - 40000 AND ev.t < tick_t GROUP BY ALL""")
-def w12_tick_windows(spark, d, where="event_id % 97 = 0"):
+def w12_tick_windows(spark, d):
     ev = T.events(spark, d)
-    ticks = ev.where(where).select("seq", F.col("event_id").alias("tick_id"), F.col("t").alias("tick_t"))
+    ticks = ev.select("seq", F.col("event_id").alias("tick_id"), F.col("t").alias("tick_t"))
     return binning.tick_windows(ev, ticks, 40000.0).groupBy("seq", "tick_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {EV}, k AS (SELECT seq, event_id AS tick_id, t AS tick_t FROM ev), o AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY t, event_id) - 1 AS i FROM ev),
+kb AS (SELECT k.seq, tick_id, tick_t, count(*) OVER (PARTITION BY k.seq ORDER BY tick_t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY k.seq, tick_t) AS n FROM k)
+SELECT kb.seq, tick_id, count(*) AS n, min(o.event_id) AS first_id, sum(o.x)::BIGINT AS xs FROM kb JOIN o ON o.seq = kb.seq AND o.i >= kb.n - 24 AND o.i < kb.n GROUP BY kb.seq, tick_id""")
+def w12_tick_last_events(spark, d):
+    """The last W x H events before each tick, here of a sensor of 6 x 4."""
+    ev = T.events(spark, d)
+    ticks = ev.select("seq", F.col("event_id").alias("tick_id"), F.col("t").alias("tick_t"))
+    w = binning.tick_last(ev, ticks, 24, 86400.0)
+    return w.groupBy("seq", "tick_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.sum("x").alias("xs"))
+
+
 @query(f"""WITH {EV} SELECT seq, bin_id, CASE WHEN p = 0 THEN 'R' ELSE 'G' END AS channel, y, x,
   floor(least(greatest(v / (max(v) OVER (PARTITION BY seq, bin_id, p) + 1e-6) * 255, 0), 255))::INT AS v
 FROM (SELECT seq, bin_id, p, y, x, tanh(count(*)) AS v FROM be GROUP BY ALL)""")
@@ -123,16 +135,26 @@ def a2_count_image(spark, d):
     return recon.count_image(_binned(spark, d), T.WIDTH, T.HEIGHT)
 
 
-@query(f"""WITH {EV}, e AS (SELECT *, max(t) OVER (PARTITION BY seq, bin_id) AS t_end FROM be),
+def _surface_sql(valid: str) -> str:
+    return f"""WITH {EV}, e AS (SELECT *, max(t) OVER (PARTITION BY seq, bin_id) AS t_end FROM be WHERE {valid}),
 l AS (SELECT seq, bin_id, p, y, x, max(t) AS t, any_value(t_end) AS t_end FROM e GROUP BY seq, bin_id, p, y, x),
 v AS (SELECT *, tanh(least(greatest(exp(-((t_end + {TAU}) - t) / {TAU}), 0), 1)) AS v FROM l)
 SELECT seq, bin_id, y, x, CASE WHEN p = 1 THEN 'R' ELSE 'G' END AS channel,
   CASE WHEN max(v) OVER w = 0 THEN 0 ELSE floor(least(greatest(v / (max(v) OVER w + 1e-6) * 255, 0), 255)) END::INT AS v
-FROM v WINDOW w AS (PARTITION BY seq, bin_id, p)""")
+FROM v WINDOW w AS (PARTITION BY seq, bin_id, p)"""
+
+
+@query(_surface_sql("true"))
 def a3_time_surface(spark, d):
     return recon.time_surface(_binned(spark, d), T.WIDTH, T.HEIGHT, TAU)
 
 
+@query(_surface_sql("x < 12 AND y < 9"))
+def a3_time_surface_off_sensor(spark, d):
+    """On a smaller sensor: events beyond it count for nothing."""
+    return recon.time_surface(_binned(spark, d), 12, 9, TAU)
+
+
 @query(f"""WITH {EV}, e AS (SELECT seq, bin_id, y, x, p, exp(-(max(t) OVER (PARTITION BY seq, bin_id) - t) / 20000) AS d, lag(p) OVER (PARTITION BY seq, bin_id, y, x ORDER BY t, event_id) AS q FROM be)
 SELECT seq, bin_id, y, x, round(coalesce(sum(d) FILTER (p = q), 0), 6) AS maintain, round(coalesce(sum(d) FILTER (p <> q), 0), 6) AS transition FROM e GROUP BY ALL""")
 def a4_polarity_gradient(spark, d):
@@ -218,6 +240,8 @@ def w5_size_windows(spark, d):
     return binning.count_bins(T.events(spark, d), size, 86400.0).groupBy("seq", "bin_id").agg(F.count("*").alias("n"))
 
 
-# without the bounds of the SQL
-for _f in (w2_interval_join, w12_tick_windows):
-    whole(_f, where="true")
+@query(f"WITH {EV} SELECT seq, bin_id, y, x, floor((tanh(count(*)) + 1) / 2 * 255)::INT AS v FROM be GROUP BY seq, bin_id, y, x")
+def plan_reconstruct(spark, d):
+    """The whole chain from events to the frames of a named reconstruction."""
+    ev = T.events(spark, d)
+    return retrieval.reconstruct(ev, T.bounds(ev), DELTA, "eventCount_noPolarity", T.WIDTH, T.HEIGHT)

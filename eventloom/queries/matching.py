@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import binning, ensemble, metrics, recon, seqmatch, similarity
+from ..operators import binning, ensemble, metrics, ranks, recon, seqmatch, similarity
 from ..plans import retrieval
 from ..sources import tables as T
-from . import query, whole
+from . import query
 from .ctes import COS, DELTA, DESC, EV, L2, SAD, SIM, modified
 
 
@@ -47,50 +46,50 @@ def d6_sad_top1(spark, d):
 
 
 @query(f"WITH {SIM} SELECT run, q, r, round(s, 6) + 0.0 AS s FROM sim")
-def j7_all_pairs(spark, d, sim=T.small_sim):
-    return _r(sim(spark, d), 6, "s")
+def j7_all_pairs(spark, d):
+    return _r(T.scores(spark, d), 6, "s")
 
 
 @query(f"WITH {SIM} SELECT run, q, arg_min(r, (-s, r)) AS r, round(max(s), 6) + 0.0 AS s FROM sim GROUP BY run, q")
-def d7_argmax(spark, d, sim=T.small_sim):
-    return _r(similarity.top1(sim(spark, d), "run"), 6, "s")
+def d7_argmax(spark, d):
+    return _r(similarity.top1(T.scores(spark, d), "run"), 6, "s")
 
 
 @query(f"WITH {SIM} SELECT run, q, r, (row_number() OVER (PARTITION BY run, q ORDER BY s DESC, r))::INT AS rank FROM sim")
-def d8_rank_order(spark, d, sim=T.small_sim):
-    return similarity.ranked(sim(spark, d), "run").select("run", "q", "r", "rank")
+def d8_rank_order(spark, d):
+    return similarity.ranked(T.scores(spark, d), "run").select("run", "q", "r", "rank")
 
 
 @query(f"""WITH {SIM}, rk AS (SELECT q, r, row_number() OVER (PARTITION BY q ORDER BY s DESC, r) AS k FROM sim WHERE run = 'l2'),
-f AS (SELECT q, min(k) AS f FROM rk JOIN pos USING (q, r) GROUP BY q), g AS (SELECT DISTINCT q FROM pos WHERE q < 24)
+f AS (SELECT q, min(k) AS f FROM rk JOIN pos USING (q, r) GROUP BY q), g AS (SELECT DISTINCT q FROM pos)
 SELECT k::INT AS k, round(avg((coalesce(f, 1e9) <= k)::INT), 6) AS recall FROM g LEFT JOIN f USING (q), (SELECT unnest([1, 5, 10, 20]) AS k) GROUP BY k""")
-def d9_recall_at_k(spark, d, sim=T.small_sim):
-    s = sim(spark, d, ("l2",))
+def d9_recall_at_k(spark, d):
+    s = T.scores(spark, d, ("l2",))
     return _r(similarity.recall_at(s, T.positives(*T.descriptors(spark, d))), 6, "recall")
 
 
 PATCH = DESC + """,
 pt AS (SELECT patch, q.idx AS q, r.idx AS r, -list_sum(list_transform(list_zip(q.vec[patch * 16 + 1:patch * 16 + 16], r.vec[patch * 16 + 1:patch * 16 + 16]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS s
-  FROM (SELECT * FROM qs WHERE idx < 24) q, (SELECT * FROM rs WHERE idx < 60) r, (SELECT unnest(range(4)) AS patch)),
+  FROM qs q, rs r, (SELECT unnest(range(4)) AS patch)),
 psim AS (SELECT 'p' || patch AS run, q, r, round(s, 6) AS s FROM pt)"""
 
 
-def _patches(spark, d, nq, nr):
+def _patches(spark, d):
     q, r = T.descriptors(spark, d)
-    cut = lambda df, n: (df if n is None else df.where(F.col("idx") < n)).select("idx", F.posexplode(F.array(*[F.slice("vec", 16 * p + 1, 16) for p in range(4)])).alias("patch", "vec"))
-    s = similarity.all_pairs(cut(q, nq), cut(r, nr), "l2")
+    cut = lambda df: df.select("idx", F.posexplode(F.array(*[F.slice("vec", 16 * p + 1, 16) for p in range(4)])).alias("patch", "vec"))
+    s = similarity.all_pairs(cut(q), cut(r), "l2")
     return s.select(F.concat(F.lit("p"), F.col("patch").cast("string")).alias("run"), "q", "r", F.round("s", 6).alias("s"))
 
 
 @query(f"WITH {PATCH}, {modified(4, True, 'psim')} SELECT q, r, round(sum(s), 4) + 0.0 AS s FROM ms GROUP BY q, r")
-def d10_patch_fusion(spark, d, nq=24, nr=60):
-    m = seqmatch.modified(_patches(spark, d, nq, nr), 4).withColumn("run", F.lit("all"))
+def d10_patch_fusion(spark, d):
+    m = seqmatch.modified(_patches(spark, d), 4).withColumn("run", F.lit("all"))
     return _r(ensemble.sum_patches(m).select("q", "r", "s"), 4, "s")
 
 
 @query(f"WITH {SIM} SELECT run, q, r, round(CASE WHEN hi = lo THEN 0 ELSE (s - lo) / (hi - lo) END, 5) + 0.0 AS s FROM (SELECT *, min(s) OVER w AS lo, max(s) OVER w AS hi FROM sim WINDOW w AS (PARTITION BY run, q))")
-def d11_min_max(spark, d, sim=T.small_sim):
-    return _r(similarity.min_max(sim(spark, d), "s", "run", "q"), 5, "s").select("run", "q", "r", "s")
+def d11_min_max(spark, d):
+    return _r(similarity.min_max(T.scores(spark, d), "s", "run", "q"), 5, "s").select("run", "q", "r", "s")
 
 
 PIX = f"{EV}, px AS (SELECT seq, bin_id, y, x, floor((tanh(count(*)) + 1) / 2 * 255)::INT AS v FROM be GROUP BY seq, bin_id, y, x)"
@@ -137,13 +136,14 @@ def d0_normalise_rgb(spark, d):
 
 
 @query(f"""WITH {SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY run, q ORDER BY s DESC) AS k FROM sim)
-SELECT run, q, round(max(s), 5) AS corr_max, round(avg(s), 5) AS corr_mean, round(stddev_pop(s), 5) AS corr_std,
+SELECT run, q, round(max(s), 6) AS corr_max, round(avg(s), 5) AS corr_mean, round(stddev_pop(s), 5) AS corr_std,
   round((max(s) - avg(s)) / CASE WHEN stddev_pop(s) > 0 THEN stddev_pop(s) ELSE 1 END, 4) AS z_score, round(CASE WHEN avg(s) > 0 THEN max(s) / avg(s) ELSE 0 END, 3) AS peak_to_mean,
-  round(max(s) - max(s) FILTER (k = 2), 5) AS best_second_diff, round(sum(abs(s)), 4) AS abs_sum, round(count(*) FILTER (s > 0) / greatest(count(*) FILTER (s < 0), 1), 5) AS polarity_ratio
+  round(max(s) - max(s) FILTER (k = 2), 6) AS best_second_diff, round(sum(abs(s)), 4) AS abs_sum, round(count(*) FILTER (s > 0) / greatest(count(*) FILTER (s < 0), 1), 5) AS polarity_ratio
 FROM k WHERE run <> 'cosine' GROUP BY run, q""")
-def d14_match_features(spark, d, sim=T.small_sim):
-    f = similarity.match_features(sim(spark, d).where("run <> 'cosine'"), "run")
-    f = _r(f, 5, "corr_max", "corr_mean", "corr_std", "best_second_diff", "polarity_ratio")
+def d14_match_features(spark, d):
+    f = similarity.match_features(T.scores(spark, d).where("run <> 'cosine'"), "run")
+    # differences of scores of six digits
+    f = _r(_r(f, 6, "corr_max", "best_second_diff"), 5, "corr_mean", "corr_std", "polarity_ratio")
     return _r(_r(_r(f, 4, "z_score", "abs_sum"), 3, "peak_to_mean"), 5)
 
 
@@ -157,28 +157,27 @@ def d15_path_overlap(spark, d):
 
 # ------------------------------------------------------------ sequence matching
 @query(f"WITH {SIM}, {modified(5, True)} SELECT run, q, r, round(s, 4) + 0.0 AS s FROM ms")
-def q1_modified_guarded(spark, d, sim=T.small_sim):
-    return _r(seqmatch.modified(sim(spark, d), 5), 4, "s")
+def q1_modified_guarded(spark, d):
+    return _r(seqmatch.modified(T.scores(spark, d), 5), 4, "s")
 
 
 @query(f"WITH {SIM}, {modified(5, False)} SELECT run, q, r, round(s / 5, 4) + 0.0 AS s FROM ms WHERE q >= 4")
-def q2_modified_divided(spark, d, sim=T.small_sim):
-    return _r(seqmatch.modified(sim(spark, d), 5, guard=False, divide=True).where("q >= 4"), 4, "s")
+def q2_modified_divided(spark, d):
+    return _r(seqmatch.modified(T.scores(spark, d), 5, guard=False, divide=True).where("q >= 4"), 4, "s")
 
 
 @query(f"WITH {SIM}, {modified(3, False)} SELECT run, q, r, round(s, 4) + 0.0 AS s FROM ms WHERE q >= 2")
-def q3_modified_plain(spark, d, sim=T.small_sim):
-    return _r(seqmatch.modified(sim(spark, d), 3, guard=False).where("q >= 2"), 4, "s")
+def q3_modified_plain(spark, d):
+    return _r(seqmatch.modified(T.scores(spark, d), 3, guard=False).where("q >= 2"), 4, "s")
 
 
-def slam_sql(length: int, velocities: tuple[float, ...], size: int) -> str:
-    left, right = size // 2, size - size // 2 - 1
-    mirror = "CASE WHEN k < 0 THEN -1 - k WHEN k > 59 THEN 119 - k ELSE k END"
+def slam_sql(length: int, velocities: tuple[float, ...]) -> str:
     vs = ", ".join(f"{v!r}::DOUBLE" for v in velocities)
-    return f"""e1 AS (SELECT a.run, a.q, a.r, any_value(a.s) AS s, avg(b.s) AS m FROM sim a, (SELECT unnest(range(-{left}, {right + 1})) AS o), sim b
-  WHERE b.run = a.run AND b.q = a.q AND b.r = CASE WHEN a.r + o < 0 THEN -1 - (a.r + o) WHEN a.r + o > 59 THEN 119 - (a.r + o) ELSE a.r + o END GROUP BY a.run, a.q, a.r),
-e2 AS (SELECT a.run, a.q, a.r, any_value(a.s - a.m) / (sqrt(avg((b.s - b.m) ** 2)) + 1e-8) AS s FROM e1 a, (SELECT unnest(range(-{left}, {right + 1})) AS o), e1 b
-  WHERE b.run = a.run AND b.q = a.q AND b.r = CASE WHEN a.r + o < 0 THEN -1 - (a.r + o) WHEN a.r + o > 59 THEN 119 - (a.r + o) ELSE a.r + o END GROUP BY a.run, a.q, a.r),
+    near = """(SELECT unnest(range(-(size // 2), size - size // 2)) AS o, last FROM nr) x, {} b
+  WHERE b.run = a.run AND b.q = a.q AND b.r = CASE WHEN a.r + o < 0 THEN -1 - (a.r + o) WHEN a.r + o > last THEN 2 * last + 1 - (a.r + o) ELSE a.r + o END GROUP BY a.run, a.q, a.r"""
+    return f"""nr AS (SELECT max(r) AS last, least(20, (max(r) + 1) // 4)::INT AS size FROM sim),
+e1 AS (SELECT a.run, a.q, a.r, any_value(a.s) AS s, avg(b.s) AS m FROM sim a, {near.format("sim")}),
+e2 AS (SELECT a.run, a.q, a.r, any_value(a.s - a.m) / (sqrt(avg((b.s - b.m) ** 2)) + 1e-8) AS s FROM e1 a, {near.format("e1")}),
 tg AS (SELECT run, q, r, k, v, trunc(r - k * v)::INT AS c FROM (SELECT DISTINCT run, q, r FROM sim WHERE q >= {length - 1} AND r >= {length - 1}), (SELECT unnest(range({length})) AS k), (SELECT unnest([{vs}]) AS v)),
 sc AS (SELECT tg.run, tg.q, tg.r, tg.v, sum(e2.s) AS s, count(*) AS n FROM tg JOIN e2 ON e2.run = tg.run AND e2.q = tg.q - tg.k AND e2.r = tg.c GROUP BY ALL),
 slam AS (SELECT sim.run, sim.q, sim.r, max(sc.s) AS s FROM sim LEFT JOIN sc ON sc.run = sim.run AND sc.q = sim.q AND sc.r = sim.r AND sc.n = {length} GROUP BY ALL)"""
@@ -193,45 +192,45 @@ def _slam(df):
     return _r(df.select("run", "q", "r", s.alias("s")), 4, "s")
 
 
-@query(f"WITH {SIM}, {slam_sql(4, (1.0,), 15)} {SLAM}")
-def q4_seqslam(spark, d, sim=T.small_sim):
-    return _slam(seqmatch.seqslam(sim(spark, d), 4, (1.0,), size=min(20, 60 // 4)))
+@query(f"WITH {SIM}, {slam_sql(4, (1.0,))} {SLAM}")
+def q4_seqslam(spark, d):
+    return _slam(seqmatch.seqslam(T.scores(spark, d), 4, (1.0,)))
 
 
-@query(f"WITH {SIM}, {slam_sql(4, TEN, 14)} {SLAM}")
-def q5_seqslam_velocities(spark, d, sim=T.small_sim):
-    return _slam(seqmatch.seqslam(sim(spark, d), 4, TEN, size=14))
+@query(f"WITH {SIM}, {slam_sql(4, TEN)} {SLAM}")
+def q5_seqslam_velocities(spark, d):
+    return _slam(seqmatch.seqslam(T.scores(spark, d), 4, TEN))
 
 
-@query(f"WITH {SIM}, {slam_sql(4, (0.8,), 15)} {SLAM}")
-def q6_seqslam_slow(spark, d, sim=T.small_sim):
-    return _slam(seqmatch.seqslam(sim(spark, d), 4, (0.8,) * 1, size=15))
+@query(f"WITH {SIM}, {slam_sql(4, (0.8,))} {SLAM}")
+def q6_seqslam_slow(spark, d):
+    return _slam(seqmatch.seqslam(T.scores(spark, d), 4, (0.8,)))
 
 
 @query(f"""WITH {SIM}, u AS (SELECT *, s / CASE WHEN sum(s * s) OVER w = 0 THEN 1 ELSE sqrt(sum(s * s) OVER w) END AS u FROM sim WINDOW w AS (PARTITION BY run, q))
 SELECT a.run, a.q, a.r, round(CASE WHEN a.q < 4 THEN any_value(a.s) ELSE coalesce(sum(b.u), 0) END, 6) + 0.0 AS s
 FROM sim a LEFT JOIN u b ON b.run = a.run AND a.q >= 4 AND b.q BETWEEN a.q - 4 AND a.q - 1 AND b.r = a.r - (a.q - b.q) + 1 GROUP BY a.run, a.q, a.r""")
-def q7_legacy(spark, d, sim=T.small_sim):
-    return _r(seqmatch.legacy(sim(spark, d), 4), 6, "s")
+def q7_legacy(spark, d):
+    return _r(seqmatch.legacy(T.scores(spark, d), 4), 6, "s")
 
 
 @query(f"""WITH {SIM}, n AS (SELECT run, q, r, sqrt(sum(s * s) OVER (PARTITION BY run, r ORDER BY q ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) AS n FROM sim)
 SELECT a.run, a.q, a.r, round(CASE WHEN a.q < 4 THEN any_value(a.s) ELSE coalesce(sum(b.s / CASE WHEN n.n = 0 THEN 1 ELSE n.n END), 0) END, 6) + 0.0 AS s
 FROM sim a LEFT JOIN sim b ON b.run = a.run AND a.q >= 4 AND b.q BETWEEN a.q - 4 AND a.q - 1 AND b.r = a.r - (a.q - b.q) + 1 LEFT JOIN n ON n.run = a.run AND n.q = a.q AND n.r = b.r GROUP BY a.run, a.q, a.r""")
-def q7_legacy_columns(spark, d, sim=T.small_sim):
-    return _r(seqmatch.legacy(sim(spark, d), 4, axis="column"), 6, "s")
+def q7_legacy_columns(spark, d):
+    return _r(seqmatch.legacy(T.scores(spark, d), 4, axis="column"), 6, "s")
 
 
 # ------------------------------------------------------------ ensembles
 @query(f"WITH {SIM}, {modified(4, True)} SELECT q, r, round(avg(s), 4) + 0.0 AS mean, round(max(s), 4) + 0.0 AS max, round(median(s), 4) + 0.0 AS median, round(sum(s), 4) + 0.0 AS sum FROM ms GROUP BY q, r")
-def e3_e4_fusion(spark, d, sim=T.small_sim):
-    return _r(ensemble.fuse(seqmatch.modified(sim(spark, d), 4)), 4, "mean", "max", "median", "sum")
+def e3_e4_fusion(spark, d):
+    return _r(ensemble.fuse(seqmatch.modified(T.scores(spark, d), 4)), 4, "mean", "max", "median", "sum")
 
 
 @query(f"""WITH {SIM}, p AS (SELECT a.run AS a, b.run AS b, sqrt(sum((a.s - b.s) ** 2)) AS d, sqrt(sum((a.s + b.s) ** 2)) AS p FROM sim a JOIN sim b ON a.q = b.q AND a.r = b.r AND a.run < b.run GROUP BY ALL)
 SELECT round(avg(CASE WHEN p > 0 THEN d / p ELSE 0 END), 6) AS avg_disagreement FROM p""")
-def e5_disagreement(spark, d, sim=T.small_sim):
-    return _r(ensemble.disagreement(sim(spark, d)), 6, "avg_disagreement")
+def e5_disagreement(spark, d):
+    return _r(ensemble.disagreement(T.scores(spark, d)), 6, "avg_disagreement")
 
 
 def _members(spark):
@@ -245,54 +244,57 @@ def e1_select_members(spark, d):
     return ensemble.select_members(_members(spark), axes, "recon", {"vpr": "l2"}).select("run", "recon", "vpr")
 
 
-@query(f"""WITH {SIM}, cut AS (SELECT * FROM sim WHERE run <> 'sad' OR q < 17 AND r < 41), s AS (SELECT run, (q // 3)::INT AS q, (r // 3)::INT AS r, s FROM cut WHERE q % 3 = 0 AND r % 3 = 0),
+@query(f"""WITH {SIM}, cut AS (SELECT * FROM sim WHERE run <> 'sad' OR 4 * q < 3 * (SELECT count(*) FROM qs) AND 4 * r < 3 * (SELECT count(*) FROM rs)), s AS (SELECT run, (q // 3)::INT AS q, (r // 3)::INT AS r, s FROM cut WHERE q % 3 = 0 AND r % 3 = 0),
 l AS (SELECT min(a) AS a, min(b) AS b FROM (SELECT max(q) AS a, max(r) AS b FROM s GROUP BY run)) SELECT run, q, r, round(s, 6) + 0.0 AS s FROM s, l WHERE q <= a AND r <= b""")
-def e2_w14_crop_common(spark, d, sim=T.small_sim):
-    s = sim(spark, d).where("run <> 'sad' or (q < 17 and r < 41)")
+def e2_w14_crop_common(spark, d):
+    # one member lacks its last quarter
+    q, r = (df.agg(F.count("*").alias("n")) for df in T.descriptors(spark, d))
+    s = T.scores(spark, d).crossJoin(F.broadcast(q.select(F.col("n").alias("nq")))).crossJoin(F.broadcast(r.select(F.col("n").alias("nr"))))
+    s = s.where("run <> 'sad' or (4 * q < 3 * nq and 4 * r < 3 * nr)").drop("nq", "nr")
     return _r(ensemble.crop_common(s, 3), 6, "s")
 
 
 @query(f"WITH {SIM} SELECT run, (q // 4)::INT AS q, (r // 4)::INT AS r, round(s, 6) + 0.0 AS s FROM sim WHERE q % 4 = 0 AND r % 4 = 0")
-def w14_strided(spark, d, sim=T.small_sim):
-    return _r(binning.strided(sim(spark, d), 4, "q", "r"), 6, "s")
+def w14_strided(spark, d):
+    return _r(binning.strided(T.scores(spark, d), 4, "q", "r"), 6, "s")
 
 
 BEST = "bst AS (SELECT run, q, arg_min(r, (-s, r)) AS r, max(s) AS s FROM sim GROUP BY run, q), ht AS (SELECT bst.*, EXISTS (SELECT 1 FROM pos WHERE pos.q = bst.q AND pos.r = bst.r) AS hit, EXISTS (SELECT 1 FROM pos WHERE pos.q = bst.q AND pos.r % 3 = 0) AS gt FROM bst)"
 
 
-def _best(spark, d, sim=T.small_sim):
-    return similarity.top1(sim(spark, d), "run"), T.positives(*T.descriptors(spark, d)).where("r % 3 = 0")
+def _best(spark, d):
+    return similarity.top1(T.scores(spark, d), "run"), T.positives(*T.descriptors(spark, d)).where("r % 3 = 0")
 
 
 BEST3 = BEST.replace("AND pos.r = bst.r)", "AND pos.r = bst.r AND pos.r % 3 = 0)")
 
 
 @query(f"WITH {SIM}, {BEST3} SELECT (row_number() OVER (ORDER BY run) - 1)::INT AS member, round(v, 6) AS recall FROM (SELECT run, coalesce(avg(hit::INT) FILTER (gt), 0) AS v FROM ht GROUP BY run)")
-def e6_member_recalls(spark, d, sim=T.small_sim):
-    best, pos = _best(spark, d, sim)
+def e6_member_recalls(spark, d):
+    best, pos = _best(spark, d)
     own = metrics.recall_at_1(best, pos, "run")
     members = own.agg(F.array_sort(F.collect_list(F.struct("run", "recall_at_1"))).alias("m"))
     return members.select(F.posexplode("m").alias("member", "x")).select("member", F.round("x.recall_at_1", 6).alias("recall"))
 
 
 @query(f"WITH {SIM} SELECT a.run AS a, b.run AS b, round(corr(a.s, b.s), 5) AS corr FROM sim a JOIN sim b ON a.q = b.q AND a.r = b.r AND a.run < b.run GROUP BY ALL")
-def e7_e9_pearson(spark, d, sim=T.small_sim):
-    return _r(ensemble.correlation(sim(spark, d)), 5, "corr")
+def e7_e9_pearson(spark, d):
+    return _r(ensemble.correlation(T.scores(spark, d)), 5, "corr")
 
 
 @query(f"""WITH {SIM}, cut AS (SELECT run, s, row_number() OVER (PARTITION BY run ORDER BY q, r) AS k FROM sim WHERE NOT (run = 'sad' AND r = 7)),
 n AS (SELECT run, max(k) AS n FROM cut GROUP BY run), p AS (SELECT a.run AS a, b.run AS b, a.k, a.s AS u, b.s AS v FROM cut a JOIN cut b ON a.k = b.k AND a.run < b.run),
 rk AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY u) + (count(*) OVER (PARTITION BY a, b, u) - 1) / 2 AS u, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2 AS v FROM p)
 SELECT a, b, round(corr(u, v), 5) AS corr FROM rk GROUP BY a, b""")
-def e7_spearman(spark, d, sim=T.small_sim):
-    s = sim(spark, d)
+def e7_spearman(spark, d):
+    s = T.scores(spark, d)
     s = s.withColumn("s", F.when((F.col("run") == "sad") & (F.col("r") == 7), F.lit(float("nan"))).otherwise(F.col("s")))
     return _r(ensemble.correlation(s, "spearman"), 5, "corr")
 
 
 @query(f"WITH {SIM} SELECT run, q, round(avg(s) FILTER (r % 5 <> 0), 5) + 0.0 AS s FROM sim GROUP BY run, q")
-def e8_nan_mean(spark, d, sim=T.small_sim):
-    s = sim(spark, d).withColumn("s", F.when(F.col("r") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("s")))
+def e8_nan_mean(spark, d):
+    s = T.scores(spark, d).withColumn("s", F.when(F.col("r") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("s")))
     return _r(ensemble.nan_mean(s, "run", "q", value="s"), 5, "s")
 
 
@@ -300,9 +302,9 @@ def e8_nan_mean(spark, d, sim=T.small_sim):
 bt AS (SELECT q, arg_min(r, (-round(mean, 9), r)) AS a, arg_min(r, (-round(max, 9), r)) AS b, arg_min(r, (-round(median, 9), r)) AS c FROM f WHERE q > 0 GROUP BY q)
 SELECT count(*) AS queries, round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bt.q AND pos.r = a))::INT), 6) AS recall_mean, round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bt.q AND pos.r = b))::INT), 6) AS recall_max,
   round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bt.q AND pos.r = c))::INT), 6) AS recall_median FROM bt""")
-def ensemble_recall(spark, d, sim=T.small_sim):
+def ensemble_recall(spark, d):
     pos = T.positives(*T.descriptors(spark, d))
-    f = ensemble.fuse(seqmatch.modified(sim(spark, d), 4)).where("q > 0")
+    f = ensemble.fuse(seqmatch.modified(T.scores(spark, d), 4)).where("q > 0")
     out = None
     for how in ("mean", "max", "median"):
         one = metrics.recall_at_1(similarity.top1(f.select("q", "r", F.round(how, 9).alias("s"))), pos, denominator="all").select(F.round("recall_at_1", 6).alias(f"recall_{how}"), "queries")
@@ -311,19 +313,19 @@ def ensemble_recall(spark, d, sim=T.small_sim):
 
 
 @query()
-def ensemble_report(spark, d, sim=T.small_sim):
-    return retrieval.ensemble_report(sim(spark, d), T.positives(*T.descriptors(spark, d)), 4)
+def ensemble_report(spark, d):
+    return retrieval.ensemble_report(T.scores(spark, d), T.positives(*T.descriptors(spark, d)), 4)
 
 
 # ------------------------------------------------------------ metrics
 @query(f"WITH {SIM}, {BEST3} SELECT run, round(coalesce(avg(hit::INT) FILTER (gt), 0), 6) AS recall_at_1, count(*) AS queries FROM ht GROUP BY run")
-def v1_recall_with_gt(spark, d, sim=T.small_sim):
-    return _r(metrics.recall_at_1(*_best(spark, d, sim), "run"), 6, "recall_at_1")
+def v1_recall_with_gt(spark, d):
+    return _r(metrics.recall_at_1(*_best(spark, d), "run"), 6, "recall_at_1")
 
 
 @query(f"WITH {SIM}, {BEST3} SELECT run, round(avg(hit::INT), 6) AS recall_at_1, count(*) AS queries FROM ht GROUP BY run")
-def v2_recall_all(spark, d, sim=T.small_sim):
-    return _r(metrics.recall_at_1(*_best(spark, d, sim), "run", denominator="all"), 6, "recall_at_1")
+def v2_recall_all(spark, d):
+    return _r(metrics.recall_at_1(*_best(spark, d), "run", denominator="all"), 6, "recall_at_1")
 
 
 CURVE = f"""{SIM}, {BEST3}, l2 AS (SELECT * FROM ht WHERE run = 'l2'), en AS (SELECT min(s) AS lb, max(s) AS ub, (max(s) - min(s)) / 100 AS st FROM l2),
@@ -333,27 +335,27 @@ pr AS (SELECT k, CASE WHEN total > 0 THEN correct / total ELSE 0 END AS precisio
 
 
 @query(f"WITH {CURVE} SELECT k, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr")
-def v3_pr_curve(spark, d, sim=T.small_sim):
-    best, pos = _best(spark, d, sim)
+def v3_pr_curve(spark, d):
+    best, pos = _best(spark, d)
     return _r(metrics.pr_curve(best.where("run = 'l2'"), pos), 6, "precision", "recall")
 
 
 @query(f"WITH {CURVE}, o AS (SELECT (recall - lag(recall) OVER w) * (precision + lag(precision) OVER w) / 2 AS a FROM pr WINDOW w AS (ORDER BY recall, precision)) SELECT round(coalesce(sum(a), 0), 6) AS auc FROM o")
-def v4_auc(spark, d, sim=T.small_sim):
-    best, pos = _best(spark, d, sim)
+def v4_auc(spark, d):
+    best, pos = _best(spark, d)
     return _r(metrics.auc(metrics.pr_curve(best.where("run = 'l2'"), pos)), 6, "auc")
 
 
 @query(f"""WITH {SIM}, {BEST3}, o AS (SELECT row_number() OVER w AS rank, sum(hit::INT) OVER w AS tp, sum(hit::INT) OVER () AS n FROM ht WHERE run = 'l2' WINDOW w AS (ORDER BY s DESC, q))
 SELECT rank::INT AS rank, round(tp / rank, 6) AS precision, round(CASE WHEN n > 0 THEN tp / n ELSE 0 END, 6) AS recall FROM o""")
-def v5_ranked_pr(spark, d, sim=T.small_sim):
-    best, pos = _best(spark, d, sim)
+def v5_ranked_pr(spark, d):
+    best, pos = _best(spark, d)
     return _r(metrics.ranked_pr(best.where("run = 'l2'"), pos), 6, "precision", "recall")
 
 
 @query(f"WITH {SIM}, {BEST3} SELECT run, q, r, hit, gt AS has_gt FROM ht")
-def v6_j11_membership(spark, d, sim=T.small_sim):
-    best, pos = _best(spark, d, sim)
+def v6_j11_membership(spark, d):
+    best, pos = _best(spark, d)
     return metrics.hits(best, pos).select("run", "q", "r", "hit", "has_gt")
 
 
@@ -363,25 +365,32 @@ def v7_shifted_positives(spark, d):
 
 
 @query(f"WITH {SIM} SELECT a.run AS a, b.run AS b FROM (SELECT DISTINCT run FROM sim) a JOIN (SELECT DISTINCT run FROM sim) b ON a.run < b.run")
-def j12_member_pairs(spark, d, sim=T.small_sim):
-    runs = sim(spark, d).select("run").distinct()
+def j12_member_pairs(spark, d):
+    runs = T.scores(spark, d).select("run").distinct()
     return runs.select(F.col("run").alias("a")).join(runs.select(F.col("run").alias("b")), F.col("a") < F.col("b"))
 
 
-@query(f"""WITH {SIM}, a AS (SELECT s, row_number() OVER (ORDER BY q, r) - 1 AS i FROM sim WHERE run = 'l2' AND q < 5), b AS (SELECT s, row_number() OVER (ORDER BY q, r) - 1 AS i FROM sim WHERE run = 'sad' AND r < 7)
+@query(f"""WITH {SIM}, a AS (SELECT s, row_number() OVER (ORDER BY q, r) - 1 AS i FROM sim WHERE run = 'l2'), b AS (SELECT s, row_number() OVER (ORDER BY q, r) - 1 AS i FROM sim WHERE run = 'sad' AND r > 0)
 SELECT i::INT AS i, round(a.s, 6) + 0.0 AS a, round(b.s, 6) + 0.0 AS b FROM a JOIN b USING (i)""")
-def j13_positional_zip(spark, d, sim=T.small_sim):
-    s = sim(spark, d)
-    number = lambda df, c: df.select((F.row_number().over(W.orderBy("q", "r")) - 1).alias("i"), F.col("s").alias(c))
-    return _r(number(s.where("run = 'l2' and q < 5"), "a").join(number(s.where("run = 'sad' and r < 7"), "b"), "i"), 6, "a", "b")
-
-
-# ------------------------------------------------------------ the same over all queries and references
-for _f in (
-    j7_all_pairs, d7_argmax, d8_rank_order, d9_recall_at_k, d11_min_max, d14_match_features, q1_modified_guarded, q2_modified_divided,
-    q3_modified_plain, q4_seqslam, q5_seqslam_velocities, q6_seqslam_slow, q7_legacy, q7_legacy_columns, e3_e4_fusion, e5_disagreement,
-    e2_w14_crop_common, w14_strided, e6_member_recalls, e7_e9_pearson, e7_spearman, e8_nan_mean, ensemble_recall, ensemble_report,
-    v1_recall_with_gt, v2_recall_all, v3_pr_curve, v4_auc, v5_ranked_pr, v6_j11_membership, j12_member_pairs, j13_positional_zip,
-):
-    whole(_f, sim=T.whole_sim)
-whole(d10_patch_fusion, nq=None, nr=None)
+def j13_positional_zip(spark, d):
+    s = T.scores(spark, d, ("l2", "sad"))
+    number = lambda df, c: ranks.value_rank(df, F.col("q"), ["q", "r"], "i").select(F.col("i").cast("int").alias("i"), F.col("s").alias(c))
+    return _r(number(s.where("run = 'l2'"), "a").join(number(s.where("run = 'sad' and r > 0"), "b"), "i"), 6, "a", "b")
+
+
+def _evaluate_sql(scores: str) -> str:
+    return f"""{scores}, bs AS (SELECT run, q, arg_min(r, (-round(s, 9), r)) AS r FROM ev GROUP BY run, q)
+SELECT run, round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bs.q AND pos.r = bs.r))::INT), 6) AS recall_at_1, count(*) AS queries FROM bs GROUP BY run"""
+
+
+@query(_evaluate_sql(f"WITH {SIM}, {modified(5, False)}, ev AS (SELECT run, q, r, s / 5 AS s FROM ms)"))
+def plan_evaluate_modified(spark, d):
+    q, r = T.descriptors(spark, d)
+    return _r(retrieval.evaluate(T.scores(spark, d), T.positives(q, r), 5), 6, "recall_at_1")
+
+
+@query(_evaluate_sql(f"WITH {SIM}, {slam_sql(4, (1.0,))}, ev AS (SELECT run, q, r, coalesce(s, -1e300) AS s FROM slam)"))
+def plan_evaluate_seqslam(spark, d):
+    """The window of the contrast follows from the number of references."""
+    q, r = T.descriptors(spark, d)
+    return _r(retrieval.evaluate(T.scores(spark, d), T.positives(q, r), 4, "seqslam"), 6, "recall_at_1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import binning, joins, trajectory
 from ..sources import tables as T
-from . import query, whole
+from . import query
 from .ctes import DESC, EV, MOTION, POSE
 
 DAY = 86400.0
@@ -183,13 +183,13 @@ def o12_angle_diff(spark, d):
     return T.pose(spark, d).select("seq", "idx", (F.round(trajectory.angle_diff(F.col("e") * 37, F.col("n") * 11), 4) + 0.0).alias("diff"))
 
 
-@query(f"""WITH RECURSIVE {POSE}, p AS (SELECT seq, idx, e, n FROM pose WHERE idx < 15),
+@query(f"""WITH RECURSIVE {POSE}, p AS (SELECT seq, idx, e, n FROM pose),
 c AS (SELECT seq, 0 AS ord, idx, e, n, [idx] AS seen FROM p WHERE idx = 0 UNION ALL
   SELECT seq, ord, idx, e, n, seen FROM (SELECT c.seq, c.ord + 1 AS ord, p.idx, p.e, p.n, list_append(c.seen, p.idx) AS seen,
     row_number() OVER (PARTITION BY c.seq ORDER BY sqrt((p.e - c.e) ** 2 + (p.n - c.n) ** 2), p.idx) AS rn FROM c JOIN p ON p.seq = c.seq AND NOT list_contains(c.seen, p.idx)) WHERE rn = 1)
 SELECT seq, ord::INT AS ord, idx FROM c""")
-def o13_greedy_tour(spark, d, where="idx < 15"):
-    return trajectory.greedy_tour(T.pose(spark, d).where(where))
+def o13_greedy_tour(spark, d):
+    return trajectory.greedy_tour(T.pose(spark, d))
 
 
 @query(f"WITH {POSE} SELECT seq, idx FROM pose WHERE e > -20 AND e < 20 AND n > -30 AND n < 30")
@@ -209,6 +209,14 @@ def w15_crop_start(spark, d):
     return binning.crop_start(T.pose(spark, d), 6.0)
 
 
+@query(f"""WITH {POSE}, p AS (SELECT seq, idx, round(e) AS e, round(n) AS n FROM pose), d AS (SELECT *, sqrt((lead(e) OVER w - e) ** 2 + (lead(n) OVER w - n) ** 2) AS d FROM p WINDOW w AS (PARTITION BY seq ORDER BY idx))
+SELECT seq, coalesce(min(idx) FILTER (d > 5), 0)::INT AS start_idx FROM d GROUP BY seq""")
+def w15_crop_start_strict(spark, d):
+    """On whole metres, where a step of exactly the bound occurs."""
+    p = T.pose(spark, d).select("seq", "idx", F.round("e").alias("e"), F.round("n").alias("n"))
+    return binning.crop_start(p, 5.0, strict=True)
+
+
 NEAR = f"""{POSE}, {GRID}, bk AS (SELECT g.seq, g.idx, g.t, p.t AS bt, p.idx AS bi FROM g ASOF LEFT JOIN pose p ON g.seq = p.seq AND g.t >= p.t),
 nr AS (SELECT bk.*, p.t AS ft, p.idx AS fi FROM bk ASOF LEFT JOIN pose p ON bk.seq = p.seq AND bk.t <= p.t)"""
 
@@ -221,10 +229,10 @@ def j4_nearest_time(spark, d):
     return near.select("seq", "idx", "near_row")
 
 
-@query(f"WITH {NEAR} SELECT seq, idx, round(CASE WHEN ft IS NULL OR bt IS NOT NULL AND t - bt < ft - t THEN bt ELSE ft END, 3) AS near_t FROM nr WHERE idx % 2 = 0")
-def w16_nearest_resample(spark, d, where="idx % 2 = 0"):
+@query(f"WITH {NEAR} SELECT seq, idx, round(CASE WHEN ft IS NULL OR bt IS NOT NULL AND t - bt < ft - t THEN bt ELSE ft END, 3) AS near_t FROM nr")
+def w16_nearest_resample(spark, d):
     track = T.pose(spark, d)
-    g = trajectory.uniform_grid(track, 7200.0).where(where)
+    g = trajectory.uniform_grid(track, 7200.0)
     return joins.nearest_time(g, track.select("seq", "t"), "seq", "t", [], DAY).select("seq", "idx", F.round("near_t", 3).alias("near_t"))
 
 
@@ -285,8 +293,3 @@ def s3_crop_to_range(spark, d):
     ev = T.events(spark, d)
     ends = ev.groupBy("seq").agg(F.min("t").alias("m")).select("seq", F.explode(F.array(F.col("m") + 100000, F.col("m") + 400000)).alias("t"))
     return readers.crop_to(ev, ends).groupBy("seq").agg(F.count("*").alias("n"))
-
-
-# without the bounds of the SQL
-for _f in (o13_greedy_tour, w16_nearest_resample):
-    whole(_f, where="true")

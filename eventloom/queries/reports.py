@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics, joins
 from ..sources import tables as T
-from . import query, whole
+from . import query
 
 #: result rows from orders: a recall, an area, keys with the usual blemishes
 RES = """res AS (SELECT o_orderkey AS id, CASE o_custkey % 5 WHEN 0 THEN 'sunset1' WHEN 1 THEN 'night' WHEN 2 THEN 'R0_FA0' WHEN 3 THEN 'R0_FN0' ELSE 'morning' END AS ref_seq,
@@ -108,30 +108,30 @@ def r9_classification(spark, d):
     return results(spark, d).groupBy(analytics.condition(F.col("ref_seq"), F.col("qry_seq")).alias("cond"), analytics.dataset_of(F.col("ref_seq")).alias("dataset")).agg(F.count("*").alias("n"))
 
 
-LISTS = f"{RES}, li AS (SELECT id, '[' || recall || ', ' || (seq_len / 100) || ', 0.5]' AS l FROM res WHERE id % 3 = 0)"
+LISTS = f"{RES}, li AS (SELECT id, '[' || recall || ', ' || (seq_len / 100) || ', 0.5]' AS l FROM res)"
 
 
-def _lists(spark, d, where):
-    r = results(spark, d).where(where)
+def _lists(spark, d):
+    r = results(spark, d)
     return r.select("id", F.concat(F.lit("["), F.col("recall").cast("string"), F.lit(", "), (F.col("seq_len") / 100).cast("string"), F.lit(", 0.5]")).alias("l"))
 
 
 @query(f"WITH {LISTS} SELECT id, round(list_avg(l::DOUBLE[]), 6) AS member_mean FROM li")
-def r10_parse_list(spark, d, where="id % 3 = 0"):
-    return _r(_lists(spark, d, where).select("id", analytics.list_mean(F.col("l")).alias("member_mean")), 6, "member_mean")
+def r10_parse_list(spark, d):
+    return _r(_lists(spark, d).select("id", analytics.list_mean(F.col("l")).alias("member_mean")), 6, "member_mean")
 
 
 @query(f"WITH {LISTS} SELECT count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT unnest(l::DOUBLE[]) AS v FROM li)")
-def r11_flatten(spark, d, where="id % 3 = 0"):
-    return _r(_lists(spark, d, where).select(F.explode(analytics.parse_list(F.col("l"))).alias("v")).agg(F.count("*").alias("n"), F.avg("v").alias("mean")), 6, "mean")
+def r11_flatten(spark, d):
+    return _r(_lists(spark, d).select(F.explode(analytics.parse_list(F.col("l"))).alias("v")).agg(F.count("*").alias("n"), F.avg("v").alias("mean")), 6, "mean")
 
 
-@query(f"WITH {RES} SELECT id, recall AS value, NULL::DOUBLE AS runtime, 'a' AS src FROM res WHERE id % 50 = 0 UNION ALL SELECT id, NULL, runtime, 'b' FROM res WHERE id % 70 = 0")
-def r12_s15_union(spark, d, a="id % 50 = 0", b="id % 70 = 0"):
+@query(f"WITH {RES} SELECT id, recall AS value, NULL::DOUBLE AS runtime, 'a' AS src FROM res UNION ALL SELECT id, NULL, runtime, 'b' FROM res")
+def r12_s15_union(spark, d):
     from ..sources import readers
 
     r = results(spark, d)
-    return readers.union_tagged({"a": r.where(a).select("id", F.col("recall").alias("value")), "b": r.where(b).select("id", "runtime")}, "src")
+    return readers.union_tagged({"a": r.select("id", F.col("recall").alias("value")), "b": r.select("id", "runtime")}, "src")
 
 
 @query(f"WITH {RES} SELECT ref_seq, method, round(median(recall), 6) AS med FROM res GROUP BY ALL")
@@ -248,16 +248,10 @@ def j14_lookup(spark, d):
     return results(spark, d).groupBy(joins.lookup(F.col("method"), {"mixvpr": "MixVPR", "netvlad": "NetVLAD"}).alias("name")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {RES}, t AS (SELECT id, method, CASE WHEN id % 4 = 0 THEN NULL ELSE recall END AS auc, runtime FROM res WHERE id < 400), u AS (SELECT id, recall + 1 AS auc, 5.0 AS runtime FROM res WHERE id < 400 AND id % 2 = 0)
+@query(f"""WITH {RES}, t AS (SELECT id, method, CASE WHEN id % 4 = 0 THEN NULL ELSE recall END AS auc, runtime FROM res), u AS (SELECT id, recall + 1 AS auc, 5.0 AS runtime FROM res WHERE id % 2 = 0)
 SELECT t.id, method, CASE WHEN t.auc IS NULL AND u.id IS NOT NULL THEN u.auc ELSE t.auc END AS auc, CASE WHEN t.auc IS NULL AND u.id IS NOT NULL THEN u.runtime ELSE t.runtime END AS runtime FROM t LEFT JOIN u USING (id)""")
-def k5_update_unique(spark, d, where="id < 400"):
-    r = results(spark, d).where(where)
+def k5_update_unique(spark, d):
+    r = results(spark, d)
     t = r.select("id", "method", F.when(F.col("id") % 4 != 0, F.col("recall")).alias("auc"), "runtime")
     u = r.where("id % 2 = 0").select("id", (F.col("recall") + 1).alias("auc"), F.lit(5.0).alias("runtime"))
     return analytics.update_unique(t, u, ["id"], ["auc", "runtime"])
-
-
-# without the bounds of the SQL
-for _f in (r10_parse_list, r11_flatten, k5_update_unique):
-    whole(_f, where="true")
-whole(r12_s15_union, a="true", b="true")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import session
-from ..operators import binning, joins, trajectory
+from ..operators import binning, joins, similarity, trajectory
 from ..sources import models, readers
 from ..sources import tables as T
 from ..streaming import windows
-from . import query, whole
+from . import query
 from .ctes import DESC, EV, POSE
 
 
@@ -31,12 +31,14 @@ def s2_prefix_fraction(spark, d):
     return readers.events_from_ns(raw, 0.2).select("seq", "event_id")
 
 
-@query(f"WITH {POSE} SELECT seq, count(*) AS n, round(min(n / 10 - 30), 4) + 0.0 AS lat, round(max(t) + 5, 2) AS t FROM pose WHERE seq = 'u1' GROUP BY seq")
+@query(f"WITH {POSE} SELECT seq, count(*) AS n, round(min(n / 10 - 30), 4) + 0.0 AS lat, round(max(t) + 5, 2) AS t FROM pose GROUP BY seq")
 def s4_gps_text(spark, d):
-    folder = session.fresh_dir(spark, "gps")
-    T.pose(spark, d).where("seq = 'u1'").select(F.round(F.col("n") / 10 - 30, 6).alias("lat"), (F.col("e") / 10 + 150).alias("lon"), F.col("t").cast("decimal(20,6)")).write.csv(folder, sep=" ")
-    g = readers.gps_text(spark, folder, "u1", 5.0)
-    return g.groupBy("seq").agg(F.count("*").alias("n"), (F.round(F.min("lat"), 4) + 0.0).alias("lat"), F.round(F.max("t"), 2).alias("t"))
+    folder, out = session.fresh_dir(spark, "gps"), None
+    T.pose(spark, d).select("seq", F.round(F.col("n") / 10 - 30, 6).alias("lat"), (F.col("e") / 10 + 150).alias("lon"), F.col("t").cast("decimal(20,6)")).write.partitionBy("seq").csv(folder, sep=" ")
+    for k in range(8):
+        one = readers.gps_text(spark, f"{folder}/seq=u{k}", f"u{k}", 5.0)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("seq").agg(F.count("*").alias("n"), (F.round(F.min("lat"), 4) + 0.0).alias("lat"), F.round(F.max("t"), 2).alias("t"))
 
 
 @query("SELECT event_id, epoch_us(ts) AS t_us FROM events")
@@ -47,20 +49,63 @@ def s7_composite_timestamp(spark, d):
     return e.select("event_id", readers.composite_micros(text).alias("t_us"))
 
 
-@query("SELECT count(*) AS n, sum(x)::BIGINT AS xs, 16 AS width, 12 AS height FROM (SELECT (user_id % 16)::INT AS x FROM events WHERE user_id % 3 = 1)")
+@query(f"WITH {POSE} SELECT round(n / 100, 6) + 0.0 AS lat, round(e / 100, 6) + 0.0 AS lon, (idx * 7 % 360)::DOUBLE AS heading, round(t * 1e6)::BIGINT AS t_us FROM pose")
+def s7_gps_csv(spark, d):
+    folder = session.fresh_dir(spark, "gps-csv")
+    p = T.pose(spark, d)
+    us = F.round(F.col("t") * 1e6).cast("long")
+    stamp = F.concat(F.date_format(F.timestamp_micros(us), "yyyy-MM-dd_HH-mm-ss"), F.lit("_"), (us % 1000000).cast("string"))
+    cols = [F.round(F.col("n") / 100, 6).alias("Latitude"), F.round(F.col("e") / 100, 6).alias("Longitude"), (F.col("idx") * 7 % 360).cast("double").alias("HeadMotion"), stamp.alias("Timestamp")]
+    p.select(*cols).write.csv(folder, header=True)
+    g = readers.gps_csv(spark, folder)
+    return g.select((F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon"), "heading", "t_us")
+
+
+@query("SELECT n_nationkey AS idx, round(n_nationkey * 1.5, 6) + 0.0 AS east, round(-n_regionkey * 2.25, 6) + 0.0 AS north FROM nation")
+def s10_image_folder(spark, d):
+    """An image per nation in a folder per region, between files of other kinds."""
+    folder = session.fresh_dir(spark, "images")
+    n = T.table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+
+    def run(pdf):
+        from pyarrow import fs
+
+        for key, region in zip(pdf["n_nationkey"], pdf["n_regionkey"]):
+            system, path = fs.FileSystem.from_uri(f"{folder}/r{region}")
+            system.create_dir(path, recursive=True)
+            for name in (f"@{key * 1.5:.6f}@{region * -2.25:.6f}@frame_{key}@.{'JPG' if key % 2 else 'png'}", f"{key}.txt"):
+                with system.open_output_stream(f"{path}/{name}") as out:
+                    out.write(b"image")
+        return pdf
+
+    n.groupBy("n_regionkey").applyInPandas(run, n.schema).count()
+    return readers.frame_files(spark, folder).select("idx", (F.col("east") + 0.0).alias("east"), (F.col("north") + 0.0).alias("north"))
+
+
+@query(f"""WITH {POSE}, g AS (SELECT seq, i::INT AS idx, a + i * 7200 AS t FROM (SELECT seq, min(t) AS a, max(t) AS z FROM pose GROUP BY seq), unnest(range(floor((z - a) / 7200)::BIGINT + 1)) AS u(i)),
+c AS (SELECT g.seq, g.idx, p.idx AS frame, abs(p.t - g.t) AS d, p.t AS ft FROM g JOIN pose p ON p.seq = g.seq)
+SELECT seq, idx, '/video/' || seq || '/frame_' || lpad(arg_min(frame, (d, ft))::VARCHAR, 6, '0') || '.png' AS path FROM c GROUP BY seq, idx""")
+def s19_camera_paths(spark, d):
+    p = T.pose(spark, d)
+    ends = p.groupBy("seq").agg(F.min("t").alias("a"), F.max("t").alias("z"))
+    grid = ends.select("seq", "a", F.explode(F.sequence(F.lit(0), F.floor((F.col("z") - F.col("a")) / 7200).cast("int"))).alias("idx")).select("seq", "idx", (F.col("a") + F.col("idx") * 7200).alias("t"))
+    return readers.camera_paths(grid, p, "/video", 7200.0)
+
+
+@query("SELECT count(*) AS n, sum(x)::BIGINT AS xs, 16 AS width, 12 AS height FROM (SELECT (user_id % 16)::INT AS x FROM events)")
 def s8_event_text(spark, d):
     folder = session.fresh_dir(spark, "event-text")
-    lines = T.events(spark, d).where("seq = 's1'").select(F.concat_ws(" ", F.format_string("%.6f", "t"), "x", "y", "p").alias("value"))
+    lines = T.events(spark, d).select(F.concat_ws(" ", F.format_string("%.6f", "t"), "x", "y", "p").alias("value"))
     spark.createDataFrame([("16 12",)], "value string").unionByName(lines).write.text(folder)
     size = readers.event_text_size(spark, folder)
     return readers.event_text(spark, folder, "s1").agg(F.count("*").alias("n"), F.sum("x").alias("xs")).crossJoin(size)
 
 
-def _nmea_lines(spark, d, where):
+def _nmea_lines(spark, d):
     """Sentences of a track, one kind in five of no use, one in seven with a zero; a
     sequence of more than the 1260 minutes from 3 to 24 h goes on as another one."""
     day = F.floor(F.col("idx") / 1260).cast("string")
-    p = T.pose(spark, d).where(where).withColumn("seq", F.when(F.col("idx") >= 1260, F.concat_ws("/", "seq", day)).otherwise(F.col("seq")))
+    p = T.pose(spark, d).withColumn("seq", F.when(F.col("idx") >= 1260, F.concat_ws("/", "seq", day)).otherwise(F.col("seq")))
     deg = lambda c, digits: F.concat(F.format_string(f"%0{digits}d", F.floor(F.abs(c)).cast("int")), F.format_string("%09.6f", (F.abs(c) - F.floor(F.abs(c))) * 60))
     lat, lon = -27.4 + F.round(F.col("n"), 1) / 100000, 152.9 + F.round(F.col("e"), 1) / 100000
     lat = F.when(F.col("idx") % 7 == 3, 0.0).otherwise(lat)
@@ -74,28 +119,28 @@ def _nmea_lines(spark, d, where):
 
 
 @query(f"""WITH {POSE} SELECT seq, idx, round(CASE WHEN idx % 7 = 3 THEN 0 ELSE -27.4::DOUBLE + round(n, 1) / 100000 END, 6) + 0.0 AS lat, round(152.9::DOUBLE + round(e, 1) / 100000, 6) AS lon, 60.0 * idx AS seconds
-FROM pose WHERE idx < 60 AND idx % 5 <> 4""")
-def s6_nmea_parse(spark, d, where="idx < 60"):
-    n = readers.nmea(_nmea_lines(spark, d, where))
+FROM pose WHERE idx % 5 <> 4""")
+def s6_nmea_parse(spark, d):
+    n = readers.nmea(_nmea_lines(spark, d))
     return n.select("seq", "idx", (F.round("lat", 6) + 0.0).alias("lat"), F.round("lon", 6).alias("lon"), F.round("seconds", 2).alias("seconds"))
 
 
 @query()
-def s6_nmea_thinned(spark, d, where="idx < 60"):
-    return trajectory.nmea_filter(readers.nmea(_nmea_lines(spark, d, where)), 1.0).select("seq", "idx")
+def s6_nmea_thinned(spark, d):
+    return trajectory.nmea_filter(readers.nmea(_nmea_lines(spark, d)), 1.0).select("seq", "idx")
 
 
-@query(f"WITH {POSE} SELECT seq, CASE WHEN idx % 9 <> 5 THEN idx ELSE -1 END AS idx, round(e, 6) + 0.0 AS east, round(n, 6) + 0.0 AS north FROM pose WHERE idx < 50")
-def s11_frame_names(spark, d, where="idx < 50"):
-    p = T.pose(spark, d).where(where)
+@query(f"WITH {POSE} SELECT seq, CASE WHEN idx % 9 <> 5 THEN idx ELSE -1 END AS idx, round(e, 6) + 0.0 AS east, round(n, 6) + 0.0 AS north FROM pose")
+def s11_frame_names(spark, d):
+    p = T.pose(spark, d)
     tail = F.when(F.col("idx") % 9 != 5, F.concat(F.lit("@frame_"), F.col("idx").cast("string"), F.lit("@.jpg"))).otherwise("@other@.jpg")
     name = F.concat(F.lit("/data/"), F.col("seq"), F.lit("/@"), F.format_string("%.6f", "e"), F.lit("@"), F.format_string("%.6f", "n"), tail)
     return readers.frame_name(p.select("seq", name.alias("path")), "path").select("seq", F.coalesce("idx", F.lit(-1)).alias("idx"), (F.round("east", 6) + 0.0).alias("east"), (F.round("north", 6) + 0.0).alias("north"))
 
 
-@query(f"WITH {POSE} SELECT seq, idx, CASE WHEN idx % 6 <> 1 THEN round(e, 4) + 0.0 END AS east, CASE WHEN idx % 6 <> 1 THEN round(n, 4) + 0.0 END AS north, CASE WHEN idx % 6 <> 1 THEN (idx * 7 % 360)::DOUBLE END AS heading FROM pose WHERE idx < 50")
-def s11_tile_names(spark, d, where="idx < 50"):
-    p = T.pose(spark, d).where(where)
+@query(f"WITH {POSE} SELECT seq, idx, CASE WHEN idx % 6 <> 1 THEN round(e, 4) + 0.0 END AS east, CASE WHEN idx % 6 <> 1 THEN round(n, 4) + 0.0 END AS north, CASE WHEN idx % 6 <> 1 THEN (idx * 7 % 360)::DOUBLE END AS heading FROM pose")
+def s11_tile_names(spark, d):
+    p = T.pose(spark, d)
     parts = [F.format_string("@%.4f", "e"), F.format_string("@%.4f", "n"), F.lit("@18@T@40.1@-73.9@pano@0"), F.concat(F.lit("@"), (F.col("idx") * 7 % 360).cast("string"))]
     tail = F.when(F.col("idx") % 6 != 1, F.lit("@0@0@1.5@20230101@note@.jpg")).otherwise("@.jpg")
     return readers.tile_name(p.select("seq", "idx", F.concat(*parts, tail).alias("path")), "path").select("seq", "idx", (F.round("east", 4) + 0.0).alias("east"), (F.round("north", 4) + 0.0).alias("north"), "heading")
@@ -125,16 +170,17 @@ def s17_bench_loader(spark, d):
     return with_gt.select(F.lit("q").alias("side"), F.col("q").alias("idx")).unionByName(r.where("idx % 100 = 0").select(F.lit("r").alias("side"), "idx"))
 
 
-@query(f"""WITH {POSE}, q AS (SELECT idx, e, n, (idx * 37) % 360 AS yaw FROM pose WHERE seq = 'u1' AND e > -60 AND e < 60 AND n > -60 AND n < 60), r AS (SELECT idx, e, n, (idx * 53) % 360 AS yaw FROM pose WHERE seq = 'u2' AND e > -60 AND e < 60 AND n > -60 AND n < 60),
-m AS (SELECT q.idx, any_value(q.yaw) AS yaw, arg_min(r.yaw, (sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2), r.idx)) AS ryaw, min(sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2)) AS d FROM q, r GROUP BY q.idx)
-SELECT idx FROM m WHERE d < 25 AND abs(((yaw - ryaw + 180) % 360 + 360) % 360 - 180) < 30""")
+@query(f"""WITH {POSE}, q AS (SELECT seq, idx, e, n, (idx * 37) % 360 AS yaw FROM pose WHERE seq <> 'u2' AND e > -60 AND e < 60 AND n > -60 AND n < 60), r AS (SELECT idx, e, n, (idx * 53) % 360 AS yaw FROM pose WHERE seq = 'u2' AND e > -60 AND e < 60 AND n > -60 AND n < 60),
+m AS (SELECT seq, q.idx, any_value(q.yaw) AS yaw, arg_min(r.yaw, (sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2), r.idx)) AS ryaw, min(sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2)) AS d FROM q, r GROUP BY seq, q.idx)
+SELECT seq, idx, round((idx % 256) / 127.5 - 1, 6) + 0.0 AS pixel FROM m WHERE d < 25 AND abs(((yaw - ryaw + 180) % 360 + 360) % 360 - 180) < 30""")
 def s18_eval_loader(spark, d):
+    """Every other track against one as the reference; a pixel value is scaled to -1..1."""
     p = trajectory.in_box(T.pose(spark, d), (-60, 60), (-60, 60))
-    q = p.where("seq = 'u1'").select(F.col("idx").alias("q"), F.col("e").alias("qe"), F.col("n").alias("qn"))
+    q = p.where("seq <> 'u2'").select(F.struct("seq", "idx").alias("q"), F.col("e").alias("qe"), F.col("n").alias("qn"))
     r = p.where("seq = 'u2'").select(F.col("idx").alias("r"), F.col("e").alias("re"), F.col("n").alias("rn"))
-    near = joins.nearest_place(q, r).where("dist < 25")
-    yaw = trajectory.angle_diff(((F.col("q") * 37) % 360).cast("double"), ((F.col("r") * 53) % 360).cast("double"))
-    return near.where(F.abs(yaw) < 30).select(F.col("q").alias("idx"))
+    near = joins.nearest_place_within(q, r, 25.0)
+    yaw = trajectory.angle_diff(((F.col("q.idx") * 37) % 360).cast("double"), ((F.col("r") * 53) % 360).cast("double"))
+    return near.where(F.abs(yaw) < 30).select("q.seq", "q.idx", (F.round(similarity.unit_range(F.col("q.idx") % 256), 6) + 0.0).alias("pixel"))
 
 
 @query(f"WITH {POSE} SELECT seq, idx FROM pose JOIN (SELECT seq, min(t) + 300000 AS a, min(t) + 900000 AS z FROM pose GROUP BY seq) USING (seq) WHERE NOT t BETWEEN a AND z")
@@ -155,6 +201,33 @@ def k1_k3_k8_cached_table(spark, d):
     return again.withColumn("reads", F.lit(3 - len(made)))
 
 
+@query(f"WITH {POSE}, c AS (SELECT seq, count(*) AS n FROM pose GROUP BY seq) SELECT *, unnest(['new', 'same', 'longer', 'damaged']) AS state, unnest([1, 1, 2, 3]) AS makings FROM c")
+def k8_cache_validity(spark, d):
+    """Made again when the duration differs or the table can't be read, and only then."""
+    folder, made = session.fresh_dir(spark, "valid"), []
+    make = lambda: made.append(1) or T.pose(spark, d).groupBy("seq").agg(F.count("*").alias("n"))
+    out = None
+    for state, duration in (("new", 60.0), ("same", 60.0), ("longer", 90.0), ("damaged", 90.0)):
+        if state == "damaged":
+            spark.createDataFrame([("?",)], "valid string").write.mode("overwrite").parquet(f"{folder}-properties")
+        readers.cached(spark, folder, make, duration=duration, end=1200)
+        one = spark.createDataFrame([(state, len(made))], "state string, makings int")
+        out = one if out is None else out.unionByName(one)
+    return readers.cached(spark, folder, make, duration=90.0, end=1200).crossJoin(F.broadcast(out))
+
+
+@query(f"WITH {DESC}, a AS (SELECT 'q' AS side, idx, vec FROM qs UNION ALL SELECT 'r', idx, vec FROM rs) SELECT side, idx, len(vec)::INT AS dim, round(list_sum(vec), 6) + 0.0 AS total FROM a")
+def k6_descriptor_sink(spark, d):
+    """Written once in float32, as descriptors are kept; a second writing changes nothing."""
+    folder = session.fresh_dir(spark, "descriptors")
+    q, r = T.descriptors(spark, d)
+    every = q.select(F.lit("q").alias("side"), "idx", "vec").unionByName(r.select(F.lit("r").alias("side"), "idx", "vec"))
+    readers.write_once(every.withColumn("vec", F.col("vec").cast("array<float>")), folder, "side")
+    readers.write_once(every.limit(1), folder, "side")
+    back = spark.read.parquet(folder).withColumn("vec", F.col("vec").cast("array<double>"))
+    return back.select("side", "idx", F.size("vec").alias("dim"), (F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"))
+
+
 @query("SELECT unnest(['a', 'b']) AS k, unnest([3, 1])::BIGINT AS n")
 def k4_append(spark, d):
     folder = session.fresh_dir(spark, "append")
@@ -215,12 +288,9 @@ def stream_sessions(spark, d):
     return out.select("seq", F.unix_seconds("start").alias("start_s"), "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, nx AS (SELECT seq, t, min(t) OVER (PARTITION BY seq ORDER BY t RANGE BETWEEN 9000.5 FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM ev),
+c AS (SELECT seq, t_first AS t FROM b UNION ALL SELECT c.seq, nx.nt FROM c JOIN nx ON nx.seq = c.seq AND nx.t = c.t WHERE nx.nt IS NOT NULL)
+SELECT ev.seq, event_id, ev.t FROM ev JOIN c ON ev.seq = c.seq AND ev.t = c.t""")
 def stream_min_gap_sample(spark, d):
     s, state = _stream(spark, d)
     return windows.run_to_table(windows.min_gap_sample(s, 9000.5), _name("gap"), "append", state)
-
-
-# without the bounds of the SQL
-for _f in (s6_nmea_parse, s6_nmea_thinned, s11_frame_names, s11_tile_names):
-    whole(_f, where="true")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import joins
+
 #: The columns of a result table, in order.
 RESULT_SCHEMA = (
     "ref_seq string, qry_seq string, reconstruction_name string, vpr_method string, seq_len int, bin_type string, "
@@ -152,14 +157,28 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """Read-through cache: the table at ``path``, made and written first if there is none."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        make().write.mode("overwrite").parquet(path)
+def cached(spark: SparkSession, path: str, make, **valid) -> DataFrame:
+    """Read-through cache: the table at ``path``, made and written first if there is none, or if it was
+    written for other values of ``valid`` (duration, end index); what can't be read is made again."""
+    try:
+        props = spark.read.parquet(f"{path}-properties").head()
+        fresh = props is not None and props["valid"] == json.dumps(valid, sort_keys=True)
+        if fresh:
+            return spark.read.parquet(path)
+    except AnalysisException:
+        pass
+    make().write.mode("overwrite").parquet(path)
+    # written last: it vouches for the table
+    spark.createDataFrame([(json.dumps(valid, sort_keys=True),)], "valid string").write.mode("overwrite").parquet(f"{path}-properties")
     return spark.read.parquet(path)
 
 
+def camera_paths(grid: DataFrame, frames: DataFrame, folder: str, width: float) -> DataFrame:
+    """The grid's times (seq, idx, t) with the path of the camera frame (seq, idx, t) nearest in time, the earlier of two."""
+    near = joins.nearest_time(grid, frames.select("seq", "t", F.col("idx").alias("frame")), "seq", "t", ["frame"], width, "left")
+    return near.select("seq", "idx", F.concat(F.lit(folder + "/"), "seq", F.format_string("/frame_%06d.png", F.col("near_frame").cast("int"))).alias("path"))
+
+
 def hdf5_events(spark: SparkSession, path: str, group: str = "events") -> DataFrame:
     """Events of an HDF5 file, where h5py is installed: read in slices by executors."""
     import h5py  # optional

@@ -46,9 +46,10 @@ def pose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def descriptors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(queries, references): (idx, vec, label) with dense numbers."""
+    from ..operators import ranks
+
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
-    w = W.orderBy("vec_id")
-    number = lambda df: df.select((F.row_number().over(w) - 1).alias("idx"), "vec", "label")
+    number = lambda df: ranks.value_rank(df, F.col("vec_id"), ["vec_id"], "idx").select(F.col("idx").cast("int").alias("idx"), "vec", "label")
     return number(e.where("vec_id % 5 = 0")), number(e.where("vec_id % 5 <> 0"))
 
 
@@ -57,20 +58,13 @@ def positives(q: DataFrame, r: DataFrame) -> DataFrame:
     return q.select(F.col("idx").alias("q"), "label").join(r.select(F.col("idx").alias("r"), "label"), "label").select("q", "r")
 
 
-def small_sim(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...] = ("l2", "cosine", "sad"), nq: int | None = 24, nr: int | None = 60) -> DataFrame:
-    """(run, q, r, s): scores of the first queries and references in three metrics;
-    a fixed shape for operators whose output grows with Q x R x L."""
+def scores(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...] = ("l2", "cosine", "sad")) -> DataFrame:
+    """(run, q, r, s): scores of all queries and references in the metrics."""
     from ..operators import similarity
 
     q, r = descriptors(spark, sf_dir)
-    q, r = (df if n is None else df.where(F.col("idx") < n) for df, n in ((q, nq), (r, nr)))
     out = None
     for m in metrics:
         one = similarity.all_pairs(q, r, m).select(F.lit(m).alias("run"), "q", "r", F.round("s", 6).alias("s"))
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def whole_sim(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...] = ("l2", "cosine", "sad")) -> DataFrame:
-    """(run, q, r, s): scores of all queries and references in three metrics."""
-    return small_sim(spark, sf_dir, metrics, None, None)

@@ -52,7 +52,13 @@ def min_gap_sample(events: DataFrame, gap: float, late: str = "10 minutes") -> D
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drive a stream over all that is there now into an in-memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drive a stream over all that is there now into a table in a folder beside the checkpoint; a complete
+    result replaces the one before."""
+    folder = f"{checkpoint}-{name}"
+    w = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "complete":
+        q = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(folder)).start()
+    else:
+        q = w.format("parquet").option("path", folder).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
