@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import words
 
 SPANS = "row long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
 
@@ -230,6 +231,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
         w = docs.sparkSession.sparkContext.broadcast(Windows(items, width))
 
         def run(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+            words.take_over("decontaminate")
             rows: list = []
             ids: list = []
             texts: list = []

@@ -206,9 +206,13 @@ class Encoder:
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""
+    words.take_over("encoder")
     return Encoder(path)
 
 
+words.KEPT["encoder"] = encoder.cache_clear
+
+
 def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with ``end_id`` behind each text."""
     lengths = lengths + 1

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import words
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONG = 32
@@ -247,10 +248,12 @@ class Scorer:
 
 
 _LAST: dict[str, Scorer] = {}
+words.KEPT["language"] = _LAST.clear
 
 
 def _scorer(key: str, model, vocabulary: str) -> Scorer:
     """One scorer for each Python worker and model, so that words stay known from task to task."""
+    words.take_over("language")
     if key not in _LAST:
         _LAST.clear()
         _LAST[key] = Scorer(*model.value, vocabulary)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import files
+from . import files, words
 
 class Block:
     """The n-grams of a block of texts, as places in one sorted array of hashes."""
@@ -100,6 +100,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
     """(number, ids, texts) of the blocks of a task's rows; numbers hold for all tasks."""
     from pyspark import TaskContext
 
+    words.take_over("lm")
     nth, held, some = TaskContext.get().partitionId() << 24, 0, []
     join = lambda c: pa.concat_arrays([b.column(c) for b in some])
     for b in batches:

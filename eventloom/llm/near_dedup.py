@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import graphs
+from . import graphs, words
 
 BASE = 1.001  # of the exponential spacing
 TOP = 65_535  # registers are 16 bits
@@ -101,6 +101,7 @@ def sketches(docs: DataFrame, width: int, m: int) -> DataFrame:
     """(doc_id, n, rep, regs) of every row; rep: the digest of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.take_over("near")
         sk = SetSketch(m)
         for b in batches:
             ns, reps, regs = [], [], []
@@ -148,6 +149,7 @@ class _Linker:
         m, least = self.m, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words.take_over("near")
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -217,6 +219,7 @@ class _Linker:
         percent = self.percent
 
         def run(table: pa.Table) -> pa.Table:
+            words.take_over("near")
             comp = table.column("comp").to_numpy()
             rep = table.column("rep").to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]

@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: What each operator keeps in a Python worker from task to task, and how to let it go.
+KEPT: dict[str, Callable[[], None]] = {}
+_OWNER = [""]
+
+
+def take_over(name: str) -> None:
+    """Called at the start of a task in a Python worker, which Spark uses again for other stages: what
+    other operators kept is let go, and free memory goes back to the system."""
+    if _OWNER[0] == name:
+        return
+    _OWNER[0] = name
+    for other, clear in KEPT.items():
+        if other != name:
+            clear()
+    gc.collect()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # arrays of 4 MB or more are mapped, and so leave no gaps when they go
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: memory is reused, but not given back
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, on arrays of uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
