@@ -37,54 +37,69 @@ from . import common as C
 from . import files, words
 
 class Block:
-    """The n-grams of a block of texts, as places in one sorted array of hashes."""
+    """The words of a block of texts, and its distinct n-grams as one sorted array of hashes. The
+    empty n-gram, hash 0, stands for the number of all words."""
 
     def __init__(self, texts: pa.Array, order: int):
         words = [h for some in C.word_hashes(texts) for h in some]
         self.order, self.sizes = order, np.array([len(w) for w in words], np.int64)
-        words, doc = (np.concatenate(words) if words else np.empty(0, np.uint64)), np.repeat(np.arange(len(words)), self.sizes)
-
-        def grams(k: int) -> np.ndarray:
-            """Of all texts in order, without those that cross the end of one."""
-            return C.gram_hashes(words, k)[doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :]]
-
-        # one order after the other, as sorting all at once takes several times the memory
-        found = []
-        for n in range(1, order + 1):
-            u, at, c = np.unique(grams(n), return_inverse=True, return_counts=True)
-            found.append((u, at.astype(np.int32), c))
-        # the empty n-gram stands for the number of all words
-        keys = np.concatenate([np.zeros(1, np.uint64), *(u for u, _, _ in found)])
-        self.keys, place = np.unique(keys, return_inverse=True)
-        self.counts = np.zeros(len(self.keys), np.int64)
-        self.at, start = [], 1
-        for u, at, c in found:
-            to = place[start : start + len(u)].astype(np.int32)
-            self.counts[to] += c
-            self.at.append(to[at])
-            start += len(u)
-        self.counts[0] = self.sizes.sum()
-
-    def scores(self, total: np.ndarray, alpha: float) -> np.ndarray:
+        self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)
+
+    def grams(self, k: int) -> np.ndarray:
+        """Of all texts in order, without those that cross the end of one."""
+        return C.gram_hashes(self.words, k)[self.doc[: max(0, len(self.doc) - k + 1)] == self.doc[k - 1 :]]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams and how often each occurs. One order after the other, as sorting all at once
+        takes several times the memory."""
+        keys, counts = [np.zeros(1, np.uint64)], [np.array([len(self.words)], np.int64)]
+        for k in range(1, self.order + 1):
+            g = self.grams(k)
+            g.sort()
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(g)), bool), g[1:] != g[:-1]]))
+            keys.append(g[first])
+            counts.append(np.diff(first, append=len(g)))
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        if (same := keys[1:] == keys[:-1]).any():  # hashes that meet by chance count together
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            keys, counts = keys[first], np.add.reduceat(counts, first)
+        return keys, counts
+
+    def others(self, k: int, keys: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """At the n-gram of order ``k`` that ends at each word, its count in other documents; 0 where none ends."""
+        at = np.searchsorted(keys, self.grams(k))
+        n = total[at].astype(np.int32)
+        doc = self.doc[k - 1 :][self.doc[: max(0, len(self.doc) - k + 1)] == self.doc[k - 1 :]]
+        some = np.flatnonzero(n > 1)  # what the corpus holds once is the document's own
+        out = np.zeros(len(n), np.int32)
+        _, inv, own = np.unique((doc[some].astype(np.int64) << 32) | at[some], return_inverse=True, return_counts=True)
+        out[some] = n[some] - own[inv]
+        every = np.zeros(len(self.words), np.int32)
+        every[self.places() >= k - 1] = out
+        return every
+
+    def places(self) -> np.ndarray:
+        """The place of each word in its text."""
+        return np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def scores(self, keys: np.ndarray, total: np.ndarray, alpha: float) -> np.ndarray:
         """Sum of log S over each text; ``total``: corpus counts of ``keys``."""
-        docs, n = len(self.sizes), int(self.sizes.sum())
-        doc = np.repeat(np.arange(docs), self.sizes)
-        place = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        others = []  # by order: at the n-gram that ends at each word, its count in other documents
-        for k, at in enumerate(self.at, 1):
-            ends = np.flatnonzero(place >= k - 1)
-            _, inv, own = np.unique(doc[ends] * len(self.keys) + at, return_inverse=True, return_counts=True)
-            c = np.zeros(n, np.int64)
-            c[ends] = total[at] - own[inv]
-            others.append(c)
-        words = np.maximum(total[0] - self.sizes[doc], 1)
-        log = np.log(np.maximum(others[0], 1) / words) + (np.minimum(place, self.order - 1)) * np.log(alpha)
-        for k in range(2, self.order + 1):  # longer n-grams overrule shorter ones
-            hit = (place >= k - 1) & (others[k - 1] > 0)
-            before = np.concatenate([[1], others[k - 2][:-1]])  # the context ends one word earlier
-            more = np.minimum(place, self.order - 1) - (k - 1)
-            log = np.where(hit, np.log(np.maximum(others[k - 1], 1) / np.maximum(before, 1)) + more * np.log(alpha), log)
-        return np.bincount(doc, log, docs)
+        place, shorter = self.places(), None
+        rest = np.maximum(total[0] - self.sizes[self.doc], 1)
+        for k in range(1, self.order + 1):  # longer n-grams overrule shorter ones
+            n = self.others(k, keys, total)
+            up = (np.minimum(place, self.order - 1) - (k - 1)) * np.log(alpha)
+            if k == 1:
+                log = np.log(np.maximum(n, 1) / rest) + up
+            else:
+                before = np.concatenate([[1], shorter[:-1]]) if len(n) else shorter  # the context ends one word earlier
+                hit = np.flatnonzero(n > 0)
+                log[hit] = np.log(n[hit] / np.maximum(before[hit], 1)) + up[hit]
+            shorter = n
+        return np.bincount(self.doc, log, len(self.sizes))
 
 
 def pack_keys(keys: np.ndarray, z) -> bytes:
@@ -113,7 +128,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
         yield nth, join(0), join(1)
 
 
-def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, log_score (natural logarithm)."""
     import zstandard
 
@@ -130,10 +145,9 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
         for block, _, texts in _blocks(batches, block_bytes):
-            k = Block(texts, order)
-            cut = np.concatenate([[0], np.searchsorted(k.keys, edges), [len(k.keys)]])
-            rows = [(b, block, pack_keys(k.keys[s:e], z), z.compress(k.counts[s:e].astype("<i8").tobytes())) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
-            del k
+            keys, counts = Block(texts, order).counts()
+            cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            rows = [(b, block, pack_keys(keys[s:e], z), z.compress(counts[s:e].astype("<i8").tobytes())) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "keys", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
@@ -160,9 +174,10 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int
         for block, ids, texts in _blocks(batches, block_bytes):
             k = Block(texts, order)
             totals = np.frombuffer(d.decompress(files.read_all(f"{folder}/{block}")), "<i8")
-            if len(totals) != len(k.keys):
+            keys, _ = k.counts()
+            if len(totals) != len(keys):
                 raise ValueError("the second scan found other blocks than the first")
-            yield pa.RecordBatch.from_arrays([ids, pa.array(k.sizes), pa.array(k.scores(totals, alpha))], ["doc_id", "n_words", "log_score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(k.sizes), pa.array(k.scores(keys, totals, alpha))], ["doc_id", "n_words", "log_score"])
 
     asked = docs.mapInArrow(ask, "bucket long, block long, keys binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(total, "bucket long, block long, totals binary")
