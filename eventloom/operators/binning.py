@@ -106,12 +106,22 @@ def min_gap_sample(rows: DataFrame, gap: float, tie: str = "event_id") -> DataFr
     return folds.fold(rows.select("seq", "t", tie), "seq", ["t", tie], step, f"seq string, {tie} long, t double")
 
 
-def gap_segments(rows: DataFrame, gap: float, tie: str = "event_id") -> DataFrame:
-    """A new segment after each gap over ``gap``; segments of one row are dropped."""
-    w = W.partitionBy("seq").orderBy("t", tie)
-    jump = F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(0))
-    seg = rows.withColumn("_j", jump).withColumn("segment", F.sum("_j").over(w).cast("int")).drop("_j")
-    return seg.withColumn("_n", F.count("*").over(W.partitionBy("seq", "segment"))).where("_n >= 2").drop("_n")
+def gap_segments(rows: DataFrame, gap: float, tie: str = "event_id", width: float = 86_400.0) -> DataFrame:
+    """A new segment after each gap over ``gap``; segments of one row are dropped. Times and
+    counts are carried over the borders of buckets of ``width``, so no task holds a whole sequence."""
+    from . import ranks
+
+    x = ranks.with_bucket(rows, "t", width)
+    by_bucket = W.partitionBy("seq").orderBy("_bucket")
+    carry = x.groupBy("seq", "_bucket").agg(F.max("t").alias("_end")).withColumn("_carry", F.lag("_end").over(by_bucket)).drop("_end")
+    w = W.partitionBy("seq", "_bucket").orderBy("t", tie)
+    x = x.withColumn("_prev", F.lag("t").over(w)).join(carry, ["seq", "_bucket"])
+    x = x.withColumn("_j", F.coalesce((F.col("t") - F.coalesce("_prev", "_carry") > gap).cast("int"), F.lit(0)))
+    before = F.sum("_s").over(by_bucket.rowsBetween(W.unboundedPreceding, -1))
+    base = x.groupBy("seq", "_bucket").agg(F.sum("_j").alias("_s")).withColumn("_base", F.coalesce(before, F.lit(0))).drop("_s")
+    x = x.withColumn("_c", F.sum("_j").over(w)).join(base, ["seq", "_bucket"]).withColumn("segment", (F.col("_c") + F.col("_base")).cast("int")).select(*rows.columns, "segment")
+    more = x.groupBy("seq", "segment").agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n")
+    return x.join(more, ["seq", "segment"], "left_semi").select(*rows.columns, "segment")
 
 
 def crop_margin(rows: DataFrame, margin: float) -> DataFrame:

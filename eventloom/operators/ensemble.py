@@ -42,10 +42,10 @@ def sum_patches(sim: DataFrame) -> DataFrame:
 
 def disagreement(sim: DataFrame) -> DataFrame:
     """One row: mean over pairs of runs of |A - B| / |A + B| (Frobenius); 0 if a
-    sum is 0 or there are fewer than two runs. Pairs are of runs within a cell."""
-    cells = sim.groupBy("q", "r").agg(F.sort_array(F.collect_list(F.struct("run", "s"))).alias("m"))
-    pair = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: a["run"] < b["run"]), lambda b: F.struct(a["run"].alias("a"), b["run"].alias("b"), (a["s"] - b["s"]).alias("d"), (a["s"] + b["s"]).alias("p")))))
-    n = cells.select(F.inline(pair)).groupBy("a", "b").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("d"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("p"))
+    sum is 0 or there are fewer than two runs. Runs meet cell by cell, and sums are combined before they shuffle."""
+    a, b = (sim.select("q", "r", F.col("run").alias(f"run_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+    pairs = a.join(b, ["q", "r"]).where("run_a < run_b").select("run_a", "run_b", (F.col("s_a") - F.col("s_b")).alias("d"), (F.col("s_a") + F.col("s_b")).alias("p"))
+    n = pairs.groupBy("run_a", "run_b").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("d"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("p"))
     return n.agg(F.coalesce(F.avg(F.when(F.col("p") > 0, F.col("d") / F.col("p")).otherwise(0.0)), F.lit(0.0)).alias("avg_disagreement"))
 
 

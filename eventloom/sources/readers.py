@@ -42,16 +42,17 @@ def event_text_size(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").rlike(r"^\S+ \S+ \S+")).select(F.split("value", " ")[0].cast("int").alias("width"), F.split("value", " ")[1].cast("int").alias("height")).limit(1)
 
 
-def events_from_ns(raw: DataFrame, fraction: float = 1.0) -> DataFrame:
+def events_from_ns(raw: DataFrame, fraction: float = 1.0, bucket: float = 60.0) -> DataFrame:
     """Events of a sensor clock in nanoseconds, converted to seconds; of each sequence only the
-    first ``fraction`` by order, found by rank and not by a sample."""
+    first ``fraction`` by order, found by rank and not by a sample. Rows are ranked within buckets of
+    ``bucket`` seconds, each of which should fit a task."""
     from ..operators import ranks
 
     e = raw.withColumn("t", F.col("ts_ns") * 1e-9).drop("ts_ns")
     if fraction >= 1:
         return e
     n = e.groupBy("seq").agg(F.floor(F.count("*") * fraction).alias("_keep"))
-    return ranks.global_rank(e, "seq", ["t", "event_id"], 3600.0, "_k").join(n, "seq").where("_k < _keep").drop("_k", "_keep")
+    return ranks.global_rank(e, "seq", ["t", "event_id"], bucket, "_k").join(n, "seq").where("_k < _keep").drop("_k", "_keep")
 
 
 def gps_text(spark: SparkSession, path: str, seq: str, offset: float = 0.0) -> DataFrame:
