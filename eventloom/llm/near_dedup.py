@@ -286,33 +286,36 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     keyed = C.saved(band_keys(reps, bands, band_rows, m), "keys")
     counts = C.saved(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key-counts")
     near = C.maybe_in(keyed, counts.select("key"), "key").where("_maybe").drop("_maybe")
-    shared = C.saved(C.join_groups(near, counts, "key", "c", heavy).withColumn("comp", F.col("rep")), "members")
+    shared = C.saved(C.join_groups(near, counts, "key", "c", heavy), "shared")
     C.discard(keyed, counts)
     linker.read_sets(shared.select("rep").distinct().join(classes.select("rep", "doc_id"), "rep"))
     a, b = shared.where(F.col("c") <= SMALL).alias("a"), shared.where(F.col("c") <= SMALL).alias("b")
     few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & linker.close("a.n", "b.n"))
     listed = linker.estimated(C.saved(few.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct(), "few"))
-    members = C.saved(shared.where(F.col("c") > SMALL).drop("c"), "members")
+    members = C.saved(shared.where(F.col("c") > SMALL).select("key", "rep", "n"), "members")
     C.discard(shared)
+    # the group of each class, kept apart from its many bucket rows
+    labels = C.saved(members.select("rep").distinct().withColumn("comp", F.col("rep")), "labels")
 
     found: list[DataFrame] = []
     for k in range(rounds):
+        placed = C.saved(members.join(labels, "rep"), "placed")
         # the leader comes from the largest group
         mine = F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n", "comp")).alias("l")
-        comps = C.saved(members.groupBy("key", "comp").agg(F.count("*").alias("c"), mine), "groups")
+        comps = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), mine)
         lead = C.saved(comps.groupBy("key").agg(F.sum("c").alias("c"), F.max_by("l", F.struct("c", "l.h")).alias("l")), "leaders")
-        pairs = C.join_groups(members, lead, "key", "c", heavy).where("comp <> l.comp").select(F.col("rep").alias("x"), F.col("l.rep").alias("y"), "comp", F.col("l.comp").alias("to"), "n", F.col("l.n").alias("ny"))
+        pairs = C.join_groups(placed, lead, "key", "c", heavy).where("comp <> l.comp").select(F.col("rep").alias("x"), F.col("l.rep").alias("y"), "comp", F.col("l.comp").alias("to"), "n", F.col("l.n").alias("ny"))
         pairs = C.saved(pairs.where(linker.close("n", "ny")).select("x", "y", "comp", "to").distinct(), "faced")
         est = linker.estimated(pairs)
         links = linker.verified(est.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y")))
         found.append(links)
         # a group moves into one of those its classes link with
         moved = pairs.join(links, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))).groupBy("comp").agg(F.min("to").alias("to"))
-        sizes = comps.groupBy("comp").agg(F.sum("c").alias("size"))
-        moved = C.saved(moved.join(sizes, "comp"), "moved")
-        new = C.join_groups(members, moved, "comp", "size", heavy, "left").withColumn("comp", F.coalesce("to", "comp")).select(*members.columns)
-        old, members = members, C.saved(new, "members")
-        C.discard(old, pairs, est, lead, comps, moved)
+        moved = C.saved(moved.join(labels.groupBy("comp").agg(F.count("*").alias("size")), "comp"), "moved")
+        new = C.join_groups(labels, moved, "comp", "size", heavy, "left").select("rep", F.coalesce("to", "comp").alias("comp"))
+        old, labels = labels, C.saved(new, "labels")
+        C.discard(old, pairs, est, lead, placed, moved)
+    members = C.saved(members.join(labels, "rep"), "placed")
     found += [linker.verified(listed), linker.rest_in_buckets(members, block)]
 
     comp = graphs.components(_joined(found)).withColumnsRenamed({"node": "rep"})
