@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -42,12 +44,14 @@ def ship_code(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(), "eventloom_code.zip")
+    folder = tempfile.mkdtemp()  # of code, for the driver alone
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "eventloom_code.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(here):
+        for top, _, names in os.walk(here):
             for n in sorted(names):
                 if n.endswith(".py"):
-                    full = os.path.join(folder, n)
+                    full = os.path.join(top, n)
                     z.write(full, os.path.join("eventloom", os.path.relpath(full, here)))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
