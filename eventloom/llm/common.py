@@ -3,9 +3,6 @@ splitting, hashing, bitmaps and joins that survive hot keys."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import weakref
 from collections.abc import Iterator
 
@@ -14,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_dir, shared_root  # noqa: F401
 from . import files, words
 from .words import mix64
 
-_LOCAL: dict[str, str] = {}
-
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The same, and every ASCII byte that is no letter or digit becomes a space.
@@ -31,27 +27,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 # ------------------------------------------------------------ shared storage
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a purely local session, where one machine runs everything, may go
-    without that setting; it then gets one temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="eventloom-")
-    return _LOCAL[app]
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/eventloom/{name}-{uuid.uuid4().hex[:12]}"
-
-
 _SAVED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
