@@ -118,7 +118,7 @@ def _nmea_lines(spark, d):
     return spark.read.csv(folder, sep="|", schema="seq string, idx int, value string")
 
 
-@query(f"""WITH {POSE} SELECT seq, idx, round(CASE WHEN idx % 7 = 3 THEN 0 ELSE -27.4::DOUBLE + round(n, 1) / 100000 END, 6) + 0.0 AS lat, round(152.9::DOUBLE + round(e, 1) / 100000, 6) AS lon, 60.0 * idx AS seconds
+@query(f"""WITH {POSE} SELECT CASE WHEN idx >= 1260 THEN seq || '/' || (idx // 1260) ELSE seq END AS seq, idx, round(CASE WHEN idx % 7 = 3 THEN 0 ELSE -27.4::DOUBLE + round(n, 1) / 100000 END, 6) + 0.0 AS lat, round(152.9::DOUBLE + round(e, 1) / 100000, 6) AS lon, 60.0 * (idx % 1260) AS seconds
 FROM pose WHERE idx % 5 <> 4""")
 def s6_nmea_parse(spark, d):
     n = readers.nmea(_nmea_lines(spark, d))
