@@ -138,13 +138,13 @@ def d0_normalise_rgb(spark, d):
 @query(f"""WITH {SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY run, q ORDER BY s DESC) AS k FROM sim)
 SELECT run, q, round(max(s), 6) AS corr_max, round(avg(s), 5) AS corr_mean, round(stddev_pop(s), 5) AS corr_std,
   round((max(s) - avg(s)) / CASE WHEN stddev_pop(s) > 0 THEN stddev_pop(s) ELSE 1 END, 4) AS z_score, round(CASE WHEN avg(s) > 0 THEN max(s) / avg(s) ELSE 0 END, 3) AS peak_to_mean,
-  round(max(s) - max(s) FILTER (k = 2), 6) AS best_second_diff, round(sum(abs(s)), 4) AS abs_sum, round(count(*) FILTER (s > 0) / greatest(count(*) FILTER (s < 0), 1), 5) AS polarity_ratio
+  round(max(s) - max(s) FILTER (k = 2), 6) AS best_second_diff, round(sum(abs(s)), 6) AS abs_sum, round(count(*) FILTER (s > 0) / greatest(count(*) FILTER (s < 0), 1), 5) AS polarity_ratio
 FROM k WHERE run <> 'cosine' GROUP BY run, q""")
 def d14_match_features(spark, d):
     f = similarity.match_features(T.scores(spark, d).where("run <> 'cosine'"), "run")
     # differences of scores of six digits
-    f = _r(_r(f, 6, "corr_max", "best_second_diff"), 5, "corr_mean", "corr_std", "polarity_ratio")
-    return _r(_r(_r(f, 4, "z_score", "abs_sum"), 3, "peak_to_mean"), 5)
+    f = _r(_r(f, 6, "corr_max", "best_second_diff", "abs_sum"), 5, "corr_mean", "corr_std", "polarity_ratio")
+    return _r(_r(f, 4, "z_score"), 3, "peak_to_mean")
 
 
 @query(f"""WITH {DESC}, qp AS (SELECT idx AS q, 10.0 * idx AS qe, 10.0 * label AS qn FROM qs), rp AS (SELECT idx AS r, 10.0 * (idx // 4) AS re, 10.0 * label AS rn FROM rs)
