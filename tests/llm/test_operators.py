@@ -1,6 +1,5 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
-import gzip
 import hashlib
 import io
 import random
@@ -10,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventloom.llm import archives, common, dac, decontaminate, encoder, exact_dedup, language, licenses, lm_score, near_dedup, packing, quality, queries
 
@@ -713,12 +711,3 @@ def test_schemas_are_those_of_the_contract(spark):
     kinds = {"op2_arc_to_warc": dict(page_id="bigint", payload_bytes="bigint", payload_digest="string", record_type="string", refers_to="bigint"), "op10_best_fit_pack": dict(doc_id="bigint", piece="int", start="bigint", length="bigint", ids_crc32="bigint", sequence_id="bigint", offset="bigint")}
     for name, want in kinds.items():
         assert dict(queries.QUERIES[name](spark, SF).dtypes) == want
-
-
-def test_gzip_members_are_separate(tmp_path):
-    data = archives._member(b"one") + archives._member(b"two")
-    assert gzip.decompress(data) == b"onetwo"
-
-
-def test_types_module_is_spark():
-    assert T.LongType().simpleString() == "bigint"
