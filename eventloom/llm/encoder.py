@@ -197,7 +197,7 @@ class Encoder:
         at = self._known(np.frombuffer(b"".join(raw) + bytes(8), np.uint8), np.cumsum(size) - size, size)
         return np.concatenate([self.ids[self.start[a] : self.start[a] + self.size[a]] for a in at.tolist()])
 
-    def encode(self, texts: pa.Array, together: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: pa.Array, together: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of texts one after the other, number of ids of each text), some whole texts at a time."""
         for data, ends in words.blocks(texts, together):
             yield self._some(data, ends)
