@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, common, dac, decontaminate, exact_dedup, language, licenses, lm_score, near_dedup, packing, quality
+from . import archives, common, dac, decontaminate, exact_dedup, language, licenses, lm_score, merkle, near_dedup, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,60 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_arc_to_warc, op3_language, op4_token_codes, op5_near_dedup, op6_exact_dedup, op7_licenses, op8_decontaminate, op9_quality, op10_best_fit_pack)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, common.ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": tampered})
+    verified = F.col("folded_root") == F.col("root")
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("way")).alias("proof_sha256"), "folded_root", verified.alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_arc_to_warc, op3_language, op4_token_codes, op5_near_dedup, op6_exact_dedup, op7_licenses, op8_decontaminate, op9_quality, op10_best_fit_pack, op12_merkle_manifest)}
 
 UP, LOW = common.UPPER, common.LOWER
 
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Trees of up to 16^levels leaves, level by level; once a tree is one node, it stays as it is."""
+
+    def tree(name: str, leaves: str) -> str:
+        out = f"{name}0 AS ({leaves})"
+        for k in range(levels):
+            out += f""",
+{name}r{k} AS (SELECT g, i // 16 AS i, max(c) AS c, list(d ORDER BY i) AS l FROM {name}{k} GROUP BY g, i // 16),
+{name}{k + 1} AS (SELECT g, i, CASE WHEN c = 1 THEN l[1] ELSE sha256(array_to_string(l, '')) END AS d, (c + 15) // 16 AS c FROM {name}r{k})"""
+        return out
+
+    def walk(name: str, start: str, more: str) -> str:
+        """From every leaf: x (siblings so far) and t (the altered digest folded so far)."""
+        out = f"{name}w0 AS ({start})"
+        for k in range(levels):
+            out += f""",
+{name}w{k + 1} AS (
+  SELECT {more}, w.g, w.i // 16 AS i, CASE WHEN c = 1 THEN x ELSE x || array_to_string(l[:w.i % 16] || l[w.i % 16 + 2:], '') END AS x,
+         CASE WHEN c = 1 THEN t ELSE sha256(array_to_string(l[:w.i % 16], '') || t || array_to_string(l[w.i % 16 + 2:], '')) END AS t
+  FROM {name}w{k} w JOIN {name}r{k} r ON r.g = w.g AND r.i = w.i // 16)"""
+        return out
+
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    head = " || ".join(map(field, ["doc_id", "source", "lang", "n_chars"]))
+    lowered = f"translate(text, '{UP}', '{LOW}')"
+    steps = "list_transform(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c: c)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+    return f"""
+WITH n AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, sha256({head} || {field("text")}) AS d,
+         CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {field(lowered)}) ELSE sha256({head} || {field("text")}) END AS t
+  FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY g) AS c FROM n),
+{tree("a", "SELECT g, i, d, c FROM o")},
+s AS (SELECT '' AS g, g AS source, row_number() OVER (ORDER BY g COLLATE "binary") - 1 AS i, d, count(*) OVER () AS c FROM a{levels}),
+{tree("b", "SELECT g, i, d, c FROM s")},
+{walk("a", "SELECT doc_id, d AS leaf, g, i, '' AS x, t FROM o", "doc_id, leaf")},
+{walk("b", f"SELECT doc_id, leaf, s.d AS subroot, '' AS g, s.i, x, t FROM aw{levels} w JOIN s ON s.source = w.g", "doc_id, leaf, subroot")}
+SELECT doc_id, leaf, subroot, d AS root, sha256(x) AS proof_sha256, t AS folded_root, t = d AS verified FROM bw{levels} JOIN b{levels} USING (g)"""
+
+
 SQL = {
     "op1_lm_score": rf"""
 WITH w AS (
@@ -122,4 +172,5 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_merkle_manifest": _merkle_sql(),
 }
