@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, common, dac, decontaminate, exact_dedup, language, licenses, lm_score, merkle, near_dedup, packing, quality
+from . import archives, collocations, common, dac, decontaminate, exact_dedup, language, licenses, lm_score, merkle, near_dedup, packing, quality, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,12 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(_table(spark, sf_dir, "documents"), window=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, common.ascii_lower(F.col("text"))).otherwise(F.col("text"))
@@ -71,7 +77,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("way")).alias("proof_sha256"), "folded_root", verified.alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_arc_to_warc, op3_language, op4_token_codes, op5_near_dedup, op6_exact_dedup, op7_licenses, op8_decontaminate, op9_quality, op10_best_fit_pack, op12_merkle_manifest)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_arc_to_warc, op3_language, op4_token_codes, op5_near_dedup, op6_exact_dedup, op7_licenses, op8_decontaminate, op9_quality, op10_best_fit_pack, op11_suffix_dedup, op12_merkle_manifest, op13_collocations)}
 
 UP, LOW = common.UPPER, common.LOWER
 
@@ -172,5 +182,35 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS x FROM (SELECT *, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)),
+f AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, s) > 1),
+r AS (SELECT doc_id, s, (s > 100 + coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -101))::INT AS new FROM f),
+g AS (SELECT doc_id, min(s) AS b, max(s) + 100 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM r) GROUP BY doc_id, k),
+p AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM g),
+k AS (
+  SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) || substr(max(h), 2 * max(e) + 1) AS kept
+  FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op12_merkle_manifest": _merkle_sql(),
+    "op13_collocations": rf"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS l
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+u AS (SELECT lang, l, unnest(range(1, len(l) + 1)) AS i FROM p WHERE len(l) > 0),
+g AS (SELECT lang, k, array_to_string(l[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM u, range(1, 6) t(k) WHERE i + k - 1 <= len(l) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+o AS (SELECT * FROM g WHERE f >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM o WHERE k > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.k, a, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN n USING (lang)
+  JOIN o l ON l.lang = c.lang AND l.phrase = array_to_string(w[:j], ' ') JOIN o r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1),
+b AS (
+  SELECT * FROM s WHERE NOT EXISTS (
+    SELECT 1 FROM c d WHERE d.lang = s.lang AND d.k > s.k AND 100 * d.a >= 100 * s.a AND contains(' ' || d.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM b WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000""",
 }
