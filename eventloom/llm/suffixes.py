@@ -42,11 +42,11 @@ from .strings import eights, multikey_sort
 
 LEAD = 24
 #: Bytes of suffixes in a range, at most of the order of this.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 12 << 20
 #: Bytes of text from which splitters are taken, and leads of them that reach the driver.
 SAMPLE_BYTES, SAMPLE_LEADS = 32 << 20, 1 << 16
 #: Suffixes that a task sorts at once before they travel; windows that are sorted at once.
-UNIT, WINDOWS = 1 << 17, 1 << 19
+UNIT, WINDOWS = 1 << 16, 1 << 17
 PART = 1 << 20  # bytes of text in which anchors are sought at once
 FIRST_ID = -(1 << 63)  # stands for a null id
 
@@ -77,7 +77,9 @@ class Suffixes:
 
     @staticmethod
     def joined(some: list[Suffixes]) -> Suffixes:
+        """All of ``some``, which is emptied."""
         out = Suffixes(*(np.concatenate([getattr(s, k) for s in some]) for k in ("bytes", "right", "left", "id", "row", "at")), some[0].window)
+        some.clear()
         return out.take(np.lexsort((out.at, out.row, out.id)))
 
     def mask(self) -> np.ndarray:
@@ -237,7 +239,7 @@ def _to_ranges(window: int, splitters: np.ndarray, n_ranges: int):
                 n += len(s)
                 if n >= UNIT:
                     yield flush(some)
-                    some, n = [], 0
+                    n = 0
         if n:
             yield flush(some)
 
@@ -293,7 +295,6 @@ def _settle(window: int, splitters: np.ndarray):
         del table
         if some:
             s = Suffixes.joined(some)
-            some.clear()
             order, first, lead = s.sort()
             gone = order[~first]
             out.append(_spans(*_merged(s.row[gone], s.at[gone], s.last[gone])))
