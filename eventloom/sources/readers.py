@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins
+from . import hdf5
 
 #: The columns of a result table, in order.
 RESULT_SCHEMA = (
@@ -180,22 +181,29 @@ def camera_paths(grid: DataFrame, frames: DataFrame, folder: str, width: float)
     return near.select("seq", "idx", F.concat(F.lit(folder + "/"), "seq", F.format_string("/frame_%06d.png", F.col("near_frame").cast("int"))).alias("path"))
 
 
-def hdf5_events(spark: SparkSession, path: str, group: str = "events") -> DataFrame:
-    """Events of an HDF5 file, where h5py is installed: read in slices by executors."""
-    import h5py  # optional
+def hdf5_events(spark: SparkSession, path: str, group: str = "events", rows: int = 1 << 20) -> DataFrame:
+    """Events (file, event_id, ts_ns, x, y, p) of HDF5 files, whose datasets ascend in time. Filters on ``ts_ns`` with
+    constants prune partitions."""
+    hdf5.register(spark)
+    raw = spark.read.format("hdf5").schema("file string, row long, timestamps long, x_coordinates int, y_coordinates int, polarities int")
+    raw = raw.option("group", group).option("sorted", "timestamps").option("rows", rows).load(path)
+    return raw.select("file", F.col("row").alias("event_id"), F.col("timestamps").alias("ts_ns"), F.col("x_coordinates").alias("x"), F.col("y_coordinates").alias("y"), F.col("polarities").alias("p"))
 
-    with h5py.File(path) as f:
-        n = f[f"{group}/timestamps"].shape[0]
-    step = 1_000_000
 
-    def run(batches):
-        import pyarrow as pa
+def hdf5_poses(spark: SparkSession, path: str, group: str = "pose_base_link") -> DataFrame:
+    """(file, t, e, n) of HDF5 poses: the first two of their coordinates, times in seconds."""
+    hdf5.register(spark)
+    raw = spark.read.format("hdf5").schema("file string, timestamps long, positions array<double>").option("group", group).load(path)
+    return raw.select("file", (F.col("timestamps") * 1e-9).alias("t"), F.col("positions")[0].alias("e"), F.col("positions")[1].alias("n"))
 
-        for b in batches:
-            for s in b.column("id").to_pylist():
-                with h5py.File(path) as f:
-                    g = f[group]
-                    cols = [g[k][s * step : (s + 1) * step] for k in ("timestamps", "x_coordinates", "y_coordinates", "polarities")]
-                yield pa.RecordBatch.from_arrays([pa.array(range(s * step, s * step + len(cols[0])), pa.int64()), pa.array(cols[0], pa.int64()), *(pa.array(c.astype("int32")) for c in cols[1:])], ["event_id", "ts_ns", "x", "y", "p"])
 
-    return spark.range(-(-n // step)).mapInArrow(run, "event_id long, ts_ns long, x int, y int, p int")
+def hdf5_images(spark: SparkSession, path: str, gap: float, group: str = "image_raw") -> DataFrame:
+    """(file, row, t, images): images of HDF5 files, each at least ``gap`` seconds after the last one
+    taken. Times are read first, and then only the images that are taken."""
+    from ..operators import binning
+
+    hdf5.register(spark)
+    times = spark.read.format("hdf5").schema("file string, row long, timestamps long").option("group", group).load(path)
+    taken = binning.min_gap_sample(times.select(F.col("file").alias("seq"), "row", (F.col("timestamps") * 1e-9).alias("t")), gap, "row")
+    taken = taken.withColumnRenamed("seq", "file").repartition("file", F.floor(F.col("row") / 4096)).sortWithinPartitions("file", "row")
+    return hdf5.rows_at(taken, path, group, "images")
