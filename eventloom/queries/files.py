@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import session
-from ..sources import hdf5, readers
+from ..sources import hdf5, readers, sensor
 from ..sources import tables as T
 from . import query
 from .ctes import EV, POSE
@@ -76,3 +76,17 @@ def s13_hdf5_images(spark, d):
         out = back if out is None else out.unionByName(back)
     total = F.aggregate(F.split(F.hex("images"), "(?<=\\G..)"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.conv(F.when(x != "", x), 16, 10).cast("long"), F.lit(0)))
     return out.select("seq", "row", total.alias("total"), F.length("images").alias("size"))
+
+
+@query(f"WITH {EV} SELECT seq, (t * 1e6)::BIGINT AS t_us, x, y, p, count(*) AS n FROM ev GROUP BY ALL")
+def s5_raw_sensor(spark, d):
+    """Written as a sensor's words, three files a sequence, and read in splits of 2000 bytes."""
+    sensor.register(spark)
+    folder, out = session.fresh_dir(spark, "raw"), None
+    ev = T.events(spark, d).select("seq", F.rint(F.col("t") * 1e6).cast("long").alias("t_us"), "x", "y", "p")
+    for s in ("s0", "s1", "s2"):
+        one = ev.where(F.col("seq") == s).drop("seq").repartitionByRange(3, "t_us").sortWithinPartitions("t_us")
+        one.write.format("evt3").mode("append").save(f"{folder}/{s}")
+        back = sensor.raw_events(spark, f"{folder}/{s}", 2000).withColumn("seq", F.lit(s))
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy("seq", "t_us", "x", "y", "p").agg(F.count("*").alias("n"))
