@@ -8,7 +8,7 @@ with at least ``percent`` per cent of their occurrences are dropped, and the ``t
 *Tries.* Each shard (a batch of texts) builds a count trie level by level: a node of depth d is its parent and a
 word. Tries of a shard know words by 64-bit hashes of language and word, in whose order nodes are sorted and written as columns.
 
-*Merge.* Splitters of a sample's paths cut the order of paths into ranges of prefixes; every shard sends each
+*Merge.* Splitters of a sample's paths cut the order of paths (by the first bits of their words) into ranges of prefixes; every shard sends each
 range its slice of the sorted nodes, and a range merges its slices and keeps what occurs ``least`` times. However
 common a path is, a shard has one node for it, and the subtree of a common prefix is split among ranges at deeper words.
 
@@ -154,7 +154,7 @@ def trie(h: np.ndarray, piece: np.ndarray, kept: np.ndarray, pairs: np.ndarray |
 
 
 def _dealt(path: list[np.ndarray]) -> np.ndarray:
-    """A number that grows with the path, of the first bits of its words."""
+    """A path's place in the order by which ranges are cut: the first bits of its words, the first word's first."""
     out, left = np.zeros(len(path[0]), np.uint64), 64
     for w, bits in zip(path, PREFIX):
         left -= bits
@@ -190,9 +190,12 @@ def frequent_nodes(rows: DataFrame, total: int, word_filter: np.ndarray, pair_fi
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.take_over("collocations")
         for shard in _shards(batches, *filters.value, depths):
-            cuts = {d: np.searchsorted(splitters, _dealt(path), "right") for d, (path, _) in shard.items()}
-            cuts = {d: np.searchsorted(c, np.arange(n_ranges + 1)) for d, c in cuts.items()}
-            cells = []
+            cuts, cells = {}, []
+            for d, (path, n) in shard.items():
+                to = np.searchsorted(splitters, _dealt(path), "right")
+                by = np.argsort(to, kind="stable")
+                shard[d] = [w[by] for w in path], n[by]
+                cuts[d] = np.searchsorted(to[by], np.arange(n_ranges + 1))
             for k in range(n_ranges):
                 raw = b"".join(np.int64(c[k + 1] - c[k]).tobytes() for c in cuts.values())
                 raw += b"".join(x[cuts[d][k] : cuts[d][k + 1]].tobytes() for d, (path, n) in shard.items() for x in (*path, n))
