@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import session
-from ..sources import hdf5, readers, sensor
+from ..operators import binning
+from ..sources import clustered, frames, hdf5, readers, sensor
 from ..sources import tables as T
 from . import query
-from .ctes import EV, POSE
+from .ctes import DELTA, EV, POSE
 
 
 def _hdf5_events(spark, d):
@@ -90,3 +91,49 @@ def s5_raw_sensor(spark, d):
         back = sensor.raw_events(spark, f"{folder}/{s}", 2000).withColumn("seq", F.lit(s))
         out = back if out is None else out.unionByName(back)
     return out.groupBy("seq", "t_us", "x", "y", "p").agg(F.count("*").alias("n"))
+
+
+def _clustered(spark, d, files=12):
+    folder = session.fresh_dir(spark, "clustered")
+    clustered.write(T.events(spark, d), folder, "seq", "t", files, 1 << 14)
+    return folder
+
+
+@query(f"""WITH {EV}, g AS (SELECT seq, unnest(range(-1, 40)) AS k, t_first, t_last FROM b UNION ALL SELECT 'none', 1, 0, 10),
+q AS (SELECT DISTINCT seq, CASE k WHEN 39 THEN t_last ELSE t_first + k * 86400.0::DOUBLE END AS t FROM g)
+SELECT q.seq, q.t, (SELECT count(*) FROM ev WHERE ev.seq = q.seq AND ev.t < q.t) AS before, (SELECT count(*) FROM ev WHERE ev.seq = q.seq AND ev.t <= q.t) AS upto FROM q""")
+def w13_searchsorted(spark, d):
+    """The places of each day's start, of times before the first and after the last event, and of an unknown sequence."""
+    folder = _clustered(spark, d)
+    b = T.bounds(T.events(spark, d))
+    k = b.select("seq", F.explode(F.sequence(F.lit(-1), F.lit(39))).alias("k"), "t_first", "t_last")
+    at = k.select("seq", F.when(F.col("k") == 39, F.col("t_last")).otherwise(F.col("t_first") + F.col("k") * 86400.0).alias("t"))
+    at = at.unionByName(spark.createDataFrame([("none", 86400.0)], "seq string, t double")).distinct()
+    left, right = (clustered.searchsorted(spark, folder, "seq", "t", at, side).withColumnRenamed("place", name) for side, name in (("left", "before"), ("right", "upto")))
+    return left.join(right, ["seq", "t"])
+
+
+@query(f"WITH {EV} SELECT ev.seq, event_id, t, x, y, p FROM ev JOIN b USING (seq) WHERE ev.seq = 's1' AND t BETWEEN t_first + 432000 AND t_first + 864000")
+def w13_time_range(spark, d):
+    folder = _clustered(spark, d)
+    first = T.events(spark, d).where("seq = 's1'").agg(F.min("t")).head()[0]
+    return clustered.read_range(spark, folder, "seq", "t", "s1", first + 432_000, first + 864_000)
+
+
+@query(f"""WITH {EV}, c AS (SELECT seq, bin_id, y, x, least(count(*), 255) AS v FROM be GROUP BY ALL)
+SELECT seq, bin_id AS idx, sum(v)::BIGINT AS total, max(v)::INT AS most, 192::INT AS size FROM c GROUP BY seq, bin_id""")
+def k1_frame_sink(spark, d):
+    """A frame of counts for each bin, written twice as an image file, and read back by name."""
+    frames.register(spark)
+    folder, out = session.fresh_dir(spark, "frames"), None
+    ev = T.events(spark, d)
+    binned = binning.assign_time_bins(ev, T.bounds(ev), DELTA)
+    counts = binned.groupBy("seq", "bin_id", "y", "x").agg(F.least(F.count("*"), F.lit(255)).alias("v"))
+    name = F.concat("seq", F.lit("/@"), F.format_string("%.6f@%.6f", F.col("bin_id") * 1.5, F.col("bin_id") * -2.0), F.lit("@frame_"), F.col("bin_id").cast("string"), F.lit("@.png"))
+    dense = frames.dense(counts, ["seq", "bin_id"], name, T.HEIGHT, T.WIDTH).select("name", "height", "width", "channels", "pixels")
+    for _ in range(2):
+        dense.write.format("frames").mode("append").save(folder)
+    back = readers.frame_name(frames.read_frames(spark, folder), "path").withColumn("seq", F.element_at(F.split("path", "/"), -2))
+    values = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda k: F.conv(F.hex(F.substring("pixels", k, 1)), 16, 10).cast("int"))
+    back = back.withColumn("values", values)
+    return back.select("seq", "idx", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("values").alias("most"), F.length("pixels").alias("size"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins
-from . import hdf5
+from . import hdf5, storage
 
 #: The columns of a result table, in order.
 RESULT_SCHEMA = (
@@ -98,9 +98,17 @@ def nmea(lines: DataFrame) -> DataFrame:
 
 
 def frame_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, east, north, idx) of an image folder, without reading the images."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    return frame_name(files.where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$")), "path").orderBy(F.col("idx").asc_nulls_last(), "path")
+    """(path, east, north, idx) of an image folder, without reading the images. A text file beside the
+    folder, its name and ``_images_paths.txt``, spares the listing: it holds the paths, relative to the folder."""
+    folder = folder.rstrip("/")
+    index = storage.listing(f"{folder}_images_paths.txt", ("_images_paths.txt",))
+    if index:
+        lines = spark.read.text(f"{folder}_images_paths.txt").where("value <> ''")
+        files = lines.select(F.concat(F.lit(folder + "/"), "value").alias("path"))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+        files = files.where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
+    return frame_name(files, "path").orderBy(F.col("idx").asc_nulls_last(), "path")
 
 
 def frame_name(df: DataFrame, path: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.sources import hdf5, readers, sensor, storage
+from eventloom.sources import clustered, frames, hdf5, readers, sensor, storage
 
 
 # ------------------------------------------------------------ HDF5
@@ -175,3 +176,129 @@ def test_raw_sink_over_many_batches(spark, tmp_path):
     assert [tuple(r) for r in got] == [(k * k * 977 + 10**12, k % 640, k % 7, k % 2) for k in range(400)]
     with pytest.raises(Exception, match="sorted by time"):
         df.coalesce(1).sortWithinPartitions(F.desc("t_us")).write.format("evt3").mode("append").save(str(tmp_path))
+
+
+# ------------------------------------------------------------ tables laid out by time
+def scanned(df):
+    """Rows that the scans of a plan gave out, after it has run."""
+    df.collect()
+    plan, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        p = plan.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plan.append(p.executedPlan())
+            continue
+        if p.getClass().getSimpleName() in ("ShuffleQueryStageExec", "BroadcastQueryStageExec"):
+            plan.append(p.plan())
+            continue
+        if "FileSourceScan" in p.getClass().getSimpleName():
+            total += p.metrics().get("numOutputRows").get().value()
+        plan += [p.children().apply(k) for k in range(p.children().size())]
+    return total
+
+
+@pytest.fixture(scope="module")
+def layout(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("clustered"))
+    r = np.random.default_rng(7)
+    rows = [(s, float(t), k) for s in ("a", "b", None) for k, t in enumerate(np.round(r.uniform(0, 1000, 20_000), 1))] + [("c", 5.0, 0), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "seq string, t double, v long")
+    clustered.write(df, path, "seq", "t", 8, 1 << 13)
+    return path, rows
+
+
+def test_time_range_reads_little(spark, layout):
+    path, rows = layout
+    for key in ("a", None, "c", "nobody"):
+        df = clustered.read_range(spark, path, "seq", "t", key, 300.0, 310.0)
+        want = sorted((s, t, v) for s, t, v in rows if s == key and t is not None and 300 <= t <= 310)
+        assert sorted(map(tuple, df.collect())) == want
+    df = clustered.read_range(spark, path, "seq", "t", "a", 300.0, 310.0)
+    plan = df._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(t,300.0)" in plan and "LessThanOrEqual(t,310" in plan
+    assert scanned(df) < 6000  # of 60,001: one file of eight, and of its row groups those that meet the range
+
+
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_searchsorted(spark, layout, side):
+    path, rows = layout
+    asked = [("a", t) for t in (-1.0, 0.0, 12.3, 500.05, 999.9, 1000.0, 1e9)] + [("b", 77.7), (None, 77.7), ("c", 5.0), ("c", 4.0), ("c", 6.0), ("nobody", 1.0)]
+    asked += [("b", t) for s, t, v in rows if s == "b" and v % 3000 == 0]
+    got = {(r["seq"], r["t"]): r["place"] for r in clustered.searchsorted(spark, path, "seq", "t", spark.createDataFrame(asked, "seq string, t double"), side).collect()}
+    for key, t in asked:
+        own = np.sort([x for s, x, _ in rows if s == key and x is not None])
+        assert got.pop((key, t)) == np.searchsorted(own, t, side), (key, t)
+    assert not got
+
+
+# ------------------------------------------------------------ frames
+def test_png_filters():
+    """Every way a row may be filtered, by a plain decoder's inverse."""
+    r = np.random.default_rng(1)
+    for shape in ((7, 5), (6, 4, 3), (1, 1)):
+        pixels = r.integers(0, 256, shape).astype(np.uint8)
+        assert np.array_equal(frames.decode(frames.encode(pixels)), pixels)
+        step, rows = (3 if len(shape) == 3 else 1), pixels.reshape(shape[0], -1).astype(int)
+        raw = b""
+        for k, row in enumerate(rows):
+            how, up = k % 5, rows[k - 1] if k else np.zeros_like(row)
+            left = lambda v: np.concatenate([np.zeros(step, int), v[:-step]])  # noqa: B023, E731
+            a, b, c = left(row), up, left(up)
+            p = np.abs(a + b - c - a), np.abs(a + b - c - b), np.abs(a + b - c - c)
+            paeth = np.where((p[0] <= p[1]) & (p[0] <= p[2]), a, np.where(p[1] <= p[2], b, c))
+            guess = [0 * row, a, b, (a + b) // 2, paeth][how]
+            raw += bytes([how]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+        plain = frames.encode(pixels)
+        at = plain.index(b"IDAT")
+        body = zlib.compress(raw)
+        crafted = plain[: at - 4] + struct.pack(">I", len(body)) + b"IDAT" + body + b"\0\0\0\0" + plain[-12:]
+        assert np.array_equal(frames.decode(crafted), pixels)
+    assert frames.decode(b"GIF89a") is None
+
+
+def test_frames_dense_and_sink(spark, tmp_path):
+    frames.register(spark)
+    rows = [(1, 0, 0, 7), (1, 2, 3, 255), (1, 2, 3, 9), (1, 9, 9, 1), (2, 1, 1, 300), (2, 0, 1, 30), (3, 5, 5, 1)]
+    pix = spark.createDataFrame(rows, "k int, y int, x int, v int")
+    name = F.concat(F.lit("@1@2@frame_"), F.col("k").cast("string"), F.lit("@.png"))
+    df = frames.dense(pix, ["k"], name, 3, 4)
+    got = {r["k"]: np.frombuffer(r["pixels"], np.uint8).reshape(3, 4) for r in df.collect()}
+    one = np.zeros((3, 4), np.uint8)
+    one[0, 0], one[2, 3] = 7, 255
+    assert np.array_equal(got[1], one) and got[3].sum() == 0
+    assert got[2][1, 1] == 255 and got[2][0, 1] == 25  # shares of the largest
+    out = df.select("name", "height", "width", "channels", "pixels")
+    out.write.format("frames").mode("append").save(str(tmp_path))
+    files = sorted(tmp_path.glob("*.png"))
+    assert [f.name for f in files] == [f"@1@2@frame_{k}@.png" for k in (1, 2, 3)]
+    files[1].unlink()
+    files[0].write_bytes(b"as it was")
+    out.unionByName(out.withColumn("height", F.lit(99))).write.format("frames").mode("append").save(str(tmp_path))
+    assert files[0].read_bytes() == b"as it was" and np.array_equal(frames.decode(files[1].read_bytes()), got[2])
+    out.write.format("frames").mode("overwrite").save(str(tmp_path))
+    back = {r["path"].split("frame_")[1][0]: bytes(r["pixels"]) for r in frames.read_frames(spark, str(tmp_path)).collect()}
+    assert back == {str(k): v.tobytes() for k, v in got.items()}
+    assert [r["idx"] for r in readers.frame_files(spark, str(tmp_path)).collect()] == [1, 2, 3]
+
+
+def test_frames_failed_job_leaves_nothing(spark, tmp_path):
+    frames.register(spark)
+    df = spark.range(0, 40, 1, 4).select(F.format_string("f%d.png", "id").alias("name"), F.lit(1).alias("height"), F.lit(1).alias("width"), F.lit(1).alias("channels"), F.when(F.col("id") < 39, F.unhex(F.lit("07"))).otherwise(F.raise_error(F.lit("stop")).cast("binary")).alias("pixels"))
+    with pytest.raises(Exception, match="stop"):
+        df.write.format("frames").mode("append").save(str(tmp_path))
+    assert storage.listing(str(tmp_path), (".png",)) == []
+
+
+def test_colour_frames(spark, tmp_path):
+    pix = spark.createDataFrame([(0, 0, 0, 0, 0.5), (0, 0, 0, 2, 1.0), (0, 1, 1, 1, 0.25)], "k int, y int, x int, c int, v double")
+    r = frames.dense(pix, ["k"], F.lit("a.png"), 2, 2, channel="c").head()
+    assert np.frombuffer(r["pixels"], np.uint8).reshape(2, 2, 3).tolist() == [[[127, 0, 255], [0, 0, 0]], [[0, 0, 0], [0, 63, 0]]]
+
+
+def test_index_of_image_paths(spark, tmp_path):
+    (tmp_path / "set").mkdir()
+    (tmp_path / "set" / "@1@2@frame_4@.jpg").write_bytes(b"x")
+    (tmp_path / "set" / "unlisted@frame_9@.jpg").write_bytes(b"x")
+    assert readers.frame_files(spark, str(tmp_path / "set")).count() == 2
+    (tmp_path / "set_images_paths.txt").write_text("@1@2@frame_4@.jpg\nsub/@3@4@frame_2@.jpg\n")
+    assert [(r["idx"], r["east"]) for r in readers.frame_files(spark, str(tmp_path / "set")).collect()] == [(2, 3.0), (4, 1.0)]
