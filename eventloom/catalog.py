@@ -1,3 +1,3 @@
 """All queries of the engine's own operators, with the SQL that checks them."""
 
-from .queries import QUERIES, SQL, events, files, matching, motion, reports, tables  # noqa: F401
+from .queries import QUERIES, SQL, events, files, frames, matching, motion, reports, tables  # noqa: F401
