@@ -52,6 +52,8 @@ SAMPLE_BYTES, SAMPLE_PATHS = 16 << 20, 1 << 16
 #: Nodes that a range receives, of this order.
 RANGE_NODES = 1 << 21
 PART = 4 << 20
+#: Parts in which a language's candidates are ranked first.
+PARTS = 64
 #: Bits of a path's first, second, ... word in the number by which paths are dealt to ranges.
 PREFIX = (12, 13, 13, 13, 13)
 LINK = np.uint64(0x9E3779B97F4A7C15)
@@ -279,6 +281,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     score = "(cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div (cast(x.lefts as decimal(19,0)) * cast(x.rights as decimal(19,0)))"
     cut = F.expr(f"array_min(transform(arrays_zip(lefts, rights), (x, k) -> named_struct('score', {score}, 'k', k, 'l', x.lefts, 'r', x.rights)))")
     best = left.withColumn("cut", cut).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # a language is first cut down in parts, each to its own best, so that no task ranks all of its candidates
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    some = best.withColumn("rank", F.row_number().over(W.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(*order))
+    return some.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
