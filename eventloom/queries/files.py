@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..operators import binning
-from ..sources import clustered, frames, hdf5, readers, sensor
+from ..sources import artefacts, bags, clustered, frames, hdf5, readers, sensor
 from ..sources import tables as T
 from . import query
 from .ctes import DELTA, EV, POSE
@@ -137,3 +137,62 @@ def k1_frame_sink(spark, d):
     values = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda k: F.conv(F.hex(F.substring("pixels", k, 1)), 16, 10).cast("int"))
     back = back.withColumn("values", values)
     return back.select("seq", "idx", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("values").alias("most"), F.length("pixels").alias("size"))
+
+
+@query(f"WITH {EV} SELECT seq, (t * 1e6)::BIGINT * 1000 AS t_ns, x, y, p, count(*) AS n FROM ev GROUP BY ALL")
+def s16_bag_events(spark, d):
+    """Written as bags of compressed chunks, each chunk read as a partition."""
+    bags.register(spark)
+    folder, out = session.fresh_dir(spark, "bags"), None
+    ev = T.events(spark, d).select("seq", (F.rint(F.col("t") * 1e6).cast("long") * 1000).alias("t_ns"), "x", "y", "p")
+    for s in ("s0", "s1", "s2"):
+        one = ev.where(F.col("seq") == s).drop("seq").repartitionByRange(2, "t_ns").sortWithinPartitions("t_ns")
+        one.write.format("bag_events").mode("append").option("topic", f"/{s}/events").option("chunk", 50).option("compression", "bz2").save(f"{folder}/{s}")
+        back = spark.read.format("bag_events").option("topic", f"/{s}/events").load(f"{folder}/{s}")
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy(F.split("topic", "/")[1].alias("seq"), "t_ns", "x", "y", "p").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EV}, f AS (SELECT min(t) AS a FROM ev) SELECT seq, count(*) AS n, sum(x)::BIGINT AS xs FROM ev, f WHERE t >= a + 400000 AND t < a + 500000 GROUP BY seq")
+def s16_bag_time_range(spark, d):
+    bags.register(spark)
+    folder, out = session.fresh_dir(spark, "bags"), None
+    ev = T.events(spark, d).select("seq", (F.rint(F.col("t") * 1e6).cast("long") * 1000).alias("t_ns"), "x", "y", "p")
+    first = round(T.events(spark, d).agg(F.min("t")).head()[0] * 1e6) * 1000
+    for s in ("s0", "s1", "s2"):
+        ev.where(F.col("seq") == s).drop("seq").sort("t_ns").write.format("bag_events").mode("append").option("topic", f"/{s}/events").option("chunk", 50).save(f"{folder}/{s}")
+        back = spark.read.format("bag_events").load(f"{folder}/{s}").where((F.col("t_ns") >= first + 400_000 * 10**9) & (F.col("t_ns") < first + 500_000 * 10**9))
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy(F.split("topic", "/")[1].alias("seq")).agg(F.count("*").alias("n"), F.sum("x").alias("xs"))
+
+
+@query("""WITH m AS (SELECT s_suppkey AS k, 'old/' || s_suppkey || '.npy' AS old, 'new/' || (CASE WHEN s_suppkey % 10 = 3 THEN s_suppkey - 1 ELSE s_suppkey END) || '_1_1.npy' AS new FROM supplier)
+SELECT old, new, CASE WHEN k % 7 = 1 THEN 'missing' WHEN k % 5 = 0 THEN 'kept' WHEN k % 10 = 3 AND (k - 1) % 5 = 0 THEN 'kept' WHEN new IN (SELECT new FROM m b WHERE b.k % 7 <> 1 AND b.old < m.old) THEN 'clash' ELSE 'moved' END AS state,
+  CASE WHEN k % 7 = 1 THEN 0 ELSE 1 END AS files FROM m""")
+def k9_artefact_move(spark, d):
+    """An artefact per supplier: some missing, some with a file at the new place, some with the same new place; moved twice."""
+    folder = session.fresh_dir(spark, "artefacts")
+    s = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    old = F.concat(F.lit("old/"), F.col("k").cast("string"), F.lit(".npy"))
+    to = F.when(F.col("k") % 10 == 3, F.col("k") - 1).otherwise(F.col("k"))
+    new = F.concat(F.lit("new/"), to.cast("string"), F.lit("_1_1.npy"))
+
+    def put(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name in b.column("name").to_pylist():
+                system.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(name.encode())
+            yield b
+
+    had = s.where("k % 7 <> 1").select(old.alias("name")).unionByName(s.where("k % 5 = 0").select(F.concat(F.lit("new/"), F.col("k").cast("string"), F.lit("_1_1.npy")).alias("name")))
+    had.mapInArrow(put, "name string").write.format("noop").mode("overwrite").save()
+    manifest = s.select(old.alias("old"), new.alias("new"))
+    done = artefacts.move(manifest, folder)
+    again = artefacts.move(manifest, folder).where("state = 'moved'")  # nothing is left to move
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.decode("content", "UTF-8").alias("old"))
+    kept = done.join(again.select("old").withColumn("twice", F.lit(1)), "old", "left").where("twice is null").drop("twice")
+    return kept.join(files.groupBy("old").agg(F.count("*").cast("int").alias("files")), "old", "left").select("old", "new", "state", F.coalesce("files", F.lit(0)).alias("files"))

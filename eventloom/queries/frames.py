@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stencils
+from .. import session
+from ..operators import inference, stencils
+from ..sources import frames as sink
+from ..sources import videos
 from ..sources import tables as T
 from . import query
 from .matching import PIX, _pixels, _r
@@ -68,3 +71,54 @@ def d14x_edge_features(spark, d):
     f = stencils.edge_features(_pixels(spark, d), ["seq", "bin_id"], H, W, fill=127.0)
     f = _r(_r(f, 5, "sobel_edge_density", "sobel_directional_bias"), 4, "sobel_grad_magnitude_mean")
     return _r(f, 1, "harris_response_mean", "harris_response_max")
+
+
+# ------------------------------------------------------------ video, models
+def _frames(spark, d):
+    """(seq, bin_id, height, width, pixels): the count images as whole frames."""
+    return sink.dense(_pixels(spark, d), ["seq", "bin_id"], F.lit(""), H, W, fill=127).select("seq", "bin_id", "height", "width", "pixels")
+
+
+def _total(pixels):
+    values = F.transform(F.sequence(F.lit(1), F.length(pixels)), lambda k: F.conv(F.hex(F.substring(pixels, k, 1)), 16, 10).cast("int"))
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+NUMBERED = f"{DENSE}, fr AS (SELECT seq, bin_id, row_number() OVER (PARTITION BY seq ORDER BY bin_id) - 1 AS frame FROM (SELECT DISTINCT seq, bin_id FROM de))"
+
+
+@query(f"WITH {NUMBERED} SELECT seq, frame, round(frame / 30, 6) AS t, sum(v)::BIGINT AS total FROM de JOIN fr USING (seq, bin_id) WHERE y < {H - 2} AND frame % 3 = 0 AND frame < 60 GROUP BY ALL")
+def s12_k2_video(spark, d):
+    """A video for each sequence, of which every third frame before the 60th is read, without its last two rows."""
+    videos.register(spark)
+    folder, out = session.fresh_dir(spark, "videos"), None
+    f = _frames(spark, d)
+    for s in ("s0", "s1", "s2"):
+        f.where(F.col("seq") == s).sort("bin_id").coalesce(1).write.format("y4m").mode("append").option("rate", 30).save(f"{folder}/{s}")
+        back = spark.read.format("y4m").option("every", 3).option("crop", 2).option("rows", 4).load(f"{folder}/{s}").where("frame < 60").withColumn("seq", F.lit(s))
+        out = back if out is None else out.unionByName(back)
+    return out.select("seq", "frame", F.round("t", 6).alias("t"), _total("pixels").alias("total"))
+
+
+_KERNELS = [[[1, 1, 1], [1, 1, 1], [1, 1, 1]], [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], [[-1, -2, -1], [0, 0, 0], [1, 2, 1]], [[0, 1, 0], [1, -4, 1], [0, 1, 0]]]
+_CELLS = [(c, a - 1, b - 1, k[a][b]) for c, k in enumerate(_KERNELS) for a in range(3) for b in range(3)]
+
+
+@query(f"""WITH {DENSE}, cv AS (SELECT a.seq, a.bin_id, a.y, a.x, c, greatest(sum(w * b.v / 255.0::DOUBLE), 0) AS v FROM de a CROSS JOIN {_values(_CELLS)} k(c, dy, dx, w)
+  JOIN de b ON b.seq = a.seq AND b.bin_id = a.bin_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL),
+m AS (SELECT seq, bin_id, ((y // {H // 2} * 2 + x // {W // 2}) * 4 + c)::INT AS k, avg(v) AS v FROM cv GROUP BY ALL)
+SELECT seq, bin_id, k, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY seq, bin_id)), 1e-8), 6) + 0.0 AS v FROM m""")
+def d2_model_descriptors(spark, d):
+    """A small network of fixed weights, loaded once in each worker."""
+    out = inference.describe(_frames(spark, d), inference.tiny_describer, "tiny")
+    return _r(out.select("seq", "bin_id", F.posexplode("vec").alias("k", "v")), 6, "v")
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, mn AS (SELECT a.seq, a.bin_id, a.y, a.x, sum(b.v) / 9 AS m FROM de a JOIN de b ON b.seq = a.seq AND b.bin_id = a.bin_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY ALL),
+im AS (SELECT seq, y, x, frame, m FROM mn JOIN fr USING (seq, bin_id)),
+st AS (SELECT seq, y, x, frame, m AS s FROM im WHERE frame = 0 UNION ALL SELECT im.seq, im.y, im.x, im.frame, 0.75::DOUBLE * st.s + 0.25::DOUBLE * im.m FROM st JOIN im ON im.seq = st.seq AND im.y = st.y AND im.x = st.x AND im.frame = st.frame + 1)
+SELECT seq, bin_id, sum(floor(s + 1e-6))::BIGINT AS total FROM st JOIN fr USING (seq, frame) GROUP BY ALL""")
+def a10_model_frames(spark, d):
+    """A recurrent unit over the frames of each sequence in order."""
+    out = inference.reconstruct(_frames(spark, d), "seq", ["bin_id"], inference.tiny_reconstructor, "unit")
+    return out.select("seq", "bin_id", _total("out").alias("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import analytics, joins
+from ..operators import analytics, joins, search
 from ..sources import tables as T
 from . import query
 
@@ -255,3 +255,25 @@ def k5_update_unique(spark, d):
     t = r.select("id", "method", F.when(F.col("id") % 4 != 0, F.col("recall")).alias("auc"), "runtime")
     u = r.where("id % 2 = 0").select("id", (F.col("recall") + 1).alias("auc"), F.lit(5.0).alias("runtime"))
     return analytics.update_unique(t, u, ["id"], ["auc", "runtime"])
+
+
+@query("""WITH ev AS (SELECT 's' || (user_id % 3) AS seq, epoch_us(ts) / 1e6 AS t FROM events), g AS (SELECT seq, t - lag(t) OVER (PARTITION BY seq ORDER BY t) AS gap FROM ev),
+tr AS (SELECT s_suppkey AS trial, abs(s_acctbal) AS least FROM supplier),
+v AS (SELECT trial, seq, -abs(1 + count(*) FILTER (gap > least) - 300) / 300.0::DOUBLE AS value FROM tr, g GROUP BY ALL),
+a1 AS (SELECT trial, value AS total FROM v WHERE seq = 's0'), l1 AS (SELECT * FROM a1 WHERE total >= (SELECT median(total) FROM a1) OR (SELECT count(*) FROM a1) < 4),
+a2 AS (SELECT l1.trial, total + value AS total FROM l1 JOIN v ON v.trial = l1.trial AND seq = 's1'), l2 AS (SELECT * FROM a2 WHERE total >= (SELECT median(total) FROM a2) OR (SELECT count(*) FROM a2) < 4),
+a3 AS (SELECT l2.trial, total + value AS total FROM l2 JOIN v ON v.trial = l2.trial AND seq = 's2')
+SELECT trial, 3 AS rounds, 'complete' AS state, round(total / 3, 6) AS value, row_number() OVER (ORDER BY total / 3 DESC, trial) AS place FROM a3 UNION ALL
+SELECT trial, 2, 'pruned', round(total / 2, 6), 0 FROM a2 WHERE trial NOT IN (SELECT trial FROM l2) UNION ALL SELECT trial, 1, 'pruned', round(total, 6), 0 FROM a1 WHERE trial NOT IN (SELECT trial FROM l1)""")
+def r22_search(spark, d):
+    """A trial per supplier: the gap that cuts a sequence into 300 segments, over three sequences, poor gaps dropped after each."""
+    ev = T.events(spark, d).select("seq", "t")
+    gaps = ev.select("seq", (F.col("t") - F.lag("t").over(W.partitionBy("seq").orderBy("t"))).alias("gap")).where("gap is not null")
+    table = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("trial"), F.abs("s_acctbal").alias("least"))
+
+    def evaluate(live, seq):
+        cut = live.join(gaps.where(F.col("seq") == seq), F.col("gap") > F.col("least"), "left").groupBy("trial").agg(F.count("gap").alias("n"))
+        return cut.select("trial", (-F.abs(F.col("n") + 1 - 300) / 300.0).alias("value"))
+
+    out = search.search(table, ["s0", "s1", "s2"], evaluate)
+    return out.select("trial", "rounds", "state", F.round("value", 6).alias("value"), F.coalesce("place", F.lit(0)).alias("place"))
