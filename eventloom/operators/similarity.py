@@ -50,29 +50,59 @@ def patch_of(y: Column, x: Column, height: int, width: int, rows: int, cols: int
     return F.when((y < ph * rows) & (x < pw * cols), F.floor(y / ph) * cols + F.floor(x / pw)).cast("int")
 
 
-def score(a: Column, b: Column, metric: str) -> Column:
-    """Higher is better: l2 (minus the squared distance), cosine or sad."""
-    add = lambda s, x: s + x
-    if metric == "l2":
-        return -F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), add)
-    if metric == "sad":
-        return -F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), add)
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), add)
-    return dot / (norm(a) + 1e-8) / (norm(b) + 1e-8)
-
-
 def unit_range(pixel: Column) -> Column:
     """0..255 scaled to -1..1."""
     return pixel / 127.5 - 1
 
 
-def all_pairs(queries: DataFrame, refs: DataFrame, metric: str = "l2") -> DataFrame:
-    """(run, patch, q, r, s) for all pairs of one run and patch, built in."""
+def _blocks(df: DataFrame, on: list[str], name: str, block: int) -> DataFrame:
+    """(on, {name}i, {name}v): numbers and vectors of ``block`` rows as one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("idx").to_numpy().astype(np.int64)
+        vec = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        one = table.slice(0, 1)
+        return pa.table([*(one.column(c) for c in on), pa.array([ids.tobytes()]), pa.array([vec.tobytes()])], names=[*on, f"{name}i", f"{name}v"])
+
+    kinds = dict(df.dtypes)
+    cut = df.select(*on, "idx", "vec", F.floor(F.col("idx") / block).alias("_b"))
+    return cut.groupBy(*on, "_b").applyInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in on), f"{name}i binary", f"{name}v binary"]))
+
+
+def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Of each row of a with each of b; higher is better: l2 (minus the squared distance), cosine or sad."""
+    if metric == "cosine":
+        return (a @ b.T) / (np.sqrt((a * a).sum(1)) + 1e-8)[:, None] / (np.sqrt((b * b).sum(1)) + 1e-8)
+    far = np.square if metric == "l2" else np.abs
+    return -np.stack([far(b - x).sum(1) for x in a])
+
+
+def score_runs(queries: DataFrame, refs: DataFrame, metrics: tuple[str, ...], block: int = 512) -> DataFrame:
+    """(metric, run, patch, q, r, s) for all pairs of one run and patch (columns that both sides have), in each metric: blocks of vectors
+    meet, and each pair of blocks is scored as arrays. Every pair is a row of the result, whatever comes of it."""
     on = [c for c in ("run", "patch") if c in queries.columns]
-    q = queries.select(*on, F.col("idx").alias("q"), F.col("vec").alias("_a"))
-    r = refs.select(*on, F.col("idx").alias("r"), F.col("vec").alias("_b"))
+    q, r = _blocks(queries, on, "q", block), _blocks(refs, on, "r", block)
     pairs = q.join(r, on) if on else q.crossJoin(r)
-    return pairs.select(*on, "q", "r", score(F.col("_a"), F.col("_b"), metric).alias("s"))
+    out = ["metric string", *(f"{c} {dict(queries.dtypes)[c]}" for c in on), "q int", "r int", "s double"]
+    names = [f.split()[0] for f in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                qi, qv, ri, rv = (b.column(c)[k].as_buffer() for c in ("qi", "qv", "ri", "rv"))
+                qi, ri = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
+                qv, rv = np.frombuffer(qv).reshape(len(qi), -1), np.frombuffer(rv).reshape(len(ri), -1)
+                n = len(qi) * len(ri)
+                own = [pa.array([b.column(c)[k].as_py()] * n, b.schema.field(c).type) for c in on]
+                for m in metrics:
+                    yield pa.RecordBatch.from_arrays([pa.array([m] * n), *own, pa.array(np.repeat(qi, len(ri)).astype(np.int32)), pa.array(np.tile(ri, len(qi)).astype(np.int32)), pa.array(_scores(qv, rv, m).ravel())], names)
+
+    return pairs.mapInArrow(run, ", ".join(out))
+
+
+def all_pairs(queries: DataFrame, refs: DataFrame, metric: str = "l2") -> DataFrame:
+    """(run, patch, q, r, s) for all pairs of one run and patch in one metric."""
+    return score_runs(queries, refs, (metric,)).drop("metric")
 
 
 def block_top1(queries: DataFrame, refs: DataFrame, metric: str = "l2", block: int = 2048) -> DataFrame:

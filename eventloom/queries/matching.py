@@ -139,9 +139,9 @@ def d0_normalise_rgb(spark, d):
 SELECT run, q, round(max(s), 6) AS corr_max, round(avg(s), 5) AS corr_mean, round(stddev_pop(s), 5) AS corr_std,
   round((max(s) - avg(s)) / CASE WHEN stddev_pop(s) > 0 THEN stddev_pop(s) ELSE 1 END, 4) AS z_score, round(CASE WHEN avg(s) > 0 THEN max(s) / avg(s) ELSE 0 END, 3) AS peak_to_mean,
   round(max(s) - max(s) FILTER (k = 2), 6) AS best_second_diff, round(sum(abs(s)), 6) AS abs_sum, round(count(*) FILTER (s > 0) / greatest(count(*) FILTER (s < 0), 1), 5) AS polarity_ratio
-FROM k WHERE run <> 'cosine' GROUP BY run, q""")
+FROM k GROUP BY run, q""")
 def d14_match_features(spark, d):
-    f = similarity.match_features(T.scores(spark, d).where("run <> 'cosine'"), "run")
+    f = similarity.match_features(T.scores(spark, d), "run")
     # differences of scores of six digits
     f = _r(_r(f, 6, "corr_max", "best_second_diff", "abs_sum"), 5, "corr_mean", "corr_std", "polarity_ratio")
     return _r(_r(f, 4, "z_score"), 3, "peak_to_mean")
@@ -161,14 +161,14 @@ def q1_modified_guarded(spark, d):
     return _r(seqmatch.modified(T.scores(spark, d), 5), 4, "s")
 
 
-@query(f"WITH {SIM}, {modified(5, False)} SELECT run, q, r, round(s / 5, 4) + 0.0 AS s FROM ms WHERE q >= 4")
+@query(f"WITH {SIM}, {modified(5, False)} SELECT run, q, r, round(s / 5, 4) + 0.0 AS s FROM ms")
 def q2_modified_divided(spark, d):
-    return _r(seqmatch.modified(T.scores(spark, d), 5, guard=False, divide=True).where("q >= 4"), 4, "s")
+    return _r(seqmatch.modified(T.scores(spark, d), 5, guard=False, divide=True), 4, "s")
 
 
-@query(f"WITH {SIM}, {modified(3, False)} SELECT run, q, r, round(s, 4) + 0.0 AS s FROM ms WHERE q >= 2")
+@query(f"WITH {SIM}, {modified(3, False)} SELECT run, q, r, round(s, 4) + 0.0 AS s FROM ms")
 def q3_modified_plain(spark, d):
-    return _r(seqmatch.modified(T.scores(spark, d), 3, guard=False).where("q >= 2"), 4, "s")
+    return _r(seqmatch.modified(T.scores(spark, d), 3, guard=False), 4, "s")
 
 
 def slam_sql(length: int, velocities: tuple[float, ...]) -> str:

@@ -62,9 +62,5 @@ def scores(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...] = ("l2", "
     """(run, q, r, s): scores of all queries and references in the metrics."""
     from ..operators import similarity
 
-    q, r = descriptors(spark, sf_dir)
-    out = None
-    for m in metrics:
-        one = similarity.all_pairs(q, r, m).select(F.lit(m).alias("run"), "q", "r", F.round("s", 6).alias("s"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = similarity.score_runs(*descriptors(spark, sf_dir), metrics)
+    return out.select(F.col("metric").alias("run"), "q", "r", F.round("s", 6).alias("s"))

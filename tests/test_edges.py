@@ -209,3 +209,41 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("rows, columns", [(3, 4), (5, 7), (1, 30), (40, 1)])
+def test_tiles_of_any_size_match_alike(spark, monkeypatch, rows, columns):
+    """Two runs of differing size, scores that tie and a constant column; tiles of a few cells against one tile."""
+    r = np.random.default_rng(2)
+    tables = [np.round(r.normal(size=(17, 23)), 1), np.round(r.normal(size=(6, 30)), 1)]
+    tables[0][:, 4] = 1.0
+    cells = [(f"m{k}", q, j, float(m[q, j])) for k, m in enumerate(tables) for q in range(m.shape[0]) for j in range(m.shape[1])]
+    sim = spark.createDataFrame(cells, "run string, q int, r int, s double").repartition(3)
+    ways = {
+        "modified": lambda s: seqmatch.modified(s, 4),
+        "plain": lambda s: seqmatch.modified(s, 3, guard=False, divide=True),
+        "contrast": lambda s: seqmatch.contrast(s, 5),
+        "seqslam": lambda s: seqmatch.seqslam(s, 4, (0.8, 1.0, 1.3)),
+        "row": lambda s: seqmatch.legacy(s, 3),
+        "column": lambda s: seqmatch.legacy(s, 3, axis="column"),
+    }
+    read = lambda df: {(x["run"], x["q"], x["r"]): x["s"] for x in df.collect()}
+    whole = {k: read(f(sim)) for k, f in ways.items()}
+    monkeypatch.setattr(seqmatch, "ROWS", rows)
+    monkeypatch.setattr(seqmatch, "COLUMNS", columns)
+    for k, f in ways.items():
+        got = read(f(sim))
+        assert got.keys() == whole[k].keys() and len(got) == len(cells)
+        for c, v in whole[k].items():
+            assert got[c] == pytest.approx(v, rel=1e-9, abs=1e-7), (k, c)
+
+
+def test_matching_of_nothing(spark):
+    none = spark.createDataFrame([], "run string, q int, r int, s double")
+    assert seqmatch.modified(none, 3).count() == seqmatch.seqslam(none, 3).count() == seqmatch.legacy(none, 3).count() == 0
+
+
+def test_score_runs_meet_by_run_and_patch(spark):
+    q = spark.createDataFrame([("a", 0, 0, [1.0, 0.0]), ("a", 1, 0, [0.0, 2.0]), ("b", 0, 1, [3.0, 4.0])], "run string, idx int, patch int, vec array<double>")
+    got = {(r["metric"], r["run"], r["patch"], r["q"], r["r"]): r["s"] for r in similarity.score_runs(q, q, ("l2", "sad", "cosine"), block=1).collect()}
+    assert len(got) == 15 and got["l2", "a", 0, 0, 1] == -5 and got["sad", "a", 0, 0, 1] == -3 and got["cosine", "b", 1, 0, 0] == pytest.approx(1)
