@@ -32,8 +32,13 @@ def crop_common(sim: DataFrame, step: int = 1) -> DataFrame:
 
 
 def fuse(sim: DataFrame, *keys: str) -> DataFrame:
-    """mean, max, median and sum over the runs, per (keys, q, r)."""
-    return sim.groupBy(*keys, "q", "r").agg(F.avg("s").alias("mean"), F.max("s").alias("max"), F.median("s").alias("median"), F.sum("s").alias("sum"))
+    """mean, max, median and sum over the runs, per (keys, q, r). The scores of a cell, one for each run, are
+    gathered once; null scores don't count."""
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    cells = sim.where("s is not null").groupBy(*keys, "q", "r").agg(F.array_sort(F.collect_list(F.col("s").cast("double"))).alias("_s"))
+    n = F.size("_s")
+    middle = (F.get("_s", F.floor((n - 1) / 2).cast("int")) + F.get("_s", F.floor(n / 2).cast("int"))) / 2
+    return cells.select(*keys, "q", "r", (add(F.col("_s")) / n).alias("mean"), F.array_max("_s").alias("max"), middle.alias("median"), add(F.col("_s")).alias("sum"))
 
 
 def sum_patches(sim: DataFrame) -> DataFrame:

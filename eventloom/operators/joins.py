@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import session
 from . import ranks
 
 
@@ -21,9 +24,9 @@ def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str],
     names = [on, *values]
     lrow = left.select(F.struct(*left.columns).alias("_l"), F.lit(None).cast(_struct(right, names)).alias("_r"), F.col(by).alias(by), (sign * F.col(on)).alias("_t"), F.lit(1).alias("_side"))
     rrow = right.select(F.lit(None).cast(_struct(left, left.columns)).alias("_l"), F.struct(*names).alias("_r"), F.col(by).alias(by), (sign * F.col(on)).alias("_t"), F.lit(0).alias("_side"))
-    # of right rows at one time the last by value wins, in either direction
-    order = ["_t", "_side", "_key"]
-    both = lrow.unionByName(rrow).withColumn("_key", F.to_json("_r"))
+    # of right rows at one time the last by value wins, in either direction, compared value by value; null is the least
+    order = ["_t", "_side", "_r"]
+    both = lrow.unionByName(rrow)
     got = ranks.last_known(both, by, order, F.col("_r"), width, "_got").where("_side = 1")
     return got.select("_l.*", *(F.col(f"_got.{n}").alias(f"{prefix}{n}") for n in names))
 
@@ -97,12 +100,33 @@ def radius_join(a: DataFrame, b: DataFrame, r: float, inclusive: bool = True) ->
     return out.where(F.col("dist") <= r if inclusive else F.col("dist") < r).drop("_cx", "_cy")
 
 
-def nearest_place(a: DataFrame, b: DataFrame, blocks: int = 1) -> DataFrame:
-    """For each a (q, qe, qn) the nearest b (r, re, rn), smallest r on ties: all
-    pairs, but only one row per query leaves each task (partial aggregation)."""
-    d = F.sqrt((F.col("qe") - F.col("re")) ** 2 + (F.col("qn") - F.col("rn")) ** 2)
-    pairs = a.crossJoin(b).select("q", F.struct(d.alias("dist"), F.col("r")).alias("_m"))
-    return pairs.groupBy("q").agg(F.min("_m").alias("_m")).select("q", F.col("_m.r").alias("r"), F.col("_m.dist").alias("dist"))
+def nearest_place(a: DataFrame, b: DataFrame, start: float | None = None) -> DataFrame:
+    """For each a (q, qe, qn) the nearest b (r, re, rn), smallest r on ties.
+
+    By radius joins of growing radius: a row that finds any b within the radius has its nearest among them and is done;
+    only the others try again with twice the radius. ``start``: the first radius, else about the spacing of b. Rows without
+    finite coordinates are left out on both sides.
+    """
+    finite = lambda df, x, y: df.where(~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
+    left, b = finite(a.select("q", F.col("qe").cast("double").alias("qe"), F.col("qn").cast("double").alias("qn")), "qe", "qn"), finite(b, "re", "rn")
+    ends = b.agg(F.count("*"), F.min("re"), F.max("re"), F.min("rn"), F.max("rn")).head()
+    own = left.agg(F.min("qe"), F.max("qe"), F.min("qn"), F.max("qn")).head()
+    out = left.join(b, F.lit(False)).select("q", "r", F.lit(0.0).alias("dist"))
+    if not ends[0] or own[0] is None:
+        return out
+    wide, high = ends[2] - ends[1], ends[4] - ends[3]
+    far = math.hypot(max(own[1], ends[2]) - min(own[0], ends[1]), max(own[3], ends[4]) - min(own[2], ends[3]))
+    radius = start or max(math.sqrt(wide * high / ends[0]), max(wide, high) / ends[0], far / (1 << 20)) or 1.0
+    while True:
+        best = radius_join(left, b, radius).groupBy("q").agg(F.min(F.struct("dist", "r")).alias("_m"))
+        found = session.stored(best.select("q", F.col("_m.r").alias("r"), F.col("_m.dist").alias("dist")), "nearest")
+        out = out.unionByName(found)
+        if radius > far:
+            return out
+        left = session.stored(left.join(found.select("q"), "q", "left_anti"), "unmatched")
+        if not left.head(1):
+            return out
+        radius *= 2
 
 
 def nearest_place_within(a: DataFrame, b: DataFrame, r: float) -> DataFrame:

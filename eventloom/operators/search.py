@@ -35,12 +35,6 @@ def trials(spark: SparkSession, n: int, space: dict[str, tuple | list], seed: in
     return out
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = session.fresh_dir(df.sparkSession, f"search-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def search(table: DataFrame, steps: Sequence, evaluate: Callable[[DataFrame, object], DataFrame], warmup: int = 1, least: int = 4) -> DataFrame:
     """``table`` (trial, parameters) with ``rounds`` (evaluated), ``state`` (``complete``, ``pruned`` or ``failed``), ``value`` (the mean so far) and
     ``place`` (1 for the best complete trial, ties by number; null for others).
@@ -49,13 +43,13 @@ def search(table: DataFrame, steps: Sequence, evaluate: Callable[[DataFrame, obj
     After each step but the last, from ``warmup`` steps on and while ``least`` trials or more are left, trials go whose mean is below the median of those left.
     """
     spark = table.sparkSession
-    live = _kept(table.select("trial", F.lit(0.0).alias("total")), "start")
+    live = session.stored(table.select("trial", F.lit(0.0).alias("total")), "search-start")
     ended = []
     columns = ["trial", "rounds", "state", "value"]
     for k, step in enumerate(steps, 1):
         params = table.join(live.select("trial"), "trial", "left_semi")
         got = evaluate(params, step).select("trial", F.col("value").cast("double").alias("value"))
-        scored = _kept(live.join(got, "trial", "left").select("trial", (F.col("total") + F.col("value")).alias("total")), f"round-{k}")
+        scored = session.stored(live.join(got, "trial", "left").select("trial", (F.col("total") + F.col("value")).alias("total")), f"search-{k}")
         ended.append(scored.where("total is null").select("trial", F.lit(k).alias("rounds"), F.lit("failed").alias("state"), F.lit(None).cast("double").alias("value")))
         live = scored.where("total is not null")
         if k < len(steps) and k >= warmup:

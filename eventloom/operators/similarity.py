@@ -95,7 +95,7 @@ def score_runs(queries: DataFrame, refs: DataFrame, metrics: tuple[str, ...], bl
                 n = len(qi) * len(ri)
                 own = [pa.array([b.column(c)[k].as_py()] * n, b.schema.field(c).type) for c in on]
                 for m in metrics:
-                    yield pa.RecordBatch.from_arrays([pa.array([m] * n), *own, pa.array(np.repeat(qi, len(ri)).astype(np.int32)), pa.array(np.tile(ri, len(qi)).astype(np.int32)), pa.array(_scores(qv, rv, m).ravel())], names)
+                    yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), [m]).cast(pa.string()), *own, pa.array(np.repeat(qi, len(ri)).astype(np.int32)), pa.array(np.tile(ri, len(qi)).astype(np.int32)), pa.array(_scores(qv, rv, m).ravel())], names)
 
     return pairs.mapInArrow(run, ", ".join(out))
 

@@ -37,6 +37,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/eventloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str):
+    """``df`` written to the shared folder and read back: what several branches of a plan read is then computed once, and
+    a lost executor costs nothing of what lies before."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per application. The
     workers may have neither the driver's folder nor its ``sys.path``."""

@@ -247,3 +247,31 @@ def test_score_runs_meet_by_run_and_patch(spark):
     q = spark.createDataFrame([("a", 0, 0, [1.0, 0.0]), ("a", 1, 0, [0.0, 2.0]), ("b", 0, 1, [3.0, 4.0])], "run string, idx int, patch int, vec array<double>")
     got = {(r["metric"], r["run"], r["patch"], r["q"], r["r"]): r["s"] for r in similarity.score_runs(q, q, ("l2", "sad", "cosine"), block=1).collect()}
     assert len(got) == 15 and got["l2", "a", 0, 0, 1] == -5 and got["sad", "a", 0, 0, 1] == -3 and got["cosine", "b", 1, 0, 0] == pytest.approx(1)
+
+
+def test_asof_ties_go_by_value(spark):
+    """Of 9, 10 and -3 at one time the largest holds, and null only where nothing else is."""
+    left = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 0.5)], "seq string, t double")
+    right = spark.createDataFrame([("a", 1.0, v) for v in (9, 10, None, -3)] + [("b", 1.0, None), ("c", 1.0, 7), ("c", 1.0, 70), ("c", 1.0, 8)], "seq string, t double, v int")
+    assert got(joins.asof(left, right, "seq", "t", ["v"], 10.0), "seq", "prev_v")[0] == ("a", 10)
+    assert {(r["seq"], r["prev_v"], r["prev_t"]) for r in joins.asof(left, right, "seq", "t", ["v"], 10.0).collect()} == {("a", 10, 1.0), ("b", None, 1.0), ("c", None, None)}
+    ahead = joins.asof(left, right, "seq", "t", ["v"], 10.0, "forward", "next_")
+    assert {(r["seq"], r["next_v"]) for r in ahead.collect()} == {("a", None), ("b", None), ("c", 70)}
+
+
+def test_nearest_place_grows_its_cells(spark):
+    r = np.random.default_rng(5)
+    b = np.concatenate([r.normal(0, 1, (300, 2)), [[1000, 1000], [1000, 1000], [0.5, 0.5]]])
+    a = np.concatenate([r.normal(0, 5, (100, 2)), [[999, 1002], [-5000, 40], [0.5, 0.5]]])
+    left = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(a)] + [(900, float("nan"), 0.0), (901, None, 1.0)], "q int, qe double, qn double")
+    right = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(b)] + [(900, float("inf"), 0.0)], "r int, re double, rn double")
+    near = joins.nearest_place(left, right)
+    for q, k, d in got(near, "q", "r", "dist"):
+        all_d = np.sqrt(((b - a[q]) ** 2).sum(1))
+        assert k == all_d.argmin() and d == pytest.approx(all_d.min())
+    assert near.count() == len(a)
+    plan = near._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan
+    assert joins.nearest_place(left, right.limit(0)).count() == 0 and joins.nearest_place(left.limit(0), right).count() == 0
+    one = spark.createDataFrame([(1, 2.0, 2.0)], "r int, re double, rn double")
+    assert got(joins.nearest_place(left.where("q < 3"), one), "q", "r") == [(0, 1), (1, 1), (2, 1)]
