@@ -14,7 +14,7 @@ makes up a third of the corpus is pre-aggregated to one entry per block. Texts n
 is pruned or sampled, and nothing gathers at the driver.
 
 As both scans must find the same blocks, ``docs`` is to be read from files (or from
-partitions that come out alike each time); a difference is noticed and is an error.
+partitions that come out alike each time); a difference is noticed by a digest of each block's n-grams and is an error.
 
 Words are runs of characters other than ASCII white space, lower-cased in A-Z. A
 word seen nowhere else counts as seen once.
@@ -71,13 +71,13 @@ class Block:
     def others(self, k: int, keys: np.ndarray, total: np.ndarray) -> np.ndarray:
         """At the n-gram of order ``k`` that ends at each word, its count in other documents; 0 where none ends."""
         at = np.searchsorted(keys, self.grams(k))
-        n = total[at].astype(np.int32)
+        n = total[at]
         doc = self.doc[k - 1 :][self.doc[: max(0, len(self.doc) - k + 1)] == self.doc[k - 1 :]]
         some = np.flatnonzero(n > 1)  # what the corpus holds once is the document's own
-        out = np.zeros(len(n), np.int32)
+        out = np.zeros(len(n), np.int64)
         _, inv, own = np.unique((doc[some].astype(np.int64) << 32) | at[some], return_inverse=True, return_counts=True)
         out[some] = n[some] - own[inv]
-        every = np.zeros(len(self.words), np.int32)
+        every = np.zeros(len(self.words), np.int64)
         every[self.places() >= k - 1] = out
         return every
 
@@ -111,6 +111,11 @@ def unpack_keys(data: bytes, d) -> np.ndarray:
     return np.cumsum(np.frombuffer(d.decompress(data), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
+def digest(keys: np.ndarray) -> int:
+    """Of a block's n-grams, to tell whether another scan has the same."""
+    return int(np.bitwise_xor.reduce(words.mix64(keys + np.uint64(len(keys)))).view(np.int64))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.Array, pa.Array]]:
     """(number, ids, texts) of the blocks of a task's rows; numbers hold for all tasks."""
     from pyspark import TaskContext
@@ -147,8 +152,9 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int
         for block, _, texts in _blocks(batches, block_bytes):
             keys, counts = Block(texts, order).counts()
             cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-            rows = [(b, block, pack_keys(keys[s:e], z), z.compress(counts[s:e].astype("<i8").tobytes())) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "keys", "counts"])
+            of = digest(keys)
+            rows = [(b, block, of, pack_keys(keys[s:e], z), z.compress(counts[s:e].astype("<i8").tobytes())) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if e > s]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "digest", "keys", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
         d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3)
@@ -157,15 +163,16 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int
         counts = np.concatenate([np.frombuffer(d.decompress(c), "<i8") for c in table.column("counts").to_pylist()])
         uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
-        sums = np.bincount(at, counts, len(uniq)).astype(np.int64)
+        sums = np.zeros(len(uniq), np.int64)
+        np.add.at(sums, at, counts)
         back = np.split(sums[at], sizes[:-1])
-        return pa.table([table.column("bucket"), table.column("block"), pa.array([z.compress(x.astype("<i8").tobytes()) for x in back], pa.binary())], names=["bucket", "block", "totals"])
+        return pa.table([*(table.column(c) for c in ("bucket", "block", "digest")), pa.array([z.compress(x.astype("<i8").tobytes()) for x in back], pa.binary())], names=["bucket", "block", "digest", "totals"])
 
     def store(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         d = zstandard.ZstdDecompressor()
         rows = sorted(zip(table.column("bucket").to_pylist(), table.column("totals").to_pylist()))
-        raw = b"".join(d.decompress(t) for _, t in rows)
+        raw = np.int64(table.column("digest")[0].as_py()).tobytes() + b"".join(d.decompress(t) for _, t in rows)
         files.write(f"{folder}/{block}", zstandard.ZstdCompressor(3).compress(raw))
         return pa.table([pa.array([block], pa.int64())], names=["block"])
 
@@ -173,13 +180,13 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int
         d = zstandard.ZstdDecompressor()
         for block, ids, texts in _blocks(batches, block_bytes):
             k = Block(texts, order)
-            totals = np.frombuffer(d.decompress(files.read_all(f"{folder}/{block}")), "<i8")
+            of, totals = np.split(np.frombuffer(d.decompress(files.read_all(f"{folder}/{block}")), "<i8"), [1])
             keys, _ = k.counts()
-            if len(totals) != len(keys):
+            if len(totals) != len(keys) or of[0] != digest(keys):
                 raise ValueError("the second scan found other blocks than the first")
             yield pa.RecordBatch.from_arrays([ids, pa.array(k.sizes), pa.array(k.scores(keys, totals, alpha))], ["doc_id", "n_words", "log_score"])
 
-    asked = docs.mapInArrow(ask, "bucket long, block long, keys binary, counts binary")
-    told = asked.groupBy("bucket").applyInArrow(total, "bucket long, block long, totals binary")
+    asked = docs.mapInArrow(ask, "bucket long, block long, digest long, keys binary, counts binary")
+    told = asked.groupBy("bucket").applyInArrow(total, "bucket long, block long, digest long, totals binary")
     C.saved(told.groupBy("block").applyInArrow(store, "block long"), "lm-blocks")
     return docs.mapInArrow(settle, "doc_id long, n_words long, log_score double")

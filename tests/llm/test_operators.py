@@ -711,3 +711,22 @@ def test_schemas_are_those_of_the_contract(spark):
     kinds = {"op2_arc_to_warc": dict(page_id="bigint", payload_bytes="bigint", payload_digest="string", record_type="string", refers_to="bigint"), "op10_best_fit_pack": dict(doc_id="bigint", piece="int", start="bigint", length="bigint", ids_crc32="bigint", sequence_id="bigint", offset="bigint")}
     for name, want in kinds.items():
         assert dict(queries.QUERIES[name](spark, SF).dtypes) == want
+
+
+def test_lm_counts_beyond_32_bits():
+    """As over a corpus in which words occur thousands of millions of times."""
+    block = lm_score.Block(pa.array(["a b a", "b"]), 2)
+    keys, counts = block.counts()
+    assert counts[0] == 4  # the empty n-gram
+    total = counts + np.int64(3_000_000_000)
+    total[0] = 10**13
+    a, b = (np.searchsorted(keys, block.grams(1)[k]) for k in (0, 1))
+    n = block.others(1, keys, total)
+    assert n.tolist() == [total[a] - 2, total[b] - 1, total[a] - 2, total[b] - 1]
+    want = np.log((total[b] - 1) / (10**13 - 1))
+    assert block.scores(keys, total, 0.4)[1] == pytest.approx(want)
+
+
+def test_lm_scans_that_differ_are_noticed():
+    one, two = (lm_score.Block(pa.array([t]), 2).counts()[0] for t in ("a b c", "a b d"))
+    assert len(one) == len(two) and lm_score.digest(one) != lm_score.digest(two)
