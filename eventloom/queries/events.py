@@ -87,13 +87,13 @@ def w9_crop_margin(spark, d):
     return binning.crop_margin(T.events(spark, d), 90000.0).groupBy("seq").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query(f"""WITH {EV}, {MOTION}, f AS (SELECT seq, min(t) AS f FROM mo WHERE speed > 0 AND idx >= 40 GROUP BY seq)
+@query(f"""WITH {EV}, {MOTION}, f AS (SELECT seq, min(t) AS f FROM mo WHERE speed > 0 GROUP BY seq)
 SELECT bins.seq, bin_id FROM bins JOIN f ON f.seq = 'u' || substr(bins.seq, 2) WHERE t0 >= f.f""")
 def w10_after_first_motion(spark, d):
     from ..operators import trajectory
 
     bins = binning.time_bins(T.bounds(T.events(spark, d)), DELTA)
-    m = trajectory.speeds(T.pose(spark, d)).where("idx >= 40").withColumn("seq", F.concat(F.lit("s"), F.substring("seq", 2, 9)))
+    m = trajectory.speeds(T.pose(spark, d)).withColumn("seq", F.concat(F.lit("s"), F.substring("seq", 2, 9)))
     return binning.after_first_motion(bins, m).select("seq", "bin_id")
 
 

@@ -8,6 +8,7 @@ from ..operators import binning, ensemble, metrics, ranks, recon, seqmatch, simi
 from ..plans import retrieval
 from ..sources import tables as T
 from . import query
+from .reports import RES, results
 from .ctes import COS, DELTA, DESC, EV, L2, SAD, SIM, modified
 
 
@@ -233,15 +234,12 @@ def e5_disagreement(spark, d):
     return _r(ensemble.disagreement(T.scores(spark, d)), 6, "avg_disagreement")
 
 
-def _members(spark):
-    rows = [(f"{a}_{b}", a, b) for a in ("count", "surface", "voxel") for b in ("l2", "sad", "cosine") if (a, b) != ("voxel", "sad")]
-    return spark.createDataFrame(rows, "run string, recon string, vpr string")
-
-
-@query("SELECT unnest(['count_l2', 'surface_l2', 'voxel_l2']) AS run, unnest(['count', 'surface', 'voxel']) AS recon, 'l2' AS vpr")
+@query(f"WITH {RES} SELECT DISTINCT recon || '_mixvpr' AS run, recon, 'mixvpr' AS vpr FROM res WHERE method = 'mixvpr' AND recon <> 'e2vid'")
 def e1_select_members(spark, d):
-    axes = {"recon": ["count", "surface", "voxel", "e2v"], "vpr": ["l2", "sad"]}
-    return ensemble.select_members(_members(spark), axes, "recon", {"vpr": "l2"}).select("run", "recon", "vpr")
+    """Members over reconstructions with one method, of what result rows have: one isn't there, and one is of no interest."""
+    have = results(spark, d).where("recon <> 'e2vid'").select(F.col("recon"), F.col("method").alias("vpr")).distinct().withColumn("run", F.concat_ws("_", "recon", "vpr"))
+    axes = {"recon": ["eventCount", "eventCount_noPolarity", "timeSurface", "e2vid", "other"], "vpr": ["mixvpr", "netvlad"]}
+    return ensemble.select_members(have, axes, "recon", {"vpr": "mixvpr"}).select("run", "recon", "vpr")
 
 
 @query(f"""WITH {SIM}, cut AS (SELECT * FROM sim WHERE run <> 'sad' OR 4 * q < 3 * (SELECT count(*) FROM qs) AND 4 * r < 3 * (SELECT count(*) FROM rs)), s AS (SELECT run, (q // 3)::INT AS q, (r // 3)::INT AS r, s FROM cut WHERE q % 3 = 0 AND r % 3 = 0),
@@ -299,12 +297,12 @@ def e8_nan_mean(spark, d):
 
 
 @query(f"""WITH {SIM}, {modified(4, True)}, f AS (SELECT q, r, avg(s) AS mean, max(s) AS max, median(s) AS median FROM ms GROUP BY q, r),
-bt AS (SELECT q, arg_min(r, (-round(mean, 9), r)) AS a, arg_min(r, (-round(max, 9), r)) AS b, arg_min(r, (-round(median, 9), r)) AS c FROM f WHERE q > 0 GROUP BY q)
+bt AS (SELECT q, arg_min(r, (-round(mean, 9), r)) AS a, arg_min(r, (-round(max, 9), r)) AS b, arg_min(r, (-round(median, 9), r)) AS c FROM f GROUP BY q)
 SELECT count(*) AS queries, round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bt.q AND pos.r = a))::INT), 6) AS recall_mean, round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bt.q AND pos.r = b))::INT), 6) AS recall_max,
   round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bt.q AND pos.r = c))::INT), 6) AS recall_median FROM bt""")
 def ensemble_recall(spark, d):
     pos = T.positives(*T.descriptors(spark, d))
-    f = ensemble.fuse(seqmatch.modified(T.scores(spark, d), 4)).where("q > 0")
+    f = ensemble.fuse(seqmatch.modified(T.scores(spark, d), 4))
     out = None
     for how in ("mean", "max", "median"):
         one = metrics.recall_at_1(similarity.top1(f.select("q", "r", F.round(how, 9).alias("s"))), pos, denominator="all").select(F.round("recall_at_1", 6).alias(f"recall_{how}"), "queries")
@@ -312,9 +310,20 @@ def ensemble_recall(spark, d):
     return out
 
 
-@query()
+@query(f"""WITH {SIM}, {modified(4, True)}, m AS (SELECT run, q, r, round(s, 9) AS s FROM ms),
+o AS (SELECT run, q, arg_min(r, (-s, r)) AS r FROM m GROUP BY run, q),
+i AS (SELECT run, coalesce(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = o.q AND pos.r = o.r))::INT) FILTER (EXISTS (SELECT 1 FROM pos WHERE pos.q = o.q)), 0) AS v FROM o GROUP BY run),
+f AS (SELECT q, r, avg(s) AS mean, max(s) AS max, median(s) AS median FROM m GROUP BY q, r),
+bt AS (SELECT q, arg_min(r, (-round(mean, 9), r)) AS a, arg_min(r, (-round(max, 9), r)) AS b, arg_min(r, (-round(median, 9), r)) AS c FROM f GROUP BY q),
+p AS (SELECT a.run AS a, b.run AS b, sqrt(sum((a.s - b.s) ** 2)) AS d, sqrt(sum((a.s + b.s) ** 2)) AS p FROM sim a JOIN sim b ON a.q = b.q AND a.r = b.r AND a.run < b.run GROUP BY ALL)
+SELECT (SELECT string_agg(run || ' ' || printf('%.6f', v), ', ' ORDER BY run) FROM i) AS individual,
+  round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bt.q AND pos.r = a))::INT), 6) AS recall_mean, round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bt.q AND pos.r = b))::INT), 6) AS recall_max,
+  round(avg((EXISTS (SELECT 1 FROM pos WHERE pos.q = bt.q AND pos.r = c))::INT), 6) AS recall_median, (SELECT round(avg(CASE WHEN p > 0 THEN d / p ELSE 0 END), 6) FROM p) AS avg_disagreement FROM bt""")
 def ensemble_report(spark, d):
-    return retrieval.ensemble_report(T.scores(spark, d), T.positives(*T.descriptors(spark, d)), 4)
+    out = retrieval.ensemble_report(T.scores(spark, d), T.positives(*T.descriptors(spark, d)), 4)
+    names = F.array(*[F.lit(x) for x in ("cosine", "l2", "sad")])
+    text = F.array_join(F.zip_with(names, "individual", lambda n, v: F.format_string("%s %.6f", n, v)), ", ")
+    return _r(out.withColumn("individual", text), 6, "recall_mean", "recall_max", "recall_median", "avg_disagreement")
 
 
 # ------------------------------------------------------------ metrics

@@ -62,16 +62,16 @@ def r3_distinct(spark, d):
     return analytics.distinct_but(results(spark, d).select("ref_seq", "qry_seq", "method", "seq_len", "mode", "id", "runtime"), ["runtime", "id"], ["runtime", "id"])
 
 
-KEYS = "[' B, a', '1.0', 'nan', '', 'None', ' Mixed ', 'c,B ,a', '20.00', '0.25', NULL]"
-
-
-@query(f"""SELECT i, CASE WHEN t IS NULL OR t IN ('', 'nan', 'none') THEN '' ELSE regexp_replace(t, '^(-?[0-9]+)\\.0+$', '\\1') END AS number_key,
-  CASE WHEN t IS NULL THEN '' WHEN t LIKE '%,%' THEN array_to_string(list_sort(list_transform(string_split(t, ','), lambda x: trim(x))), ',') ELSE t END AS list_key
-FROM (SELECT i::INT AS i, lower(trim(({KEYS})[i + 1])) AS t FROM (SELECT unnest(range(10)) AS i))""")
+@query("""WITH k AS (SELECT c_custkey AS i, lower(trim(CASE c_custkey % 8 WHEN 0 THEN ' ' || c_mktsegment || ', ' || c_name WHEN 1 THEN c_custkey || '.0' WHEN 2 THEN 'nan' WHEN 3 THEN '' WHEN 4 THEN 'None'
+  WHEN 5 THEN ' Mixed ' || c_name WHEN 6 THEN c_nationkey || '.00' END)) AS t FROM customer)
+SELECT i, CASE WHEN t IS NULL OR t IN ('', 'nan', 'none') THEN '' ELSE regexp_replace(t, '^(-?[0-9]+)\\.0+$', '\\1') END AS number_key,
+  CASE WHEN t IS NULL THEN '' WHEN t LIKE '%,%' THEN array_to_string(list_sort(list_transform(string_split(t, ','), lambda x: trim(x))), ',') ELSE t END AS list_key FROM k""")
 def r4_key_normalisation(spark, d):
-    rows = [(i, v) for i, v in enumerate([" B, a", "1.0", "nan", "", "None", " Mixed ", "c,B ,a", "20.00", "0.25", None])]
-    k = spark.createDataFrame(rows, "i int, v string")
-    return k.select("i", analytics.key_text(F.col("v")).alias("number_key"), analytics.key_list(F.col("v")).alias("list_key"))
+    """Keys of customers, written as people and programs write them."""
+    c, k = T.table(spark, d, "customer"), F.col("c_custkey") % 8
+    v = F.when(k == 0, F.concat(F.lit(" "), "c_mktsegment", F.lit(", "), "c_name")).when(k == 1, F.concat(F.col("c_custkey").cast("string"), F.lit(".0"))).when(k == 2, "nan").when(k == 3, "").when(k == 4, "None")
+    v = v.when(k == 5, F.concat(F.lit(" Mixed "), "c_name")).when(k == 6, F.concat(F.col("c_nationkey").cast("string"), F.lit(".00")))
+    return c.select(F.col("c_custkey").alias("i"), analytics.key_text(v).alias("number_key"), analytics.key_list(v).alias("list_key"))
 
 
 @query(f"""WITH {RES} SELECT seq_len, round(avg(recall) FILTER (match = 'modified'), 6) AS modified, round(avg(recall) FILTER (match = 'seqslam'), 6) AS seqslam, round(coalesce(avg(recall) FILTER (match = 'none'), 0), 6) AS none FROM res GROUP BY seq_len""")
@@ -161,9 +161,15 @@ def r16_welch(spark, d):
     return w.select("seq_len", F.round("t", 5).alias("t"), F.round("dof", 3).alias("dof"))
 
 
-@query()
+@query(f"""WITH {RES}, g AS (SELECT seq_len, avg(recall) FILTER (match = 'seqslam') AS ma, var_samp(recall) FILTER (match = 'seqslam') AS va, count(*) FILTER (match = 'seqslam') AS na,
+  avg(recall) FILTER (match = 'modified') AS mb, var_samp(recall) FILTER (match = 'modified') AS vb, count(*) FILTER (match = 'modified') AS nb FROM res GROUP BY seq_len),
+w AS (SELECT seq_len, (ma - mb) / sqrt(va / na + vb / nb) AS t, (va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)) AS v FROM g),
+f AS (SELECT seq_len, k, abs(t) / 2000 AS h, exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * (1 + (abs(t) * k / 2000) ** 2 / v) ** (-(v + 1) / 2) AS y FROM w, (SELECT unnest(range(2001)) AS k))
+SELECT seq_len, round(1 - 2 * sum(CASE WHEN k IN (0, 2000) THEN y WHEN k % 2 = 1 THEN 4 * y ELSE 2 * y END) * any_value(h) / 3, 6) + 0.0 AS p FROM f GROUP BY seq_len""")
 def r16_welch_p(spark, d):
-    return analytics.welch(results(spark, d), ["seq_len"], "match", "seqslam", "modified", "recall")
+    """The two-sided probability; the check integrates the density by Simpson's rule."""
+    w = analytics.welch(results(spark, d), ["seq_len"], "match", "seqslam", "modified", "recall")
+    return w.select("seq_len", (F.round("p", 6) + 0.0).alias("p"))
 
 
 @query(f"WITH {RES} SELECT round(avg(recall), 6) AS mean, round(stddev_pop(recall), 6) AS std, min(recall) AS min, max(recall) AS max, round(median(recall), 6) AS median, count(recall) AS num FROM res")
@@ -185,26 +191,25 @@ def r18_clean_results(spark, d):
     return analytics.clean_results(dirty)
 
 
-GRID = """grid AS (SELECT recon, time_res, method, 0.01 * i + 0.02 * j AS recon_s FROM (SELECT unnest(['e2vid', 'eventCount', 'timeSurface']) AS recon, unnest([1, 2, 3]) AS i), (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS time_res, unnest([1, 2, 3]) AS j),
-  (SELECT unnest(['netvlad', 'cosplace', 'megaloc']) AS method)), fe AS (SELECT unnest(['netvlad', 'cosplace', 'megaloc']) AS method, unnest([0.006, 0.004, 0.027])::DOUBLE AS fe_s),
-rc AS (SELECT DISTINCT recon, time_res, recon_s FROM grid)"""
+GRID = f"""{RES}, grid AS (SELECT recon, time_res, method, min(runtime) / 1000 + 0.01::DOUBLE * time_res AS recon_s FROM res GROUP BY recon, time_res, method),
+fe AS (SELECT method, avg(recall) / 100 AS fe_s FROM res GROUP BY method), rc AS (SELECT recon, time_res, min(recon_s) AS recon_s FROM grid GROUP BY ALL), fa AS (SELECT sum(fe_s) AS fs FROM fe)"""
 
 
-def _grid(spark):
-    rows = [(r, t, m, 0.01 * i + 0.02 * j) for i, r in enumerate(["e2vid", "eventCount", "timeSurface"], 1) for j, t in enumerate([0.1, 0.5, 1.0], 1) for m in ("netvlad", "cosplace", "megaloc")]
-    fe = spark.createDataFrame([("netvlad", 0.006), ("cosplace", 0.004), ("megaloc", 0.027)], "method string, fe_s double")
-    return spark.createDataFrame(rows, "recon string, time_res double, method string, recon_s double"), fe
+def _grid(spark, d):
+    r = results(spark, d)
+    grid = r.groupBy("recon", "time_res", "method").agg((F.min("runtime") / 1000).alias("s")).select("recon", "time_res", "method", (F.col("s") + 0.01 * F.col("time_res")).alias("recon_s"))
+    return grid, r.groupBy("method").agg((F.avg("recall") / 100).alias("fe_s"))
 
 
 @query(f"""WITH {GRID}
 SELECT 'single' AS model, method AS key, round(avg(recon_s + fe_s) * 1000, 4) AS avg_ms FROM grid JOIN fe USING (method) GROUP BY method UNION ALL
 SELECT 'over_time', method, round(avg(t) * 1000, 4) FROM (SELECT recon, method, sum(recon_s + fe_s) AS t FROM rc, fe GROUP BY ALL) GROUP BY method UNION ALL
 SELECT 'over_recon', time_res::VARCHAR, round(avg(t) * 1000, 4) FROM (SELECT time_res, method, sum(recon_s + fe_s) AS t FROM rc, fe GROUP BY ALL) GROUP BY time_res UNION ALL
-SELECT 'over_method', time_res::VARCHAR, round(avg(recon_s + (SELECT sum(fe_s) FROM fe)) * 1000, 4) FROM rc GROUP BY time_res UNION ALL
-SELECT 'complete', 'all', round((sum(recon_s) + count(*) * (SELECT sum(fe_s) FROM fe)) * 1000, 4) FROM rc""")
+SELECT 'over_method', time_res::VARCHAR, round(avg(recon_s + fs) * 1000, 4) FROM rc, fa GROUP BY time_res UNION ALL
+SELECT 'complete', 'all', round(sum(recon_s + fs) * 1000, 4) FROM rc, fa""")
 def r19_runtime_models(spark, d):
     out = None
-    for name, df in analytics.runtime_models(*_grid(spark)).items():
+    for name, df in analytics.runtime_models(*_grid(spark, d)).items():
         key = "method" if "method" in df.columns else "time_res" if "time_res" in df.columns else None
         one = df.select(F.lit(name).alias("model"), F.col(key).cast("string").alias("key") if key else F.lit("all").alias("key"), F.round("avg_ms", 4).alias("avg_ms"))
         out = one if out is None else out.unionByName(one)
@@ -219,10 +224,12 @@ def r20_row_best(spark, d):
     return analytics.row_best(p, methods)
 
 
-@query("SELECT d::VARCHAR AS delta, r AS recon, s AS seq_len FROM (SELECT unnest(['0.1', '0.5', '1.0']) AS d), (SELECT unnest(['a', 'b']) AS r), (SELECT unnest([1, 10])::INT AS s)")
+@query(f"WITH {RES} SELECT * FROM (SELECT DISTINCT time_res AS delta FROM res), (SELECT DISTINCT recon FROM res), (SELECT DISTINCT seq_len FROM res), (SELECT DISTINCT mode FROM res)")
 def j8_config_product(spark, d):
-    mk = lambda name, kind, values: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    return mk("delta", "string", ["0.1", "0.5", "1.0"]).crossJoin(mk("recon", "string", ["a", "b"])).crossJoin(mk("seq_len", "int", [1, 10]))
+    """Every combination of the settings that occur."""
+    r = results(spark, d)
+    one = lambda c, name: r.select(F.col(c).alias(name)).distinct()
+    return one("time_res", "delta").crossJoin(one("recon", "recon")).crossJoin(one("seq_len", "seq_len")).crossJoin(one("mode", "mode"))
 
 
 DONE = f"{RES}, done AS (SELECT DISTINCT upper(ref_seq) || ' ' AS ref_seq, seq_len::VARCHAR || '.0' AS seq_len FROM res WHERE ref_seq LIKE '%n%' AND seq_len > 5)"

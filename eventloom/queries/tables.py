@@ -10,7 +10,8 @@ from ..sources import models, readers
 from ..sources import tables as T
 from ..streaming import windows
 from . import query
-from .ctes import DESC, EV, POSE
+from .ctes import DESC, EV, POSE, SIM
+from .reports import RES, results
 
 
 @query(f"WITH {EV} SELECT seq, coalesce(CASE WHEN event_id % 10 = 0 THEN NULL ELSE p END, 0)::INT AS p, count(*) AS n, sum(x)::BIGINT AS xs FROM ev GROUP BY ALL")
@@ -125,7 +126,15 @@ def s6_nmea_parse(spark, d):
     return n.select("seq", "idx", (F.round("lat", 6) + 0.0).alias("lat"), F.round("lon", 6).alias("lon"), F.round("seconds", 2).alias("seconds"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POSE}, pts AS (SELECT CASE WHEN idx >= 1260 THEN seq || '/' || (idx // 1260) ELSE seq END AS seq, idx, round(CASE WHEN idx % 7 = 3 THEN 0 ELSE -27.4::DOUBLE + round(n, 1) / 100000 END, 6) AS lat,
+  round(152.9::DOUBLE + round(e, 1) / 100000, 6) AS lon FROM pose WHERE idx % 5 <> 4),
+nm AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY idx) AS k FROM pts),
+st AS (SELECT DISTINCT seq, 0::BIGINT AS k, -1 AS idx, 0.0::DOUBLE AS lat, 0.0::DOUBLE AS lon, false AS took, false AS started FROM nm UNION ALL
+  SELECT seq, k, idx, CASE WHEN ok THEN lat ELSE la END, CASE WHEN ok THEN lon ELSE lo END, ok, started OR ok FROM (
+    SELECT nm.seq, nm.k, nm.idx, nm.lat, nm.lon, st.lat AS la, st.lon AS lo, started, nm.lat <> 0 AND nm.lon <> 0 AND nm.lat <> st.lat AND nm.lon <> st.lon AND (NOT started OR
+      2 * 6371000.0::DOUBLE * asin(sqrt(sin((radians(nm.lat) - radians(st.lat)) / 2) ** 2 + cos(radians(st.lat)) * cos(radians(nm.lat)) * sin(radians(nm.lon - st.lon) / 2) ** 2)) > 1) AS ok
+    FROM st JOIN nm ON nm.seq = st.seq AND nm.k = st.k + 1))
+SELECT seq, idx FROM st WHERE took""")
 def s6_nmea_thinned(spark, d):
     return trajectory.nmea_filter(readers.nmea(_nmea_lines(spark, d)), 1.0).select("seq", "idx")
 
@@ -151,16 +160,16 @@ def s14_slice(spark, d):
     return binning.slice_rows(T.pose(spark, d), 10, 90, 7).select("seq", "idx")
 
 
-@query("""SELECT 'a' AS ref_seq, method AS vpr_method, 10 AS seq_len, round(k / 100, 2) AS auc, 'res.csv' AS source_file FROM (SELECT unnest(['mixvpr', 'netvlad']) AS method, unnest([1, 2]) AS k)""")
+@query(f"WITH {RES} SELECT id, ref_seq, qry_seq, method AS vpr_method, seq_len, round(recall, 4) AS recall_at_1, round(runtime, 2) AS runtime FROM res")
 def s15_damaged_header(spark, d):
-    """A result CSV whose header line runs into data reads by its given schema."""
+    """Result CSVs whose header names other columns, the last run into data, read by the schema given."""
     folder = session.fresh_dir(spark, "results")
-    head = "ref_seq,qry_seq,reconstruction_name,vpr_method,patch_colssunset1,a,b"
-    row = "a,b,eventCount,{},10,timebin,fixed,,1.0,25,frame,modified,5,6,0.5,{},1.5,1,1"
-    lines = [(0, head)] + [(1, row.format(m, k / 100)) for m, k in (("mixvpr", 1), ("netvlad", 2))]
-    spark.createDataFrame(lines, "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(folder)
+    have = results(spark, d).select("*", F.col("method").alias("vpr_method"), F.col("recall").alias("recall_at_1"), F.col("id").cast("int").alias("num_qry_frames"))
+    names = [f.split()[0] for f in readers.RESULT_SCHEMA.split(", ")]
+    cols = [F.col(c) if c in have.columns else F.lit(None).cast("string") for c in names]
+    have.select(*(c.alias(f"{n}sunset1" if n == "patch_cols" else f"x{k}_{n}") for k, (n, c) in enumerate(zip(names, cols)))).write.csv(folder, header=True)
     r = readers.result_tables(spark, [folder])
-    return r.select("ref_seq", "vpr_method", "seq_len", "auc", F.lit("res.csv").alias("source_file"))
+    return r.select(F.col("num_qry_frames").cast("long").alias("id"), "ref_seq", "qry_seq", "vpr_method", "seq_len", F.round("recall_at_1", 4).alias("recall_at_1"), F.round("runtime", 2).alias("runtime"))
 
 
 @query(f"WITH {DESC} SELECT 'q' AS side, q AS idx FROM pos WHERE r % 13 = 0 GROUP BY q UNION ALL SELECT 'r', idx FROM rs WHERE idx % 100 = 0")
@@ -190,15 +199,15 @@ def k7_loop_split(spark, d):
     return readers.loop_split(p, loop).select("seq", "idx")
 
 
-@query(f"WITH {POSE} SELECT seq, count(*) AS n, 2 AS reads FROM pose GROUP BY seq")
+@query(f"WITH {SIM} SELECT run, q, r, round(s, 6) + 0.0 AS s, 2 AS reads FROM sim")
 def k1_k3_k8_cached_table(spark, d):
-    """Made once, read twice; a second making would show in the count."""
+    """Scores made once, read twice; a second making would show in the count."""
     folder, made = session.fresh_dir(spark, "cache"), []
-    make = lambda: made.append(1) or T.pose(spark, d).groupBy("seq").agg(F.count("*").alias("n"))
-    readers.cached(spark, folder, make)
-    again = readers.cached(spark, folder, make)
+    make = lambda: made.append(1) or T.scores(spark, d)
+    readers.cached(spark, folder, make, metrics="l2 cosine sad")
+    again = readers.cached(spark, folder, make, metrics="l2 cosine sad")
     readers.write_once(again, folder)
-    return again.withColumn("reads", F.lit(3 - len(made)))
+    return again.select("run", "q", "r", (F.round("s", 6) + 0.0).alias("s"), F.lit(3 - len(made)).alias("reads"))
 
 
 @query(f"WITH {POSE}, c AS (SELECT seq, count(*) AS n FROM pose GROUP BY seq) SELECT *, unnest(['new', 'same', 'longer', 'damaged']) AS state, unnest([1, 1, 2, 3]) AS makings FROM c")
@@ -228,25 +237,43 @@ def k6_descriptor_sink(spark, d):
     return back.select("side", "idx", F.size("vec").alias("dim"), (F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"))
 
 
-@query("SELECT unnest(['a', 'b']) AS k, unnest([3, 1])::BIGINT AS n")
+@query(f"WITH {RES} SELECT method, seq_len, count(*) AS n, round(sum(recall), 4) AS recall FROM res GROUP BY ALL")
 def k4_append(spark, d):
-    folder = session.fresh_dir(spark, "append")
-    for rows in ([("a", 1), ("a", 2)], [("a", 3), ("b", 4)]):
-        readers.append(spark.createDataFrame(rows, "k string, v int"), folder)
-    return spark.read.parquet(folder).groupBy("k").agg(F.count("*").alias("n"))
+    """Result rows appended in three runs."""
+    folder, r = session.fresh_dir(spark, "append"), results(spark, d).select("id", "method", "seq_len", "recall")
+    for k in range(3):
+        readers.append(r.where(F.col("id") % 3 == k), folder)
+    return spark.read.schema(r.schema).parquet(folder).groupBy("method", "seq_len").agg(F.count("*").alias("n"), F.round(F.sum("recall"), 4).alias("recall"))
 
 
-@query("SELECT 'Brisbane' AS dataset, 0.5::DOUBLE AS time_res, 25 AS radius, true AS patch")
+@query("""WITH df AS (SELECT c_mktsegment AS dataset, count(*) AS radius, min(c_custkey) / 10 AS time_res, 1 AS patch FROM customer GROUP BY c_mktsegment)
+SELECT c_custkey AS id, dataset, CASE WHEN c_custkey % 3 = 0 THEN time_res ELSE round(c_acctbal, 2) END AS time_res, CASE WHEN c_custkey % 2 = 0 THEN radius ELSE c_nationkey::BIGINT END AS radius,
+  CASE WHEN c_custkey % 5 = 0 THEN patch ELSE c_custkey % 2 END <> 0 AS patch FROM customer JOIN df ON dataset = c_mktsegment""")
 def k11_m16_config_overlay(spark, d):
-    c = readers.overlay({"time_res": 0.5, "patch": 1}, {"Brisbane": {"time_res": 1.0, "radius": 25}}, "Brisbane", ("patch",))
-    return spark.createDataFrame([("Brisbane", c["time_res"], c["radius"], c["patch"])], "dataset string, time_res double, radius int, patch boolean")
+    """A configuration per customer, some settings explicit, over the defaults of its segment."""
+    c = T.table(spark, d, "customer")
+    unless = lambda n, v: F.when(F.col("c_custkey") % n != 0, v)
+    explicit = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("dataset"), unless(3, F.round("c_acctbal", 2)).alias("time_res"), unless(2, F.col("c_nationkey").cast("long")).alias("radius"), unless(5, F.col("c_custkey") % 2).alias("patch"))
+    defaults = c.groupBy(F.col("c_mktsegment").alias("dataset")).agg(F.count("*").alias("radius"), (F.min("c_custkey") / 10).alias("time_res"), F.lit(1).cast("long").alias("patch"))
+    return readers.overlay_table(explicit, defaults, "dataset", ("patch",))
+
+
+_ALLOWED = ", ".join(f"({k}, '{m}', '{b}', {x}, {j})" for k, (m, b, xs) in enumerate(models.ALLOWED) for j, x in enumerate(xs))
+_METHODS = list(dict.fromkeys(m for m, _, _ in models.ALLOWED)) + ["unheard"]
+_BACKBONES = [None, "ResNet50", "VGG16", "DINOv2", "ResNet18"]
+_DIMS = [None, 512, 2048, 4096, 128, 5]
 
 
-@query("""SELECT unnest(['netvlad', 'cosplace', 'cosplace', 'mixvpr', 'eigenplaces', 'unheard']) AS method, unnest(['VGG16', 'VGG16', 'ResNet50', 'ResNet50', 'ResNet18', NULL]) AS backbone,
-unnest([4096, 2048, 2048, 512, 128, 5])::INT AS dim, unnest([true, false, true, true, false, false]) AS valid""")
+@query(f"""WITH al AS (SELECT * FROM (VALUES {_ALLOWED}) t(k, method, backbone, dim, j)), df AS (SELECT method, arg_min(backbone, (k, j)) AS b, arg_min(dim, (k, j)) AS n FROM al GROUP BY method),
+c AS (SELECT p_partkey AS id, {_METHODS}[(p_partkey % {len(_METHODS)})::INT + 1] AS method, {str(_BACKBONES).replace("None", "NULL")}[(p_size % {len(_BACKBONES)})::INT + 1] AS backbone, {str(_DIMS).replace("None", "NULL")}[(p_partkey // 7 % {len(_DIMS)})::INT + 1] AS dim FROM part),
+f AS (SELECT id, c.method, coalesce(backbone, b, '') AS backbone, coalesce(dim, n, 0)::INT AS dim FROM c LEFT JOIN df USING (method))
+SELECT *, EXISTS (SELECT 1 FROM al WHERE al.method = f.method AND al.backbone = f.backbone AND al.dim = f.dim) AS valid FROM f""")
 def k12_model_validation(spark, d):
-    rows = [("netvlad", None, None), ("cosplace", "VGG16", 2048), ("cosplace", None, None), ("mixvpr", None, 512), ("eigenplaces", "ResNet18", 128), ("unheard", None, 5)]
-    return models.validate(spark.createDataFrame(rows, "method string, backbone string, dim int")).select("method", "backbone", "dim", "valid")
+    """A model configuration per part."""
+    pick = lambda c, values: F.element_at(F.array(*map(F.lit, values)), (c % len(values)).cast("int") + 1)
+    p = T.table(spark, d, "part")
+    configs = p.select(F.col("p_partkey").alias("id"), pick(F.col("p_partkey"), _METHODS).alias("method"), pick(F.col("p_size"), _BACKBONES).alias("backbone"), pick(F.floor(F.col("p_partkey") / 7), _DIMS).alias("dim"))
+    return models.validate(configs).select("id", "method", F.coalesce("backbone", F.lit("")).alias("backbone"), F.coalesce("dim", F.lit(0)).alias("dim"), "valid")
 
 
 # ------------------------------------------------------------ streams

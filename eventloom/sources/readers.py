@@ -158,6 +158,19 @@ def overlay(explicit: dict, defaults: dict[str, dict], kind: str | None, flags:
     return out | {k: bool(out[k]) for k in flags if out.get(k) is not None}
 
 
+def overlay_table(explicit: DataFrame, defaults: DataFrame, kind: str, flags: tuple[str, ...] = ()) -> DataFrame:
+    """``overlay`` for a table of configurations: a value of its own, else that of the row of ``defaults`` with its ``kind``; flags become
+    booleans. Columns that only one side has stay as they are there. A kind without defaults is an error."""
+    known = defaults.select(kind).distinct()
+    if strange := explicit.join(known, kind, "left_anti").head(1):
+        raise ValueError(f"unknown dataset type: {strange[0][kind]}")
+    other = defaults.select(kind, *(F.col(c).alias(f"_{c}") for c in defaults.columns if c != kind))
+    out = explicit.join(other, kind)
+    names = [*explicit.columns, *(c for c in defaults.columns if c not in explicit.columns)]
+    value = lambda c: F.coalesce(*(F.col(x) for x in (c, f"_{c}") if x in out.columns))
+    return out.select(*((value(c).cast("boolean") if c in flags else value(c)).alias(c) for c in names))
+
+
 def write_once(df: DataFrame, path: str, *partitions: str) -> None:
     """Sink that leaves an existing result alone."""
     df.write.mode("ignore").partitionBy(*partitions).parquet(path)
