@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,20 +104,47 @@ def speeds(track: DataFrame) -> DataFrame:
     return x.withColumn("speed", F.coalesce(F.col("_v"), F.lead("_v").over(by()))).drop("_v")
 
 
-def slope(track: DataFrame, value: str, window: int, name: str) -> DataFrame:
-    """Adds the linear coefficient of a local quadratic least-squares fit of
-    ``value`` over time, on ``window // 2`` rows to each side; 0 for fewer than 3 rows."""
+def _fitted(t: np.ndarray, y: np.ndarray, h: int) -> np.ndarray:
+    """At each row the linear coefficient of the quadratic that fits ``y`` over time best on ``h`` rows to each side; 0 for fewer than 3 rows."""
+    around = lambda x: np.lib.stride_tricks.sliding_window_view(np.pad(x, h, constant_values=np.nan), 2 * h + 1)
+    u = around(t) - t[:, None]
+    there = ~np.isnan(u)
+    u, y = np.where(there, u, 0.0), np.where(there, around(y), 0.0)
+    power = [there.astype(float)]
+    for _ in range(4):
+        power.append(power[-1] * u)
+    s = [p.sum(1) for p in power]
+    f = [(p * y).sum(1) for p in power[:3]]
+    # normal equations [s0 s1 s2; s1 s2 s3; s2 s3 s4] (c0 c1 c2) = (f0 f1 f2), by Cramer's rule
+    det = s[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (s[1] * s[4] - s[3] * s[2]) + s[2] * (s[1] * s[3] - s[2] * s[2])
+    top = s[0] * (f[1] * s[4] - s[3] * f[2]) - f[0] * (s[1] * s[4] - s[3] * s[2]) + s[2] * (s[1] * f[2] - f[1] * s[2])
+    return np.where((s[0] >= 3) & (det != 0), top / np.where(det == 0, 1.0, det), 0.0)
+
+
+def slopes(track: DataFrame, values: dict[str, str], window: int, span: int = 4096) -> DataFrame:
+    """Adds, for each value under its name, the linear coefficient of a local quadratic least-squares fit over time, on ``window // 2``
+    rows to each side; 0 for fewer than 3 rows, null where a value in the window is. Rows are numbered as they
+    stream by, and stretches of ``span`` rows, with those beside them that their windows reach, are fitted as arrays."""
     h = window // 2
-    near = F.collect_list(F.struct("t", F.col(value).alias("y"))).over(by().rowsBetween(-h, h))
-    x = track.withColumn("_w", near).withColumn("_w", F.transform("_w", lambda p: F.struct((p["t"] - F.col("t")).alias("u"), p["y"].alias("y"))))
-    s = lambda k, y=False: F.aggregate("_w", F.lit(0.0), lambda acc, p: acc + (F.lit(1.0) if k == 0 else p["u"] ** k) * (p["y"] if y else F.lit(1.0)))
-    x = x.select("*", *(s(k).alias(f"_s{k}") for k in range(5)), *(s(k, True).alias(f"_y{k}") for k in range(3)))
-    S, Y = [F.col(f"_s{k}") for k in range(5)], [F.col(f"_y{k}") for k in range(3)]
-    # normal equations [s0 s1 s2; s1 s2 s3; s2 s3 s4] (c0 c1 c2) = (y0 y1 y2), by Cramer's rule
-    det = S[0] * (S[2] * S[4] - S[3] * S[3]) - S[1] * (S[1] * S[4] - S[3] * S[2]) + S[2] * (S[1] * S[3] - S[2] * S[2])
-    top = S[0] * (Y[1] * S[4] - S[3] * Y[2]) - Y[0] * (S[1] * S[4] - S[3] * S[2]) + S[2] * (S[1] * Y[2] - Y[1] * S[2])
-    v = F.when((F.size("_w") >= 3) & (det != 0), top / det).otherwise(0.0)
-    return x.withColumn(name, v).drop("_w", *(f"_s{k}" for k in range(5)), *(f"_y{k}" for k in range(3)))
+    if h > span:
+        raise ValueError("a window is to be shorter than a stretch")
+    rows = track.withColumn("_k", F.row_number().over(by()) - 1)
+    near = F.transform(F.array(F.col("_k") - h, F.col("_k"), F.col("_k") + h), lambda k: F.floor(F.greatest(k, F.lit(0)) / span))
+    spread = rows.withColumn("_b", F.explode(F.array_distinct(near)))
+    names = track.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("_k", "ascending")]))
+        number = lambda c: table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        own = table.column("_k").to_numpy() // span == table.column("_b")[0].as_py()
+        out = table.select(names).filter(pa.array(own))
+        for value, name in values.items():
+            v = _fitted(number("t"), number(value), h)[own]
+            out = out.append_column(name, pa.array(v, mask=np.isnan(v)))
+        return out
+
+    kinds = [*(f"`{n}` {k}" for n, k in track.dtypes), *(f"`{n}` double" for n in values.values())]
+    return spread.groupBy("seq", "_b").applyInArrow(run, ", ".join(kinds))
 
 
 def adaptive_size(track: DataFrame, ang_vel_max: float = 0.5, lin_speed_max: float = 20.0, ang_acc_max: float = 0.5, lin_acc_max: float = 2.5, min_bins: float = 1, max_bins: float = 20, weights: tuple[float, float, float, float] = (0.5, 0.2, 0.3, 0.0), exponential: bool = False) -> DataFrame:

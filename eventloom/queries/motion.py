@@ -117,7 +117,7 @@ def _hours(spark, d):
     m = _motion(spark, d)
     t = (F.col("t") - F.min("t").over(W.partitionBy("seq"))) / 3600
     m = m.select("seq", "idx", t.alias("t"), (F.col("speed") * 3600).alias("speed"), (F.col("ang_vel") * 3600).alias("ang_vel"))
-    return trajectory.slope(trajectory.slope(m, "speed", 10, "lin_acc"), "ang_vel", 10, "ang_acc")
+    return trajectory.slopes(m, {"speed": "lin_acc", "ang_vel": "ang_acc"}, 10)
 
 
 KIN = f"{MOTION}, {HOURS}, {slope_sql('speed', 'mh', 'lin_acc')}, {slope_sql('ang_vel', 'lin_acc2', 'ang_acc')}"

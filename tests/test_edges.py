@@ -81,7 +81,7 @@ def test_slope_is_that_of_polyfit(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=15)
     m = track(spark, [(a, 0) for a in v])
-    s = [r["k"] for r in trajectory.slope(m, "e", 6, "k").orderBy("idx").collect()]
+    s = [r["k"] for r in trajectory.slopes(m, {"e": "k"}, 6).orderBy("idx").collect()]
     for i in range(15):
         a, b = max(0, i - 3), min(15, i + 4)
         assert s[i] == pytest.approx(np.polyfit(np.arange(a, b) - i, v[a:b], 2)[-2], abs=1e-9)
@@ -275,3 +275,24 @@ def test_nearest_place_grows_its_cells(spark):
     assert joins.nearest_place(left, right.limit(0)).count() == 0 and joins.nearest_place(left.limit(0), right).count() == 0
     one = spark.createDataFrame([(1, 2.0, 2.0)], "r int, re double, rn double")
     assert got(joins.nearest_place(left.where("q < 3"), one), "q", "r") == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_slopes_over_stretches(spark):
+    """Stretches of a few rows fit as one does; short sequences, a null value, rows of one time."""
+    r = np.random.default_rng(9)
+    rows = [("a", k, float(t), float(v), 1.0) for k, (t, v) in enumerate(zip(np.sort(r.uniform(0, 50, 40)), r.normal(size=40)))]
+    rows += [("b", 0, 1.0, 2.0, 1.0), ("b", 1, 2.0, 4.0, 1.0)] + [("c", k, 3.0, float(k), 1.0) for k in range(5)] + [("d", k, float(k), None if k == 6 else 2.0 * k, 1.0) for k in range(12)]
+    track = spark.createDataFrame(rows, "seq string, idx int, t double, v double, w double").repartition(3)
+    read = lambda df: {(x["seq"], x["idx"]): (x["dv"], x["dw"]) for x in df.collect()}
+    whole = read(trajectory.slopes(track, {"v": "dv", "w": "dw"}, 6))
+    assert len(whole) == len(rows) and whole["b", 0] == (0, 0) and whole["c", 2][0] == 0
+    assert [k for k in range(12) if whole["d", k][0] is None] == list(range(3, 10)) and whole["d", 0][0] == pytest.approx(2)
+    for span in (3, 7):
+        got_ = read(trajectory.slopes(track, {"v": "dv", "w": "dw"}, 6, span))
+        assert got_.keys() == whole.keys()
+        for k, (v, w) in whole.items():
+            assert (got_[k][0] is None) == (v is None) and got_[k][1] == pytest.approx(w, abs=1e-9) and (v is None or got_[k][0] == pytest.approx(v))
+    t, v = np.array([x[2] for x in rows[:40]]), np.array([x[3] for x in rows[:40]])
+    for k in range(40):
+        near = slice(max(0, k - 3), k + 4)
+        assert whole["a", k][0] == pytest.approx(np.polyfit(t[near] - t[k], v[near], 2)[1], rel=1e-6, abs=1e-8)
