@@ -194,26 +194,49 @@ def in_box(df: DataFrame, e: tuple[float, float], n: tuple[float, float]) -> Dat
     return df.where((F.col("e") > e[0]) & (F.col("e") < e[1]) & (F.col("n") > n[0]) & (F.col("n") < n[1]))
 
 
+def _tour(xy: np.ndarray, rings: int = 8) -> np.ndarray:
+    """The order of a greedy tour from the first point. Points left stand in cells about as large as their spacing; rings of cells around the
+    last point are searched until none farther out can be nearer, and all points where ``rings`` hold none."""
+    n = len(xy)
+    low, size = xy.min(0), xy.max(0) - xy.min(0)
+    cell = max(math.sqrt(size[0] * size[1] / n), size.max() / n) or 1.0
+    places = [tuple(p) for p in np.floor((xy - low) / cell).astype(int).tolist()]
+    cells: dict[tuple[int, int], list[int]] = {}
+    for k, p in enumerate(places):
+        cells.setdefault(p, []).append(k)
+    points, left, order, at = xy.tolist(), np.ones(n, bool), [0], 0
+    for _ in range(n - 1):
+        cells[places[at]].remove(at)
+        left[at] = False
+        (x, y), (i, j), best = points[at], places[at], (math.inf, -1)
+        for ring in range(rings + 1):
+            edge = [(i + a, j + b) for a in range(-ring, ring + 1) for b in ((-ring, ring) if -ring < a < ring else range(-ring, ring + 1))] if ring else [(i, j)]
+            for c in edge:
+                for k in cells.get(c, ()):
+                    dx, dy = points[k][0] - x, points[k][1] - y
+                    best = min(best, (math.sqrt(dx * dx + dy * dy), k))
+            if best[0] < ring * cell * (1 - 1e-9):  # what lies in later rings is farther away
+                break
+        else:
+            rest = np.flatnonzero(left)
+            d = xy[rest] - xy[at]
+            best = (0.0, int(rest[np.argmin(np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]))]))
+        at = best[1]
+        order.append(at)
+    return np.array(order)
+
+
 def greedy_tour(track: DataFrame) -> DataFrame:
     """(seq, ord, idx): from idx order's first point always on to the nearest one
     left, the earlier on ties. Each step depends on the one before, so a sequence
-    is one group; it holds the points of one traverse."""
+    is one group; it holds the points of one traverse, and steps look at near points only."""
 
     def run(pdf):
-        import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values("idx", kind="stable")
-        xy, ids = pdf[["e", "n"]].to_numpy(), pdf["idx"].to_numpy()
-        left, at, order = np.ones(len(ids), bool), 0, []
-        while True:
-            order.append(at)
-            left[at] = False
-            rest = np.flatnonzero(left)
-            if not len(rest):
-                break
-            at = rest[np.argmin(np.linalg.norm(xy[rest] - xy[at], axis=1))]
-        return pd.DataFrame({"seq": pdf["seq"].iloc[0], "ord": np.arange(len(ids), dtype="int32"), "idx": ids[order].astype("int32")})
+        order = _tour(pdf[["e", "n"]].to_numpy(dtype=float))
+        return pd.DataFrame({"seq": pdf["seq"].iloc[0], "ord": np.arange(len(order), dtype="int32"), "idx": pdf["idx"].to_numpy()[order].astype("int32")})
 
     return track.select("seq", "idx", "e", "n").groupBy("seq").applyInPandas(run, "seq string, ord int, idx int")
 

@@ -179,17 +179,22 @@ def s17_bench_loader(spark, d):
     return with_gt.select(F.lit("q").alias("side"), F.col("q").alias("idx")).unionByName(r.where("idx % 100 = 0").select(F.lit("r").alias("side"), "idx"))
 
 
-@query(f"""WITH {POSE}, q AS (SELECT seq, idx, e, n, (idx * 37) % 360 AS yaw FROM pose WHERE seq <> 'u2' AND e > -60 AND e < 60 AND n > -60 AND n < 60), r AS (SELECT idx, e, n, (idx * 53) % 360 AS yaw FROM pose WHERE seq = 'u2' AND e > -60 AND e < 60 AND n > -60 AND n < 60),
-m AS (SELECT seq, q.idx, any_value(q.yaw) AS yaw, arg_min(r.yaw, (sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2), r.idx)) AS ryaw, min(sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2)) AS d FROM q, r GROUP BY seq, q.idx)
-SELECT seq, idx, round((idx % 256) / 127.5 - 1, 6) + 0.0 AS pixel FROM m WHERE d < 25 AND abs(((yaw - ryaw + 180) % 360 + 360) % 360 - 180) < 30""")
+@query(f"""WITH RECURSIVE {POSE}, q AS (SELECT seq, idx, e, n, (idx * 37) % 360 AS yaw FROM pose WHERE seq <> 'u2' AND e > -60 AND e < 60 AND n > -60 AND n < 60), r AS (SELECT idx, e, n, (idx * 53) % 360 AS yaw FROM pose WHERE seq = 'u2' AND e > -60 AND e < 60 AND n > -60 AND n < 60),
+m AS (SELECT seq, q.idx, any_value(q.yaw) AS yaw, arg_min(r.yaw, (sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2), r.idx)) AS ryaw, min(sqrt((q.e - r.e) ** 2 + (q.n - r.n) ** 2)) AS d FROM q, r GROUP BY seq, q.idx),
+c AS (SELECT seq, 0 AS ord, idx, e, n, [idx] AS seen FROM q WHERE (seq, idx) IN (SELECT seq, min(idx) FROM q GROUP BY seq) UNION ALL
+  SELECT seq, ord, idx, e, n, seen FROM (SELECT c.seq, c.ord + 1 AS ord, q.idx, q.e, q.n, list_append(c.seen, q.idx) AS seen,
+    row_number() OVER (PARTITION BY c.seq ORDER BY sqrt((q.e - c.e) ** 2 + (q.n - c.n) ** 2), q.idx) AS rn FROM c JOIN q ON q.seq = c.seq AND NOT list_contains(c.seen, q.idx)) WHERE rn = 1)
+SELECT seq, idx, ord::INT AS ord, round((idx % 256) / 127.5 - 1, 6) + 0.0 AS pixel FROM m JOIN c USING (seq, idx) WHERE d < 25 AND abs(((yaw - ryaw + 180) % 360 + 360) % 360 - 180) < 30""")
 def s18_eval_loader(spark, d):
-    """Every other track against one as the reference; a pixel value is scaled to -1..1."""
+    """Every other track, in the order of its greedy tour, against one as the reference; a pixel value is scaled to -1..1."""
     p = trajectory.in_box(T.pose(spark, d), (-60, 60), (-60, 60))
     q = p.where("seq <> 'u2'").select(F.struct("seq", "idx").alias("q"), F.col("e").alias("qe"), F.col("n").alias("qn"))
     r = p.where("seq = 'u2'").select(F.col("idx").alias("r"), F.col("e").alias("re"), F.col("n").alias("rn"))
     near = joins.nearest_place_within(q, r, 25.0)
     yaw = trajectory.angle_diff(((F.col("q.idx") * 37) % 360).cast("double"), ((F.col("r") * 53) % 360).cast("double"))
-    return near.where(F.abs(yaw) < 30).select("q.seq", "q.idx", (F.round(similarity.unit_range(F.col("q.idx") % 256), 6) + 0.0).alias("pixel"))
+    tour = trajectory.greedy_tour(p.where("seq <> 'u2'"))
+    found = near.where(F.abs(yaw) < 30).select("q.seq", "q.idx", (F.round(similarity.unit_range(F.col("q.idx") % 256), 6) + 0.0).alias("pixel"))
+    return found.join(tour, ["seq", "idx"])
 
 
 @query(f"WITH {POSE} SELECT seq, idx FROM pose JOIN (SELECT seq, min(t) + 300000 AS a, min(t) + 900000 AS z FROM pose GROUP BY seq) USING (seq) WHERE NOT t BETWEEN a AND z")

@@ -296,3 +296,14 @@ def test_slopes_over_stretches(spark):
     for k in range(40):
         near = slice(max(0, k - 3), k + 4)
         assert whole["a", k][0] == pytest.approx(np.polyfit(t[near] - t[k], v[near], 2)[1], rel=1e-6, abs=1e-8)
+
+
+def test_tour_with_cells_is_the_plain_one():
+    r = np.random.default_rng(4)
+    for xy in (r.uniform(0, 100, (300, 2)), np.round(r.normal(0, 2, (200, 2))), np.zeros((5, 2)), np.array([[0.0, 0], [1e6, 1], [1, 0], [1e6, 2], [2, 0]]), np.cumsum(r.normal(size=(400, 2)), 0), r.uniform(0, 1, (1, 2))):
+        left, order, at = set(range(1, len(xy))), [0], 0
+        while left:
+            at = min(left, key=lambda k: (np.sqrt(((xy[k] - xy[at]) ** 2).sum()), k))  # noqa: B023
+            left.remove(at)
+            order.append(at)
+        assert trajectory._tour(xy).tolist() == order
