@@ -337,22 +337,20 @@ def v2_recall_all(spark, d):
     return _r(metrics.recall_at_1(*_best(spark, d), "run", denominator="all"), 6, "recall_at_1")
 
 
-CURVE = f"""{SIM}, {BEST3}, l2 AS (SELECT * FROM ht WHERE run = 'l2'), en AS (SELECT min(s) AS lb, max(s) AS ub, (max(s) - min(s)) / 100 AS st FROM l2),
-th AS (SELECT i, lb + i * st AS th FROM en, (SELECT unnest(range(103)) AS i) WHERE i < ceil((ub + st - lb) / st)),
-cv AS (SELECT i::INT AS k, count(*) FILTER (gt AND s >= th) AS total, count(*) FILTER (gt AND hit AND s >= th) AS correct, count(*) FILTER (gt) AS relevant FROM th, l2 GROUP BY i),
-pr AS (SELECT k, CASE WHEN total > 0 THEN correct / total ELSE 0 END AS precision, CASE WHEN relevant > 0 THEN correct / relevant ELSE 0 END AS recall FROM cv)"""
+CURVE = f"""{SIM}, {BEST3}, en AS (SELECT run, min(s) AS lb, max(s) AS ub, (max(s) - min(s)) / 100 AS st FROM ht GROUP BY run),
+th AS (SELECT run, i, lb + i * st AS th FROM en, (SELECT unnest(range(103)) AS i) WHERE i < ceil((ub + st - lb) / st)),
+cv AS (SELECT th.run, i::INT AS k, count(*) FILTER (gt AND s >= th) AS total, count(*) FILTER (gt AND hit AND s >= th) AS correct, count(*) FILTER (gt) AS relevant FROM th JOIN ht ON ht.run = th.run GROUP BY th.run, i),
+pr AS (SELECT run, k, CASE WHEN total > 0 THEN correct / total ELSE 0 END AS precision, CASE WHEN relevant > 0 THEN correct / relevant ELSE 0 END AS recall FROM cv)"""
 
 
-@query(f"WITH {CURVE} SELECT k, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr")
+@query(f"WITH {CURVE} SELECT run, k, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr")
 def v3_pr_curve(spark, d):
-    best, pos = _best(spark, d)
-    return _r(metrics.pr_curve(best.where("run = 'l2'"), pos), 6, "precision", "recall")
+    return _r(metrics.pr_curve(*_best(spark, d), "run"), 6, "precision", "recall")
 
 
-@query(f"WITH {CURVE}, o AS (SELECT (recall - lag(recall) OVER w) * (precision + lag(precision) OVER w) / 2 AS a FROM pr WINDOW w AS (ORDER BY recall, precision)) SELECT round(coalesce(sum(a), 0), 6) AS auc FROM o")
+@query(f"WITH {CURVE}, o AS (SELECT run, (recall - lag(recall) OVER w) * (precision + lag(precision) OVER w) / 2 AS a FROM pr WINDOW w AS (PARTITION BY run ORDER BY recall, precision)) SELECT run, round(coalesce(sum(a), 0), 6) AS auc FROM o GROUP BY run")
 def v4_auc(spark, d):
-    best, pos = _best(spark, d)
-    return _r(metrics.auc(metrics.pr_curve(best.where("run = 'l2'"), pos)), 6, "auc")
+    return _r(metrics.auc(metrics.pr_curve(*_best(spark, d), "run"), "run"), 6, "auc")
 
 
 @query(f"""WITH {SIM}, {BEST3}, o AS (SELECT row_number() OVER w AS rank, sum(hit::INT) OVER w AS tp, sum(hit::INT) OVER () AS n FROM ht WHERE run = 'l2' WINDOW w AS (ORDER BY s DESC, q))

@@ -307,3 +307,15 @@ def test_tour_with_cells_is_the_plain_one():
             left.remove(at)
             order.append(at)
         assert trajectory._tour(xy).tolist() == order
+
+
+def test_curves_of_several_runs(spark):
+    """Each run has its own thresholds; a run of one score has the point (0, 0)."""
+    best = spark.createDataFrame([("a", q, q, float(q)) for q in range(6)] + [("b", q, q, 5.0 - q) for q in range(6)] + [("c", q, q, 1.0) for q in range(6)], "run string, q int, r int, s double")
+    pos = spark.createDataFrame([(q, q if q < 3 else 99) for q in range(6)], "q int, r int")
+    both = metrics.pr_curve(best, pos, "run")
+    for run in "abc":
+        alone = metrics.pr_curve(best.where(F.col("run") == run), pos)
+        assert got(both.where(F.col("run") == run), "k", "precision", "recall") == got(alone, "k", "precision", "recall")
+    areas = dict(got(metrics.auc(both, "run"), "run", "auc"))
+    assert areas["c"] == 0 and areas["b"] > areas["a"]
