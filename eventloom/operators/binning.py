@@ -142,6 +142,19 @@ def tick_windows(events: DataFrame, ticks: DataFrame, delta: float) -> DataFrame
     return interval_join(events, k, max(delta, 1e-9)).where(F.col("t") < F.col("t1")).drop("t0", "t1")
 
 
+def tick_counts(events: DataFrame, ticks: DataFrame, delta: float, bucket: float) -> DataFrame:
+    """(seq, tick_id, n): the number of events of [t - delta, t) for each tick (seq, tick_id, tick_t) that has any. Events are counted
+    from the start of their sequence up to both ends, so that no event meets the ticks whose window it is in."""
+    from . import joins, ranks
+
+    e = ranks.global_rank(events, "seq", ["t", "event_id"], bucket, "_rank")
+    seen = e.groupBy("seq", "t").agg(F.max("_rank").alias("_last"), F.min("_rank").alias("_first"))
+    ends = ticks.select("seq", "tick_id", F.explode(F.array(F.struct((F.col("tick_t") - delta).alias("t"), F.lit(-1).alias("_sign")), F.struct(F.col("tick_t").alias("t"), F.lit(1).alias("_sign")))).alias("_e"))
+    k = joins.asof(ends.select("seq", "tick_id", "_e._sign", "_e.t"), seen, "seq", "t", ["_last", "_first"], bucket)
+    before = F.when(F.col("prev_t") == F.col("t"), F.col("prev__first")).otherwise(F.col("prev__last") + 1)
+    return k.groupBy("seq", "tick_id").agg(F.sum(F.col("_sign") * F.coalesce(before, F.lit(0))).alias("n")).where("n > 0")
+
+
 def tick_last(events: DataFrame, ticks: DataFrame, n: int, bucket: float) -> DataFrame:
     """The last ``n`` events before each tick (seq, tick_id, tick_t), as (tick_id, tick_t) beside them: an
     interval join of ranks, found per time ``bucket``."""

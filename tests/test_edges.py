@@ -4,9 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom import catalog
 from eventloom.operators import analytics, binning, ensemble, joins, metrics, recon, seqmatch, similarity, trajectory
 from eventloom.sources import readers
 
+from .conftest import SF
+
 EV = "seq string, event_id long, t double, x int, y int, p int"
 
 
@@ -319,3 +322,15 @@ def test_curves_of_several_runs(spark):
         assert got(both.where(F.col("run") == run), "k", "precision", "recall") == got(alone, "k", "precision", "recall")
     areas = dict(got(metrics.auc(both, "run"), "run", "auc"))
     assert areas["c"] == 0 and areas["b"] > areas["a"]
+
+
+def test_tick_counts_meet_no_events(spark, monkeypatch):
+    """Equal times, a window that starts on an event, ticks without events before them; events are counted, not joined to ticks."""
+    rows = [("a", k, t) for k, t in enumerate((0.0, 1.0, 1.0, 2.5, 4.0, 4.0, 9.0))] + [("b", 7, 3.0)]
+    e = spark.createDataFrame(rows, "seq string, event_id long, t double")
+    ticks = e.select("seq", F.col("event_id").alias("tick_id"), F.col("t").alias("tick_t"))
+    want = got(binning.tick_windows(e, ticks, 3.0).groupBy("seq", "tick_id").count(), "seq", "tick_id", "count")
+    monkeypatch.setattr(binning, "interval_join", None)
+    for bucket in (0.7, 100.0):
+        assert got(binning.tick_counts(e, ticks, 3.0, bucket), "seq", "tick_id", "n") == want
+    assert catalog.QUERIES["w12_tick_windows"](spark, SF).head(1)
