@@ -104,26 +104,39 @@ def speeds(track: DataFrame) -> DataFrame:
     return x.withColumn("speed", F.coalesce(F.col("_v"), F.lead("_v").over(by()))).drop("_v")
 
 
-def _fitted(t: np.ndarray, y: np.ndarray, h: int) -> np.ndarray:
-    """At each row the linear coefficient of the quadratic that fits ``y`` over time best on ``h`` rows to each side; 0 for fewer than 3 rows."""
+def _fitted(t: np.ndarray, y: np.ndarray, h: int, singular: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """At each row the linear coefficient of the quadratic that fits ``y`` over time best on ``h`` rows to each side, and whether a value
+    is missing there. 0 for fewer than 3 rows. Sums are added up row by row and powers are those of the C library: near such windows every digit of theirs shows."""
     around = lambda x: np.lib.stride_tricks.sliding_window_view(np.pad(x, h, constant_values=np.nan), 2 * h + 1)
     u = around(t) - t[:, None]
     there = ~np.isnan(u)
+    lacks = (there & np.isnan(around(y))).any(1)
     u, y = np.where(there, u, 0.0), np.where(there, around(y), 0.0)
-    power = [there.astype(float)]
-    for _ in range(4):
-        power.append(power[-1] * u)
-    s = [p.sum(1) for p in power]
-    f = [(p * y).sum(1) for p in power[:3]]
+    pow_ = np.frompyfunc(math.pow, 2, 1)
+    power = [there.astype(float), u, u * u, *(pow_(u, k).astype(float) for k in (3.0, 4.0))]
+
+    def total(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for k in range(x.shape[1]):
+            out += x[:, k]
+        return out
+
+    s = [total(p) for p in power]
+    f = [total(p * y) for p in power[:3]]
     # normal equations [s0 s1 s2; s1 s2 s3; s2 s3 s4] (c0 c1 c2) = (f0 f1 f2), by Cramer's rule
     det = s[0] * (s[2] * s[4] - s[3] * s[3]) - s[1] * (s[1] * s[4] - s[3] * s[2]) + s[2] * (s[1] * s[3] - s[2] * s[2])
     top = s[0] * (f[1] * s[4] - s[3] * f[2]) - f[0] * (s[1] * s[4] - s[3] * s[2]) + s[2] * (s[1] * f[2] - f[1] * s[2])
-    return np.where((s[0] >= 3) & (det != 0), top / np.where(det == 0, 1.0, det), 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fit = top / det
+    if singular is not None:
+        fit = np.where(det == 0, singular, fit)
+    return np.where(s[0] >= 3, fit, 0.0), lacks & (s[0] >= 3)
 
 
-def slopes(track: DataFrame, values: dict[str, str], window: int, span: int = 4096) -> DataFrame:
+def slopes(track: DataFrame, values: dict[str, str], window: int, span: int = 4096, singular: float | None = 0.0) -> DataFrame:
     """Adds, for each value under its name, the linear coefficient of a local quadratic least-squares fit over time, on ``window // 2``
-    rows to each side; 0 for fewer than 3 rows, null where a value in the window is. Rows are numbered as they
+    rows to each side; 0 for fewer than 3 rows, null where a value in the window is. Rows of fewer than three times have no one fit: ``singular``,
+    or what the division by zero gives (infinite or NaN) if that is None. Rows are numbered as they
     stream by, and stretches of ``span`` rows, with those beside them that their windows reach, are fitted as arrays."""
     h = window // 2
     if h > span:
@@ -139,8 +152,8 @@ def slopes(track: DataFrame, values: dict[str, str], window: int, span: int = 40
         own = table.column("_k").to_numpy() // span == table.column("_b")[0].as_py()
         out = table.select(names).filter(pa.array(own))
         for value, name in values.items():
-            v = _fitted(number("t"), number(value), h)[own]
-            out = out.append_column(name, pa.array(v, mask=np.isnan(v)))
+            v, lacks = (x[own] for x in _fitted(number("t"), number(value), h, singular))
+            out = out.append_column(name, pa.array(v, mask=lacks))
         return out
 
     kinds = [*(f"`{n}` {k}" for n, k in track.dtypes), *(f"`{n}` double" for n in values.values())]

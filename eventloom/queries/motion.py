@@ -18,6 +18,14 @@ def _r(df, digits, *cols):
     return df
 
 
+def _scaled_round(x, digits):
+    """Rounded as the SQL does it, on the scaled double: ``F.round`` goes by decimals, and of numbers near a tie, or so large that no
+    digit is left to round, it may give another double. Infinite and NaN stay."""
+    y = x * 10.0**digits
+    whole = F.when(F.abs(y) < 2.0**52, F.signum(y) * F.floor(F.abs(y) + 0.5)).otherwise(y)
+    return whole / 10.0**digits + 0.0
+
+
 def _motion(spark, d):
     return trajectory.speeds(trajectory.angular_velocity(trajectory.headings(T.pose(spark, d)), 10))
 
@@ -91,7 +99,7 @@ def o4_headings(spark, d):
 
 @query(f"WITH {MOTION} SELECT seq, idx, round(ang_vel * 1e6, 4) + 0.0 AS ang_vel FROM av")
 def o5_angular_velocity(spark, d):
-    return _motion(spark, d).select("seq", "idx", (F.round(F.col("ang_vel") * 1e6, 4) + 0.0).alias("ang_vel"))
+    return _motion(spark, d).select("seq", "idx", _scaled_round(F.col("ang_vel") * 1e6, 4).alias("ang_vel"))
 
 
 @query(f"WITH {MOTION} SELECT seq, idx, round(speed * 1e3, 5) AS speed FROM mo")
@@ -117,7 +125,7 @@ def _hours(spark, d):
     m = _motion(spark, d)
     t = (F.col("t") - F.min("t").over(W.partitionBy("seq"))) / 3600
     m = m.select("seq", "idx", t.alias("t"), (F.col("speed") * 3600).alias("speed"), (F.col("ang_vel") * 3600).alias("ang_vel"))
-    return trajectory.slopes(m, {"speed": "lin_acc", "ang_vel": "ang_acc"}, 10)
+    return trajectory.slopes(m, {"speed": "lin_acc", "ang_vel": "ang_acc"}, 10, singular=None)
 
 
 KIN = f"{MOTION}, {HOURS}, {slope_sql('speed', 'mh', 'lin_acc')}, {slope_sql('ang_vel', 'lin_acc2', 'ang_acc')}"
@@ -125,7 +133,7 @@ KIN = f"{MOTION}, {HOURS}, {slope_sql('speed', 'mh', 'lin_acc')}, {slope_sql('an
 
 @query(f"WITH {KIN} SELECT seq, idx, round(lin_acc, 3) + 0.0 AS lin_acc, round(ang_acc, 4) + 0.0 AS ang_acc FROM ang_acc2")
 def o7_acceleration(spark, d):
-    return _r(_r(_hours(spark, d).select("seq", "idx", "lin_acc", "ang_acc"), 3, "lin_acc"), 4, "ang_acc")
+    return _hours(spark, d).select("seq", "idx", _scaled_round(F.col("lin_acc"), 3).alias("lin_acc"), _scaled_round(F.col("ang_acc"), 4).alias("ang_acc"))
 
 
 SIZE = f"""{KIN}, sz AS (SELECT *, CASE WHEN speed < 0.5 AND abs(ang_vel) < 0.05 THEN 20.0 ELSE greatest(1.0, least(20 - 19 * (

@@ -334,3 +334,17 @@ def test_tick_counts_meet_no_events(spark, monkeypatch):
     for bucket in (0.7, 100.0):
         assert got(binning.tick_counts(e, ticks, 3.0, bucket), "seq", "tick_id", "n") == want
     assert catalog.QUERIES["w12_tick_windows"](spark, SF).head(1)
+
+
+def test_accelerations_of_rows_at_equal_times(spark, tmp_path):
+    """Events that occur three times at one time: fits of one or two times have no one answer, and the SQL's is to come out."""
+    import duckdb
+
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    copies = [e.withColumn("event_id", F.col("event_id") + 1000 * k) for k in range(3)]
+    copies[0].unionByName(copies[1]).unionByName(copies[2]).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(catalog.SQL["o7_acceleration"]).fetchall()
+    out = catalog.QUERIES["o7_acceleration"](spark, str(tmp_path))
+    assert sorted(repr(tuple(r)) for r in out.select("seq", "idx", "lin_acc").collect()) == sorted(repr(tuple(r[:3])) for r in want)
