@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import session
+from . import ranks
+
 
 def select_members(available: DataFrame, axes: dict[str, list[str]], over: str, fixed: dict[str, str]) -> DataFrame:
     """Runs (run, and a column for each axis) of an ensemble over some axes.
@@ -56,17 +59,35 @@ def disagreement(sim: DataFrame) -> DataFrame:
 
 def correlation(sim: DataFrame, kind: str = "pearson") -> DataFrame:
     """(a, b, corr) of the runs a < b. Each run keeps its finite scores in the order of (q, r),
-    and pairs are cut to the shorter, as positions decide what meets."""
-    finite = sim.where(F.col("s").isNotNull() & ~F.isnan("s") & (F.abs("s") < float("inf")))
-    at = finite.withColumn("k", F.row_number().over(W.partitionBy("run").orderBy("q", "r")))
-    n = at.groupBy("run").agg(F.max("k").alias("n"))
+    and pairs are cut to the shorter, as positions decide what meets.
+
+    Positions are counted within a query and begin after those of the queries before. Ranks are those of the different values: how many
+    scores are below, from counts by value and by range of values. No task holds a whole run.
+    """
+    finite = sim.where(F.col("s").isNotNull() & ~F.isnan("s") & (F.abs("s") < float("inf"))).withColumn("s", F.col("s").cast("double") + 0.0)
+    in_row = F.row_number().over(W.partitionBy("run", "q").orderBy("r"))
+    sizes = finite.groupBy("run", "q").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("run").orderBy("q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = finite.withColumn("k", in_row).join(sizes.select("run", "q", before.alias("_before")), ["run", "q"]).select("run", (F.col("k") + F.col("_before")).alias("k"), "s")
+    n = finite.groupBy("run").agg(F.count("*").alias("n"))
     names = n.alias("x").join(n.alias("y"), F.col("x.run") < F.col("y.run")).select(F.col("x.run").alias("a"), F.col("y.run").alias("b"), F.least("x.n", "y.n").alias("n"))
-    p = names.join(at.select(F.col("run").alias("a"), "k", F.col("s").alias("u")), "a").where("k <= n").join(at.select(F.col("run").alias("b"), "k", F.col("s").alias("v")), ["b", "k"])
     if kind == "spearman":
-        for c in ("u", "v"):
-            w = W.partitionBy("a", "b").orderBy(c)
-            p = p.withColumn(f"_{c}", F.rank().over(w) + (F.count("*").over(W.partitionBy("a", "b", c)) - 1) / 2)
-        p = p.drop("u", "v").withColumnsRenamed({"_u": "u", "_v": "v"})
+        at, names = (session.stored(df, "positions") for df in (at, names))
+        # a run is ranked once for each length that it is cut to
+        cuts = names.select(F.explode(F.array("a", "b")).alias("run"), "n").distinct()
+        cut = at.join(F.broadcast(cuts), "run").where("k <= n")
+        values = session.stored(cut.groupBy("run", "n", "s").agg(F.count("*").alias("_c")), "values")
+        ranged = ranks.spread(values, F.col("s"), 192)
+        lower = F.sum("_all").over(W.partitionBy("run", "n").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+        base = ranged.groupBy("run", "n", "_bucket").agg(F.sum("_c").alias("_all")).select("run", "n", "_bucket", F.coalesce(lower, F.lit(0)).alias("_base"))
+        own = F.coalesce(F.sum("_c").over(W.partitionBy("run", "n", "_bucket").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        rank = ranged.withColumn("_own", own).join(F.broadcast(base), ["run", "n", "_bucket"])
+        rank = rank.select("run", "n", "s", (F.col("_base") + F.col("_own") + (F.col("_c") + 1) / 2).alias("_rank"))
+        at = cut.join(rank, ["run", "n", "s"]).select("run", "n", "k", F.col("_rank").alias("s"))
+        u = F.broadcast(names).join(at.withColumnRenamed("run", "a").withColumnRenamed("s", "u"), ["a", "n"])
+        p = u.join(at.withColumnRenamed("run", "b").withColumnRenamed("s", "v"), ["b", "n", "k"])
+    else:
+        p = names.join(at.select(F.col("run").alias("a"), "k", F.col("s").alias("u")), "a").where("k <= n").join(at.select(F.col("run").alias("b"), "k", F.col("s").alias("v")), ["b", "k"])
     return p.groupBy("a", "b").agg(F.corr("u", "v").alias("corr"))
 
 
