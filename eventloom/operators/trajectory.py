@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -213,30 +214,40 @@ def _tour(xy: np.ndarray, rings: int = 8) -> np.ndarray:
     n = len(xy)
     low, size = xy.min(0), xy.max(0) - xy.min(0)
     cell = max(math.sqrt(size[0] * size[1] / n), size.max() / n) or 1.0
-    places = [tuple(p) for p in np.floor((xy - low) / cell).astype(int).tolist()]
-    cells: dict[tuple[int, int], list[int]] = {}
-    for k, p in enumerate(places):
-        cells.setdefault(p, []).append(k)
-    points, left, order, at = xy.tolist(), np.ones(n, bool), [0], 0
-    for _ in range(n - 1):
-        cells[places[at]].remove(at)
+    place = np.floor((xy - low) / cell).astype(np.int64)
+    wide, high = (int(k) + 1 for k in place.max(0))  # at most about 3 n cells
+    own = place[:, 0] * high + place[:, 1]
+    # numbers as flat arrays, some 100 bytes a point: the points of each cell one behind the other, those left first
+    flat = lambda kind, x: array(kind, np.ascontiguousarray(x).tobytes())
+    by_cell, per_cell = np.argsort(own, kind="stable"), np.bincount(own, minlength=wide * high)
+    slot = np.empty(n, np.int64)
+    slot[by_cell] = np.arange(n)
+    start, number = flat("q", np.cumsum(per_cell) - per_cell), flat("q", per_cell)
+    members, slot, xs, ys = flat("q", by_cell), flat("q", slot), flat("d", xy[:, 0].astype(float)), flat("d", xy[:, 1].astype(float))
+    left, order, at = np.ones(n, bool), np.zeros(n, np.int64), 0
+    for step in range(1, n):
+        c = int(own[at])
+        number[c] -= 1
+        last, free = members[start[c] + number[c]], slot[at]
+        members[free], slot[last] = last, free
         left[at] = False
-        (x, y), (i, j), best = points[at], places[at], (math.inf, -1)
+        x, y, (i, j), best = xs[at], ys[at], divmod(c, high), (math.inf, -1)
         for ring in range(rings + 1):
             edge = [(i + a, j + b) for a in range(-ring, ring + 1) for b in ((-ring, ring) if -ring < a < ring else range(-ring, ring + 1))] if ring else [(i, j)]
-            for c in edge:
-                for k in cells.get(c, ()):
-                    dx, dy = points[k][0] - x, points[k][1] - y
-                    best = min(best, (math.sqrt(dx * dx + dy * dy), k))
+            for a, b in edge:
+                if 0 <= a < wide and 0 <= b < high:
+                    c = a * high + b
+                    for k in members[start[c] : start[c] + number[c]]:
+                        dx, dy = xs[k] - x, ys[k] - y
+                        best = min(best, (math.sqrt(dx * dx + dy * dy), k))
             if best[0] < ring * cell * (1 - 1e-9):  # what lies in later rings is farther away
                 break
         else:
             rest = np.flatnonzero(left)
             d = xy[rest] - xy[at]
             best = (0.0, int(rest[np.argmin(np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]))]))
-        at = best[1]
-        order.append(at)
-    return np.array(order)
+        order[step] = at = best[1]
+    return order
 
 
 def greedy_tour(track: DataFrame) -> DataFrame:
@@ -244,14 +255,15 @@ def greedy_tour(track: DataFrame) -> DataFrame:
     left, the earlier on ties. Each step depends on the one before, so a sequence
     is one group; it holds the points of one traverse, and steps look at near points only."""
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("idx", kind="stable")
-        order = _tour(pdf[["e", "n"]].to_numpy(dtype=float))
-        return pd.DataFrame({"seq": pdf["seq"].iloc[0], "ord": np.arange(len(order), dtype="int32"), "idx": pdf["idx"].to_numpy()[order].astype("int32")})
-
-    return track.select("seq", "idx", "e", "n").groupBy("seq").applyInPandas(run, "seq string, ord int, idx int")
+    def run(table: pa.Table) -> pa.Table:
+        idx = table.column("idx").to_numpy()
+        by_idx = np.argsort(idx, kind="stable")
+        xy = np.stack([table.column(c).to_numpy()[by_idx].astype(float) for c in "en"], 1)
+        order = by_idx[_tour(xy)]
+        seq = pa.DictionaryArray.from_arrays(np.zeros(len(order), np.int32), table.column("seq").slice(0, 1).combine_chunks()).cast(pa.string())
+        return pa.table([seq, pa.array(np.arange(len(order), dtype=np.int32)), pa.array(idx[order].astype(np.int32))], names=["seq", "ord", "idx"])
+
+    return track.select("seq", "idx", "e", "n").groupBy("seq").applyInArrow(run, "seq string, ord int, idx int")
 
 
 def most_overlapping(track: DataFrame, radius: float = 5.0) -> DataFrame:

@@ -348,3 +348,14 @@ def test_accelerations_of_rows_at_equal_times(spark, tmp_path):
     want = con.sql(catalog.SQL["o7_acceleration"]).fetchall()
     out = catalog.QUERIES["o7_acceleration"](spark, str(tmp_path))
     assert sorted(repr(tuple(r)) for r in out.select("seq", "idx", "lin_acc").collect()) == sorted(repr(tuple(r[:3])) for r in want)
+
+
+def test_tour_holds_few_bytes_a_point():
+    import tracemalloc
+
+    xy = np.random.default_rng(1).normal(size=(4000, 2))
+    tracemalloc.start()
+    order = trajectory._tour(xy)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(order) == list(range(4000)) and peak < 250 * 4000
