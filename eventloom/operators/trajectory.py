@@ -76,12 +76,16 @@ def resample_by_distance(track: DataFrame, spacing: float) -> DataFrame:
     return at.select("seq", F.col("k").cast("int").alias("k"), F.col("at").alias("s"), lerp("e", "e1").alias("e"), lerp("n", "n1").alias("n"), lerp("t", "t1").alias("t"))
 
 
+def _direction(dn: pa.Array, de: pa.Array) -> pa.Array:
+    """atan2 of the C library: that of the JVM has another last bit in about one of six rows, which shows where turns of some 1e-15 are divided by no time."""
+    return pa.array([None if y is None or x is None else math.atan2(y, x) for y, x in zip(dn.to_pylist(), de.to_pylist())], pa.float64())
+
+
 def headings(track: DataFrame, least: float = 1e-3) -> DataFrame:
     """Adds heading: atan2 of the step into each row where it is long enough,
     else the last one known; the first rows take the first one known; 0 without motion."""
     de, dn = F.col("e") - F.lag("e").over(by()), F.col("n") - F.lag("n").over(by())
-    h = F.when(F.sqrt(de**2 + dn**2) >= least, F.atan2(dn, de))
-    x = track.withColumn("_h", h)
+    x = track.withColumn("_h", F.when(F.sqrt(de**2 + dn**2) >= least, F.arrow_udf(_direction, "double")(dn, de)))
     known = F.last("_h", ignorenulls=True).over(by().rowsBetween(W.unboundedPreceding, 0))
     first = F.first("_h", ignorenulls=True).over(by().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return x.withColumn("heading", F.coalesce(known, first, F.lit(0.0))).drop("_h")
@@ -90,10 +94,15 @@ def headings(track: DataFrame, least: float = 1e-3) -> DataFrame:
 def angular_velocity(track: DataFrame, window: int = 100, most: float = math.pi / 6) -> DataFrame:
     """Adds ang_vel: unwrapped heading change over ``window`` rows, 0 before row window + 1, clipped."""
     d = F.col("heading") - F.lag("heading").over(by())
-    wrapped = F.pmod(d + math.pi, F.lit(2 * math.pi)) - math.pi
-    wrapped = F.when((wrapped == -math.pi) & (d > 0), F.lit(math.pi)).otherwise(wrapped)
-    x = track.withColumn("_u", F.coalesce(wrapped, F.col("heading"))).withColumn("_u", F.sum("_u").over(by()))
-    w = (F.col("_u") - F.lag("_u", window).over(by())) / (F.col("t") - F.lag("t", window).over(by()))
+    turned = F.col("_d") + math.pi
+    wrapped = turned - F.floor(turned / (2 * math.pi)) * 2 * math.pi - math.pi
+    # half a turn keeps its direction, up to what the sum above is off by
+    wrapped = F.when((F.abs(wrapped + math.pi) < 1e-15) & (F.col("_d") > 0), F.lit(math.pi)).otherwise(wrapped)
+    x = track.withColumn("_d", d).withColumn("_d", F.coalesce(wrapped, F.col("heading")))
+    x = folds.running_sum(x, "seq", ["idx"], "_d", "_u").drop("_d")
+    turn, time = F.col("_u") - F.lag("_u", window).over(by()), F.col("t") - F.lag("t", window).over(by())
+    # no time in between: infinite, or NaN without a turn
+    w = F.when(time == 0, turn * float("inf")).otherwise(turn / F.when(time == 0, 1.0).otherwise(time))
     w = F.when(F.row_number().over(by()) - 1 >= window + 1, w).otherwise(0.0)
     return x.withColumn("ang_vel", F.least(F.greatest(w, F.lit(-most)), F.lit(most))).drop("_u")
 

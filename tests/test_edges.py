@@ -359,3 +359,19 @@ def test_tour_holds_few_bytes_a_point():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sorted(order) == list(range(4000)) and peak < 250 * 4000
+
+
+def test_angular_velocity_and_acceleration_where_rows_share_times(spark, tmp_path):
+    """20 rows at each time: turns of nothing by no time, of which the last bits decide the sign. The SQL runs over each sequence alone."""
+    import duckdb
+
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.crossJoin(spark.range(20).withColumnRenamed("id", "k")).withColumn("event_id", F.col("event_id") + 1_000_000 * F.col("k")).drop("k").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("o5_angular_velocity", "o7_acceleration"):
+        rows = lambda df: sorted(tuple(map(repr, x)) for x in df[sorted(df.columns)].astype({c: float for c in df.columns if c != "seq"}).itertuples(index=False, name=None))
+        got, want = rows(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()), []
+        for k in range(8):
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' WHERE user_id % 8 = {k}")
+            want += rows(con.sql(catalog.SQL[name]).df())
+        assert got == sorted(want)
