@@ -123,7 +123,7 @@ def _fitted(t: np.ndarray, y: np.ndarray, h: int, singular: float | None) -> tup
     lacks = (there & np.isnan(around(y))).any(1)
     u, y = np.where(there, u, 0.0), np.where(there, around(y), 0.0)
     pow_ = np.frompyfunc(math.pow, 2, 1)
-    power = [there.astype(float), u, u * u, *(pow_(u, k).astype(float) for k in (3.0, 4.0))]
+    power = [there.astype(float), u, *(pow_(u, k).astype(float) for k in (2.0, 3.0, 4.0))]
 
     def total(x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
